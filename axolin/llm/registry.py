@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from axolin.llm import licenses, mixing, mpeg, sharding
+import corpus_pipeline
+from axolin.llm import decontaminate, licenses, mixing, mpeg, packing, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_token_packing": packing.query,
         "op3_lookup_sharding": sharding.query,
         "op4_license_digests": licenses.query,
         "op6_mpeg_media": mpeg.query,
         "op7_pivotal_mixing": mixing.query,
+        "op8_attention_quality": quality.query,
+        "op9_simhash_decontamination": decontaminate.query,
+        "op10_golay_simhash": simhash.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lookup_sharding": sharding.oracle(), "op4_license_digests": licenses.oracle()}
+    return {"op3_lookup_sharding": sharding.oracle(), "op4_license_digests": licenses.oracle(), "op9_simhash_decontamination": decontaminate.oracle()}
