@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from axolin.llm import decontaminate, licenses, mixing, mpeg, packing, quality, sharding, simhash
+from axolin.llm import decontaminate, html_text, licenses, mixing, mpeg, packing, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_token_packing": packing.query,
         "op3_lookup_sharding": sharding.query,
         "op4_license_digests": licenses.query,
+        "op5_html_boosting": html_text.query,
         "op6_mpeg_media": mpeg.query,
         "op7_pivotal_mixing": mixing.query,
         "op8_attention_quality": quality.query,
