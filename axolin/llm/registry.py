@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from axolin.llm import decontaminate, html_text, licenses, mixing, mpeg, packing, quality, sharding, simhash
+from axolin.llm import decontaminate, html_text, licenses, mixing, mpeg, packing, quality, sharding, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_token_packing": packing.query,
+        "op2_bwt_repeats": suffix_dedup.query,
         "op3_lookup_sharding": sharding.query,
         "op4_license_digests": licenses.query,
         "op5_html_boosting": html_text.query,
