@@ -1 +1,65 @@
+"""Column expressions for element-wise mathematics, with IEEE results where SQL would raise or give NULL."""
 
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def ieee_log(fn):
+    """log(0) is -inf and log of a negative number NaN."""
+    return lambda v: F.when(v > 0, fn(v)).when(v == 0, F.lit(float("-inf"))).when(v.isNotNull(), F.lit(float("nan")))
+
+
+def ieee_div(x: Column, y: Column) -> Column:
+    """x / y, where division by zero gives an infinity or NaN."""
+    by_zero = F.when(F.isnan(x) | (x == 0), F.lit(float("nan"))).when(x > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return F.when(y == 0, by_zero).otherwise(x / F.when(y != 0, y))
+
+
+def _arrow(fn):
+    """A function of floats applied to Arrow batches."""
+
+    def batch(x: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(fn, x), float, len(x)))
+
+    def apply(v: Column) -> Column:
+        return F.pandas_udf(batch, "double")(v)
+
+    return apply
+
+
+#: Functions of one value. erf and erfc have no built-in form and run on Arrow batches.
+UNARY = {
+    "abs": F.abs, "acos": F.acos, "acosh": F.acosh, "asin": F.asin, "asinh": F.asinh, "atan": F.atan, "atanh": F.atanh,
+    "ceil": lambda v: F.ceil(v).cast("double"), "cos": F.cos, "cosh": F.cosh, "erf": _arrow(math.erf), "erfc": _arrow(math.erfc), "exp": F.exp,
+    "exp2": lambda v: F.pow(F.lit(2.0), v), "exp10": lambda v: F.pow(F.lit(10.0), v), "fabs": F.abs,
+    "floor": lambda v: F.floor(v).cast("double"), "log": ieee_log(F.ln), "log2": ieee_log(F.log2), "log10": ieee_log(F.log10),
+    "round": lambda v: F.round(v), "rsqrt": lambda v: F.pow(v, F.lit(-0.5)), "sign": F.signum, "sin": F.sin, "sinh": F.sinh,
+    "sqrt": F.sqrt, "tan": F.tan, "tanh": F.tanh, "trunc": lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double"),
+    "neg": lambda v: -v,
+}
+#: f(0) is not 0: sparse operands must be made dense first.
+DENSE_ONLY = frozenset("acos acosh cos cosh erfc exp exp2 exp10 log log2 log10 rsqrt".split())
+
+_flag = lambda c: c.cast("double")
+#: Functions of two values; comparisons give 0 or 1.
+BINARY = {
+    "prod": lambda x, y: x * y, "div": ieee_div, "pow": F.pow, "add": lambda x, y: x + y, "sub": lambda x, y: x - y,
+    "eq": lambda x, y: _flag(x == y), "neq": lambda x, y: _flag(x != y), "greater": lambda x, y: _flag(x > y),
+    "less": lambda x, y: _flag(x < y), "geq": lambda x, y: _flag(x >= y), "leq": lambda x, y: _flag(x <= y),
+    "atan2": F.atan2, "fdim": lambda x, y: F.greatest(x - y, F.lit(0.0)), "fmod": lambda x, y: x % F.when(y != 0, y),
+    "fmax": F.greatest, "fmin": F.least,
+}
+#: Numeric types and what stands for them; types without a sign take the next wider one.
+CASTS = {"char": "tinyint", "uchar": "smallint", "short": "smallint", "ushort": "int", "int": "int", "uint": "bigint", "long": "bigint", "ulong": "decimal(20,0)", "half": "float", "float": "float", "double": "double"}
+
+
+def convert(v: Column, kind: str) -> Column:
+    """Truncates towards zero for integral types; values out of range raise."""
+    whole = F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)) if CASTS[kind].startswith("decimal") else v
+    return whole.cast(CASTS[kind])

@@ -1 +1 @@
-
+"""Relational operators on vectors and matrices."""

@@ -1 +1 @@
-
+"""Iterative methods as driver loops over cached DataFrames."""
