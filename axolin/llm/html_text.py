@@ -24,7 +24,7 @@ from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -404,15 +404,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """(page_id, url, text, n_chars)."""
     model = trained()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), 50):
-                part = b.iloc[k : k + 50]
-                texts = main_texts(part["html"].tolist(), model)
-                yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]})
+            for k in range(0, b.num_rows, 50):
+                part = b.slice(k, 50)
+                texts = main_texts(part.column(2).to_pylist(), model)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,14 +210,15 @@ def media_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Stores every text, reads it back and describes it; a map over partitions without a shuffle."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = pd.DataFrame([_describe(t) for t in b["text"]], columns=names)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
+            rows = [_describe(t.as_py()) for t in b.column(1)]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, {SCHEMA}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 
 
 def media_column(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:

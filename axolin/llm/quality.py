@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,28 +171,35 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Bag
     return train([np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for _, _, b in got], np.array([q for _, q, _ in got], float))
 
 
+def _scores(net: Bags, texts: pa.Array) -> np.ndarray:
+    """The scores of a batch, 64 documents at a time."""
+    parts = [net.scores([passage_features(t.as_py()) for t in texts[k : k + 64]]) for k in range(0, len(texts), 64)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def score_documents(docs: DataFrame, net: Bags, keep: list[str]) -> DataFrame:
     """The columns in keep (from docs) and score; a map without a shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = np.concatenate([net.scores([passage_features(t) for t in b["_text"].iloc[k : k + 64]]) for k in range(0, len(b), 64)]) if len(b) else np.zeros(0)
-            yield b.drop(columns="_text").assign(score=scores)
+            *kept, text = b.columns
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(_scores(net, text), pa.float64())], [*keep, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, f"{kinds}, score double")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score under the threshold; the text passes through the same map that scores it."""
     net = learn(docs, labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [s >= threshold for k in range(0, len(b), 64) for s in net.scores([passage_features(t) for t in b["text"].iloc[k : k + 64]])]
-            yield b[np.array(good, bool)]
+            yield b.filter(pa.array(_scores(net, b.column(at)) >= threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
