@@ -29,6 +29,12 @@ class State:
         self.df = checkpoint(df)
         return self.df
 
+    def near(self, df: DataFrame) -> DataFrame:
+        """Make df the current version, cached only: for the few updates within one iteration."""
+        self.old.append(self.df)
+        self.df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        return self.df
+
     def settle(self) -> None:
         """Release the versions before the current one."""
         for d in self.old:

@@ -196,7 +196,7 @@ def _gmres(a, b, tol, most, krylov, pre, monitor) -> Result:
                 less = F.col("w")
                 for j, cj in enumerate(c):
                     less = less - cj * F.col(f"q{j}")
-                w.step(w.df.withColumn("w", less))
+                w.near(w.df.withColumn("w", less))
             h[k + 1, k] = w.df.agg(F.sqrt(_sum(F.col("w") ** 2))).first()[0]
             w.settle()
             m = k + 1

@@ -87,7 +87,7 @@ def lanczos(a: Mat, k: int = 10, krylov: int = 100, method: str = "full", seed:
         al = w.df.agg(F.sum(F.col("w") * F.col(f"q{m}"))).first()[0]
         alpha.append(al)
         less = F.col("w") - al * F.col(f"q{m}") - (beta[m] * F.col(f"q{m - 1}") if m else 0)
-        w.step(w.df.withColumn("w", less))
+        w.near(w.df.withColumn("w", less))
         new = np.append((np.abs(al) + 1) * np.append(now, 1)[: m + 1] + np.append(was, 0)[: m + 1], 1) * 1e-16 * (m + 1)
         if method == "full" or (method == "partial" and new[:-1].sum() * a.n**0.5 > 1e-8):
             for _ in range(2):
@@ -95,7 +95,7 @@ def lanczos(a: Mat, k: int = 10, krylov: int = 100, method: str = "full", seed:
                 less = F.col("w")
                 for j, cj in enumerate(c):
                     less = less - cj * F.col(f"q{j}")
-                w.step(w.df.withColumn("w", less))
+                w.near(w.df.withColumn("w", less))
         was, now = now, new
         be = w.df.agg(F.sqrt(F.sum(F.col("w") ** 2))).first()[0]
         w.settle()
