@@ -16,23 +16,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables of at most so many rows are kept in one partition.
+ONE_PARTITION = 100_000
+
+
 class State:
     """The current version of a loop's table. The first one is cached; each later one is checkpointed, so that plans
     do not grow with the iterations and a lost executor costs no recomputation of them."""
 
-    def __init__(self, df: DataFrame):
-        self.df, self.old = df.persist(StorageLevel.MEMORY_AND_DISK), []
+    def __init__(self, df: DataFrame, rows: int | None = None):
+        self.few = rows is not None and rows <= ONE_PARTITION
+        self.df, self.old = self._packed(df).persist(StorageLevel.MEMORY_AND_DISK), []
+
+    def _packed(self, df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if self.few else df
 
     def step(self, df: DataFrame) -> DataFrame:
         """Make df the current version."""
         self.old.append(self.df)
-        self.df = checkpoint(df)
+        self.df = checkpoint(self._packed(df))
         return self.df
 
     def near(self, df: DataFrame) -> DataFrame:
         """Make df the current version, cached only: for the few updates within one iteration."""
         self.old.append(self.df)
-        self.df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.df = self._packed(df).persist(StorageLevel.MEMORY_AND_DISK)
         return self.df
 
     def settle(self) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from axolin.operators.matrix import row_info
 from axolin.operators.product import gemv
-from axolin.plans.loop import checkpoint
+from axolin.plans.loop import ONE_PARTITION, checkpoint
 from axolin.types import LOCAL_ENTRIES, Mat, Vec, need
 
 
@@ -160,7 +160,7 @@ def incomplete(a: Mat, kind: str = "ilu0", blocks: int = 1, **options):
         y[r["i"].to_numpy(int) - at] = r["v"]
         return pd.DataFrame({"i": np.arange(at, at + n), "v": solve_lu(_rows_of(t, at, n), y)})
 
-    return lambda r: factors.groupBy("b").cogroup(r.groupBy(number("i").alias("b"))).applyInPandas(solve, "i long, v double")
+    return lambda r: factors.groupBy("b").cogroup(r.groupBy(number("i").alias("b"))).applyInPandas(solve, "i long, v double").transform(checkpoint)
 
 
 def scaled(a: Mat) -> DataFrame:
@@ -214,7 +214,7 @@ def jacobi_solve(t: DataFrame, n: int, iterations: int = 2):
         y = b
         for _ in range(iterations):
             y = b.unionByName(gemv(Mat(m, n, n), Vec(y, n)).df).groupBy("i").agg(F.sum("v").alias("v"))
-        return y
+        return checkpoint(y.coalesce(1) if n <= ONE_PARTITION else y)
 
     return run
 

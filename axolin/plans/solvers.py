@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from axolin.operators.product import gemv
 from axolin.plans.loop import State, checkpoint
-from axolin.types import Mat, Vec
+from axolin.types import Mat, Vec, small
 
 Operator = Mat | Callable[[DataFrame], DataFrame]
 
@@ -33,9 +33,10 @@ def apply(a: Operator, x: DataFrame, n: int) -> DataFrame:
     return gemv(a, Vec(x, n)).df if isinstance(a, Mat) else a(x)
 
 
-def _with(state: DataFrame, y: DataFrame, name: str) -> DataFrame:
-    """The state with the vector y as a further column; entries without a row are zero."""
-    return state.join(y.select("i", F.col("v").alias(name)), "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+def _with(state: DataFrame, y: DataFrame, name: str, n: int | None = None) -> DataFrame:
+    """The state with the vector y as a further column; entries without a row are zero. y is broadcast if its known
+    length is within the bound, and joined by shuffle otherwise."""
+    return state.join(small(y.select("i", F.col("v").alias(name)), n), "i", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
 def _column(state: DataFrame, c: str) -> DataFrame:
@@ -54,9 +55,9 @@ def _shifted(solve, a: Operator, b: Vec, x0: Vec | None, **kw) -> Result:
     """Solves A y = b - A x0 and returns x0 + y."""
     if x0 is None:
         return solve(a, b, **kw)
-    rest = _with(_with(b.df.withColumnRenamed("v", "b"), apply(a, x0.df, b.n), "ax"), x0.df, "x0")
+    rest = _with(_with(b.df.withColumnRenamed("v", "b"), apply(a, x0.df, b.n), "ax", b.n), x0.df, "x0", b.n)
     got = solve(a, Vec(rest.select("i", (F.col("b") - F.col("ax")).alias("v")), b.n), **kw)
-    x = _with(got.x.df.withColumnRenamed("v", "y"), x0.df, "x0").select("i", (F.col("y") + F.col("x0")).alias("v"))
+    x = _with(got.x.df.withColumnRenamed("v", "y"), x0.df, "x0", b.n).select("i", (F.col("y") + F.col("x0")).alias("v"))
     return Result(Vec(x, b.n), got.iterations, got.error)
 
 
@@ -70,10 +71,10 @@ def cg(a: Operator, b: Vec, tol: float = 1e-8, max_iterations: int = 300, precon
 
 
 def _cg_plain(a, b, tol, most, pre, monitor, abs_tol) -> Result:
-    state = State(_start(b).withColumn("p", F.col("r")))
+    state = State(_start(b).withColumn("p", F.col("r")), b.n)
     k, norm_b, rr = 0, None, 0.0
     while True:
-        with_ap = State(_with(state.df, apply(a, _column(state.df, "p"), b.n), "ap"))
+        with_ap = State(_with(state.df, apply(a, _column(state.df, "p"), b.n), "ap", b.n), b.n)
         pap, apap, rr = with_ap.df.agg(_sum(F.col("p") * F.col("ap")), _sum(F.col("ap") ** 2), _sum(F.col("r") ** 2)).first()
         state.settle()
         norm_b = rr if norm_b is None else norm_b
@@ -90,16 +91,16 @@ def _cg_plain(a, b, tol, most, pre, monitor, abs_tol) -> Result:
 
 def _cg_preconditioned(a, b, tol, most, pre, monitor, abs_tol) -> Result:
     first = _start(b)
-    state = State(_with(first, pre(_column(first, "r")), "z").withColumn("p", F.col("z")))
+    state = State(_with(first, pre(_column(first, "r")), "z", b.n).withColumn("p", F.col("z")), b.n)
     rz0 = rz = state.df.agg(_sum(F.col("r") * F.col("z"))).first()[0]
     if rz0 == 0:
         return Result(Vec(_column(state.done(), "x"), b.n), 0, 0.0)
     k = 0
     for k in range(1, most + 1):
-        with_ap = State(_with(state.df, apply(a, _column(state.df, "p"), b.n), "ap"))
+        with_ap = State(_with(state.df, apply(a, _column(state.df, "p"), b.n), "ap", b.n), b.n)
         alpha = rz / with_ap.df.agg(_sum(F.col("p") * F.col("ap"))).first()[0]
         moved = with_ap.df.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
-        half = State(_with(moved, pre(_column(moved, "r")), "z"))
+        half = State(_with(moved, pre(_column(moved, "r")), "z", b.n), b.n)
         new = half.df.agg(_sum(F.col("r") * F.col("z"))).first()[0]
         beta, rz = new / rz, new
         state.step(half.df.withColumn("p", F.col("z") + beta * F.col("p")))
@@ -121,8 +122,8 @@ def cg_mixed(a: Mat, b: Vec, tol: float = 1e-8, max_iterations: int = 300, inner
     while norm_b and error > tol and used < max_iterations:
         step = cg(product, Vec(rest, b.n), inner_tol, max_iterations - used)
         used += max(1, step.iterations)
-        x = checkpoint(_with(x.withColumnRenamed("v", "x"), step.x.df, "d").select("i", (F.col("x") + F.col("d")).alias("v")))
-        rest = _with(b.df.withColumnRenamed("v", "b"), gemv(a, Vec(x, b.n)).df, "ax").select("i", (F.col("b") - F.col("ax")).alias("v"))
+        x = checkpoint(_with(x.withColumnRenamed("v", "x"), step.x.df, "d", b.n).select("i", (F.col("x") + F.col("d")).alias("v")))
+        rest = _with(b.df.withColumnRenamed("v", "b"), gemv(a, Vec(x, b.n)).df, "ax", b.n).select("i", (F.col("b") - F.col("ax")).alias("v"))
         rest = checkpoint(rest)
         error = rest.agg(F.sqrt(_sum(F.col("v") ** 2))).first()[0] / norm_b
     return Result(Vec(x, b.n), used, error if norm_b else 0.0)
@@ -134,23 +135,24 @@ def bicgstab(a: Operator, b: Vec, tol: float = 1e-8, max_iterations: int = 400,
 
 
 def _bicgstab(a, b, tol, most, pre, monitor, restart) -> Result:
-    state = State(_start(b).withColumn("s0", F.col("r")).withColumn("p", F.col("r")))
+    state = State(_start(b).withColumn("s0", F.col("r")).withColumn("p", F.col("r")), b.n)
     norm_b = rho = state.df.agg(_sum(F.col("r") ** 2)).first()[0]
     if norm_b == 0:
         return Result(Vec(_column(state.done(), "x"), b.n), 0, 0.0)
     error, k = 1.0, 0
+    pre = pre or (lambda r: r)
     for k in range(1, most + 1):
         ph = pre(_column(state.df, "p"))
-        one = State(_with(_with(state.df, ph, "ph"), apply(a, ph, b.n), "ap"))
+        one = State(_with(_with(state.df, ph, "ph", b.n), apply(a, ph, b.n), "ap", b.n), b.n)
         alpha = rho / one.df.agg(_sum(F.col("s0") * F.col("ap"))).first()[0]
         s = one.df.withColumn("s", F.col("r") - alpha * F.col("ap"))
         sh = pre(_column(s, "s"))
-        two = State(_with(_with(s, sh, "sh"), apply(a, sh, b.n), "as"))
+        two = State(_with(_with(s, sh, "sh", b.n), apply(a, sh, b.n), "as", b.n), b.n)
         ts, tt, ss = two.df.agg(_sum(F.col("as") * F.col("s")), _sum(F.col("as") ** 2), _sum(F.col("s") ** 2)).first()
         omega = ts / tt if tt else 0.0
         x = F.col("x") + alpha * F.col("ph") + omega * F.col("sh")
         r = F.col("s") - omega * F.col("as")
-        three = State(two.df.select("i", x.alias("x"), r.alias("r"), "s0", "p", "ap"))
+        three = State(two.df.select("i", x.alias("x"), r.alias("r"), "s0", "p", "ap"), b.n)
         new, rr = three.df.agg(_sum(F.col("s0") * F.col("r")), _sum(F.col("r") ** 2)).first()
         error = (rr / norm_b) ** 0.5
         stop = (monitor and monitor(k, error)) or error < tol or omega == 0
@@ -177,8 +179,8 @@ def gmres(a: Operator, b: Vec, tol: float = 1e-10, max_iterations: int = 300, kr
 def _gmres(a, b, tol, most, krylov, pre, monitor) -> Result:
     x, used, norm_b, error = b.df.withColumn("v", F.lit(0.0)), 0, None, 1.0
     while True:
-        rest = _with(b.df.withColumnRenamed("v", "b"), apply(a, x, b.n), "ax").select("i", (F.col("b") - F.col("ax")).alias("v")) if used else b.df
-        base = State(_with(b.df.select("i"), pre(rest), "q"))
+        rest = _with(b.df.withColumnRenamed("v", "b"), apply(a, x, b.n), "ax", b.n).select("i", (F.col("b") - F.col("ax")).alias("v")) if used else b.df
+        base = State(_with(b.df.select("i"), pre(rest), "q", b.n), b.n)
         beta = base.df.agg(F.sqrt(_sum(F.col("q") ** 2))).first()[0]
         norm_b = beta if norm_b is None else norm_b
         if norm_b == 0:
@@ -186,10 +188,10 @@ def _gmres(a, b, tol, most, krylov, pre, monitor) -> Result:
         error = beta / norm_b
         if error < tol or used >= most:
             return Result(Vec(x, b.n), used, error)
-        basis = State(base.df.select("i", (F.col("q") / beta).alias("q0")))
+        basis = State(base.df.select("i", (F.col("q") / beta).alias("q0")), b.n)
         h, m, stop = np.zeros((krylov + 1, krylov)), 0, False
         for k in range(min(krylov, most - used)):
-            w = State(_with(basis.df, pre(apply(a, _column(basis.df, f"q{k}"), b.n)), "w"))
+            w = State(_with(basis.df, pre(apply(a, _column(basis.df, f"q{k}"), b.n)), "w", b.n), b.n)
             for _ in range(2):
                 c = list(w.df.agg(*[_sum(F.col(f"q{j}") * F.col("w")) for j in range(k + 1)]).first())
                 h[: k + 1, k] += c
@@ -214,7 +216,7 @@ def _gmres(a, b, tol, most, krylov, pre, monitor) -> Result:
         add = F.lit(0.0)
         for j, yj in enumerate(y):
             add = add + float(yj) * F.col(f"q{j}")
-        x = checkpoint(_with(x.withColumnRenamed("v", "x"), basis.df.select("i", add.alias("v")), "d").select("i", (F.col("x") + F.col("d")).alias("v")))
+        x = checkpoint(_with(x.withColumnRenamed("v", "x"), basis.df.select("i", add.alias("v")), "d", b.n).select("i", (F.col("x") + F.col("d")).alias("v")))
         base.df.unpersist()
         basis.df.unpersist()
         if stop:

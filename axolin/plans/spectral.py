@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 from axolin.operators.product import gemv, multiply
 from axolin.plans.loop import State, checkpoint
 from axolin.sources import to_numpy
-from axolin.types import LOCAL_ENTRIES, Mat, Vec, need
+from axolin.types import LOCAL_ENTRIES, Mat, Vec, need, small
 
 
 def power_iteration(a: Mat, tol: float = 1e-8, most: int = 50_000) -> tuple[float, Vec, int]:
     """(|largest eigenvalue|, unit vector, iterations); the start vector is (i mod 3) 0.1234 - 0.5, the sign is lost."""
     x = a.df.sparkSession.range(a.n).select(F.col("id").alias("i"), ((F.col("id") % 3) * 0.1234 - 0.5).alias("v"))
     norm = x.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
-    state, k, value = State(x.withColumn("v", F.col("v") / norm)), 0, 0.0
+    state, k, value = State(x.withColumn("v", F.col("v") / norm), a.n), 0, 0.0
     for k in range(1, most + 1):
-        y = State(gemv(a, Vec(state.df, a.n)).df)
+        y = State(gemv(a, Vec(state.df, a.n)).df, a.n)
         norm = y.df.agg(F.sqrt(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)))).first()[0]
         if norm == 0:
             return 0.0, Vec(state.done(), a.n), k
@@ -79,11 +79,11 @@ def lanczos(a: Mat, k: int = 10, krylov: int = 100, method: str = "full", seed:
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "id")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
     start = a.df.sparkSession.range(a.n).select(F.col("id").alias("i"), (u + 0.5).alias("q0"))
     norm = start.agg(F.sqrt(F.sum(F.col("q0") ** 2))).first()[0]
-    basis, alpha, beta = State(start.withColumn("q0", F.col("q0") / norm)), [], [0.0]
+    basis, alpha, beta = State(start.withColumn("q0", F.col("q0") / norm), a.n), [], [0.0]
     was, now = np.zeros(1), np.ones(1)  # estimated products with the basis
     for m in range(krylov):
         y = gemv(a, Vec(basis.df.select("i", F.col(f"q{m}").alias("v")), a.n)).df
-        w = State(basis.df.join(y, "i", "left").withColumn("w", F.coalesce("v", F.lit(0.0))).drop("v"))
+        w = State(basis.df.join(small(y, a.n), "i", "left").withColumn("w", F.coalesce("v", F.lit(0.0))).drop("v"), a.n)
         al = w.df.agg(F.sum(F.col("w") * F.col(f"q{m}"))).first()[0]
         alpha.append(al)
         less = F.col("w") - al * F.col(f"q{m}") - (beta[m] * F.col(f"q{m - 1}") if m else 0)
