@@ -298,6 +298,7 @@ def page_maker(seed: int) -> tuple[str, str]:
 
     def named(tags: str, names: str, inner: str) -> str:
         t = pick(tags.split())
+        t = "div" if t == "p" and any(x in inner for x in ("<p", "<ul", "<h")) else t
         name = pick(names.split())
         mark = "" if t in ("nav", "header", "footer", "aside") and r.random() < 0.6 else f' {pick(("class", "id", "class"))}="{pick((name, name, f"{word()} {name}", f"site-{name}", f"{name}_{word()}"))}"'
         return f"<{t}{mark}>{inner}</{t}>"
@@ -349,16 +350,19 @@ def page_maker(seed: int) -> tuple[str, str]:
         out.append(comments())
     inner = "".join(out)
     holder = r.random()
-    if holder < 0.55:
+    if holder < 0.5:
         core = f"<article{pick(('', '', ' class=post', ' id=story'))}>{inner}</article>"
-    elif holder < 0.7:
+    elif holder < 0.62:
+        core = inner
+    elif holder < 0.72:
         core = f"<main{pick(('', ' id=content'))}>{inner}</main>"
     else:
         core = f'<{(t := pick(("div", "div", "section")))} {pick(("class", "id"))}="{pick(("content", "post-body", "entry-content", "article-body", "main", "story text", word()))}">{inner}</{t}>'
     for _ in range(r.choice((0, 0, 0, 1, 1, 2))):
         core = f"<{(t := pick(('div', 'main', 'section', 'div')))}{pick(('', f' class={word()}', ' id=wrap', ' class=page'))}>{core}</{t}>"
-    before = [small[k]() for k in ("notice", "header", "nav", "ad", "form", "aside") if r.random() < 0.4]
-    after = [small[k]() for k in ("comments", "aside", "share", "ad", "form", "nav", "notice") if r.random() < 0.25] + ([small["footer"]()] if r.random() < 0.8 else [])
+    plain = r.random() < 0.08  # a page of nothing but the text
+    before = [small[k]() for k in ("notice", "header", "nav", "ad", "form", "aside") if r.random() < 0.4 and not plain]
+    after = [small[k]() for k in ("comments", "aside", "share", "ad", "form", "nav", "notice") if r.random() < 0.25 and not plain] + ([small["footer"]()] if r.random() < 0.8 and not plain else [])
     r.shuffle(before)
     if r.random() < 0.03:
         core, kept = "", []
