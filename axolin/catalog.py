@@ -481,7 +481,7 @@ add("svd", _svd, f"SELECT i, j, {R('v')} AS v FROM e", "e")
 def _nmf(s, d):
     m = table(s, d, "lineitem").groupBy((F.col("l_linenumber") - 1).cast("bigint").alias("i"), (F.month("l_shipdate") - 1).cast("bigint").alias("j")).agg((F.sum("l_quantity") / 100).alias("v"))
     v = Mat(loop.checkpoint(m), 7, 12)
-    start = lambda a, b, k: Mat(s.range(a).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).cast("bigint").alias("j")).withColumn("v", 1 + (F.col("i") * k + F.col("j") * 5) % 7 / 7), a, b)
+    start = lambda a, b, k: Mat(s.range(a).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(b - 1).cast("bigint"))).alias("j")).withColumn("v", 1 + (F.col("i") * k + F.col("j") * 5) % 7 / 7), a, b)
     *_, steps, err = spectral.nmf(v, 3, start(7, 3, 3), start(3, 12, 2), most=8, every=5)
     return s.range(1).select((F.lit(err) < 0.3).alias("close"))
 
