@@ -501,7 +501,7 @@ _DFT = f"WITH {_SIG} SELECT p.batch, q.k, {R('sum(p.re * cos(2 * pi() * ((p.k *
 add("fft", as_vec(lambda s, d: fourier.fft(_signal(s, d)), 3), _DFT)
 add("fft_bluestein", as_vec(lambda s, d: fourier.bluestein(_signal(s, d)), 3), _DFT)
 add("ifft", as_vec(lambda s, d: fourier.ifft(fourier.fft(_signal(s, d))), 3), f"WITH {_SIG} SELECT batch, k, {R('re', 3)} AS re, {R('im', 3)} AS im FROM sig")
-add("convolve", as_vec(lambda s, d: fourier.convolve(_signal(s, d).withColumn("im", F.lit(0.0)), _signal(s, d).withColumn("im", F.lit(0.0)), 0).select("batch", "k", (F.col("re") / 1000).alias("re")), 3), f"WITH {_SIG} SELECT p.batch, (p.k + q.k) % p.n AS k, {R('sum(p.re * q.re) / 1000', 3)} AS re FROM sn p JOIN sn q ON p.batch = q.batch GROUP BY 1, 2")
+add("convolve", as_vec(lambda s, d: fourier.convolve(_signal(s, d).withColumn("im", F.lit(0.0)), _signal(s, d).withColumn("im", F.lit(0.0)), 0).select("batch", "k", (F.col("re") / 3141.59265).alias("re")), 4), f"WITH {_SIG} SELECT p.batch, (p.k + q.k) % p.n AS k, {R('sum(p.re * q.re) / 3141.59265', 4)} AS re FROM sn p JOIN sn q ON p.batch = q.batch GROUP BY 1, 2")
 
 
 def _months(s, d):
