@@ -17,6 +17,10 @@ with its neighbour. Common prefixes are thus found by increasing value, each of
 ends without a value are those where neighbours share LENGTH bytes or more: windows between two ends with a value are
 equal. All but the first of them are repeats.
 
+Equal anchors and equal contexts that one task reads collapse before they are shuffled: one of them goes to its
+anchor's task, the others go elsewhere as known repeats. A line that stands in every document so sends a row or two
+from each batch to its task, not one from each document.
+
 The text is shuffled once, by doc_id, and that exchange is read again for the contexts and for the final cut. A task
 holds the different contexts of about CHUNK bytes of anchors, or of a single anchor where that alone has more.
 
@@ -106,10 +110,37 @@ def window_classes(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndar
     return of[ok], offset[ok], cls[ok]
 
 
+_ANCHORS = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("place", pa.int32()), ("again", pa.bool_())])
+_CONTEXTS = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("ctx", pa.binary())])
+
+
+def spread(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Keys that deal rows out by document and place."""
+    key = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (places >> 12).astype(np.uint64)
+    return (key ^ key >> np.uint64(31)).view(np.int64)
+
+
+def collapse_anchors(h: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, again): of equal anchors only one keeps its hash as the key, the others get keys that spread them; again marks all of them."""
+    order = np.argsort(h, kind="stable")
+    equal = np.concatenate([[False], h[order][1:] == h[order][:-1]])
+    key, again = h.copy(), np.zeros(len(h), bool)
+    rest = order[equal]
+    key[rest] = spread(ids[rest], places[rest])
+    again[order] = equal | np.append(equal[1:], False)
+    return key, again
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, id, place) for every anchor."""
+    """(h, id, place, again) for every anchor; some 2**18 at a time, those equal among them leave known as repeated."""
+
+    def emit() -> pa.RecordBatch:
+        h, i, p = np.concatenate(hs).view(np.int64), np.concatenate(ids), np.concatenate(places).astype(np.int32)
+        key, again = collapse_anchors(h, i, p)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, i, p, again)], schema=_ANCHORS)
+
+    hs, ids, places, held = [], [], [], 0
     for b in batches:
-        hs, ids, places, held = [], [], [], 0
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             h, place, _, _ = owned_windows(np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8), GRAM, LENGTH)
             hs.append(h)
@@ -117,21 +148,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places.append(place)
             held += len(h)
             if held > 1 << 18:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], ["h", "id", "place"])
+                yield emit()
                 hs, ids, places, held = [], [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], ["h", "id", "place"])
+    if held:
+        yield emit()
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h, (id, place) of those whose h occurs more than once; one row is held back between batches."""
+    """Of rows sorted by h, (id, place) of those marked again or whose h occurs more than once; one row is held back between batches."""
     last, last_row, known = None, None, False
     for b in batches:
         if not b.num_rows:
             continue
         h, i, p = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         equal = np.concatenate([[last is not None and h[0] == last], h[1:] == h[:-1]])
-        keep = equal | np.append(equal[1:], False)
+        keep = equal | np.append(equal[1:], False) | b.column(3).to_numpy(zero_copy_only=False)
         ids, places = i[keep], p[keep]
         if equal[0] and not known:
             ids, places = np.append(ids, last_row[0]), np.append(places, last_row[1])
@@ -140,22 +171,44 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(places.astype(np.int32))], ["id", "place"])
 
 
+def _collapsed(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    """(h, id, lo, hi, ctx) of contexts (h, id, lo, ctx). Of equal ones the first stays; the others, all of whose windows are repeats, become marks: null for ctx, a key that spreads them."""
+    best: dict[tuple[int, bytes], tuple[int, int]] = {}
+    for h, i, lo, ctx in rows:
+        first = best.get((h, ctx))
+        if first is None or (i, lo) < first:
+            best[h, ctx] = i, lo
+    out = [(h, i, lo, lo + len(ctx) - LENGTH, ctx) for (h, ctx), (i, lo) in best.items()]
+    marks = sorted({(i, lo, lo + len(ctx) - LENGTH) for h, i, lo, ctx in rows if best[h, ctx] != (i, lo)})
+    joined: list[tuple[int, int, int]] = []
+    for i, lo, hi in marks:
+        if joined and joined[-1][0] == i and joined[-1][2] + 1 == lo:
+            joined[-1] = i, joined[-1][1], hi
+        else:
+            joined.append((i, lo, hi))
+    return _marks_and([x for x, _, _ in joined], [x for _, x, _ in joined], [x for _, _, x in joined], out)
+
+
+def _marks_and(ids: list[int], first: list[int], last: list[int], contexts: list[tuple]) -> pa.RecordBatch:
+    key = spread(np.array(ids, np.int64), np.array(first, np.int32)).tolist() if ids else []
+    cols = [[c[k] for c in contexts] for k in range(5)]
+    return pa.RecordBatch.from_arrays([pa.array(a + c, f.type) for a, c, f in zip((key, ids, first, last, [None] * len(ids)), cols, _CONTEXTS, strict=True)], schema=_CONTEXTS)
+
+
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, id, lo, ctx) for the repeated anchors of each document; the windows start at lo and after."""
+    """Contexts of the repeated anchors of each document, collapsed some 2**15 at a time; the windows start at lo..hi."""
+    rows: list[tuple] = []
     for b in batches:
-        out: list[tuple] = []
-        held = 0
         for i, t, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
             raw = t.as_py().encode("utf-8", "surrogatepass")
             h, place, first, last = owned_windows(np.frombuffer(raw, np.uint8), GRAM, LENGTH)
             at = np.flatnonzero(np.isin(place, wanted.values.to_numpy()))
-            out += [(x, i, lo, raw[lo : hi + LENGTH]) for x, lo, hi in zip(h[at].view(np.int64).tolist(), first[at].tolist(), last[at].tolist(), strict=True)]
-            held += len(at)
-            if held > 1 << 15:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "id", "lo", "ctx"])
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "id", "lo", "ctx"])
+            rows += [(x, i, lo, raw[lo : hi + LENGTH]) for x, lo, hi in zip(h[at].view(np.int64).tolist(), first[at].tolist(), last[at].tolist(), strict=True)]
+            if len(rows) > 1 << 15:
+                yield _collapsed(rows)
+                rows = []
+    if rows:
+        yield _collapsed(rows)
 
 
 def repeats_among(h: list[int], ids: list[int], los: list[int], contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -176,45 +229,46 @@ def repeats_among(h: list[int], ids: list[int], los: list[int], contexts: list[b
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, a, b): windows that start at a..b are repeats. Rows come sorted by (h, id, lo)."""
+    """(h, id, lo, hi, null): windows that start at lo..hi are repeats. Rows come sorted by (h, id, lo)."""
     held: list[tuple] = []
     size, run, seen = 0, None, {}
     ids, a, b = [], [], []
 
-    def emit(docs, first, last) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["id", "a", "b"])
-
     def solve() -> Iterator[pa.RecordBatch]:
         doc, start = repeats_among(*map(list, zip(*held, strict=True)))
         if len(doc):
             order = np.lexsort((start, doc))
             doc, start = doc[order], start[order]
             cut = np.flatnonzero((doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))
-            yield emit(doc[np.append(0, cut + 1)], start[np.append(0, cut + 1)], start[np.append(cut, len(doc) - 1)])
+            yield _marks_and(doc[np.append(0, cut + 1)].tolist(), start[np.append(0, cut + 1)].tolist(), start[np.append(cut, len(doc) - 1)].tolist(), [])
 
     for batch in batches:
-        for x, i, lo, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if x != run:
-                if size >= CHUNK:
-                    yield from solve()
-                    held, size = [], 0
-                run, seen = x, {}
-            first = seen.get(ctx)
-            if first is None:
-                seen[ctx] = (i, lo)
-                held.append((x, i, lo, ctx))
-                size += len(ctx)
-            elif first != (i, lo):
+        for x, i, lo, hi, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if ctx is None:
+                again = True
+            else:
+                if x != run:
+                    if size >= CHUNK:
+                        yield from solve()
+                        held, size = [], 0
+                    run, seen = x, {}
+                first = seen.get(ctx)
+                again = first is not None and first != (i, lo)
+                if first is None:
+                    seen[ctx] = (i, lo)
+                    held.append((x, i, lo, ctx))
+                    size += len(ctx)
+            if again:
                 ids.append(i)
                 a.append(lo)
-                b.append(lo + len(ctx) - LENGTH)
+                b.append(hi)
                 if len(ids) >= 1 << 15:
-                    yield emit(ids, a, b)
+                    yield _marks_and(ids, a, b, [])
                     ids, a, b = [], [], []
     if held:
         yield from solve()
     if ids:
-        yield emit(ids, a, b)
+        yield _marks_and(ids, a, b, [])
 
 
 def removed_mask(n: int, spans: list[tuple[int, int]], length: int = LENGTH) -> np.ndarray:
@@ -263,12 +317,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_
     copies = digests.join(heads, "sha").where("id != head").select(F.col("id").alias("copy_id")).distinct()
     whole = source.join(copies, F.col("id") == F.col("copy_id"), "left").select("id", "text", F.col("copy_id").isNotNull().alias("copy"))
     single = whole.where(~F.col("copy"))
-    anchors = single.select("id", "text").mapInArrow(_anchor_rows, "h long, id long, place int")
+    anchors = single.select("id", "text").mapInArrow(_anchor_rows, "h long, id long, place int, again boolean")
     again = anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "id long, place int")
     wanted = again.groupBy(F.col("id").alias("w_id")).agg(F.collect_set("place").alias("places"))
-    contexts = single.join(wanted, F.col("id") == F.col("w_id")).select("id", "text", "places").mapInArrow(_context_rows, "h long, id long, lo int, ctx binary")
-    marks = contexts.repartition("h").sortWithinPartitions("h", "id", "lo").mapInArrow(_classify, "id long, a int, b int")
-    marks = marks.groupBy(F.col("id").alias("m_id")).agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    row = "h long, id long, lo int, hi int, ctx binary"
+    contexts = single.join(wanted, F.col("id") == F.col("w_id")).select("id", "text", "places").mapInArrow(_context_rows, row)
+    found = contexts.repartition("h").sortWithinPartitions("h", "id", "lo").mapInArrow(_classify, row)
+    marks = found.groupBy(F.col("id").alias("m_id")).agg(F.collect_list(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("marks"))
     shape = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     joined = whole.join(marks, F.col("id") == F.col("m_id"), "left").select("id", "text", "copy", "marks")
     out = joined.mapInArrow(_final_rows, shape + ", kept binary") if with_text else joined.mapInArrow(_without_kept, shape)
