@@ -22,7 +22,9 @@ anchor's task, the others go elsewhere as known repeats. A line that stands in e
 from each batch to its task, not one from each document.
 
 The text is shuffled once, by doc_id, and that exchange is read again for the contexts and for the final cut. A task
-holds the different contexts of about CHUNK bytes of anchors, or of a single anchor where that alone has more.
+holds the different contexts of about CHUNK bytes of anchors. An anchor with more than CHUNK bytes of them (a common
+line between other texts) passes its windows on to longer anchors, 64 bytes and at last the window itself, whose
+contexts are all equal; so memory is bounded whatever repeats.
 
 Defined results: null text is empty; texts shorter than LENGTH keep everything; a null doc_id counts as smaller than
 all others; doc_id identifies a document, so rows that repeat one must repeat its text, and get the same values; an
@@ -43,6 +45,8 @@ from axolin.llm.anchors import owned_windows
 from axolin.llm.common import table
 
 LENGTH, GRAM, CHUNK = 100, 32, 1 << 20
+#: Lengths of the anchors that take over from those with too many contexts; the last one makes each window its own anchor.
+DEEPER = (64, LENGTH)
 _NULL_ID = -(2**63)
 
 
@@ -228,13 +232,19 @@ def repeats_among(h: list[int], ids: list[int], los: list[int], contexts: list[b
     return doc[again], start[again]
 
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, id, lo, hi, null): windows that start at lo..hi are repeats. Rows come sorted by (h, id, lo)."""
-    held: list[tuple] = []
-    size, run, seen = 0, None, {}
-    ids, a, b = [], [], []
+def narrower(rows: list[tuple[int, int, int, bytes]], gram: int) -> list[tuple[int, int, int, bytes]]:
+    """The same windows, in contexts of anchors of that many bytes."""
+    out = []
+    for _, i, lo, ctx in rows:
+        h, _, first, last = owned_windows(np.frombuffer(ctx, np.uint8), gram, LENGTH)
+        out += [(x, i, lo + a, ctx[a : b + LENGTH]) for x, a, b in zip(h.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True)]
+    return out
 
-    def solve() -> Iterator[pa.RecordBatch]:
+
+def classifier(deeper: int | None, limit: int):
+    """A map from rows sorted by (h, id, lo) to marks, null for ctx: windows that start at lo..hi are repeats. An anchor with more than `limit` bytes of different contexts passes them on, cut by anchors of `deeper` bytes."""
+
+    def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, start = repeats_among(*map(list, zip(*held, strict=True)))
         if len(doc):
             order = np.lexsort((start, doc))
@@ -242,33 +252,50 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero((doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))
             yield _marks_and(doc[np.append(0, cut + 1)].tolist(), start[np.append(0, cut + 1)].tolist(), start[np.append(cut, len(doc) - 1)].tolist(), [])
 
-    for batch in batches:
-        for x, i, lo, hi, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if ctx is None:
-                again = True
-            else:
-                if x != run:
-                    if size >= CHUNK:
-                        yield from solve()
-                        held, size = [], 0
-                    run, seen = x, {}
-                first = seen.get(ctx)
-                again = first is not None and first != (i, lo)
-                if first is None:
-                    seen[ctx] = (i, lo)
-                    held.append((x, i, lo, ctx))
-                    size += len(ctx)
-            if again:
-                ids.append(i)
-                a.append(lo)
-                b.append(hi)
-                if len(ids) >= 1 << 15:
-                    yield _marks_and(ids, a, b, [])
-                    ids, a, b = [], [], []
-    if held:
-        yield from solve()
-    if ids:
-        yield _marks_and(ids, a, b, [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passed, size = [], [], 0
+        anchor, begin, own, over, seen = None, 0, 0, False, {}
+        ids, a, b = [], [], []
+        for batch in batches:
+            for x, i, lo, hi, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                again = ctx is None
+                if not again:
+                    if x != anchor:
+                        if size >= CHUNK:
+                            yield from solve(held)
+                            held, size = [], 0
+                        anchor, begin, own, over, seen = x, len(held), 0, False, {}
+                    first = seen.get(ctx)
+                    again = first is not None and first != (i, lo)
+                    if over:
+                        passed.append((x, i, lo, ctx))
+                    elif first is None:
+                        seen[ctx] = (i, lo)
+                        held.append((x, i, lo, ctx))
+                        own += len(ctx)
+                        size += len(ctx)
+                        if deeper and own > limit:
+                            passed += held[begin:]
+                            del held[begin:]
+                            size, over, seen = size - own, True, {}
+                    if len(passed) >= 1 << 13:
+                        yield _collapsed(narrower(passed, deeper))
+                        passed = []
+                if again:
+                    ids.append(i)
+                    a.append(lo)
+                    b.append(hi)
+                    if len(ids) >= 1 << 15:
+                        yield _marks_and(ids, a, b, [])
+                        ids, a, b = [], [], []
+        if held:
+            yield from solve(held)
+        if passed:
+            yield _collapsed(narrower(passed, deeper))
+        if ids:
+            yield _marks_and(ids, a, b, [])
+
+    return run
 
 
 def removed_mask(n: int, spans: list[tuple[int, int]], length: int = LENGTH) -> np.ndarray:
@@ -309,7 +336,7 @@ def _without_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield b.drop_columns(["kept"])
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_id", text: str = "text", limit: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, with_text, the remaining bytes as kept."""
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     digests = source.select("id", F.sha2("text", 256).alias("sha"))
@@ -322,7 +349,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_
     wanted = again.groupBy(F.col("id").alias("w_id")).agg(F.collect_set("place").alias("places"))
     row = "h long, id long, lo int, hi int, ctx binary"
     contexts = single.join(wanted, F.col("id") == F.col("w_id")).select("id", "text", "places").mapInArrow(_context_rows, row)
-    found = contexts.repartition("h").sortWithinPartitions("h", "id", "lo").mapInArrow(_classify, row)
+    found = contexts
+    for deeper in (*DEEPER, None):
+        found = found.repartition("h").sortWithinPartitions("h", "id", "lo").mapInArrow(classifier(deeper, limit), row)
     marks = found.groupBy(F.col("id").alias("m_id")).agg(F.collect_list(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("marks"))
     shape = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     joined = whole.join(marks, F.col("id") == F.col("m_id"), "left").select("id", "text", "copy", "marks")

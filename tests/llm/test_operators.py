@@ -64,6 +64,14 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 400, 1 << 20])
+def test_suffix_dedup_of_a_common_line(spark, limit):
+    line = prose(90, 18)[:48] + prose(91, 30)[:70]
+    rows = [(k, prose(100 + k, 12) + line + prose(200 + k % 7, 30) + line[:90] + prose(300 + k, 9) * (1 + k % 3), "a") for k in range(40)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows).repartition(5), with_text=True, limit=limit).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got} == brute_repeats(rows)
+
+
 def test_near_duplicates(spark):
     got = by_id(simhash.near_duplicates(frame(spark)))
     fps = {i: simhash.fingerprint(t) for i, t, _ in ROWS}
