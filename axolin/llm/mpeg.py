@@ -130,7 +130,7 @@ def read_tag(b: bytes) -> tuple[dict[str, str], int]:
 def scan_stream(b: bytes) -> dict:
     """tags, offsets (of frames with audio), lengths, rate, samples, skipped (bytes that belong to no frame), crc_bad, table (frames, bytes, entries) and payload (the main data that the side information declares)."""
     tags, at = read_tag(b)
-    end = len(b) - 128 if b[-128:-125] == b"TAG" else len(b)
+    end, tail = len(b), len(b) - 128 if b[-128:-125] == b"TAG" else -1  # an ID3v1 tag, unless it lies within a frame
     seen: dict[bytes, tuple | None] = {}
     starts, lengths, kinds, skipped = [], [], [], 0
     locked = False
@@ -139,15 +139,18 @@ def scan_stream(b: bytes) -> dict:
         h = seen[four] if four in seen else seen.setdefault(four, _header(b, at))
         ok = h is not None and at + h[0] <= end
         if ok and not locked:  # a header counts after damage if another one, or the end, follows it
-            ok = at + h[0] + 4 > end or _header(b, at + h[0]) is not None
+            ok = at + h[0] + 4 > end or at + h[0] == tail or _header(b, at + h[0]) is not None
         if ok:
             starts.append(at)
             lengths.append(h[0])
             kinds.append(four)
             at, locked = at + h[0], True
+        elif at == tail:
+            break
         else:
             n = b.find(b"\xff", at + 1, end)
             n = end if n < 0 else n
+            n = tail if at < tail < n else n
             skipped, at, locked = skipped + n - at, n, False
     data = np.frombuffer(b, np.uint8)
     off, bad, table_, parts = np.array(starts, np.int64), 0, None, []

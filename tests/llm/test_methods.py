@@ -134,6 +134,18 @@ def test_mpeg_resynchronises_and_sees_damage():
     assert mpeg.scan_stream(b"")["samples"] == 0
 
 
+@pytest.mark.parametrize("n", [192, 960])
+def test_mpeg_tag_words_within_a_frame(n):
+    text = prose(n, 2000)[: n - 103] + "TAG" + prose(5, 200)[:100]
+    media, got = mpeg.store_text(text)
+    assert media[-128:-125] == b"TAG" and got["payload"] == text.encode() and got["skipped"] == 0
+    tag = b"TAG" + bytes(125)
+    for tail, skipped in ((tag, 0), (b"\xffjunk" + tag, 5)):
+        tagged = mpeg.scan_stream(media + tail)
+        assert tagged["payload"] == text.encode() and tagged["skipped"] == skipped
+    assert mpeg.scan_stream(b"junk" + mpeg._frames(np.zeros((1, 192), np.uint8)).tobytes() + tag)["samples"] == 1152
+
+
 def test_best_fit_decreasing():
     r = random.Random(1)
     sizes = [r.randint(1, 64) for _ in range(300)]
