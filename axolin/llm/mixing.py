@@ -50,19 +50,19 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPI
     return per.select("source", "source_size", "docs", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("lam")).alias("target"))
 
 
-_ITEM = "struct<doc_id:{id},size:bigint,p:double,turn:bigint>"
+_ITEM = "struct<doc_id:{id},size:bigint,p:double,turn:bigint,row:bigint>"
 
 
 def _fold(items: Column, id_type: str, seed: int) -> Column:
     """struct(done, r): each step decides one of the residual r and the next item; r is what is left at the end."""
     item = _ITEM.format(id=id_type)
-    start = F.struct(F.array().cast(f"array<struct<doc_id:{id_type},size:bigint,pick:int>>").alias("done"), F.lit(None).cast(item).alias("r"))
+    start = F.struct(F.array().cast(f"array<struct<doc_id:{id_type},size:bigint,row:bigint,pick:int>>").alias("done"), F.lit(None).cast(item).alias("r"))
 
     def made(doc: Column, pick: int) -> Column:
-        return F.array(F.struct(doc["doc_id"].alias("doc_id"), doc["size"].alias("size"), F.lit(pick).alias("pick")))
+        return F.array(F.struct(doc["doc_id"].alias("doc_id"), doc["size"].alias("size"), doc["row"].alias("row"), F.lit(pick).alias("pick")))
 
     def left(doc: Column, p: Column) -> Column:
-        return F.struct(doc["doc_id"].alias("doc_id"), doc["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"), doc["turn"].alias("turn"))
+        return F.struct(doc["doc_id"].alias("doc_id"), doc["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"), doc["turn"].alias("turn"), doc["row"].alias("row"))
 
     def step(acc: Column, e: Column) -> Column:
         r = acc["r"]
@@ -89,8 +89,13 @@ def _fold(items: Column, id_type: str, seed: int) -> Column:
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, source) for documents with doc_id, text and source."""
+    return _plan(docs, F.lit(0), weights, max_copies, seed).drop("row")
+
+
+def _plan(docs: DataFrame, row: Column, weights, max_copies: int, seed: int) -> DataFrame:
+    """The mix with the key of each row, which tells rows apart but decides nothing."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row.cast("bigint").alias("row")))
     targets = cut(source_targets(sized, weights, max_copies))
     facts = targets.agg(F.count(F.lit(1)).alias("n"), F.max("docs").alias("most")).first()  # two numbers
     side = targets.select(F.col("source").alias("_source"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("docs") / FAN)).cast("bigint").alias("blocks"))
@@ -99,8 +104,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES,
     rows = sized.join(side, F.col("source").eqNullSafe(F.col("_source"))).withColumn("base", F.floor(x).cast("int")).withColumn("p", x - F.floor(x))
     fixed = ["source", "source_size", "target", "base"]
     whole = (F.col("size") == 0) | (F.col("p") == 0)
-    certain = rows.where(whole).select(*fixed, "doc_id", "size", F.lit(0).alias("pick"))
-    item = F.struct("doc_id", "size", "p", F.xxhash64("doc_id", "size").alias("turn"))
+    certain = rows.where(whole).select(*fixed, "doc_id", "size", "row", F.lit(0).alias("pick"))
+    item = F.struct("doc_id", "size", "p", F.xxhash64("doc_id", "size").alias("turn"), "row")
     level = rows.where(~whole).select(*fixed, F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("blocks")).alias("block"), item.alias("item"))
     out, blocks = [certain], max(1, -(-(facts["most"] or 0) // FAN))
     while True:
@@ -111,18 +116,20 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES,
             break
         level = folded.select(*fixed, F.floor(F.col("block") / FAN).cast("bigint").alias("block"), F.col("f.r").alias("item"))
         blocks = -(-blocks // FAN)
-    last = folded.select(*fixed, "f.r.doc_id", "f.r.size", (hash_fraction(F.lit(seed), F.lit("last"), F.col("f.r.doc_id")) < F.col("f.r.p")).cast("int").alias("pick"))
+    last = folded.select(*fixed, "f.r.doc_id", "f.r.size", "f.r.row", (hash_fraction(F.lit(seed), F.lit("last"), F.col("f.r.doc_id")) < F.col("f.r.p")).cast("int").alias("pick"))
     done = last
     for part in out:
         done = done.unionByName(part)
     copies = (F.col("base") + F.col("pick")).cast("bigint")
-    return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+    return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "row")
 
 
 def take_copies(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of docs. doc_id must be unique."""
-    plan = mix_sources(docs, weights, max_copies, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), F.expr("explode(sequence(1, copies))").alias("_copy"))
-    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: every document as often as it is taken, with the columns of docs. Rows are told apart by a key that
+    is checkpointed with them, so doc_ids may be null or repeated."""
+    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    plan = _plan(keyed, F.col("_row"), weights, max_copies, seed).where("copies > 0").select(F.col("row").alias("_key"), F.expr("explode(sequence(1, copies))").alias("_copy"))
+    return keyed.join(plan, F.col("_row") == F.col("_key")).select(*[keyed[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

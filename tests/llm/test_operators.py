@@ -127,6 +127,18 @@ def test_mixing(spark):
     assert copies.columns == frame(spark).columns and copies.count() == sum(r.copies for r in mixing.mix_sources(frame(spark)).collect())
 
 
+def test_copies_of_null_and_repeated_ids(spark):
+    from collections import Counter
+
+    rows = [(k, f"a{k} " * (k % 5 + 1), "a") for k in range(40)] + [(None, f"n{k} " * (k % 5 + 1), "a") for k in range(40)] + [(7, f"r{k} " * 3, "b") for k in range(30)]
+    plan = mixing.mix_sources(frame(spark, rows)).collect()
+    taken = Counter(r.text for r in mixing.take_copies(frame(spark, rows)).collect())
+    assert sum(taken.values()) == sum(r.copies for r in plan) and max(taken.values()) <= 3 and set(taken) <= {t for _, t, _ in rows}
+    targets = {r.source: r.target for r in plan}
+    for s in "ab":
+        assert abs(sum(taken[t] * len(t.split()) for _, t, x in rows if x == s) - targets[s]) <= 5
+
+
 def test_sharding(spark):
     got = sharding.place_rows(frame(spark), "source", "doc_id", 4, 101).collect()
     owner = sharding.fill_table(4, 101)
