@@ -208,6 +208,17 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, []), bench).count() == 0
 
 
+def test_leaks_of_null_and_repeated_ids(spark):
+    clean = prose(401, 40)
+    rows = [(None, clean, "a"), (None, prose(400, 3) + " " + LEAK, "a"), (None, None, "a"), (5, clean, "a"), (5, LEAK, "a"), (5, LEAK + " " + clean, "a")]
+    rows += [(9, prose(402, 5) + " " + LEAK[:40] + " " + prose(403 + k, 25), "a") for k in range(6)] + [(9, prose(402, 5) + " " + LEAK, "a")]
+    bench = spark.createDataFrame([(1, LEAK)], "item_id long, text string")
+    docs = frame(spark, rows).coalesce(1)
+    assert {r.doc_id for r in decontaminate.find_leaks(docs, bench).collect()} == {None, 5, 9}
+    left = sorted((str(r.doc_id), str(r.text)) for r in decontaminate.drop_leaks(docs, bench).collect())
+    assert left == sorted((str(i), str(t)) for i, t, _ in rows if LEAK not in (t or ""))
+
+
 def test_quality(spark):
     good = [(k, prose(k, 60) + ".", "a") for k in range(150)]
     bad = [(k, " | ".join(prose(k, 60).split()) + " $$$", "b") for k in range(150, 300)]
