@@ -34,6 +34,9 @@ from axolin.llm.common import table
 INVISIBLE = frozenset("head title script style noscript template svg math iframe object canvas audio video select datalist button textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr input".split())
+#: Elements that stand in a head, without and with content. Any other start tag, or text, ends a head that is open.
+HEAD_VOID = frozenset("html head meta link base basefont bgsound".split())
+HEAD_CONTENT = frozenset("title style script noscript noframes template".split())
 #: An opening tag of the key's group ends open elements of the named kinds.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -108,10 +111,10 @@ class Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.hidden:
-            if tag == "body" and "head" in self.hidden:
+            if (tag == "body" and "head" in self.hidden) or (self.hidden[-1] == "head" and tag not in HEAD_VOID | HEAD_CONTENT):
                 self.hidden.clear()
             else:
-                if tag == self.hidden[-1]:
+                if tag == self.hidden[-1] or (self.hidden[-1] == "head" and tag in HEAD_CONTENT):
                     self.hidden.append(tag)
                 return
         if tag in INVISIBLE:
@@ -174,6 +177,8 @@ class Builder(HTMLParser):
             self.run.links += len(data)
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and self.hidden[-1] == "head" and data.strip():
+            self.hidden.clear()
         if not self.hidden:
             self._add(data)
 

@@ -212,6 +212,17 @@ def test_main_text_of_pages():
     assert html_text.main_texts([page, None, "", "<p"], model)[:3] == ["A & B\nOne two three <ok>. It goes on for a while, as texts do.\nSecond paragraph of the text, which is longer.", "", ""]
 
 
+@pytest.mark.parametrize("head", ["<head><title>t</title><meta charset=utf-8><link href=x><noscript><img src=x></noscript>", "<html><head><script>var a='<p>'</script><title>t</title></html>"])
+def test_a_head_without_end_tag_hides_no_text(head):
+    body = "<article><h1>A</h1><p>One two three. It goes on for a while, as texts do.<p>Second paragraph of the text, which is longer.</article>"
+    model = html_text.trained()
+    want = html_text.main_texts(["<head><title>t</title></head><body>" + body], model)
+    assert want[0].startswith("A\nOne") and html_text.main_texts([head + body], model) == want
+    text = lambda page: [n.text for n in html_text.nodes_of(html_text.parse(page)) if n.text]
+    assert text("<head><title>t</title>plain <b>text</b>") == ["plain text"] and text("<head>\n<title>t</title>\n<div>a</div>") == ["a"]
+    assert text("<head><title>t</title><template><p>x</p></template></head><p>a") == ["a"]
+
+
 def test_decoding_is_consistent():
     nodes = html_text.nodes_of(html_text.parse("<div><p>a<p>b</div><ul><li>c<li>d</ul>"))
     kept = html_text.decode(nodes, np.random.default_rng(2).normal(size=len(nodes)))
