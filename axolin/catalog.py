@@ -431,6 +431,23 @@ for _n, _m, _p in (
     add(_n, _solve(_m, _p), _GRID)
 
 
+def _solve_gram(method, pre=None):
+    """Over the Gram matrix of the whole embeddings table."""
+
+    def run(s, d):
+        g = G(s, d)
+        b = Vec(loop.checkpoint(product.gemv(g, known(s, 64)).df), 64)
+        return rounded(method(g, b, **({"preconditioner": pre(g)} if pre else {})).x.df)
+
+    return run
+
+
+for _n, _m in (("cg", solvers.cg), ("bicgstab", solvers.bicgstab), ("gmres", solvers.gmres)):
+    add(f"{_n}_gram", _solve_gram(_m), _KNOWN.format(n=64))
+for _n, _m, _p in (("pc_jacobi", solvers.cg, precondition.jacobi), ("pc_block_ilu", solvers.bicgstab, lambda a: precondition.incomplete(a, "ilu0", 8)), ("pc_amg", solvers.cg, multigrid.multigrid)):
+    add(f"{_n}_gram", _solve_gram(_m, _p), _KNOWN.format(n=64))
+
+
 def _cover(s, root: DataFrame) -> DataFrame:
     """Every node has a root that is its own root."""
     r = root.select(F.col("i").alias("k"), F.col("root").alias("rr"))
@@ -541,3 +558,19 @@ def _ordering(fn):
 
 for _n, _f in (("reorder_cm", reorder.cuthill_mckee), ("reorder_acm", reorder.advanced_cuthill_mckee), ("reorder_gps", reorder.gibbs_poole_stockmeyer)):
     add(_n, _ordering(_f), f"SELECT {PX * PY}::BIGINT AS rows, {PX * PY}::BIGINT AS places, true AS less")
+
+
+def bought_together(s, d) -> Mat:
+    """The whole lineitem table's graph of parts that occur in one order, its weights how often."""
+    line = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    pairs = line.join(line.withColumnRenamed("p", "q"), "o").where("p != q").withColumn("w", F.lit(1.0))
+    n = size(table(s, d, "part"), "p_partkey")
+    g = Mat.of(pairs, "p", "q", "w", n, n)
+    return Mat(loop.checkpoint(g.df), n, n)
+
+
+_PARTS = "SELECT n AS rows, n AS places FROM np"
+for _n, _f in (("reorder_cm", reorder.cuthill_mckee), ("reorder_acm", reorder.advanced_cuthill_mckee), ("reorder_gps", reorder.gibbs_poole_stockmeyer)):
+    add(f"{_n}_parts", lambda s, d, f=_f: f(bought_together(s, d)).agg(F.countDistinct("i").alias("rows"), F.countDistinct("p").alias("places")), _PARTS, "np")
+for _n, _f in (("mis2", multigrid.aggregate_mis2), ("agg", multigrid.aggregate_sequential)):
+    add(f"amg_coarsen_{_n}_parts", lambda s, d, f=_f: _cover(s, f(bought_together(s, d))), "SELECT n AS nodes, 1 AS ok FROM np", "np")

@@ -101,3 +101,8 @@ def test_monitor_and_start(spark):
     seen = []
     assert solvers.cg(a, b, monitor=lambda k, e: seen.append(k) or k == 1).iterations == 1 and seen == [1]
     assert solvers.cg(a, sources.zero_vector(spark, 6)).iterations == 0
+
+
+@pytest.mark.parametrize("name", ["cg_gram", "bicgstab_gram", "gmres_gram", "pc_jacobi_gram", "pc_block_ilu_gram", "pc_amg_gram", "reorder_acm_parts", "reorder_gps_parts", "amg_coarsen_agg_parts", "amg_coarsen_mis2_parts"])
+def test_whole_table_query_matches_sql(spark, duck, name):
+    test_query_matches_sql(spark, duck, name)
