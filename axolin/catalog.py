@@ -476,6 +476,7 @@ def _ranked(k: int, digits: int = 4) -> str:
 
 _halves = [[2.0 ** (5 - k) if j == k else 1.0 * (j > k) for j in range(6)] for k in range(6)]
 add("eig_power", lambda s, d: rounded(spectral.to_frame(s, np.array([spectral.power_iteration(sources.matrix_from(s, _halves))[0]]))), "SELECT 0 AS k, 32.0::DOUBLE AS value")
+add("eig_power_gram", lambda s, d: rounded(spectral.to_frame(s, np.array([spectral.power_iteration(G(s, d))[0]])), 2))
 add("eig_lanczos", _top(lambda a: spectral.lanczos(a, 3, 12), 3), _ranked(3))
 add("eig_qr_sym", _top(lambda a: spectral.eigen_symmetric(a)[0], PX * PY), _ranked(PX * PY))
 add("eig_qr_nsm", lambda s, d: rounded(spectral.to_frame(s, spectral.eigen_general(sources.matrix_from(s, [[k + 1.0 if j == k else 1.0 * (j > k) for j in range(6)] for k in range(6)]))[0])), "SELECT CAST(i AS INTEGER) AS k, CAST(6 - i AS DOUBLE) AS value FROM range(6) t(i)")

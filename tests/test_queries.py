@@ -106,3 +106,13 @@ def test_monitor_and_start(spark):
 @pytest.mark.parametrize("name", ["cg_gram", "bicgstab_gram", "gmres_gram", "pc_jacobi_gram", "pc_block_ilu_gram", "pc_amg_gram", "reorder_acm_parts", "reorder_gps_parts", "amg_coarsen_agg_parts", "amg_coarsen_mis2_parts"])
 def test_whole_table_query_matches_sql(spark, duck, name):
     test_query_matches_sql(spark, duck, name)
+
+
+def test_power_iteration_of_the_whole_gram_matrix(spark, duck):
+    import numpy as np
+
+    from axolin import catalog
+
+    e = np.array(duck.execute("SELECT embedding FROM embeddings").fetchnumpy()["embedding"].tolist(), float)
+    (got,) = catalog.Q["eig_power_gram"](spark, DATA).collect()
+    assert abs(got.value - np.linalg.eigvalsh(e.T @ e)[-1]) < 0.011
