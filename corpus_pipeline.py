@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from axolin.llm import decontaminate, mixing, packing, quality, simhash
-from axolin.llm.common import cut, table
+from axolin.llm.common import checkpoint_ready, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are materialised once, in the checkpoint folder, for the next."""
+    """All stages over documents; each but the last is written as Parquet below the checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
+    checkpoint_ready(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = cut(docs) if k + 1 < len(STAGES) else docs
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -277,3 +277,13 @@ def test_pipeline(spark, small_dir):
     for _, f in p.STAGES[:4]:
         stage = spark.createDataFrame(f(spark, stage, small_dir).collect(), docs.schema)
     assert sum(r.n_ids for r in whole) == sum(len(tok.encode(r.text)) // 2 + 1 for r in stage.collect())
+
+
+def test_pipeline_stages_read_parquet(spark, small_dir, monkeypatch):
+    import corpus_pipeline as p
+
+    seen = []
+    step = lambda s, docs, d: seen.append(docs.inputFiles()) or docs.where("doc_id > 0")
+    monkeypatch.setattr(p, "STAGES", [("a", step), ("b", step), ("c", step)])
+    assert p.run(spark, small_dir).count() == spark.read.parquet(f"{small_dir}/documents.parquet").where("doc_id > 0").count()
+    assert all(f and all(x.endswith(".parquet") for x in f) for f in seen) and not set(seen[1]) & set(seen[2])
