@@ -16,10 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; choose one only where there is none (tests)."""
+    """Use the folder that the cluster names in spark.checkpoint.dir. Only a local master (tests) gets a folder of its
+    own where there is none; elsewhere executors would not share it, so that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="axolin-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="axolin-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,6 +32,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The given names, with underscores added until none is a column of df (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, which may have dots in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def hash_fraction(*parts: Column) -> Column:
     """A reproducible uniform number in [0, 1) from the given values, from 52 bits of MD5."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])

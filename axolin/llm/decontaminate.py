@@ -1,76 +1,126 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 A window of a document is compared with an item if it has the item's length in words (or is the whole document, if
-that is shorter). Windows are placed where they could match: a window as similar as asked shares at least one of the
-item's shingles, so each occurrence of such a shingle places one window, the one that puts it where the item has it.
-
-1. Every position of every document is hashed over five words and looked up among the items' shingle hashes.
-2. Windows and items get 64-bit SimHashes over their shingles, repeats included (a shingle's weight is its count).
-   With the radius R, the bits are cut into R + 1 blocks; fingerprints within R agree on one block at least. Windows
-   and items of a shingle size meet by (block, value) and keep pairs within R bits.
-3. Pairs are verified on the words themselves: the weighted Jaccard similarity of shingle counts, sum of minima over
-   sum of maxima, must reach the threshold.
-
-R = 19 of 64 bits: at similarity 0.8 fingerprints differ in 9.7 bits on average (deviation 2.9); under 1 in 1,000 such
-windows differ in more than 19. Most leaks are placed by several windows and are far more similar than 0.8.
-
-All of it is DataFrame code. Items' tables are broadcast up to BROADCAST_SHINGLES shingles, else joined by shuffle.
-Only positions with a hit leave their row; windows shuffle by document, item and place, so a passage that many
-documents share is spread over all of them.
+that is shorter). Every window counts; they are found in four steps:
+
+1. Which windows can match at all. Two lists of n and n' shingles, repeats included, whose weighted similarity (sum of
+   smaller counts over sum of larger ones) is at least t share t (n + n') / (1 + t) of them. So a window can match an
+   item of its length only if at least that many of its places hold a shingle of some item of that length (8/9 of them
+   at 0.8). Every place of every document is hashed and looked up; from the places with a hit all windows with enough
+   hits follow by arithmetic. This leaves out no window that matches, wherever its shingles stand in the item.
+2. These windows and all items get 64-bit SimHashes over their shingles, repeats included.
+3. Multi-index Hamming search. The bits are cut into BLOCKS blocks of 10 or 11 bits. Fingerprints within the radius
+   R = a BLOCKS + b agree up to a bits on one of the first b + 1 blocks, or up to a - 1 bits on one of the others. Each
+   item is entered under all those neighbours of its blocks (at most 732 keys at the given parameters, whatever the
+   data), together with its length; a window looks up its BLOCKS own keys. Pairs within R bits stay, each one by the
+   first block that yields it.
+4. Pairs are verified on the words themselves: the weighted similarity of the shingles must reach the threshold.
+
+R = 19 of 64 bits: at similarity 0.8 fingerprints differ in 9.7 bits on average (deviation 2.9); under 2 in 1,000 such
+windows differ in more than 19, and nearly none at 0.85. A leak has many windows; its best one is rarely that far.
+
+All of it is DataFrame code. Only places with a hit leave their row in step 1, as numbers (they are collected by
+document, so a passage that many documents share is spread over them); the words of the windows are read in a second
+scan. Items are collapsed to different texts. Their tables are broadcast up to BROADCAST_SHINGLES shingles and
+BROADCAST_KEYS keys, and the list of documents with windows up to BROADCAST_ROWS rows; beyond these sizes all joins are
+by shuffle.
 
 Defined results: null or blank texts and items match nothing; an item or document of fewer than five words is one
-shingle; repeated items each get their rows; rows that repeat a doc_id, or have none, give the windows of all their
-texts to one document, and drop_leaks judges each row by its own text; empty tables give an empty result; other columns
-are ignored; letters are compared in lower case.
+shingle; items that repeat an item_id or a text each get their rows; rows are told apart by doc_id (null is a value) and
+text, so rows that repeat a doc_id with different texts get results of their own, and rows equal in both get one;
+empty tables give an empty result; other columns, whatever their names, are ignored by find_leaks and kept by
+drop_leaks, which judges each row by its text; letters are compared in lower case; very long texts are searched whole.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axolin.llm.common import WORD_CHARS, cut, table
+from axolin.llm.common import WORD_CHARS, cut, fresh, table
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
-#: About 100 bytes each in a broadcast.
-BROADCAST_SHINGLES = 200_000
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 6
+#: Bounds of the broadcasts: some 30 bytes a shingle, 40 bytes a key, 100 bytes a row.
+BROADCAST_SHINGLES, BROADCAST_KEYS, BROADCAST_ROWS = 1_000_000, 1_000_000, 200_000
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD_CHARS), F.lit(0))
 
 
-def _positions(w: Column, k: Column) -> Column:
-    """0 .. number of shingles - 1."""
-    return F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))))
-
-
 def shingles(w: Column, k: Column) -> Column:
     """The shingles of k words as strings, the whole sequence if it is shorter."""
-    return F.transform(_positions(w, k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
+    places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))))
+    return F.transform(places, lambda i: F.array_join(F.slice(w, i + 1, k), " "))
+
+
+def simhash(s: Column, lane: int = 16) -> Column:
+    """Bit b is set if more than half of the shingles' hashes have it. Bits are counted in lanes of a long, a few lanes
+    at a time; 16 bits a lane suffice for 65,535 shingles, 32 for any array."""
+    mask = F.lit(sum(1 << at for at in range(0, 64, lane))).cast("bigint")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def lanes(h: Column, j: int) -> Column:
+        return F.aggregate(h, zero, lambda acc, x: acc + F.shiftrightunsigned(x, j).bitwiseAND(mask))
+
+    def bits(counted: Column) -> Column:
+        def of(b: Column) -> Column:
+            n = F.call_function("shiftrightunsigned", F.get(counted["sums"], F.pmod(b, F.lit(lane))), F.floor(b / lane).cast("int") * lane).bitwiseAND(F.lit((1 << lane) - 1).cast("bigint"))
+            return F.when(n * 2 > counted["n"], F.call_function("shiftleft", one, b)).otherwise(zero)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda acc, b: acc.bitwiseOR(of(b)))
+
+    counted = lambda h: F.struct(F.size(h).cast("bigint").alias("n"), F.array(*[lanes(h, j) for j in range(lane)]).alias("sums"))
+    return F.transform(F.transform(F.array(F.transform(s, lambda x: F.xxhash64(x))), counted), bits)[0]
+
 
+def block_plan(radius: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(first bit, number of bits, radius) of each block: fingerprints within `radius` agree up to a block's radius on
+    one block at least. A block of radius -1 need not be searched."""
+    a, b = divmod(radius, blocks)
+    at = [64 * k // blocks for k in range(blocks + 1)]
+    if any(at[k + 1] - at[k] > 16 for k in range(blocks)):
+        raise ValueError("a block may have 16 bits at most")
+    return [(at[k], at[k + 1] - at[k], a if k <= b else a - 1) for k in range(blocks)]
 
-def _hashes(w: Column, k: int) -> Column:
-    """The hash of the shingle at each position."""
-    return F.transform(_positions(w, F.lit(k)), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)])))
 
+def _value(fp: Column, at: int, bits: int) -> Column:
+    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
 
-def simhash(s: Column) -> Column:
-    """Bit b is set if more than half of the shingles' hashes have it."""
-    hashes = F.transform(s, lambda x: F.xxhash64(x))
 
-    def bits(h: Column) -> Column:
-        ones = lambda b: F.aggregate(h, F.lit(0).cast("bigint"), lambda acc, x: acc + F.call_function("shiftrightunsigned", x, b).bitwiseAND(F.lit(1).cast("bigint")))
-        set_ = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(ones(b) * 2 > F.size(h), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
-        return F.aggregate(set_, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
+def _key(m: Column, block: int, blocks: int, value: Column) -> Column:
+    return (m.cast("bigint") * blocks + block) * 65536 + value
 
-    return F.transform(F.array(hashes), bits)[0]
 
+def _flipped(masks: Column, key: Column) -> Column:
+    return F.transform(masks, lambda x: key.bitwiseXOR(x))
 
-def blocks(fp: Column, radius: int) -> Column:
-    """The radius + 1 blocks of a fingerprint's bits: structs of number and value."""
-    at = [64 * b // (radius + 1) for b in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, at[b]).bitwiseAND(F.lit((1 << (at[b + 1] - at[b])) - 1).cast("bigint")).alias("value")) for b in range(radius + 1)])
+
+def item_keys(m: Column, fp: Column, radius: int, blocks: int) -> Column:
+    """All keys of an item of m words: for each block the values within its radius."""
+    out = []
+    for k, (at, bits, r) in enumerate(block_plan(radius, blocks)):
+        masks = [sum(1 << x for x in c) for n in range(r + 1) for c in combinations(range(bits), n)]
+        if masks:
+            listed = F.expr("array(" + ",".join(f"{x}L" for x in masks) + ")")
+            out.append(_flipped(listed, _key(m, k, blocks, _value(fp, at, bits))))
+    return F.concat(*out)
+
+
+def window_keys(m: Column, fp: Column, radius: int, blocks: int) -> Column:
+    """The keys that a window looks up: structs of block and key."""
+    return F.array(*[F.struct(F.lit(k).alias("block"), _key(m, k, blocks, _value(fp, at, bits)).alias("key")) for k, (at, bits, r) in enumerate(block_plan(radius, blocks)) if r >= 0])
+
+
+def first_block(differ: Column, block: Column, radius: int, blocks: int) -> Column:
+    """Whether no block before the given one yields the pair whose fingerprints differ in these bits."""
+    ok = F.lit(True)
+    for k, (at, bits, r) in enumerate(block_plan(radius, blocks)):
+        ok = ok & ((block <= k) | (F.bit_count(_value(differ, at, bits)) > r))
+    return ok
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
@@ -80,45 +130,80 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, similarity, start, windows): the best window of each leak (the first of equals; start counts words from 0) and how many windows reach the threshold."""
-    it = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("m", F.size("w")).withColumn("k", F.least(F.lit(shingle), F.col("m")))
-    it = it.withColumn("s", shingles(F.col("w"), F.col("k")))
-    facts = it.agg(F.sum(F.size("s")).alias("n"), F.collect_set("k").alias("sizes")).first()  # at most `shingle` sizes
-    side = F.broadcast if (facts["n"] or 0) <= BROADCAST_SHINGLES else lambda x: x
-    places = it.select("item_id", "m", "k", F.posexplode("s").alias("off", "x")).select("item_id", "m", "k", "off", F.xxhash64("x").alias("h"))
-    base = docs.select("doc_id", words(F.col("text")).alias("w"))
+def _places(rows: DataFrame, k: int, *keep: str) -> DataFrame:
+    """The columns to keep, pos and h: the hash of the shingle of k words at each place. The hash is an expression over
+    generated rows and not over an array, so that it is part of the compiled stage."""
+    at = rows.select(*keep, "w", F.posexplode("w").alias("pos", "x")).where(F.col("pos") <= F.size("w") - k)
+    return at.select(*keep, F.size("w").alias("n_words"), "pos", F.xxhash64("x", *[F.get("w", F.col("pos") + j) for j in range(1, k)]).alias("h"))
+
+
+def _starts(hits: Column, least: Column, width: Column, last: Column) -> Column:
+    """Structs (lo, hi) of all window starts up to `last` whose `width` places contain at least `least` of the sorted
+    places `hits`, without overlaps: those for which hits[j] is the first place in the window."""
+
+    def of(j: Column) -> Column:
+        lo = F.greatest(F.lit(0), F.get(hits, j + least - 1) - width + 1, F.coalesce(F.get(hits, j - 1) + 1, F.lit(0)))
+        return F.struct(lo.alias("lo"), F.least(F.get(hits, j), last).alias("hi"))
+
+    return F.filter(F.transform(F.when(F.size(hits) >= least, F.sequence(F.lit(0), F.size(hits) - least)), of), lambda x: x["lo"] <= x["hi"])
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(doc_id, text_md5, item_id, similarity, start, windows): the best window of each leak (the first of equals; start
+    counts words from 0) and how many windows reach the threshold."""
+    named = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("tk", F.md5(F.array_join("w", " ")))
+    named = cut(named)
+    m, k = F.size("w"), F.least(F.lit(shingle), F.size("w"))
+    texts = named.select("tk", "w", m.alias("m"), k.alias("k")).dropDuplicates(["tk"])
+    texts = texts.withColumn("s", shingles(F.col("w"), F.col("k")))
+    facts = texts.agg(F.sum(F.size("s")).alias("n"), F.count(F.lit(1)).alias("texts"), F.max("m").alias("longest"), F.collect_set("k").alias("sizes")).first()  # at most `shingle` sizes
+    lane = 16 if (facts["longest"] or 0) < 65536 else 32
+    texts = cut(texts.withColumn("fp", simhash(F.col("s"), lane)))
+    small = F.broadcast if (facts["n"] or 0) <= BROADCAST_SHINGLES else lambda x: x
+
+    # places with a hit, by document and item length; then all windows with enough of them
+    base = docs.select("doc_id", F.md5("text").alias("text_md5"), words(F.col("text")).alias("w"))
     hits = None
-    for k in sorted(facts["sizes"] or [shingle]):
-        at = _hashes(F.col("w"), k)
-        rows = base.select("doc_id", "w", F.posexplode(at).alias("pos", "h")).join(side(places.where(F.col("k") == k)), "h")
-        hits = rows if hits is None else hits.unionByName(rows)
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.size("w") - F.col("m")))
-    placed = hits.select("doc_id", "item_id", "m", "k", start.alias("start"), "w").select("doc_id", "m", "k", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("win"))
-    windows = placed.select("doc_id", "start", "m", "k", "win").distinct()
-    windows = cut(windows.withColumn("ws", shingles(F.col("win"), F.col("k"))).drop("win").withColumn("fp", simhash(F.col("ws"))))
-    known = it.select("item_id", "m", "s", simhash(F.col("s")).alias("item_fp"))
-    left = windows.withColumn("b", F.explode(blocks(F.col("fp"), radius))).select("doc_id", "start", "m", "fp", "ws", "b.block", "b.value")
-    right = known.withColumn("b", F.explode(blocks(F.col("item_fp"), radius))).select("item_id", F.col("m").alias("item_m"), "item_fp", "s", "b.block", "b.value")
-    near = (left.block == right.block) & (left.value == right.value) & (left.m == right.item_m) & (F.bit_count(left.fp.bitwiseXOR(right.item_fp)) <= radius)
-    # of the blocks on which a pair agrees, only the first one yields it
-    at = [64 * b // (radius + 1) for b in range(radius + 1)]
-    differ = left.fp.bitwiseXOR(right.item_fp)
-    first = F.lit(True)
-    for b in range(radius):
-        mask = F.lit((1 << (at[b + 1] - at[b])) - 1).cast("bigint")
-        first = first & ((left.block <= b) | (F.shiftrightunsigned(differ, at[b]).bitwiseAND(mask) != 0))
-    pairs = left.join(side(right), near & first).select("doc_id", "item_id", "start", weighted_similarity(F.col("ws"), F.col("s")).alias("sim"))
-    found = pairs.where(F.col("sim") >= similarity)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("sim", (-F.col("start")).alias("at"))).alias("best"), F.count(F.lit(1)).alias("windows"))
-    return best.select("doc_id", "item_id", F.round("best.sim", 6).alias("similarity"), (-F.col("best.at")).cast("bigint").alias("start"), "windows")
+    for size in sorted(facts["sizes"] or [shingle]):
+        known = _places(texts.where(F.col("k") == size), size, "m", "k").select("h", "m", "k").distinct()
+        found = _places(base, size, "doc_id", "text_md5").join(small(known), "h").select("doc_id", "text_md5", "n_words", "m", "k", "pos")
+        hits = found if hits is None else hits.unionByName(found)
+    spots = hits.groupBy("doc_id", "text_md5", "m", "k", "n_words").agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+    width = F.least(F.col("n_words"), F.col("m")) - F.col("k") + 1
+    least = F.ceil(F.lit(similarity) * (width + F.col("m") - F.col("k") + 1) / (1 + similarity) - 1e-9).cast("int")
+    spots = spots.select("doc_id", "text_md5", "m", "k", _starts(F.col("hits"), least, width, F.greatest(F.lit(0), F.col("n_words") - F.col("m"))).alias("runs")).where(F.size("runs") > 0)
+    spots = cut(spots.groupBy("doc_id", "text_md5").agg(F.collect_list(F.struct("m", "k", "runs")).alias("spots")))
+    of = spots.select(F.col("doc_id").alias("spot_id"), F.col("text_md5").alias("spot_md5"), "spots")
+    of = F.broadcast(of) if spots.count() <= BROADCAST_ROWS else of
+
+    # the words of these windows and their fingerprints
+    read = docs.select("doc_id", F.md5("text").alias("text_md5"), "text").join(of, F.col("doc_id").eqNullSafe(F.col("spot_id")) & (F.col("text_md5") == F.col("spot_md5")))
+    read = read.select("doc_id", "text_md5", words(F.col("text")).alias("w"), F.explode("spots").alias("spot"))
+    runs = read.select("doc_id", "text_md5", "w", "spot.m", "spot.k", F.explode("spot.runs").alias("run"))
+    windows = runs.select("doc_id", "text_md5", "m", "k", "w", F.explode(F.sequence("run.lo", "run.hi")).alias("start"))
+    windows = windows.select("doc_id", "text_md5", "m", "start", shingles(F.slice("w", F.col("start") + 1, F.col("m")), F.col("k")).alias("ws"))
+    windows = cut(windows.withColumn("fp", simhash(F.col("ws"), lane)))
+
+    # windows and items meet by the keys of their blocks
+    index = texts.select("tk", F.col("fp").alias("item_fp"), F.explode(item_keys(F.col("m"), F.col("fp"), radius, blocks)).alias("key"))
+    fan = sum(sum(comb(bits, n) for n in range(r + 1)) for _, bits, r in block_plan(radius, blocks))
+    index = F.broadcast(index) if (facts["texts"] or 0) * fan <= BROADCAST_KEYS else index
+    looked = windows.withColumn("b", F.explode(window_keys(F.col("m"), F.col("fp"), radius, blocks))).select("doc_id", "text_md5", "start", "ws", "fp", "b.block", "b.key")
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    near = looked.join(index, "key").where((F.bit_count(differ) <= radius) & first_block(differ, F.col("block"), radius, blocks))
+    pairs = near.select("doc_id", "text_md5", "start", "ws", "tk").join(small(texts.select("tk", "s")), "tk")
+    found = pairs.select("doc_id", "text_md5", "tk", "start", weighted_similarity(F.col("ws"), F.col("s")).alias("sim")).where(F.col("sim") >= similarity)
+    # rows equal in doc_id and text give equal windows, which count once
+    best = found.groupBy("doc_id", "text_md5", "tk").agg(F.max(F.struct("sim", (-F.col("start")).alias("at"))).alias("best"), F.countDistinct("start").alias("windows"))
+    return best.join(small(named.select("tk", "item_id")), "tk").select("doc_id", "text_md5", "item_id", F.round("best.sim", 6).alias("similarity"), (-F.col("best.at")).cast("bigint").alias("start"), "windows")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents in which a leak is found."""
-    of = F.sha2(F.col("text"), 256)  # a leak is a matter of the text; doc_ids may be null or repeated
-    gone = find_leaks(docs.select(of.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, of == F.col("_gone"), "left_anti")
+    """docs without the rows in whose text a leak is found."""
+    (gone,) = fresh(docs, "gone")
+    leaks = cut(find_leaks(docs.select("doc_id", "text"), items).select(F.col("text_md5").alias(gone)).distinct())
+    side = F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks
+    return docs.join(side, F.md5(docs["text"]) == F.col(gone), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,21 +212,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(shingle: int = SHINGLE, similarity: float = SIMILARITY) -> str:
-    """The same windows, verified without fingerprints."""
+    """All windows that share any shingle with the item (others have similarity 0), by counts, without fingerprints."""
     w = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"
     s = "list_transform(range(CAST(greatest(len({0}) - {1}, 0) AS BIGINT) + 1), lambda i: array_to_string({0}[i + 1 : i + {1}], ' '))".format
     return f"""
-WITH it AS (SELECT item_id, w, len(w) AS m, least({shingle}, len(w)) AS k FROM (SELECT item_id, {w} AS w FROM benchmark) WHERE len(w) > 0),
-its AS (SELECT item_id, m, k, {s("w", "k")} AS s FROM it),
-place AS (SELECT item_id, m, k, unnest(s) AS x, unnest(range(len(s))) AS off FROM its),
-d AS (SELECT doc_id, w FROM (SELECT doc_id, {w} AS w FROM documents) WHERE len(w) > 0),
-pos AS (SELECT doc_id, k, unnest(s) AS x, unnest(range(len(s))) AS pos FROM (SELECT doc_id, k, {s("w", "k")} AS s FROM d, (SELECT DISTINCT k FROM it))),
-win AS (SELECT DISTINCT doc_id, m, k, greatest(0, least(pos - off, len(w) - m)) AS start FROM pos JOIN place USING (x, k) JOIN d USING (doc_id)),
-ws AS (SELECT doc_id, m, start, {s("win", "k")} AS ws FROM (SELECT doc_id, m, k, start, w[start + 1 : start + m] AS win FROM win JOIN d USING (doc_id))),
-pair AS (SELECT doc_id, item_id, start, ws, s FROM ws JOIN its USING (m)),
-sim AS (SELECT doc_id, item_id, start, common / (len(ws) + len(s) - common) AS sim FROM (
-  SELECT *, list_sum(list_transform(list_distinct(list_intersect(ws, s)), lambda x: least(len(list_filter(ws, lambda y: y = x)), len(list_filter(s, lambda y: y = x))))) AS common FROM pair
-  WHERE len(list_intersect(ws, s)) > 0)),
-ok AS (SELECT * FROM sim WHERE sim >= {similarity})
-SELECT doc_id, item_id, round(max(sim), 6) AS similarity, CAST(min(start) FILTER (sim = best) AS BIGINT) AS start, count(*) AS windows
-FROM (SELECT *, max(sim) OVER (PARTITION BY doc_id, item_id) AS best FROM ok) GROUP BY doc_id, item_id"""
+WITH it AS (SELECT item_id, row_number() OVER () AS r, w, len(w) AS m, least({shingle}, len(w)) AS k FROM (SELECT item_id, {w} AS w FROM benchmark) WHERE len(w) > 0),
+its AS (SELECT r, item_id, m, k, x, count(*) AS items FROM (SELECT r, item_id, m, k, unnest({s("w", "k")}) AS x FROM it) GROUP BY ALL),
+d AS (SELECT doc_id, md5(text) AS text_md5, any_value(w) AS w FROM (SELECT doc_id, text, {w} AS w FROM documents) WHERE len(w) > 0 GROUP BY doc_id, text),
+pos AS (SELECT doc_id, text_md5, words, k, unnest(s) AS x, unnest(range(len(s))) AS pos FROM (SELECT doc_id, text_md5, len(w) AS words, k, {s("w", "k")} AS s FROM d, (SELECT DISTINCT k FROM it))),
+hit AS (SELECT doc_id, text_md5, r, item_id, x, items, pos, m - k + 1 AS n, least(m, greatest(words, k)) - k + 1 AS wide, greatest(0, words - m) AS last FROM pos JOIN its USING (x, k)),
+win AS (SELECT doc_id, text_md5, r, item_id, x, items, n, wide, unnest(range(greatest(0, pos - wide + 1), least(pos, last) + 1)) AS start FROM hit),
+per AS (SELECT doc_id, text_md5, r, item_id, n, wide, start, least(count(*), any_value(items)) AS common FROM win GROUP BY doc_id, text_md5, r, item_id, n, wide, start, x),
+ok AS (SELECT doc_id, text_md5, r, item_id, start, sum(common) / (n + wide - sum(common)) AS sim FROM per GROUP BY doc_id, text_md5, r, item_id, n, wide, start HAVING sum(common) / (n + wide - sum(common)) >= {similarity})
+SELECT doc_id, text_md5, item_id, round(max(sim), 6) AS similarity, CAST(min(start) FILTER (sim = best) AS BIGINT) AS start, count(*) AS windows
+FROM (SELECT *, max(sim) OVER (PARTITION BY doc_id, text_md5, r) AS best FROM ok) GROUP BY doc_id, text_md5, r, item_id"""
