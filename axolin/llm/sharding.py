@@ -10,7 +10,9 @@ more than one shard's worth of rows are spread: such a key gets ceil(share x sha
 by their row id. At most `shards` keys can be that large, so the list of them is bounded as well.
 
 Defined results: a null key is placed as the empty string, a null row id likewise; repeated rows go to the same place;
-an empty table gives an empty result; columns of the input that are named slot or shard are replaced.
+an empty table gives an empty result; columns of the input that are named slot or shard (in any case) are replaced, even
+where they are the key; all other columns are kept, whatever their names; a long text as a key is hashed whole; of keys
+with equally many rows all are spread or none.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axolin.llm.common import md5_long, table
+from axolin.llm.common import fresh, md5_long, quoted, table
 
 SHARDS, SLOTS = 64, 6421
 MAX_SLOTS = 1_000_003
@@ -57,17 +59,20 @@ def lookup_frame(spark: SparkSession, shards: int, slots: int) -> DataFrame:
 
 def place_rows(df: DataFrame, key: str, row_id: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """df with the columns slot and shard; rows of a key stay together unless the key exceeds one shard's share."""
-    df = df.drop("slot", "shard")
-    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    counts = df.groupBy(k.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    k, r, n, total, spread, slot, known, place, shard = fresh(df, "key", "row", "n", "total", "spread", "at", "known", "place", "owner")
+    text = lambda c: F.coalesce(quoted(c).cast("string"), F.lit(""))
+    keyed = df.withColumn(k, text(key)).withColumn(r, text(row_id))
+    counts = keyed.groupBy(k).agg(F.count(F.lit(1)).alias(n))
+    whole = df.agg(F.count(F.lit(1)).alias(total))
     # one row is joined by broadcast: the total
-    hot = counts.join(F.broadcast(total), F.col("_n") * shards > F.col("_total")).select("_key", F.ceil(F.col("_n") * shards / F.col("_total")).cast("bigint").alias("_spread"))
-    keyed = df.withColumn("_key", k).join(F.broadcast(hot), "_key", "left")
-    part = F.pmod(md5_long(F.concat(F.lit("row|"), F.coalesce(F.col(row_id).cast("string"), F.lit("")))), F.coalesce("_spread", F.lit(1).cast("bigint")))
-    slot = F.pmod(md5_long(F.concat("_key", F.lit("#"), part.cast("string"))), F.lit(slots).cast("bigint"))
-    placed = keyed.withColumn("slot", slot).drop("_key", "_spread")
-    return placed.join(F.broadcast(lookup_frame(df.sparkSession, shards, slots)), "slot")
+    hot = counts.join(F.broadcast(whole), F.col(n) * shards > F.col(total)).select(F.col(k).alias(known), F.ceil(F.col(n) * shards / F.col(total)).cast("bigint").alias(spread))
+    spread_out = keyed.join(F.broadcast(hot), F.col(k) == F.col(known), "left")
+    part = F.pmod(md5_long(F.concat(F.lit("row|"), F.col(r))), F.coalesce(spread, F.lit(1).cast("bigint")))
+    placed = spread_out.withColumn(slot, F.pmod(md5_long(F.concat(k, F.lit("#"), part.cast("string"))), F.lit(slots).cast("bigint")))
+    owners = lookup_frame(df.sparkSession, shards, slots).select(F.col("slot").alias(place), F.col("shard").alias(shard))
+    out = placed.join(F.broadcast(owners), F.col(slot) == F.col(place))
+    kept = [quoted(c) for c in df.columns if c.lower() not in ("slot", "shard")]
+    return out.select(*kept, F.col(slot).alias("slot"), F.col(shard).alias("shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
