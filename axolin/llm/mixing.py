@@ -8,14 +8,18 @@ floor(x) times for certain, and once more with the fractional probability p.
 The fractions are rounded by pivotal steps. Two documents with probabilities p, q and sizes s, t exchange mass so that
 s p + t q stays as it is, until one of them is 0 or 1; which way the mass goes is random, with the chances that keep
 both expectations. The other one carries the residual to the next step. Within a block of a source (documents are
-dealt to blocks of about FAN by a hash) this is a fold; the blocks' residuals are folded again, FAN at a time, up a
-tree until a source has one residual, which is rounded. So a source's taken words differ from its target by one
-document at most, and no group in the tree has more than about FAN members, however large the source is.
-Random numbers are hashes of the document ids and a seed: reruns agree.
+dealt to blocks of about FAN by a hash) this is a fold from large documents to small ones; the blocks' residuals are
+folded again, FAN at a time, up a tree until a source has one residual, which is rounded to the nearer side. That
+leaves half a document at most. It is then made up for among the documents of the tree's root (FAN or so): from large
+to small, a choice is reversed if that at least halves what is left, and once more if it lessens it at all. No group
+in the tree has more than about FAN members, however large the source is. Random numbers are hashes of the document
+ids and a seed: reruns agree.
 
 Defined results: null text has size 0; documents of size 0 take 0 words; a null source is a source of its own, ordered
-last; rows are documents of their own even where doc_id repeats; an empty table gives an empty result; other input
-columns are ignored by mix_sources and kept by take_copies.
+last; rows are documents of their own even where doc_id repeats or is null (over FAN rows of a source that are equal in
+doc_id and size are dealt to blocks by a number of the row, which depends on how the table is split); ties in size go
+by doc_id; long texts are counted whole; an empty table gives an empty result; other input columns, whatever their
+names, are ignored by mix_sources and kept by take_copies.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from axolin.llm.common import WORD_CHARS, cut, hash_fraction, table
+from axolin.llm.common import WORD_CHARS, cut, fresh, hash_fraction, quoted, table
 
 WEIGHTS, MAX_COPIES, SEED = (5, 2, 1), 3, 7
 FAN = 48
@@ -50,19 +54,20 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPI
     return per.select("source", "source_size", "docs", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("lam")).alias("target"))
 
 
-_ITEM = "struct<doc_id:{id},size:bigint,p:double,turn:bigint,row:bigint>"
+_ITEM = "struct<size:bigint,doc_id:{id},p:double,turn:bigint,row:bigint>"
+_PICK = "struct<doc_id:{id},size:bigint,row:bigint,pick:int>"
 
 
 def _fold(items: Column, id_type: str, seed: int) -> Column:
     """struct(done, r): each step decides one of the residual r and the next item; r is what is left at the end."""
     item = _ITEM.format(id=id_type)
-    start = F.struct(F.array().cast(f"array<struct<doc_id:{id_type},size:bigint,row:bigint,pick:int>>").alias("done"), F.lit(None).cast(item).alias("r"))
+    start = F.struct(F.array().cast(f"array<{_PICK.format(id=id_type)}>").alias("done"), F.lit(None).cast(item).alias("r"))
 
     def made(doc: Column, pick: int) -> Column:
         return F.array(F.struct(doc["doc_id"].alias("doc_id"), doc["size"].alias("size"), doc["row"].alias("row"), F.lit(pick).alias("pick")))
 
     def left(doc: Column, p: Column) -> Column:
-        return F.struct(doc["doc_id"].alias("doc_id"), doc["size"].alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"), doc["turn"].alias("turn"), doc["row"].alias("row"))
+        return F.struct(doc["size"].alias("size"), doc["doc_id"].alias("doc_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"), doc["turn"].alias("turn"), doc["row"].alias("row"))
 
     def step(acc: Column, e: Column) -> Column:
         r = acc["r"]
@@ -87,9 +92,27 @@ def _fold(items: Column, id_type: str, seed: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def _repaired(done: Column, r: Column) -> Column:
+    """The picks of the root and its residual, rounded; then what rounding left is made up for by other choices."""
+    last = F.struct(r["doc_id"].alias("doc_id"), r["size"].alias("size"), r["row"].alias("row"), (r["p"] >= 0.5).cast("int").alias("pick"))
+    by_size = F.array_sort(F.concat(done, F.array(last)), lambda a, b: F.when(a["size"] != b["size"], F.signum(b["size"] - a["size"]).cast("int")).when(a["doc_id"] < b["doc_id"], -1).when(a["doc_id"] > b["doc_id"], 1).otherwise(0))
+    over = F.lit(-1.0) * r["size"] * r["p"] + F.when(r["p"] >= 0.5, r["size"]).otherwise(0)
+
+    def sweep(picks: Column, over: Column, share: float) -> Column:
+        def step(acc: Column, e: Column) -> Column:
+            then = acc["over"] + F.when(e["pick"] == 1, -e["size"]).otherwise(e["size"])
+            turn = (F.abs(then) < F.abs(acc["over"]) * share) & (e["size"] > 0)
+            out = F.struct(e["doc_id"].alias("doc_id"), e["size"].alias("size"), e["row"].alias("row"), F.when(turn, 1 - e["pick"]).otherwise(e["pick"]).alias("pick"))
+            return F.struct(F.when(turn, then).otherwise(acc["over"]).alias("over"), F.concat(acc["picks"], F.array(out)).alias("picks"))
+
+        return F.aggregate(picks, F.struct(over.alias("over"), F.slice(picks, 1, 0).alias("picks")), step)
+
+    return F.transform(F.transform(F.array(by_size), lambda x: sweep(x, over, 0.5)), lambda x: sweep(x["picks"], x["over"], 1.0))[0]["picks"]
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, source) for documents with doc_id, text and source."""
-    return _plan(docs, F.lit(0), weights, max_copies, seed).drop("row")
+    return _plan(docs, F.monotonically_increasing_id(), weights, max_copies, seed).drop("row")
 
 
 def _plan(docs: DataFrame, row: Column, weights, max_copies: int, seed: int) -> DataFrame:
@@ -105,19 +128,23 @@ def _plan(docs: DataFrame, row: Column, weights, max_copies: int, seed: int) ->
     fixed = ["source", "source_size", "target", "base"]
     whole = (F.col("size") == 0) | (F.col("p") == 0)
     certain = rows.where(whole).select(*fixed, "doc_id", "size", "row", F.lit(0).alias("pick"))
-    item = F.struct("doc_id", "size", "p", F.xxhash64("doc_id", "size").alias("turn"), "row")
-    level = rows.where(~whole).select(*fixed, F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("blocks")).alias("block"), item.alias("item"))
+    item = F.struct("size", "doc_id", "p", F.xxhash64("doc_id", "size").alias("turn"), "row")
+    equal = cut(sized.groupBy(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z")).count().where(F.col("count") > FAN).drop("count"))
+    equal = equal.withColumn("many", F.lit(True))
+    equal = F.broadcast(equal) if equal.count() <= BROADCAST_SOURCES else equal
+    open_ = rows.where(~whole).join(equal, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z")), "left")
+    number = F.xxhash64(F.lit(seed), "doc_id", "size", F.when(F.col("many"), F.col("row")))
+    level = open_.select(*fixed, F.pmod(number, F.col("blocks")).alias("block"), item.alias("item"))
     out, blocks = [certain], max(1, -(-(facts["most"] or 0) // FAN))
     while True:
-        folded = level.groupBy(*fixed, "block").agg(F.sort_array(F.collect_list("item")).alias("items")).select(*fixed, "block", _fold(F.col("items"), id_type, seed).alias("f"))
+        folded = level.groupBy(*fixed, "block").agg(F.sort_array(F.collect_list("item"), False).alias("items")).select(*fixed, "block", _fold(F.col("items"), id_type, seed).alias("f"))
         folded = cut(folded)
-        out.append(folded.select(*fixed, F.explode("f.done").alias("d")).select(*fixed, "d.*"))
         if blocks == 1:
             break
+        out.append(folded.select(*fixed, F.explode("f.done").alias("d")).select(*fixed, "d.*"))
         level = folded.select(*fixed, F.floor(F.col("block") / FAN).cast("bigint").alias("block"), F.col("f.r").alias("item"))
         blocks = -(-blocks // FAN)
-    last = folded.select(*fixed, "f.r.doc_id", "f.r.size", "f.r.row", (hash_fraction(F.lit(seed), F.lit("last"), F.col("f.r.doc_id")) < F.col("f.r.p")).cast("int").alias("pick"))
-    done = last
+    done = folded.select(*fixed, F.explode(_repaired(F.col("f.done"), F.col("f.r"))).alias("d")).select(*fixed, "d.*")
     for part in out:
         done = done.unionByName(part)
     copies = (F.col("base") + F.col("pick")).cast("bigint")
@@ -127,9 +154,10 @@ def _plan(docs: DataFrame, row: Column, weights, max_copies: int, seed: int) ->
 def take_copies(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs. Rows are told apart by a key that
     is checkpointed with them, so doc_ids may be null or repeated."""
-    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plan = _plan(keyed, F.col("_row"), weights, max_copies, seed).where("copies > 0").select(F.col("row").alias("_key"), F.expr("explode(sequence(1, copies))").alias("_copy"))
-    return keyed.join(plan, F.col("_row") == F.col("_key")).select(*[keyed[c] for c in docs.columns])
+    row, key, copy = fresh(docs, "row", "key", "copy")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = _plan(keyed, F.col(row), weights, max_copies, seed).where("copies > 0").select(F.col("row").alias(key), F.expr("explode(sequence(1, copies))").alias(copy))
+    return keyed.join(plan, F.col(row) == F.col(key)).select(*[quoted(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
