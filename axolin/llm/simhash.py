@@ -13,8 +13,10 @@ Copies collapse before anything is compared: the search runs over different fing
 fingerprint are shuffled (85 on average), of two longs each.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; texts of fewer than 4 words have
-the hash of the whole sequence; equal texts are in one component; an empty table gives an empty result; other columns
-are ignored.
+the hash of the whole sequence; equal texts are in one component; a component whose rows have no doc_id has none; rows
+that repeat a doc_id each have their own text's fingerprint and component; long texts are hashed whole; an empty table
+gives an empty result; other columns, whatever their names, are ignored by near_duplicates and kept by keep_one, which
+leaves one row of each component: the smallest doc_id, rows without one last, any one of equals.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axolin.llm.common import cut, table
+from axolin.llm.common import cut, fresh, quoted, table
 from axolin.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -173,16 +175,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(np.concatenate(keys), np.concatenate(fps))
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp), fp as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """(doc_id, fp), fp as a signed long; with a column row, also (row)."""
+    names = ["doc_id", *["row"] * bool(row)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(0)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    given = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), *[F.col(c).alias("row") for c in [row] if c])
+    return given.mapInArrow(run, ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in names) + ", fp long")
 
 
 def near_links(fps: DataFrame) -> DataFrame:
@@ -191,21 +194,38 @@ def near_links(fps: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long").distinct()
 
 
+#: Up to so many rows to drop are broadcast (about 16 bytes each).
+BROADCAST_ROWS = 1_000_000
+
+
+def _components(reps: DataFrame) -> DataFrame:
+    """(fp, component) of the different fingerprints in the column fp."""
+    parts = connected_components(near_links(reps)).select(F.col("node"), "component")
+    return reps.select("fp").join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links."""
     of = cut(fingerprints(docs, doc_id, text))
     reps = of.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    parts = connected_components(near_links(reps))
-    grouped = reps.join(parts, reps.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    grouped = reps.join(_components(reps), "fp")
     names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     named = grouped.join(names, "component").select("fp", "component_id")
     return of.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that a smaller doc_id of their component stands for; rows without doc_id stay."""
-    gone = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs with one row of each component. Rows are told apart by a key that is checkpointed with them."""
+    row, key = fresh(docs, "row", "key")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    of = cut(fingerprints(keyed, row=row).select("fp", "row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("id")))
+    reps = of.groupBy("fp").agg(F.min(F.struct("id", "row")).alias("first"))
+    grouped = reps.join(_components(reps), "fp")
+    names = grouped.groupBy("component").agg(F.min("first").alias("kept"))
+    kept = grouped.join(names, "component").select("fp", F.col("kept.row").alias("kept"))
+    gone = cut(of.join(kept, "fp").where("row != kept").select(F.col("row").alias(key)))
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return keyed.join(side, F.col(row) == F.col(key), "left_anti").select(*[quoted(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

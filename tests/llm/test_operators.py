@@ -25,7 +25,9 @@ ROWS = [
     (6, prose(7, 90) + " " + SHARED, "c"), (7, prose(8, 20) + " " + LEAK + " " + prose(9, 20), "a"), (8, "aaaa" * 100, "a"), (9, prose(10, 4000), "c"), (10, " \n\t ", "a"),
     (11, "Released under the MIT License.\nçé ü", "b"), (None, prose(12, 30), "a"), (13, prose(0, 80) + " end", "a"), (14, LEAK, "a"),
 ]
-EXTRA = "id h fp slot shard size component_id copies turn _n places"
+EXTRA = "id h fp SLOT shard size component_id copies turn _n places key _key row _row _spread spread _id copy _copy gone _GONE w m k tk start ws text_md5 total owner known place at a.b"
+#: Rows that repeat a doc_id, with the same text and others, and rows without one.
+REPEATS = [(5, prose(60, 40), "a"), (5, prose(60, 40), "a"), (5, prose(61, 40), "a"), (None, prose(62, 40), "b"), (None, prose(62, 40), "b"), (None, prose(63, 40), "b"), (None, None, None), (6, "", "b"), (6, "", "b")]
 
 
 def frame(spark, rows=ROWS):
@@ -90,6 +92,28 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    rows = [*ROWS, *REPEATS]
+    docs = frame(spark, rows)
+    component = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(component) >= len(ROWS) + 4
+    left = simhash.keep_one(docs)
+    assert left.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in left.collect()]
+    fp = {t: simhash.fingerprint(t) for _, t, _ in rows}
+    group = {}
+    for t, f in fp.items():  # fingerprints within 4 bits, joined up
+        near = [g for g in group.values() if any(bin(f ^ x).count("1") <= 4 for x in g)]
+        whole = {f}.union(*near)
+        group |= {x: whole for x in whole}
+    groups = {frozenset(g) for g in group.values()}
+    assert len(left) == len(groups) and {frozenset(group[fp[t]]) for _, t in left} == groups
+    for i, t in left:
+        ids = [k for k, x, _ in rows if fp[x] in group[fp[t]] and k is not None]
+        assert i == (min(ids) if ids else None)
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -118,7 +142,7 @@ def test_mixing(spark):
     for s in names:
         mine = [r for r in got if r.source == s]
         assert mine[0].source_size == sizes[s] and abs(mine[0].target - target[s]) < 1e-6
-        assert abs(sum(r.taken for r in mine) - target[s]) <= 9
+        assert abs(sum(r.taken for r in mine) - target[s]) <= 1
     assert all(r.taken == r.copies * r["size"] and 0 <= r.copies <= 3 for r in got)
     assert mixing.mix_sources(frame(spark, [])).count() == 0
     odd = by_id(mixing.mix_sources(frame(spark)))
@@ -144,6 +168,13 @@ def test_sharding(spark):
     owner = sharding.fill_table(4, 101)
     assert len(got) == len(ROWS) and all(r.shard == owner[r.slot] for r in got)
     assert len({r.shard for r in got if r.source == "b"}) == 1
+    docs = frame(spark, [*ROWS, *REPEATS])
+    placed = sharding.place_rows(docs, "source", "doc_id", 4, 101)
+    assert placed.columns == [*[c for c in docs.columns if c.lower() not in ("slot", "shard")], "slot", "shard"] and placed.count() == docs.count()
+    at = {}
+    for r in placed.collect():
+        assert at.setdefault((r.source, r.doc_id), r.slot) == r.slot and r["_key"] == EXTRA.split().index("_key")
+    assert sharding.place_rows(docs, "shard", "doc_id", 4, 101).count() == docs.count()
     assert sharding.place_rows(frame(spark, []), "source", "doc_id", 4, 101).count() == 0
 
 
@@ -177,46 +208,102 @@ def test_packing_round_trip(spark):
 
 
 def brute_leaks(rows, items):
+    """Every item-sized window of every document against every item."""
     from collections import Counter
 
-    cut = lambda w: [" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+    cut = lambda w, k: [" ".join(w[p : p + k]) for p in range(max(1, len(w) - k + 1))]
     out = {}
     for item, text in items:
         w = (text or "").lower().split()
-        if not w:
-            continue
+        k = min(5, len(w))
         for i, t, _ in rows:
             d = (t or "").lower().split()
+            if not w or not d:
+                continue
             sims = []
-            first, parts = cut(w), cut(d) if len(w) >= 5 else [" ".join(d[k : k + len(w)]) for k in range(max(1, len(d) - len(w) + 1))]
-            placed = {max(0, min(p - o, len(d) - len(w))) for p, x in enumerate(parts) for o, y in enumerate(first) if x == y}  # a shared shingle places a window
-            for s in placed if d else ():
-                a, b = Counter(cut(d[s : s + len(w)])), Counter(cut(w))
+            for s in range(max(0, len(d) - len(w)) + 1):
+                a, b = Counter(cut(d[s : s + len(w)], k)), Counter(cut(w, k))
                 sims.append((sum((a & b).values()) / sum((a | b).values()), -s))
-            if sims and max(sims)[0] >= 0.8:
-                out[i, item] = (round(max(sims)[0], 6), -max(sims)[1])
+            if max(sims)[0] >= 0.8:
+                out[i, hashlib.md5(t.encode()).hexdigest(), item] = (round(max(sims)[0], 6), -max(sims)[1], sum(x >= 0.8 for x, _ in sims))
+    return out
+
+
+def leaks_found(docs, bench):
+    got = decontaminate.find_leaks(docs, bench).collect()
+    out = {(r.doc_id, r.text_md5, r.item_id): (r.similarity, r.start, r.windows) for r in got}
+    assert len(out) == len(got)
     return out
 
 
 def test_decontamination(spark):
     items = [(1, LEAK), (2, None), (3, "  "), (4, prose(99, 20)), (5, "x"), (6, LEAK.upper()), (7, LEAK + " tail")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.find_leaks(frame(spark), bench).collect()}
-    assert got == brute_leaks(ROWS, items) and (7, 1) in got and (4, 5) in got
+    got = leaks_found(frame(spark), bench)
+    assert got == brute_leaks(ROWS, items) and {(7, 1), (4, 5), (14, 6)} <= {(i, item) for i, _, item in got}
     assert {r.doc_id for r in decontaminate.drop_leaks(frame(spark), bench).collect()} == {i for i, _, _ in ROWS} - {4, 7, 14}
     assert decontaminate.find_leaks(frame(spark), bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(frame(spark, []), bench).count() == 0
 
 
+def test_leaks_wherever_their_shingles_stand(spark):
+    """Halves and thirds of an item in another order, deep in a document, at its edges, and with words replaced."""
+    items = [(k, prose(500 + k, 20 + 3 * k)) for k in range(14)]
+    rows = []
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        half, third = len(w) // 2, len(w) // 3
+        for n, x in enumerate((w[half:] + w[:half], w[third:] + w[:third], w[:-3], w[4:] + prose(700 + k, 4).split(), w[: third + 1] + ["zz"] + w[third + 2 :], w + w)):
+            before, after = (80 + k, 9) if n % 3 else (0, 0) if k % 2 else (0, 5)
+            rows.append((100 * n + k, " ".join([prose(800 + k, before), *x, prose(900 + k, after)]).strip(), "a"))
+    want = brute_leaks(rows, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = leaks_found(frame(spark, rows), bench)
+    assert len(want) > 40 and any(v[0] < 0.9 and i < 100 for (i, _, _), v in want.items())
+    assert set(got) <= set(want) and all(got[x] <= want[x] for x in got)
+    assert sum(v[2] for v in got.values()) >= 0.99 * sum(v[2] for v in want.values()) and len(got) >= 0.99 * len(want)
+
+
+def test_blocks_find_every_pair_within_the_radius():
+    r = random.Random(5)
+    for radius, blocks in ((19, 6), (4, 4), (3, 5), (12, 5)):
+        plan = decontaminate.block_plan(radius, blocks)
+        assert [at for at, _, _ in plan][0] == 0 and sum(n for _, n, _ in plan) == 64
+        for _ in range(3000):
+            differ = sum(1 << b for b in r.sample(range(64), radius))
+            assert any(bin(differ >> at & (1 << n) - 1).count("1") <= least for at, n, least in plan)
+
+
+def test_simhash_of_windows(spark):
+    texts = [prose(k, 4 + k) for k in range(30)] + ["a b c d e f"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select(decontaminate.shingles(decontaminate.words(F.col("t")), F.lit(5)).alias("s"))
+    rows = d.select(F.transform("s", lambda x: F.xxhash64(x)).alias("h"), decontaminate.simhash(F.col("s")).alias("a"), decontaminate.simhash(F.col("s"), 32).alias("b")).collect()
+    for r in rows:
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r.h) > len(r.h))
+        assert r.a == r.b and r.a & (1 << 64) - 1 == want
+
+
 def test_leaks_of_null_and_repeated_ids(spark):
     clean = prose(401, 40)
-    rows = [(None, clean, "a"), (None, prose(400, 3) + " " + LEAK, "a"), (None, None, "a"), (5, clean, "a"), (5, LEAK, "a"), (5, LEAK + " " + clean, "a")]
+    rows = [(None, clean, "a"), (None, prose(400, 3) + " " + LEAK, "a"), (None, None, "a"), (5, clean, "a"), (5, LEAK, "a"), (5, LEAK, "a"), (5, LEAK + " " + clean, "a"), *REPEATS]
     rows += [(9, prose(402, 5) + " " + LEAK[:40] + " " + prose(403 + k, 25), "a") for k in range(6)] + [(9, prose(402, 5) + " " + LEAK, "a")]
-    bench = spark.createDataFrame([(1, LEAK)], "item_id long, text string")
+    items = [(1, LEAK), (None, LEAK[:100]), (1, prose(62, 40)), (2, LEAK)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
     docs = frame(spark, rows).coalesce(1)
-    assert {r.doc_id for r in decontaminate.find_leaks(docs, bench).collect()} == {None, 5, 9}
+    want = brute_leaks(rows, items[:1]) | brute_leaks(rows, items[1:])
+    got = leaks_found(docs, bench)
+    assert set(got) == set(want) and {(None, 1), (5, 1), (9, 1), (9, 2)} <= {(i, item) for i, _, item in got}
     left = sorted((str(r.doc_id), str(r.text)) for r in decontaminate.drop_leaks(docs, bench).collect())
-    assert left == sorted((str(i), str(t)) for i, t, _ in rows if LEAK not in (t or ""))
+    assert left == sorted((str(i), str(t)) for i, t, _ in rows if LEAK[:100] not in (t or "") and t != prose(62, 40))
+    assert decontaminate.drop_leaks(docs, bench).columns == docs.columns
+
+
+def test_shuffled_joins_give_the_same(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, LEAK), (2, SHARED)], "item_id long, text string")
+    want = leaks_found(frame(spark), bench)
+    for name in ("BROADCAST_SHINGLES", "BROADCAST_KEYS", "BROADCAST_ROWS"):
+        monkeypatch.setattr(decontaminate, name, -1)
+    assert want and leaks_found(frame(spark), bench) == want
 
 
 def test_quality(spark):
