@@ -8,11 +8,13 @@ over the tree: below a dropped node everything is dropped, and a kept node has a
 
 The trees are trained here on pages that page_maker() invents, of many layouts, with known main text; training takes
 a few seconds on the driver and does not depend on the data. Scripts, styles and other invisible elements are never
-text. Extraction is a map over rows without a shuffle.
+text; formulas and drawings are read as inline text. Extraction is a map over rows without a shuffle.
 
 Defined results: null html is an empty page; a page without main text gives an empty text; broken markup is read as
-far as it goes (open elements end with the page); equal pages give equal texts; an empty table gives an empty result;
-other columns are ignored.
+far as it goes (open elements end with the page); equal pages and repeated rows give equal texts, a row for each; long
+pages are read whole, in time and memory in proportion to their length however deep elements nest; between choices of
+equal likelihood the one that keeps less is taken; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from axolin.llm.boosting import Trees, fit
 from axolin.llm.common import table
 
-INVISIBLE = frozenset("head title script style noscript template svg math iframe object canvas audio video select datalist button textarea".split())
+INVISIBLE = frozenset("head title script style noscript template annotation annotation-xml desc metadata defs iframe object canvas audio video select datalist button textarea".split())
+#: Elements whose inner elements are inline, until one that can't stand in them.
+FOREIGN = frozenset("math svg".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr input".split())
 #: Elements that stand in a head, without and with content. Any other start tag, or text, ends a head that is open.
@@ -84,12 +88,18 @@ def token_bits(attributes: list[tuple[str, str | None]]) -> int:
 
 
 class Builder(HTMLParser):
-    """A tree of block elements; inline text gathers in runs, which are leaves."""
+    """A tree of block elements; inline text gathers in runs, which are leaves. For each tag the depths of its open
+    elements are kept, so that no tag walks up further than the elements it ends."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
-        self.at, self.hidden, self.run, self.linked = self.root, [], None, False
+        self.path, self.open = [self.root], {}
+        self.hidden, self.run, self.linked, self.foreign = [], None, False, None
+
+    @property
+    def at(self) -> Node:
+        return self.path[-1]
 
     def _end_run(self) -> None:
         if self.run is not None:
@@ -100,27 +110,46 @@ class Builder(HTMLParser):
                 self.at.kids.append(self.run)
             self.run = None
 
+    def _depth(self, tags: frozenset | set) -> int:
+        """The depth of the innermost open element of these tags, 0 without one."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def _leave(self, depth: int) -> None:
+        """End the elements from that depth on."""
+        self._end_run()
+        while len(self.path) > depth:
+            self.open[self.path.pop().tag].pop()
+
     def _close(self, tags: frozenset | set, stop: frozenset | set) -> None:
-        n = self.at
-        while n.up is not None and n.tag not in stop:
-            if n.tag in tags:
-                self._end_run()
-                self.at = n.up
-                return
-            n = n.up
+        depth = self._depth(tags)
+        if depth and depth > self._depth(stop - tags):
+            self._leave(depth)
+
+    def _hidden_start(self, tag: str) -> bool:
+        """Whether the tag stands in an invisible element. A head ends where something that can't stand in it begins."""
+        if not self.hidden:
+            return False
+        if (tag == "body" and self.hidden[0] == "head") or (self.hidden[-1] == "head" and tag not in HEAD_VOID | HEAD_CONTENT):
+            self.hidden.clear()
+            return False
+        if tag == self.hidden[-1] or (self.hidden[-1] == "head" and tag in HEAD_CONTENT):
+            self.hidden.append(tag)
+        return True
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.hidden:
-            if (tag == "body" and "head" in self.hidden) or (self.hidden[-1] == "head" and tag not in HEAD_VOID | HEAD_CONTENT):
-                self.hidden.clear()
-            else:
-                if tag == self.hidden[-1] or (self.hidden[-1] == "head" and tag in HEAD_CONTENT):
-                    self.hidden.append(tag)
-                return
+        if self._hidden_start(tag):
+            return
         if tag in INVISIBLE:
             self.at.controls += tag in ("select", "button", "textarea")
             self.hidden.append(tag)
             return
+        if tag in FOREIGN:
+            self.foreign = self.foreign or tag
+            return
+        if self.foreign:
+            if tag not in ENDS_P and tag not in CLOSES and tag not in ("html", "body"):
+                return
+            self.foreign = None
         if tag in INLINE:
             if tag == "a":
                 self.linked = True
@@ -144,7 +173,8 @@ class Builder(HTMLParser):
             return
         node = Node(tag, self.at, token_bits(attrs))
         self.at.kids.append(node)
-        self.at = node
+        self.open.setdefault(tag, []).append(len(self.path))
+        self.path.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -153,20 +183,23 @@ class Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:
-            if tag in self.hidden:
-                while self.hidden.pop() != tag:
-                    pass
+            # the innermost one, or the head around it: inner elements are all of one tag
+            if tag == self.hidden[-1]:
+                self.hidden.pop()
+            elif tag == self.hidden[0]:
+                self.hidden.clear()
+            return
+        if tag == self.foreign:
+            self.foreign = None
             return
         if tag == "a":
             self.linked = False
         if tag in INLINE or tag in ("html", "body"):
             return
-        n = self.at
-        while n.up is not None and n.tag != tag:
-            n = n.up
-        if n.up is not None:
-            self._end_run()
-            self.at, self.linked = n.up, False
+        depth = self._depth({tag})
+        if depth:
+            self._leave(depth)
+            self.linked = False
 
     def _add(self, data: str) -> None:
         if self.run is None:
