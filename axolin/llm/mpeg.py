@@ -1,12 +1,16 @@
 """Media columns: MPEG-1 Layer III audio streams.
 
 write_stream() stores a payload losslessly as the main data of audio frames behind an ID3v2 tag and a frame with a
-variable-bitrate table; scan_stream() reads any such stream: it steps over tags, finds frame headers (and, where bytes
-are damaged, looks for the next header that a second one confirms), checks each frame's CRC-16, reads the
-variable-bitrate table and returns durations in samples and the byte offset of every frame.
-
-Defined results: a null text is an empty one; every payload has one block at least; equal texts give equal values;
-an empty table gives an empty result; input columns other than the two named are ignored.
+variable-bitrate table; scan_stream() reads any such stream, of one or two channels: it steps over tags, finds frame
+headers (and, where bytes are damaged, looks for the next header that a second one confirms), checks each frame's
+CRC-16, reads the variable-bitrate table (both usual kinds) and returns durations in samples, the byte offset of every
+frame and the main data. A frame's main data may begin in frames before it (the bit reservoir) and ends within it; where
+the beginning was lost, or the side information asks for more than there is, the frame counts as lost and gives none.
+
+Defined results: a null text is an empty one; every payload has one block at least; equal texts and repeated rows give
+equal values, a row for each; long texts are stored whole, in the memory of one text; an empty table gives an empty
+result; input columns other than the two named are ignored, whatever their names. scan_stream reads any bytes without
+raising: what is no frame or tag is counted as skipped.
 """
 
 from __future__ import annotations
@@ -114,12 +118,14 @@ def read_tag(b: bytes) -> tuple[dict[str, str], int]:
     """Text frames of an ID3v2 tag and the length of the tag; ({}, 0) without one."""
     if b[:3] != b"ID3" or len(b) < 10:
         return {}, 0
-    whole = lambda x: x[0] << 21 | x[1] << 14 | x[2] << 7 | x[3]
-    end = min(len(b), 10 + whole(b[6:10]))
+    whole = lambda x: (x[0] & 127) << 21 | (x[1] & 127) << 14 | (x[2] & 127) << 7 | x[3] & 127
+    end = min(len(b), 10 + whole(b[6:10]) + 10 * bool(b[5] & 16))
     at, out = 10, {}
+    if b[5] & 64 and len(b) >= 14:  # an extended header, whose length counts itself from version 4 on
+        at += whole(b[10:14]) if b[3] >= 4 else 4 + int.from_bytes(b[10:14], "big")
     while at + 10 <= end and b[at] != 0:
         n = whole(b[at + 4 : at + 8]) if b[3] >= 4 else int.from_bytes(b[at + 4 : at + 8], "big")
-        name, text = b[at : at + 4].decode("latin-1"), b[at + 10 : at + 10 + n]
+        name, text = b[at : at + 4].decode("latin-1"), b[at + 10 : min(end, at + 10 + n)]
         if name[0] == "T" and text:
             key, _, value = text[1:].partition(b"\0")
             out[f"{name}:{key.decode('utf-8', 'replace')}" if name == "TXXX" else name] = (value if name == "TXXX" else text[1:]).decode("utf-8", "replace")
@@ -127,12 +133,35 @@ def read_tag(b: bytes) -> tuple[dict[str, str], int]:
     return out, end
 
 
+def read_table(b: bytes, at: int, side: int) -> dict | None:
+    """The variable-bitrate table of the frame at that place, whose side information ends at `side`."""
+    number = lambda x, n: int.from_bytes(b[x : x + n], "big")
+    if b[side : side + 4] in (b"Xing", b"Info"):
+        flags, x = number(side + 4, 4), side + 8
+        out = {"frames": None, "bytes": None, "toc": b""}
+        for bit, name, n in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100)):
+            if flags & bit:
+                out[name] = b[x : x + n] if name == "toc" else number(x, n)
+                x += n
+        return out
+    x = at + 36
+    if b[x : x + 4] == b"VBRI":
+        return {"frames": number(x + 14, 4), "bytes": number(x + 10, 4), "toc": b[x + 26 : x + 26 + number(x + 18, 2) * number(x + 22, 2)]}
+    return None
+
+
+def _field(bits: np.ndarray, at: int, n: int) -> np.ndarray:
+    return bits[:, at : at + n] @ (1 << np.arange(n - 1, -1, -1))
+
+
 def scan_stream(b: bytes) -> dict:
-    """tags, offsets (of frames with audio), lengths, rate, samples, skipped (bytes that belong to no frame), crc_bad, table (frames, bytes, entries) and payload (the main data that the side information declares)."""
+    """tags, offsets (of frames with audio), lengths, rate, samples, skipped (bytes that belong to no frame), crc_bad,
+    table (frames, bytes, toc), lost (frames without their main data) and payload (the main data that the side
+    information declares)."""
     tags, at = read_tag(b)
     end, tail = len(b), len(b) - 128 if b[-128:-125] == b"TAG" else -1  # an ID3v1 tag, unless it lies within a frame
     seen: dict[bytes, tuple | None] = {}
-    starts, lengths, kinds, skipped = [], [], [], 0
+    starts, kinds, skipped = [], [], 0
     locked = False
     while at + 4 <= end:
         four = b[at : at + 4]
@@ -142,7 +171,6 @@ def scan_stream(b: bytes) -> dict:
             ok = at + h[0] + 4 > end or at + h[0] == tail or _header(b, at + h[0]) is not None
         if ok:
             starts.append(at)
-            lengths.append(h[0])
             kinds.append(four)
             at, locked = at + h[0], True
         elif at == tail:
@@ -152,43 +180,36 @@ def scan_stream(b: bytes) -> dict:
             n = end if n < 0 else n
             n = tail if at < tail < n else n
             skipped, at, locked = skipped + n - at, n, False
-    data = np.frombuffer(b, np.uint8)
-    off, bad, table_, parts = np.array(starts, np.int64), 0, None, []
-    first = 0
-    if starts:
-        h = seen[kinds[0]]
-        x = starts[0] + 4 + 2 * h[3] + h[2]
-        if b[x : x + 4] in (b"Xing", b"Info"):
-            flags, y = int.from_bytes(b[x + 4 : x + 8], "big"), x + 8
-            n = int.from_bytes(b[y : y + 4], "big") if flags & 1 else None
-            y += 4 * (flags & 1)
-            size = int.from_bytes(b[y : y + 4], "big") if flags & 2 else None
-            y += 4 * (flags >> 1 & 1)
-            table_, first = {"frames": n, "bytes": size, "toc": b[y : y + 100] if flags & 4 else b""}, 1
-    kind_of = np.array([hash(k) for k in kinds], np.int64)
+    data, off, bad = np.frombuffer(b, np.uint8), np.array(starts, np.int64), 0
+    length, side_end, begins, wants = (np.zeros(len(starts), np.int64) for _ in range(4))
+    kind_of = np.frombuffer(b"".join(kinds), ">u4")
     for k in dict.fromkeys(kinds):
-        h, of = seen[k], np.flatnonzero(kind_of == hash(k))
-        side = off[of, None] + 4 + 2 * h[3] + np.arange(h[2])
-        info = data[side]
+        h, of = seen[k], np.flatnonzero(kind_of == int.from_bytes(k, "big"))
+        length[of] = h[0]
+        side_end[of] = off[of] + 4 + 2 * h[3] + h[2]
+        info = data[side_end[of, None] - h[2] + np.arange(h[2])]
         if h[3]:
             head = np.broadcast_to(np.frombuffer(k[2:], np.uint8), (len(of), 2))
             bad += int((crc16(np.hstack([head, info])) != (data[off[of] + 4].astype(np.uint16) << np.uint16(8) | data[off[of] + 5])).sum())
-        if h[2] == 17:  # one channel: the bits of both granules, at bit 18 and 59 bits on
-            bits = np.unpackbits(info, axis=1)
-            n = sum(bits[:, p : p + 12] @ (1 << np.arange(11, -1, -1)) for p in (18, 77)) // 8
-            audio = of >= first
-            begin = off[of] + 4 + 2 * h[3] + h[2]
-            if len(set(n[audio].tolist())) == 1 and (width := int(n[audio][0])):
-                parts.append((of[audio], data[begin[audio, None] + np.arange(width)]))
-            else:
-                parts += [(np.array([f]), data[None, s : s + w]) for f, s, w, a in zip(of, begin, n, audio, strict=True) if a]
-    if len(parts) == 1:
-        payload = parts[0][1].tobytes()
-    else:
-        payload = b"".join(row.tobytes() for _, row in sorted((int(f), row) for fs, rows in parts for f, row in zip(fs, rows, strict=True)))
-    audio = off[first:]
+        bits = np.unpackbits(info, axis=1)
+        begins[of] = _field(bits, 0, 9)
+        # 59 bits for each granule and channel, which begin with the number of its bits
+        wants[of] = (sum(_field(bits, p, 12) for p in ((18, 77) if h[2] == 17 else (20, 79, 138, 197))) + 7) // 8
+    found = read_table(b, starts[0], int(side_end[0])) if starts else None
+    first = int(found is not None)
+    off, length, side_end, begins, wants = off[first:], length[first:], side_end[first:], begins[first:], wants[first:]
+    # the reservoir: main data areas in order, anew after bytes that belong to no frame
+    ends = off + length
+    store = b"".join([b[x:y] for x, y in zip(side_end.tolist(), ends.tolist(), strict=True)])
+    until = np.cumsum(ends - side_end)
+    area = until - (ends - side_end)
+    anew = np.concatenate([[True], off[1:] != ends[:-1]])[: len(off)]
+    since = np.maximum.accumulate(np.where(anew, area, 0)) if len(off) else area
+    begin = area - begins
+    whole = (begin >= since) & (begin + wants <= until)
+    payload = b"".join([store[x : x + n] for x, n in zip(begin[whole].tolist(), wants[whole].tolist(), strict=True)])
     rate = seen[kinds[0]][1] if kinds else 0
-    return {"tags": tags, "offsets": audio, "lengths": np.array(lengths[first:], np.int64), "rate": rate, "samples": SAMPLES * len(audio), "skipped": skipped, "crc_bad": bad, "table": table_, "payload": payload}
+    return {"tags": tags, "offsets": off, "lengths": length, "rate": rate, "samples": SAMPLES * len(off), "skipped": skipped, "crc_bad": bad, "table": found, "lost": int((~whole).sum()), "payload": payload}
 
 
 def store_text(text: str | None) -> tuple[bytes, dict]:
