@@ -146,6 +146,70 @@ def test_mpeg_tag_words_within_a_frame(n):
     assert mpeg.scan_stream(b"junk" + mpeg._frames(np.zeros((1, 192), np.uint8)).tobytes() + tag)["samples"] == 1152
 
 
+def reservoir_stream(parts, channels, crc):
+    """Frames of any channels whose main data begin as early as the reservoir of 511 bytes allows: an independent writer
+    that lays all main data end to end over the frames' data areas."""
+    side, size = (17 if channels == 1 else 32), 144_000 * 64 // 48000
+    head = bytes([0xFF, 0xFA if crc else 0xFB, 5 << 4 | 1 << 2, 0xC0 if channels == 1 else 0])
+    room = size - 4 - 2 * crc - side
+    frames, areas, at = [], [], 0  # at: where the next main data go in the areas laid end to end
+    for k, p in enumerate(parts):
+        begin = max(at, k * room - 511)
+        assert begin + len(p) <= (k + 1) * room
+        granules = 2 * channels
+        share = [len(p) * 8 // granules] * granules
+        share[-1] += len(p) * 8 - sum(share)
+        bits = f"{k * room - begin if begin < k * room else 0:09b}" + "0" * (9 if channels == 1 else 11) + "".join(f"{n:012b}" + "0" * 47 for n in share)
+        info = int(bits.ljust(side * 8, "0"), 2).to_bytes(side, "big")
+        check = int(mpeg.crc16(np.frombuffer(head[2:] + info, np.uint8)[None])[0]).to_bytes(2, "big") if crc else b""
+        begin = begin if begin < k * room else k * room
+        areas += bytes(max(0, begin + len(p) - len(areas)))
+        areas[begin : begin + len(p)] = p
+        at = begin + len(p)
+        frames.append(head + check + info)
+    areas += bytes(len(parts) * room - len(areas))
+    return b"".join(f + bytes(areas[k * room : (k + 1) * room]) for k, f in enumerate(frames)), size
+
+
+@pytest.mark.parametrize("channels", [1, 2])
+@pytest.mark.parametrize("crc", [0, 1])
+def test_mpeg_reservoir(channels, crc):
+    r = random.Random(channels)
+    parts = [r.randbytes(r.choice((100, 130, 120, 80, 0, 60))) for _ in range(40)]
+    media, size = reservoir_stream(parts, channels, crc)
+    got = mpeg.scan_stream(media)
+    assert got["payload"] == b"".join(parts) and got["lost"] == got["crc_bad"] == got["skipped"] == 0 and len(got["offsets"]) == 40
+    # without its first frames, what began in them is lost, and nothing else
+    got = mpeg.scan_stream(media[size * 3 :])
+    assert b"".join(parts).endswith(got["payload"]) and len(got["payload"]) >= sum(map(len, parts[8:])) and got["lost"] <= 5
+    got = mpeg.scan_stream(media[: size * 20] + b"junk" + media[size * 20 :])
+    assert got["skipped"] == 4 and got["payload"].startswith(b"".join(parts[:20])) and got["lost"] <= 6
+
+
+def test_mpeg_reads_any_bytes():
+    r = random.Random(11)
+    good = [mpeg.store_text(prose(4, 400))[0], reservoir_stream([r.randbytes(90) for _ in range(12)], 2, 1)[0], mpeg._frames(np.full((1, 192), 255, np.uint8)).tobytes()]
+    for n in range(1500):
+        b = bytearray(r.choice(good))
+        for _ in range(r.choice((1, 3, 30))):
+            b[r.randrange(len(b))] = r.choice((0, 255, 250, r.randrange(256)))
+        b = bytes(b[r.randrange(50) * (n % 3 == 0) : r.randrange(1, len(b)) if n % 2 else len(b)])
+        got = mpeg.scan_stream(b)
+        assert len(got["payload"]) <= len(b) * 5 and got["skipped"] <= len(b) and len(got["offsets"]) == len(got["lengths"])
+    for n in range(400):
+        mpeg.scan_stream(r.choice((b"", b"ID3", b"ID3\x04\0\x50", b"\xff\xfa\x64\xc0", b"TAG")) + r.randbytes(r.randrange(300)))
+    only = bytearray(mpeg._frames(np.zeros((1, 192), np.uint8)).tobytes())
+    only[6 + 2 : 6 + 4] = b"\x3f\xff"  # far more main data than the frame has
+    assert mpeg.scan_stream(bytes(only))["lost"] == 1
+
+
+def test_mpeg_tables():
+    frame = bytearray(mpeg._frames(np.zeros((1, 192), np.uint8)).tobytes())
+    frame[36:] = (b"VBRI" + bytes(6) + (999).to_bytes(4, "big") + (77).to_bytes(4, "big") + (3).to_bytes(2, "big") + bytes(2) + (2).to_bytes(2, "big") + bytes(2) + b"abcdef").ljust(len(frame) - 36, b"\0")
+    got = mpeg.scan_stream(bytes(frame) + mpeg._frames(np.ones((2, 192), np.uint8)).tobytes())
+    assert got["table"] == {"frames": 77, "bytes": 999, "toc": b"abcdef"} and len(got["offsets"]) == 2 and got["payload"] == b"\1" * 384
+
+
 def test_best_fit_decreasing():
     r = random.Random(1)
     sizes = [r.randint(1, 64) for _ in range(300)]
@@ -171,8 +235,9 @@ def test_tokenizer_matches_whole_text_encoding(text):
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     x, at, y = rng.normal(size=(9, 5)), np.array([0, 4, 6]), np.array([1.0, 0.0, 1.0])
-    net = quality.Bags.start(5, np.zeros(5), np.ones(5), 0.1)
-    loss = lambda: -np.mean(y * np.log(p := net.forward(x, at)["y"]) + (1 - y) * np.log(1 - p))
+    net = quality.Bags.start(5, np.zeros(5), np.ones(5), 0.1, True)
+    net.w = {k: np.array(w, float) for k, w in net.w.items()}
+    loss = lambda: -np.mean(y * np.log(p := net.forward(net.encode(x), at)["y"]) + (1 - y) * np.log(1 - p))
     g = net.gradient(x, at, y)
     for name in ("E", "V", "U", "a", "c"):
         k = tuple(0 for _ in net.w[name].shape)
@@ -187,9 +252,9 @@ def test_attention_gradient():
 
 def test_quality_features_of_odd_texts():
     for text in (None, "", "\n", "a", "ß" * 2000, "x " * 9000):
-        f = quality.passage_features(text)
+        f = np.concatenate(list(quality.passage_features(text)))
         assert f.shape[1] == quality.N_FEATURES and np.isfinite(f).all() and len(f) >= 1
-    assert quality.train([], np.zeros(0)).scores([quality.passage_features("a")]).tolist() == [1.0]
+    assert quality.train([], np.zeros(0)).scores(["a", None]).tolist() == [1.0, 1.0]
     assert quality.crc_fold(12) == zlib.crc32(b"12") % 4
 
 

@@ -185,6 +185,40 @@ def test_licenses(spark):
     assert got[50].license_id == "MIT" and got[51].license_id is None and got[11].license_id is None
     assert got[11].notices == "MIT" and got[2].n_words == 0 and len(got) == len(rows)
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
+    assert licenses.scan_licenses(frame(spark, [*ROWS, *REPEATS])).count() == len(ROWS) + len(REPEATS)
+
+
+def test_licenses_in_any_wrapping(spark):
+    import textwrap
+
+    whole = [(i, t) for i, t in licenses.KNOWN if len(t) > 200]
+    holders = ("Copyright (c) 2020 Someone", "Copyright 1999-2004 by Some One\nAll rights reserved.", "(c) 2001 Another", "© 2020 Someone", "Copyright © Someone", "# Copyright The Project Authors.")
+    rows = []
+    for n, (i, t) in enumerate(whole):
+        for width in (40, 52, 60, 66, 72, 78):
+            lines = "\n".join(f"{' * ' * (width == 60)}{x}" for part in t.split("\n") for x in textwrap.wrap(part, width))
+            rows.append((len(rows), f"{holders[(n + width) % len(holders)]}\n\n{lines.replace('license', 'licence')}", i))
+    rows.append((1000, whole[0][1] + "\nCopyright notice: none.", None))  # words of a text, not a holder's line
+    rows.append((1001, "(c) You must retain all notices\n" + whole[0][1], None))
+    rows.append((1002, "licence licence license", None))
+    rows.append((1003, "License license licence", None))
+    got = by_id(licenses.scan_licenses(frame(spark, rows)))
+    assert {k: r.license_id for k, r in got.items()} == {k: i for k, _, i in rows}
+    assert got[1002].digest == got[1003].digest
+
+
+def test_digests_of_published_licenses(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no published texts here")
+    ids = {"BSD": "BSD-3-Clause", "Artistic": "Artistic-1.0-Perl", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0", "GPL": "GPL-3.0", "LGPL": "LGPL-3.0", "GFDL": "GFDL-1.3"}
+    texts = licenses.folder_texts(spark, folder, ids)
+    assert {tuple(r) for r in licenses.canonical_digests(spark, texts).collect()} >= set(licenses.DIGESTS)
+    rows = [(k, t.upper() if k % 2 else "\n".join(x.strip() for x in t.split("\n")), i) for k, (i, t) in enumerate(texts)]
+    got = by_id(licenses.scan_licenses(frame(spark, rows)))
+    assert all(got[k].license_id == i for k, _, i in rows) and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"} <= {i for _, _, i in rows}
 
 
 def test_media(spark):
@@ -195,6 +229,7 @@ def test_media(spark):
     media = mpeg.media_column(frame(spark)).select("doc_id", "media").collect()
     assert all(hashlib.sha256(r.media).hexdigest() == got[r.doc_id].media_sha256 for r in media)
     assert mpeg.media_features(frame(spark, [])).count() == 0
+    assert mpeg.media_features(frame(spark, [*ROWS, *REPEATS])).count() == len(ROWS) + len(REPEATS)
 
 
 def test_packing_round_trip(spark):
@@ -321,6 +356,56 @@ def test_quality(spark):
     assert quality.score_documents(frame(spark, []), net, ["doc_id"]).count() == 0
     folds = {r[0]: r[1] for r in docs.select("doc_id", quality.held_out(F.col("doc_id"))).collect()}
     assert all(folds[k] == (quality.crc_fold(k) == 2) for k in range(300)) and folds[None] is False
+    plain = quality.learn(docs, labels, attention=False)
+    mean = {r.doc_id: r.score for r in quality.score_documents(docs, plain, ["doc_id"]).collect()}
+    assert np.mean([(mean[k] >= 0.7) == (k < 150) for k in out]) > 0.97
+
+
+def test_quality_of_repeated_rows(spark):
+    """A labelled doc_id teaches with one text for each label, however many rows bear it; each row has its own score."""
+    rows = [(k, prose(k, 60) + ".", "a") for k in range(40)] + [(k, " | ".join(prose(k, 60).split()) + " $$$", "b") for k in range(40, 80)]
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)] * 2 + [(3, 0)], "doc_id long, quality int")
+    once = quality.training_bags(frame(spark, rows), labels)
+    more = quality.training_bags(frame(spark, rows * 3 + REPEATS), labels)
+    folds = [k for k in range(80) if quality.crc_fold(k) != 2]
+    assert len(once[0]) == len(more[0]) == len(folds) + (3 in folds) and len(quality.training_bags(frame(spark, rows), labels, 10)[0]) == 10
+    net = quality.train(*once)
+    got = quality.score_documents(frame(spark, rows + REPEATS), net, ["doc_id", "a.b"]).collect()
+    assert len(got) == len(rows) + len(REPEATS) and len({r.score for r in got if r.doc_id == 5}) == 3 and got[0]["a.b"] is not None
+
+
+def test_long_texts_are_scored_in_segments():
+    text = prose(1, 400_000)
+    parts = list(quality.passage_features(text))
+    size = quality.SEGMENT * quality.PASSAGE
+    assert len(parts) == -(-len(text) // size) > 1 and sum(map(len, parts)) == -(-len(text) // quality.PASSAGE)
+    assert all(p.shape[1] == quality.N_FEATURES and np.isfinite(p).all() for p in parts)
+    assert [len(p) for p in quality.passage_features(None)] == [1]
+
+
+def test_attention_weighs_passages():
+    """Bags with one telling passage among many: attention finds it, the mean of all can't do as well."""
+    rng = np.random.default_rng(0)
+
+    def bag(label):
+        x = rng.normal(0, 1, (40, 6)).astype(np.float32)
+        x[:, 0] = 0
+        if label and rng.random() < 0.9:
+            x[rng.integers(40), 0] = 3
+        return x
+
+    y = np.array([k % 2 for k in range(600)], float)
+    bags = [bag(v) for v in y]
+    at = np.cumsum([0] + [40] * 199)
+    right = []
+    for attention in (True, False):
+        net = quality.train(bags[:400], y[:400], attention)
+        f = net.forward(net.encode(np.concatenate(bags[400:])), at)
+        right.append(np.mean((f["y"] >= 0.5) == y[400:]))
+        if attention:
+            told = np.abs(np.concatenate(bags[400:])[:, 0]) > 0
+            assert f["p"][told].mean() > 2 * f["p"][~told].mean()
+    assert right[0] > 0.85 and right[0] >= right[1]
 
 
 def test_extraction(spark):
