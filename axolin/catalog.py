@@ -346,11 +346,12 @@ def _trsv(kind: str, unit: bool, trans: bool):
     return run
 
 
-def _trsm(kind: str, trans: bool):
+def _trsm(kind: str, trans: bool, unit: bool = False, flip: bool = False):
     def run(s, d):
-        t = triangle(G(s, d), kind, False)
+        t = triangle(G(s, d), kind, unit)
         x = Mat(s.range(64).select(F.col("id").alias("i"), F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(5)])).alias("j")).withColumn("v", (F.col("i") + F.col("j")) % 7 + 1.0), 64, 5)
-        return rounded(direct.trsm(t, product.multiply(t.T if trans else t, x), kind, False, trans, block=24).df)
+        b = product.multiply(t.T if trans else t, x)
+        return rounded(direct.trsm(t, b.T if flip else b, kind, unit, trans, block=24, transposed_b=flip).df)
 
     return run
 
@@ -359,7 +360,9 @@ for _k in ("lower", "upper"):
     for _t in (False, True):
         for _u in (False, True):
             add(f"trsv_{'unit_' * _u}{_k}{'_t' * _t}", _trsv(_k, _u, _t), _KNOWN.format(n=64))
-        add(f"trsm_{_k}{'_t' * _t}", _trsm(_k, _t), "SELECT i, j, CAST((i + j) % 7 + 1 AS DOUBLE) AS v FROM range(64) a(i), range(5) b(j)")
+        for _u in (False, True):
+            for _b in (False, True):
+                add(f"trsm_{'unit_' * _u}{_k}{'_t' * _t}{'_bt' * _b}", _trsm(_k, _t, _u, _b), "SELECT i, j, CAST((i + j) % 7 + 1 AS DOUBLE) AS v FROM range(64) a(i), range(5) b(j)")
 
 
 def _sp_trsv(s, d, blocks: int = 0):
@@ -398,37 +401,68 @@ add("qr_apply", as_vec(lambda s, d: spectral.gram(direct.qr(E(s, d))[0]).df.wher
 add("lstsq", as_vec(lambda s, d: direct.least_squares(E(s, d), product.gemv(E(s, d), known(s, 64))).df), _KNOWN.format(n=64))
 
 # ---- iterative solvers and preconditioners on a grid -------------------------------------------------------------
-PX, PY = 4, 3
+# A 64 x 64 grid whose cells conduct as parts are large; plain CG takes some 240 iterations. `few` tells whether the
+# iterations are within a bound that plain methods (CG 240, BiCGStab 165 on sf0.01) miss.
+PX = PY = 64
+CELLS = PX * PY
+WITH["cell"] = f"SELECT i, coalesce(v, 0.5) AS v FROM (SELECT unnest(range({CELLS})) AS i) LEFT JOIN (SELECT p_partkey AS k, (1 + p_size % 10) / 20.0e0 AS v FROM part) ON k = i % (SELECT max(p_partkey) + 1 FROM part)"
+WITH["link"] = f"""SELECT c.i, c.v AS c, d.i AS j, CASE WHEN d.v IS NULL THEN c.v ELSE 2 * c.v * d.v / (c.v + d.v) END AS w
+  FROM (SELECT i, v, unnest([CASE WHEN i % {PX} > 0 THEN i - 1 END, CASE WHEN i % {PX} < {PX - 1} THEN i + 1 END, CASE WHEN i >= {PX} THEN i - {PX} END, CASE WHEN i + {PX} < {CELLS} THEN i + {PX} END]) AS n FROM cell) c LEFT JOIN cell d ON d.i = c.n"""
+WITH["grid"] = "SELECT i, j, -w AS v FROM link WHERE j IS NOT NULL UNION ALL SELECT i, i, sum(w) FROM link GROUP BY i"
+_AT_GRID = "cell link grid"
+
+
+def cells(s, d) -> DataFrame:
+    n = size(table(s, d, "part"), "p_partkey")
+    part = table(s, d, "part").select(F.col("p_partkey").alias("k"), ((1 + F.col("p_size") % 10) / 20.0).alias("c"))
+    return s.range(CELLS).select(F.col("id").alias("i"), (F.col("id") % n).alias("k")).join(part, "k", "left").select("i", F.coalesce("c", F.lit(0.5)).alias("v"))
 
 
-def grid(s) -> tuple[Mat, Vec]:
-    a = sources.laplace_2d(s, PX, PY)
+def grid(s, d) -> tuple[Mat, Vec]:
+    a = sources.diffusion_2d(cells(s, d), PX, PY)
     a = Mat(loop.checkpoint(a.df), a.m, a.n)
     return a, Vec(loop.checkpoint(product.gemv(a, known(s, a.m)).df), a.m)
 
 
-def _solve(method, pre=None, **kw):
+add("gen_diffusion", as_vec(lambda s, d: sources.diffusion_2d(cells(s, d), PX, PY).df, 6), f"SELECT i, j, {R('v', 6)} AS v FROM grid", _AT_GRID)
+
+
+def _solve(method, most: int, pre=None, **kw):
     def run(s, d):
-        a, b = grid(s)
-        return rounded(method(a, b, **({"preconditioner": pre(a)} if pre else {}), **kw).x.df)
+        a, b = grid(s, d)
+        got = method(a, b, **({"preconditioner": pre(a)} if pre else {}), **kw)
+        return rounded(got.x.df, 3).withColumn("few", F.lit(got.iterations <= most))
 
     return run
 
 
-_GRID = _KNOWN.format(n=PX * PY)
-add("cg", _solve(solvers.cg), _GRID)
-add("cg_mixed", _solve(solvers.cg_mixed), _GRID)
-add("bicgstab", _solve(solvers.bicgstab), _GRID)
-add("gmres", _solve(solvers.gmres), _GRID)
-for _n, _m, _p in (
-    ("pc_jacobi", solvers.cg, precondition.jacobi), ("pc_rowscale", solvers.bicgstab, precondition.row_scaling),
-    ("pc_ilu0", solvers.bicgstab, lambda a: precondition.incomplete(a, "ilu0")), ("pc_ilut", solvers.bicgstab, lambda a: precondition.incomplete(a, "ilut")),
-    ("pc_block_ilu", solvers.bicgstab, lambda a: precondition.incomplete(a, "ilu0", 8)), ("pc_ichol0", solvers.cg, lambda a: precondition.incomplete(a, "ichol0")),
-    ("pc_chow_patel_ilu", solvers.bicgstab, precondition.chow_patel), ("pc_chow_patel_icc", solvers.bicgstab, lambda a: precondition.chow_patel(a, True)),
-    ("pc_spai", solvers.bicgstab, lambda a: precondition.inverse_of(precondition.spai(a, 1))), ("pc_fspai", solvers.cg, lambda a: precondition.factored_inverse_of(precondition.fspai(a))),
-    ("pc_amg", solvers.cg, lambda a: multigrid.multigrid(a, cutoff=5)), ("pc_amg_smoothed", solvers.cg, lambda a: multigrid.multigrid(a, "sequential", "smoothed", cutoff=5)), ("pc_amg_direct", solvers.bicgstab, lambda a: multigrid.multigrid(a, "onepass", "direct", cutoff=8)),
+_GRID = _KNOWN.format(n=CELLS).replace(" FROM", ", true AS few FROM", 1)
+_blocks = lambda kind, n=1, **kw: lambda a: precondition.incomplete(a, kind, n, **kw)
+for _n, _m, _most, _p in (
+    ("cg", solvers.cg, 300, None), ("cg_mixed", solvers.cg_mixed, 400, None), ("bicgstab", solvers.bicgstab, 250, None), ("gmres", lambda *a, **k: solvers.gmres(*a, krylov=20, **k), 150, _blocks("ilu0", 8)),
+    ("pc_ilu0", solvers.bicgstab, 70, _blocks("ilu0")), ("pc_ilut", solvers.bicgstab, 20, _blocks("ilut")), ("pc_block_ilu", solvers.bicgstab, 90, _blocks("ilu0", 8)), ("pc_ichol0", solvers.cg, 100, _blocks("ichol0")),
+    ("pc_chow_patel_ilu", solvers.bicgstab, 100, precondition.chow_patel), ("pc_chow_patel_icc", solvers.bicgstab, 100, lambda a: precondition.chow_patel(a, True)),
+    ("pc_spai", solvers.bicgstab, 110, lambda a: precondition.inverse_of(precondition.spai(a, 1))), ("pc_fspai", solvers.cg, 150, lambda a: precondition.factored_inverse_of(precondition.fspai(a))),
+    ("pc_amg", solvers.cg, 60, multigrid.multigrid), ("pc_amg_smoothed", solvers.cg, 30, lambda a: multigrid.multigrid(a, "sequential", "smoothed")), ("pc_amg_direct", solvers.bicgstab, 60, lambda a: multigrid.multigrid(a, "onepass", "direct")),
 ):
-    add(_n, _solve(_m, _p), _GRID)
+    add(_n, _solve(_m, _most, _p), _GRID)
+
+
+def _solve_scaled(method, make):
+    """The solution, and what the preconditioner makes of the right-hand side."""
+
+    def run(s, d):
+        a, b = grid(s, d)
+        pre = make(a)
+        z = pre(b.df).select("i", (F.col("v") / 3.14159265).alias("z"))  # off the ties of rounding
+        return rounded(rounded(method(a, b, preconditioner=pre).x.df, 3).join(z, "i"), 6, "z")
+
+    return run
+
+
+_RHS = "SELECT i, sum(v * (j % 7 + 1)) AS v FROM grid GROUP BY i"
+add("pc_jacobi", _solve_scaled(solvers.cg, precondition.jacobi), f"SELECT r.i, CAST(r.i % 7 + 1 AS DOUBLE) AS v, {R('r.v / g.v / 3.14159265e0', 6)} AS z FROM ({_RHS}) r JOIN grid g ON g.i = r.i AND g.j = r.i", _AT_GRID)
+add("pc_rowscale", _solve_scaled(solvers.bicgstab, precondition.row_scaling), f"SELECT r.i, CAST(r.i % 7 + 1 AS DOUBLE) AS v, {R('r.v / g.v / 3.14159265e0', 6)} AS z FROM ({_RHS}) r JOIN (SELECT i, sqrt(sum(v * v)) AS v FROM grid GROUP BY i) g USING (i)", _AT_GRID)
 
 
 def _solve_gram(method, pre=None):
@@ -448,43 +482,91 @@ for _n, _m, _p in (("pc_jacobi", solvers.cg, precondition.jacobi), ("pc_block_il
     add(f"{_n}_gram", _solve_gram(_m, _p), _KNOWN.format(n=64))
 
 
-def _cover(s, root: DataFrame) -> DataFrame:
-    """Every node has a root that is its own root."""
-    r = root.select(F.col("i").alias("k"), F.col("root").alias("rr"))
-    return root.join(r, F.col("root") == F.col("k"), "left").agg(F.count(F.lit(1)).alias("nodes"), F.min(F.coalesce((F.col("rr") == F.col("root")).cast("int"), F.lit(0))).alias("ok"))
-
-
-add("amg_coarsen_mis2", lambda s, d: _cover(s, multigrid.aggregate_mis2(grid(s)[0])), f"SELECT {PX * PY}::BIGINT AS nodes, 1 AS ok")
-add("amg_coarsen_agg", lambda s, d: _cover(s, multigrid.aggregate_sequential(grid(s)[0])), f"SELECT {PX * PY}::BIGINT AS nodes, 1 AS ok")
-add("amg_coarsen_onepass", lambda s, d: multigrid.coarsen_onepass(grid(s)[0]).agg(F.count(F.lit(1)).alias("nodes"), F.min((F.col("state") > 0).cast("int")).alias("ok")), f"SELECT {PX * PY}::BIGINT AS nodes, 1 AS ok")
-add("amg_influence", lambda s, d: multigrid.influence(grid(s)[0], 0.1), f"SELECT i, j FROM ({_LAPLACE.format(px=PX, py=PY)}) WHERE i <> j")
-add("amg_interp_agg", lambda s, d: matrix.row_sums(multigrid.interpolate_aggregates(grid(s)[0], multigrid.aggregate_mis2(grid(s)[0])).df), f"SELECT i, 1.0::DOUBLE AS v FROM range({PX * PY}) t(i)")
-add("smooth_jacobi", as_vec(lambda s, d: multigrid.smooth_jacobi(grid(s)[0], grid(s)[1].df, known(s, PX * PY).df, 0.7, 3)), _GRID)
+def _roots(a: Mat, root: DataFrame) -> DataFrame:
+    """(i, near, apart): whether the root of a node is a root at most two steps away, and whether at most one root is
+    next to a node or at it."""
+    e = multigrid.influence(a)
+    closed = loop.checkpoint(e.unionByName(root.select("i", F.col("i").alias("j"))).distinct())
+    root = loop.checkpoint(root)
+    heads = root.where("i = root").select(F.col("i").alias("j"))
+    first = root.join(heads.withColumnRenamed("j", "root"), "root").join(closed, "i").select("i", "j", "root")
+    near = first.join(closed.select(F.col("i").alias("j"), F.col("j").alias("root")), ["j", "root"], "left_semi").select("i").distinct().withColumn("near", F.lit(True))
+    # roots are more than two steps apart if no node has two of them next to it or at it
+    held = closed.join(heads, "j").groupBy("i").agg(F.count(F.lit(1)).alias("heads"))
+    return root.select("i").join(near, "i", "left").join(held, "i", "left").select("i", F.coalesce("near", F.lit(False)).alias("near"), (F.coalesce("heads", F.lit(0)) <= 1).alias("apart"))
+
+
+_ROOTS = "SELECT i, true AS near, true AS apart FROM range({n}) t(i)"
+
+
+def _fine(a: Mat, state: DataFrame) -> DataFrame:
+    """(i, ok): a node is coarse, or fine with a coarse one among those that influence it strongly."""
+    state = loop.checkpoint(state)
+    held = multigrid.influence(a, 0.1).join(state.where("state = 1").select(F.col("i").alias("j")), "j").select("i").distinct().withColumn("held", F.lit(True))
+    return state.join(held, "i", "left").select("i", ((F.col("state") == 1) | (F.coalesce("held", F.lit(False)) & (F.col("state") == 2))).alias("ok"))
+
+
+def _direct_sums(s, d) -> DataFrame:
+    """Row sums of direct interpolation: 1 on coarse nodes, and what makes up for all neighbours on fine ones."""
+    a = grid(s, d)[0]
+    state = loop.checkpoint(multigrid.coarsen_onepass(a))
+    sums = matrix.row_sums(multigrid.interpolate_direct(a, state).df).withColumnRenamed("v", "p")
+    want = a.df.groupBy("i").agg((-F.sum(F.when(F.col("i") != F.col("j"), F.col("v"))) / F.max(F.when(F.col("i") == F.col("j"), F.col("v")))).alias("t"))
+    return state.join(want, "i").join(sums, "i").select("i", (F.abs(F.col("p") - F.when(F.col("state") == 1, 1.0).otherwise(F.col("t"))) < 1e-9).alias("ok"))
+
+
+add("amg_coarsen_mis2", lambda s, d: _roots(a := grid(s, d)[0], multigrid.aggregate_mis2(a)), _ROOTS.format(n=CELLS))
+add("amg_coarsen_agg", lambda s, d: _roots(a := grid(s, d)[0], multigrid.aggregate_sequential(a)), _ROOTS.format(n=CELLS))
+add("amg_coarsen_onepass", lambda s, d: _fine(a := grid(s, d)[0], multigrid.coarsen_onepass(a)), f"SELECT i, true AS ok FROM range({CELLS}) t(i)")
+add("amg_influence", lambda s, d: multigrid.influence(grid(s, d)[0], 0.1), "SELECT i, j FROM grid JOIN (SELECT i, min(v) AS lo FROM grid WHERE i <> j GROUP BY i) USING (i) WHERE i <> j AND v <= 0.1e0 * lo", _AT_GRID)
+add("amg_interp_agg", lambda s, d: matrix.row_sums(multigrid.interpolate_aggregates(a := grid(s, d)[0], multigrid.aggregate_mis2(a)).df), f"SELECT i, 1.0::DOUBLE AS v FROM range({CELLS}) t(i)")
+add("amg_interp_sa", as_vec(lambda s, d: matrix.row_sums(multigrid.interpolate_smoothed(a := grid(s, d)[0], multigrid.aggregate_mis2(a), 0.5).df).withColumn("v", F.col("v") / 3.14159265), 6), f"SELECT i, {R('(1 - 0.5e0 * sum(v) / max(CASE WHEN i = j THEN v END)) / 3.14159265e0', 6)} AS v FROM grid GROUP BY i", _AT_GRID)
+add("amg_interp_direct", _direct_sums, f"SELECT i, true AS ok FROM range({CELLS}) t(i)")
+_STEP = "SELECT x.i, x.v + 0.7 * (r.v - t.v) / g.v AS v FROM x{k} x JOIN r USING (i) JOIN grid g ON g.i = x.i AND g.j = x.i JOIN (SELECT grid.i, sum(grid.v * y.v) AS v FROM grid JOIN x{k} y ON y.i = grid.j GROUP BY grid.i) t ON t.i = x.i"
+WITH["r"], WITH["x0"] = _RHS, "SELECT i, 0.0e0 AS v FROM cell"
+for _k in range(3):
+    WITH[f"x{_k + 1}"] = _STEP.format(k=_k)
+add("smooth_jacobi", as_vec(lambda s, d: multigrid.smooth_jacobi(*(g := grid(s, d))[:1], g[1].df, sources.zero_vector(s, CELLS).df, 0.7, 3), 6), f"SELECT i, {R('v', 6)} AS v FROM x3", f"{_AT_GRID} r x0 x1 x2 x3")
 
 # ---- spectra ------------------------------------------------------------------------------------------------------
+EX, EY, LX, LY = 12, 10, 80, 64
 _EIG = "4 - 2 * cos((p + 1) * pi() / {a}) - 2 * cos((q + 1) * pi() / {b})"
-_EIGS = f"SELECT {_EIG.format(a=PX + 1, b=PY + 1)} AS value FROM range({PX}) a(p), range({PY}) b(q)"
+_EIGS = "SELECT " + _EIG.format(a="({x} + 1)", b="({y} + 1)") + " AS value FROM range({x}) a(p), range({y}) b(q)"
+
+
+def _top(fn, x: int, y: int, k: int, digits: int = 4):
+    return lambda s, d: rounded(spectral.to_frame(s, fn(sources.laplace_2d(s, x, y))[:k]), digits)
+
 
+def _ranked(x: int, y: int, k: int, digits: int = 4) -> str:
+    return f"SELECT CAST(row_number() OVER (ORDER BY value DESC) - 1 AS INTEGER) AS k, {R('value', digits)} AS value FROM ({_EIGS.format(x=x, y=y)}) ORDER BY value DESC LIMIT {k}"
 
-def _top(fn, k: int, digits: int = 4):
-    return lambda s, d: rounded(spectral.to_frame(s, fn(grid(s)[0])[:k]), digits)
 
+# the Gram matrix multiplied by itself nine times over, scaled by its trace: its largest eigenvalue is all that is left
+for _k in range(10):
+    WITH[f"t{_k}"] = f"SELECT i, j, v / (SELECT sum(v) FROM {f'p{_k}' if _k else 'g'} WHERE i = j) AS v FROM {f'p{_k}' if _k else 'g'}"
+    WITH[f"p{_k + 1}"] = f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM t{_k} a JOIN t{_k} b ON a.j = b.i GROUP BY 1, 2"
+_POWERS = "e g " + " ".join(f"t{k} p{k + 1}" for k in range(9)) + " t9"
+add("eig_power", lambda s, d: rounded(spectral.to_frame(s, np.array([spectral.power_iteration(G(s, d), 1e-12)[0]])), 3), f"SELECT 0 AS k, {R('(SELECT sum(g.v * t9.v) FROM g JOIN t9 ON g.i = t9.j AND g.j = t9.i) / (SELECT sum(v) FROM t9 WHERE i = j)', 3)} AS value", _POWERS)
+add("eig_lanczos", _top(lambda a: spectral.lanczos(a, 3, 260), LX, LY, 3), _ranked(LX, LY, 3))
+add("eig_lanczos_partial", _top(lambda a: spectral.lanczos(a, 3, 260, "partial"), LX, LY, 3), _ranked(LX, LY, 3))
+add("eig_qr_sym", _top(lambda a: spectral.eigen_symmetric(a)[0], EX, EY, EX * EY), _ranked(EX, EY, EX * EY))
 
-def _ranked(k: int, digits: int = 4) -> str:
-    return f"SELECT CAST(row_number() OVER (ORDER BY value DESC) - 1 AS INTEGER) AS k, {R('value', digits)} AS value FROM ({_EIGS}) ORDER BY value DESC LIMIT {k}"
 
+def _companion(s) -> Mat:
+    """The companion matrix of the polynomial with the roots 1..6, far from triangular."""
+    c = np.poly(np.arange(1, 7))
+    m = np.diag(np.ones(5), -1)
+    m[:, -1] = -c[1:][::-1]
+    return sources.matrix_from(s, m)
 
-_halves = [[2.0 ** (5 - k) if j == k else 1.0 * (j > k) for j in range(6)] for k in range(6)]
-add("eig_power", lambda s, d: rounded(spectral.to_frame(s, np.array([spectral.power_iteration(sources.matrix_from(s, _halves))[0]]))), "SELECT 0 AS k, 32.0::DOUBLE AS value")
-add("eig_power_gram", lambda s, d: rounded(spectral.to_frame(s, np.array([spectral.power_iteration(G(s, d))[0]])), 2))
-add("eig_lanczos", _top(lambda a: spectral.lanczos(a, 3, 12), 3), _ranked(3))
-add("eig_qr_sym", _top(lambda a: spectral.eigen_symmetric(a)[0], PX * PY), _ranked(PX * PY))
-add("eig_qr_nsm", lambda s, d: rounded(spectral.to_frame(s, spectral.eigen_general(sources.matrix_from(s, [[k + 1.0 if j == k else 1.0 * (j > k) for j in range(6)] for k in range(6)]))[0])), "SELECT CAST(i AS INTEGER) AS k, CAST(6 - i AS DOUBLE) AS value FROM range(6) t(i)")
+
+add("eig_qr_nsm", lambda s, d: rounded(spectral.to_frame(s, spectral.eigen_general(_companion(s))[0])), "SELECT CAST(i AS INTEGER) AS k, CAST(6 - i AS DOUBLE) AS value FROM range(6) t(i)")
 _TRI = f"SELECT CAST(i AS INTEGER) AS k, {R('2 - 2 * cos((i + 1) * pi() / 51)')} AS value FROM range(50) t(i)"
 _tri = (np.full(50, 2.0), np.append(0.0, np.full(49, -1.0)))
 add("eig_bisect", lambda s, d: rounded(spectral.to_frame(s, spectral.bisect(*_tri, tol=1e-9))), _TRI)
 add("eig_tql2", lambda s, d: rounded(spectral.to_frame(s, spectral.tridiagonal_eigen(*_tri)[0])), _TRI)
-add("tridiag_reduce", lambda s, d: rounded(spectral.to_frame(s, spectral.tridiagonal_eigen(*spectral.tridiagonalize(sources.to_numpy(grid(s)[0]))[:2])[0][::-1])), _ranked(PX * PY))
+add("tridiag_reduce", lambda s, d: rounded(spectral.to_frame(s, spectral.tridiagonal_eigen(*spectral.tridiagonalize(sources.to_numpy(sources.laplace_2d(s, EX, EY)))[:2])[0][::-1])), _ranked(EX, EY, EX * EY))
 add("lanczos_invit", lambda s, d: rounded(spectral.to_frame(s, np.abs(spectral.inverse_iteration(*_tri, 2 - 2 * math.cos(math.pi / 51))))), f"SELECT CAST(i AS INTEGER) AS k, {R('sqrt(2 / 51.0) * sin((i + 1) * pi() / 51)')} AS value FROM range(50) t(i)")
 
 
@@ -497,14 +579,19 @@ add("svd", _svd, f"SELECT i, j, {R('v')} AS v FROM e", "e")
 
 
 def _nmf(s, d):
-    m = table(s, d, "lineitem").groupBy((F.col("l_linenumber") - 1).cast("bigint").alias("i"), (F.month("l_shipdate") - 1).cast("bigint").alias("j")).agg((F.sum("l_quantity") / 100).alias("v"))
-    v = Mat(loop.checkpoint(m), 7, 12)
+    """A matrix of rank 3 from parts and nations, factored from fixed starts to the operator's own stopping rule."""
+    t = loop.checkpoint(table(s, d, "part").selectExpr("p_partkey - 1 AS i", "p_size", "p_retailprice").where("i >= 0 AND i < 200").withColumn("w", F.expr("array(1 + p_size % 7, 1 + p_size % 5, p_retailprice / 500)")))
+    known_h = "array(1 + j * 3 % 4, j % 3, 1 + j * 5 % 7)"
+    v = t.select("i", "w", F.expr("explode(sequence(0L, 39L)) AS j")).withColumn("h", F.expr(known_h)).select("i", "j", F.expr("w[0] * h[0] + w[1] * h[1] + w[2] * h[2] AS v"))
+    v = Mat(loop.checkpoint(v), 200, 40)
     start = lambda a, b, k: Mat(s.range(a).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(b - 1).cast("bigint"))).alias("j")).withColumn("v", 1 + (F.col("i") * k + F.col("j") * 5) % 7 / 7), a, b)
-    *_, steps, err = spectral.nmf(v, 3, start(7, 3, 3), start(3, 12, 2), most=8, every=5)
-    return s.range(1).select((F.lit(err) < 0.3).alias("close"))
+    w, h, *_ = spectral.nmf(v, 3, start(200, 3, 3), start(3, 40, 2), tol=3e-3, every=10)
+    top = v.df.agg(F.max("v")).first()[0]
+    both = v.df.join(product.multiply(w, h).df.withColumnRenamed("v", "p"), ["i", "j"])
+    return both.select("i", "j", (F.abs(F.col("v") - F.col("p")) < 0.03 * top).alias("close"))
 
 
-add("nmf", _nmf, "SELECT true AS close")
+add("nmf", _nmf, "SELECT p_partkey - 1 AS i, j, true AS close FROM part, range(40) t(j) WHERE p_partkey - 1 >= 0 AND p_partkey - 1 < 200")
 
 # ---- Fourier ------------------------------------------------------------------------------------------------------
 def _signal(s, d):
@@ -546,19 +633,19 @@ add("permute", lambda s, d: matrix.permute(G(s, d).df, _reverse(s, 64)).transfor
 
 def _ordering(fn):
     def run(s, d):
-        a = grid(s)[0]
-        n = a.m
-        shuffled = Mat(loop.checkpoint(matrix.permute(a.df, s.range(n).select(F.col("id").alias("i"), ((F.col("id") * 5 + 3) % n).alias("p")))), n, n)
+        a = grid(s, d)[0]
+        shuffled = Mat(loop.checkpoint(matrix.permute(a.df, s.range(CELLS).select(F.col("id").alias("i"), ((F.col("id") * 1021 + 3) % CELLS).alias("p")))), CELLS, CELLS)
         p = loop.checkpoint(fn(shuffled))
-        after = matrix.bandwidth(matrix.permute(shuffled.df, p)).first()[0]
-        before = matrix.bandwidth(shuffled.df).first()[0]
-        return p.agg(F.countDistinct("i").alias("rows"), F.countDistinct("p").alias("places")).withColumn("less", F.lit(after <= 2 * min(PX, PY) < before))
+        after = matrix.bandwidth(matrix.permute(shuffled.df, p)).withColumnRenamed("bandwidth", "after")
+        before = matrix.bandwidth(shuffled.df).withColumnRenamed("bandwidth", "before")
+        return p.agg(F.countDistinct("i").alias("rows"), F.countDistinct("p").alias("places")).crossJoin(before).crossJoin(after).select("rows", "places", "before", (F.col("after") <= PX + 2).alias("narrow"))
 
     return run
 
 
+_MOVED = f"(i * 1021 + 3) % {CELLS}"
 for _n, _f in (("reorder_cm", reorder.cuthill_mckee), ("reorder_acm", reorder.advanced_cuthill_mckee), ("reorder_gps", reorder.gibbs_poole_stockmeyer)):
-    add(_n, _ordering(_f), f"SELECT {PX * PY}::BIGINT AS rows, {PX * PY}::BIGINT AS places, true AS less")
+    add(_n, _ordering(_f), f"SELECT {CELLS}::BIGINT AS rows, {CELLS}::BIGINT AS places, max(abs({_MOVED} - {_MOVED.replace('i *', 'j *')})) AS before, true AS narrow FROM grid", _AT_GRID)
 
 
 def bought_together(s, d) -> Mat:
@@ -570,8 +657,18 @@ def bought_together(s, d) -> Mat:
     return Mat(loop.checkpoint(g.df), n, n)
 
 
-_PARTS = "SELECT n AS rows, n AS places FROM np"
+_PARTS = "SELECT n AS rows, n AS places, true AS no_wider FROM np"
+
+
+def _order_parts(s, d, fn) -> DataFrame:
+    g = bought_together(s, d)
+    p = loop.checkpoint(fn(g))
+    width = lambda m, name: matrix.bandwidth(m).withColumnRenamed("bandwidth", name)
+    both = width(g.df, "before").crossJoin(width(matrix.permute(g.df, p), "after"))
+    return p.agg(F.countDistinct("i").alias("rows"), F.countDistinct("p").alias("places")).crossJoin(both).select("rows", "places", F.coalesce(F.col("after") <= F.col("before"), F.lit(True)).alias("no_wider"))
+
+
 for _n, _f in (("reorder_cm", reorder.cuthill_mckee), ("reorder_acm", reorder.advanced_cuthill_mckee), ("reorder_gps", reorder.gibbs_poole_stockmeyer)):
-    add(f"{_n}_parts", lambda s, d, f=_f: f(bought_together(s, d)).agg(F.countDistinct("i").alias("rows"), F.countDistinct("p").alias("places")), _PARTS, "np")
+    add(f"{_n}_parts", lambda s, d, f=_f: _order_parts(s, d, f), _PARTS, "np")
 for _n, _f in (("mis2", multigrid.aggregate_mis2), ("agg", multigrid.aggregate_sequential)):
-    add(f"amg_coarsen_{_n}_parts", lambda s, d, f=_f: _cover(s, f(bought_together(s, d))), "SELECT n AS nodes, 1 AS ok FROM np", "np")
+    add(f"amg_coarsen_{_n}_parts", lambda s, d, f=_f: _roots(g := bought_together(s, d), f(g)), "SELECT i, true AS near, true AS apart FROM np, range(n) t(i)", "np")

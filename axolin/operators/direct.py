@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,37 +52,47 @@ def _for_rows(d: np.ndarray, start: int):
     return solve
 
 
-def trsm(a: Mat, b: Mat, kind: str = "lower", unit: bool = False, transposed: bool = False, block: int = BLOCK) -> Mat:
-    """X with op(T) X = B, T the lower or upper triangle of A, with a unit diagonal if asked.
+def trsm(a: Mat, b: Mat, kind: str = "lower", unit: bool = False, transposed: bool = False, block: int = BLOCK, transposed_b: bool = False) -> Mat:
+    """X with op(T) X = op(B), T the lower or upper triangle of A, with a unit diagonal if asked.
 
-    Right-hand sides are independent: each block of rows is solved for all of them by grouped numpy calls. A zero on
-    the diagonal raises.
+    The triangle is halved until a block of at most `block` rows is left, which is solved for all right-hand sides by
+    grouped numpy calls. What the first half of a range gives to the second is one product of a square of T with the
+    solved half, so every solved part is read once for each halving and not once for each later block, and no plan holds
+    more than one half. A zero on the diagonal raises.
     """
+    b = b.T if transposed_b else b
     need(kind in ("lower", "upper") and a.m == a.n == b.m, "a square triangle and a fitting right-hand side are needed")
     tri = a.df.where(F.col("j") <= F.col("i")) if kind == "lower" else a.df.where(F.col("j") >= F.col("i"))
     if transposed:
         tri, kind = Mat(tri, a.m, a.n).T.df, "upper" if kind == "lower" else "lower"
-    starts = list(range(0, a.m, block))
-    starts = starts if kind == "lower" else starts[::-1]
-    done: DataFrame | None = None
-    for start in starts:
-        stop = min(a.m, start + block)
-        d = _block(tri, start, stop)
-        if unit:
-            np.fill_diagonal(d, 1.0)
-        if (np.diag(d) == 0).any():
-            raise ZeroDivisionError(f"zero on the diagonal in rows {start}..{stop - 1}")
-        rest = b.df.where((F.col("i") >= start) & (F.col("i") < stop))
-        if done is not None:
-            part = tri.where((F.col("i") >= start) & (F.col("i") < stop))
-            part = part.where(F.col("j") < start) if kind == "lower" else part.where(F.col("j") >= stop)
-            known = done.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("w"))
-            less = part.join(known, F.col("j") == F.col("k")).select("i", F.col("c").alias("j"), (-F.col("v") * F.col("w")).alias("v"))
-            rest = rest.unionByName(less).groupBy("i", "j").agg(F.sum("v").alias("v"))
-
-        x = checkpoint(rest.groupBy("j").applyInPandas(_for_columns(d, start), _COO))
-        done = x if done is None else done.unionByName(x)
-    return Mat(done if done is not None else b.df, b.m, b.n)
+    blocks = -(-a.m // block)
+    if blocks == 0:
+        return b
+    number = lambda c: F.expr(f"{c} div {block}")
+    # one job gathers the bounded diagonal blocks' zero test; each block itself is fetched when its turn comes
+    if not unit:
+        full = tri.where("i = j AND v != 0").count()
+        if full != a.m:
+            raise ZeroDivisionError("zero on the diagonal")
+
+    def solve(lo: int, hi: int, rest: DataFrame) -> DataFrame:
+        """The solution in the rows of blocks lo..hi-1 of what is left of the right-hand side there."""
+        if hi - lo == 1:
+            d = _block(tri, lo * block, min(a.m, hi * block))
+            if unit:
+                np.fill_diagonal(d, 1.0)
+            return checkpoint(rest.groupBy("j").applyInPandas(_for_columns(d, lo * block), _COO))
+        mid = (lo + hi) // 2
+        inside = lambda c, x, y: (number(c) >= x) & (number(c) < y)
+        first, second = ((lo, mid), (mid, hi)) if kind == "lower" else ((mid, hi), (lo, mid))
+        x = solve(*first, rest.where(inside("i", *first)))
+        known = x.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("w"))
+        square = tri.where(inside("i", *second) & inside("j", *first))
+        less = square.join(known, F.col("j") == F.col("k")).select("i", F.col("c").alias("j"), (-F.col("v") * F.col("w")).alias("v"))
+        left = checkpoint(rest.where(inside("i", *second)).unionByName(less).groupBy("i", "j").agg(F.sum("v").alias("v")))
+        return checkpoint(x.unionByName(solve(*second, left)))
+
+    return Mat(solve(0, blocks, b.df), b.m, b.n)
 
 
 def trsv(a: Mat, b: Vec, kind: str = "lower", unit: bool = False, transposed: bool = False, block: int = BLOCK) -> Vec:
@@ -154,56 +166,61 @@ def lu_solve(factors: Mat, b: Vec) -> Vec:
 
 
 def _rows(a: Mat) -> DataFrame:
-    return a.df.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("e"))
+    return a.df.groupBy("i").agg(F.collect_list(F.col("j").cast("bigint")).alias("js"), F.collect_list(F.col("v").cast("double")).alias("vs"))
 
 
-def qr_r(a: Mat) -> np.ndarray:
+def _dense(b: pa.RecordBatch, n: int) -> np.ndarray:
+    """The rows of a batch (i, js, vs)."""
+    js, vs = b.column("js"), b.column("vs")
+    x = np.zeros((b.num_rows, n))
+    at = np.repeat(np.arange(b.num_rows), js.value_lengths().to_numpy(zero_copy_only=False))
+    x[at, js.flatten().to_numpy(zero_copy_only=False)] = vs.flatten().to_numpy(zero_copy_only=False)
+    return x
+
+
+def qr_r(a: Mat, fan: int = 8) -> np.ndarray:
     """R with a non-negative diagonal (n x n, on the driver), for at most sqrt(LOCAL_ENTRIES) columns: every partition
-    reduces its rows to n, and the partial factors are reduced again in a few tasks until one is left."""
+    reduces its rows to n, and `fan` partial factors at a time are reduced again up a tree of tasks until one is left.
+    Levels are parted by a shuffle of the factors, so that the first one keeps all its tasks."""
     n = a.n
     need(n * n <= LOCAL_ENTRIES, "too many columns")
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.zeros((0, n))
-        for pdf in batches:
-            x = np.zeros((len(pdf), n))
-            for k, e in enumerate(pdf["e"]):
-                for cell in e:
-                    x[k, cell["j"]] = cell["v"]
-            r = np.linalg.qr(np.vstack([r, x]), mode="r")
-        yield pd.DataFrame({"e": [[{"j": j, "v": float(row[j])} for j in range(n)] for row in r]})
-
-    parts = _rows(a).select("e").mapInPandas(reduce, "e array<struct<j:bigint,v:double>>")
-    width = parts.rdd.getNumPartitions()
-    while width > 1:
-        width = -(-width // 8)
-        parts = parts.coalesce(width).mapInPandas(reduce, "e array<struct<j:bigint,v:double>>")
-    rows = parts.collect()
-    r = np.array([[c["v"] for c in row["e"]] for row in rows]).reshape(len(rows), n)
-    r = np.linalg.qr(r, mode="r") if len(r) else np.zeros((0, n))
-    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+        for b in batches:
+            r = np.linalg.qr(np.vstack([r, _dense(b, n)]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([r.tobytes()], pa.binary())], ["part", "r"])
 
+    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(np.vstack([np.frombuffer(x).reshape(-1, n) for x in pdf["r"]]), mode="r")
+        return pd.DataFrame({"part": [int(key[0])], "r": [r.tobytes()]})
 
-def qr(a: Mat) -> tuple[Mat, np.ndarray]:
-    """(Q, R): Q = A R^-1, row by row."""
-    r = qr_r(a)
-    inverse = np.linalg.inv(r)
+    parts = checkpoint(_rows(a).mapInArrow(first, "part int, r binary"))
+    while parts.count() > fan:
+        parts = checkpoint(parts.groupBy(F.expr(f"part div {fan}").cast("int").alias("part")).applyInPandas(merge, "part int, r binary"))
+    rows = [np.frombuffer(x.r).reshape(-1, n) for x in parts.orderBy("part").collect()]
+    r = np.linalg.qr(np.vstack(rows), mode="r") if rows else np.zeros((0, n))
+    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None] if len(r) == n else r
 
-    n = a.n
 
-    def times(m: np.ndarray, x: Mat) -> Mat:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                d = np.zeros((len(pdf), n))
-                for k, e in enumerate(pdf["e"]):
-                    for c in e:
-                        d[k, c["j"]] = c["v"]
-                q = d @ m
-                yield pd.DataFrame({"i": np.repeat(pdf["i"].to_numpy(), n), "j": np.tile(np.arange(n), len(pdf)), "v": q.ravel()})
+def times_rows(a: Mat, m: np.ndarray) -> Mat:
+    """A M for a dense M of few columns, row by row."""
+    n, k = a.n, m.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = _dense(b, n) @ m
+            i = b.column("i").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, k)), pa.array(np.tile(np.arange(k), len(i))), pa.array(q.ravel())], ["i", "j", "v"])
 
-        return Mat(_rows(x).mapInPandas(run, _COO), a.m, a.n)
+    return Mat(_rows(a).mapInArrow(run, _COO), a.m, k)
 
-    return times(inverse, a), r
+
+def qr(a: Mat) -> tuple[Mat, np.ndarray]:
+    """(Q, R): Q = A R^-1, row by row; R is reduced up a tree of tasks."""
+    r = qr_r(a)
+    return times_rows(a, np.linalg.inv(r)), r
 
 
 def least_squares(a: Mat, b: Vec) -> Vec:

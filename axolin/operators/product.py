@@ -6,11 +6,15 @@ shuffled by the contraction index and adaptive execution splits skewed indices.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axolin.operators.fourier import linear_convolution
 from axolin.operators.vector import axpby, lookup
 from axolin.types import Mat, Vec, need, small
 
@@ -72,6 +76,30 @@ def blocked(a: Mat, size: int) -> DataFrame:
     return groups.applyInPandas(fill, "bi int, bj int, data array<double>")
 
 
+_BLOCK = "bi int, bj int, data array<double>"
+
+
+def _blocks(sums: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    at = list(sums)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in at], pa.int32()), pa.array([k[1] for k in at], pa.int32()), pa.array([sums[k] for k in at], pa.list_(pa.float64()))], ["bi", "bj", "data"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each run of blocks of one place."""
+    last, held = None, None
+    for b in batches:
+        cells = b.column("data").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else []
+        for at, d in zip(zip(b.column("bi").to_pylist(), b.column("bj").to_pylist(), strict=True), cells, strict=True):
+            if at == last:
+                held += d
+                continue
+            if last is not None:
+                yield _blocks({last: held})
+            last, held = at, d.copy()
+    if last is not None:
+        yield _blocks({last: held})
+
+
 def gemm_blocks(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     """The product of blocked matrices: block pairs meet by join, numpy multiplies them, partial blocks are summed."""
 
@@ -82,10 +110,24 @@ def gemm_blocks(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     right = b.select(F.col("bi").alias("k"), F.col("bj").alias("l"), F.col("data").alias("other"))
     parts = a.join(right, F.col("bj") == F.col("k")).select("bi", F.col("l").alias("bj"), times("data", "other").alias("data"))
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bi": pdf["bi"][:1], "bj": pdf["bj"][:1], "data": [np.sum(np.stack(pdf["data"].to_list()), axis=0)]})
-
-    return parts.groupBy("bi", "bj").applyInPandas(total, "bi int, bj int, data array<double>")
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums the blocks of one place as they come; a task has the places of its batches."""
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            cells = b.column("data").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for at, d in zip(zip(b.column("bi").to_pylist(), b.column("bj").to_pylist(), strict=True), cells, strict=True):
+                if at in sums:
+                    sums[at] += d
+                else:
+                    sums[at] = d.copy()
+                if len(sums) * d.size > 1 << 25:  # 256 MB
+                    yield _blocks(sums)
+                    sums = {}
+        if sums:
+            yield _blocks(sums)
+
+    # partial sums in the tasks of the join, then whole ones: combined before and after the shuffle
+    return parts.mapInArrow(total, _BLOCK).repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_runs, _BLOCK)
 
 
 def from_blocks(blocks: DataFrame, size: int, m: int, n: int) -> Mat:
@@ -99,35 +141,43 @@ def galerkin(p: Mat, a: Mat) -> Mat:
     return multiply(p.T, multiply(a, p))
 
 
-def _structured(e: Vec, x: Vec, m: int, key) -> Vec:
-    """y_i = sum over j of e[key(i, j)] x_j: x is laid out over i, and the parameters join on the computed key."""
-    terms = x.df.select(F.col("i").alias("j"), "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))).alias("i"))
-    terms = terms.withColumn("key", key(F.col("i"), F.col("j"))).join(lookup(e.df, e.n), "key")
-    return Vec(terms.groupBy("i").agg(F.sum(F.col("v") * F.col("w")).alias("v")), m)
+def _part(y: DataFrame, start: int, n: int) -> Vec:
+    return Vec(y.where((F.col("i") >= start) & (F.col("i") < start + n)).select((F.col("i") - start).alias("i"), "v"), n)
 
 
 def circulant(e: Vec, x: Vec) -> Vec:
-    """Entries (i, j) are e[(i - j) mod n]."""
+    """Entries (i, j) are e[(i - j) mod n]: a convolution, folded."""
     need(e.n == x.n, "lengths differ")
-    return _structured(e, x, x.n, lambda i, j: F.pmod(i - j, F.lit(x.n).cast("bigint")))
+    y = linear_convolution(e.df, e.n, x.df, x.n)
+    return Vec(y.groupBy(F.pmod("i", F.lit(x.n).cast("bigint")).alias("i")).agg(F.sum("v").alias("v")), x.n)
 
 
 def toeplitz(e: Vec, x: Vec) -> Vec:
-    """Entries (i, j) are e[n - 1 + i - j]: 2 n - 1 parameters, from the upper right corner to the lower left one."""
+    """Entries (i, j) are e[n - 1 + i - j]: 2 n - 1 parameters, from the upper right corner to the lower left one; the
+    product is the middle part of a convolution."""
     need(e.n == 2 * x.n - 1, "2 n - 1 parameters are needed")
-    return _structured(e, x, x.n, lambda i, j: i - j + (x.n - 1))
+    return _part(linear_convolution(e.df, e.n, x.df, x.n), x.n - 1, x.n)
 
 
 def hankel(e: Vec, x: Vec) -> Vec:
-    """Entries (i, j) are e[i + j]."""
+    """Entries (i, j) are e[i + j]: the same with x reversed."""
     need(e.n == 2 * x.n - 1, "2 n - 1 parameters are needed")
-    return _structured(e, x, x.n, lambda i, j: i + j)
+    return _part(linear_convolution(e.df, e.n, x.df.select((x.n - 1 - F.col("i")).alias("i"), "v"), x.n), x.n - 1, x.n)
+
+
+#: Coefficients of a polynomial that one row holds.
+COEFFICIENTS = 4096
 
 
 def vandermonde(e: Vec, x: Vec) -> Vec:
-    """Entries (i, j) are e[i] ** j."""
-    terms = x.df.select(F.col("i").alias("j"), "v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(e.n - 1).cast("bigint"))).alias("key")).join(lookup(e.df, e.n), "key")
-    return Vec(terms.groupBy(F.col("key").alias("i")).agg(F.sum(F.pow("w", F.col("j").cast("double")) * F.col("v")).alias("v")), e.n)
+    """Entries (i, j) are e[i] ** j: polynomials at the points e, by Horner's rule over arrays of COEFFICIENTS."""
+    at = F.expr(f"{COEFFICIENTS - 1} - i % {COEFFICIENTS}").cast("int")
+    parts = x.df.groupBy(F.expr(f"i div {COEFFICIENTS}").alias("part")).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "v"))).alias("c"))
+    step = lambda acc, c: F.struct((acc["v"] * F.pow(F.col("e"), (c["at"] - acc["at"]).cast("double")) + c["v"]).alias("v"), c["at"].alias("at"))
+    value = F.aggregate("c", F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("at")), step)
+    rows = e.df.select("i", F.col("v").alias("e")).crossJoin(small(parts, -(-x.n // COEFFICIENTS) * COEFFICIENTS))
+    low = value["v"] * F.pow(F.col("e"), (COEFFICIENTS - 1 - value["at"]).cast("double")) * F.pow(F.col("e"), (F.col("part") * COEFFICIENTS).cast("double"))
+    return Vec(rows.groupBy("i").agg(F.sum(low).alias("v")), e.n)
 
 
 def convolve(x: Vec, y: Vec) -> Vec:

@@ -9,10 +9,14 @@ from pyspark.storagelevel import StorageLevel
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the folder named in spark.checkpoint.dir, which executors share."""
+    """df written to the folder named in spark.checkpoint.dir, which executors share. Only a local master gets a folder
+    of its own where none is named; elsewhere that is an error."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="axolin-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="axolin-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

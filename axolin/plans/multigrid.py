@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from axolin.operators.product import galerkin, gemv, multiply
 from axolin.operators.vector import axpby
+from axolin.plans.blocks import packed, to_array
 from axolin.plans.loop import checkpoint
 from axolin.sources import to_numpy
-from axolin.types import LOCAL_ENTRIES, Mat, Vec, need
+from axolin.types import LOCAL_ENTRIES, Mat, Vec, driver_sized, need
 
 UNDECIDED, COARSE, FINE = 0, 1, 2
 
@@ -90,6 +91,8 @@ def aggregate_sequential(a: Mat) -> DataFrame:
 def aggregate_mis2(a: Mat, seed: int = 0) -> DataFrame:
     """(i, root) from a distance-2 independent set: each round spreads the greatest (state, weight, index) over neighbours twice; a node that is its own maximum is a root."""
     edges = checkpoint(influence(a))
+    if driver_sized(a.m):
+        return _mis2_arrays(Mat(edges.withColumn("v", F.lit(1.0)), a.m, a.m), seed)
     nodes = a.df.sparkSession.range(a.m).select(F.col("id").alias("i"), F.lit(1).alias("state"), F.xxhash64(F.lit(seed), "id").alias("w"))
     while True:
         best = nodes.select("i", F.struct("state", "w", F.col("i").alias("at")).alias("b"))
@@ -109,6 +112,36 @@ def aggregate_mis2(a: Mat, seed: int = 0) -> DataFrame:
     return root.select("i", F.coalesce("root", "i").alias("root"))
 
 
+def _longs(df: DataFrame, n: int) -> np.ndarray:
+    got, out = df.toPandas(), np.zeros(n, np.int64)
+    out[got["i"].to_numpy()] = got["v"].to_numpy()
+    return out
+
+
+def _mis2_arrays(edges: Mat, seed: int) -> DataFrame:
+    """The same with (state, weight, index) as one number a node, on the driver; a spread is one job over the edges."""
+    spark, n = edges.df.sparkSession, edges.m
+    near = packed(edges)
+    weights = _longs(spark.range(n).select(F.col("id").alias("i"), F.xxhash64(F.lit(seed), "id").alias("v")), n)
+    by_rank = np.lexsort((np.arange(n), weights))
+    rank = np.empty(n, np.int64)
+    rank[by_rank] = np.arange(n)
+    state = np.ones(n, np.int64)
+    while (state == 1).any():
+        best = state * n + rank
+        for _ in range(2):
+            best = np.maximum(best, near.most(best))
+        top = by_rank[best % n] == np.arange(n)
+        state = np.where(state != 1, state, np.where(top, 2, np.where(best // n == 2, 0, 1)))
+    root = np.where(state == 2, np.arange(n), -1)
+    for _ in range(2):  # a root is at most two steps away; the smallest of several is taken
+        seen = near.most(np.where(root >= 0, n - root, 0))
+        root = np.where(root >= 0, root, np.where(seen > 0, n - seen, -1))
+    near.release()
+    root = np.where(root >= 0, root, np.arange(n))
+    return spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "root": root}), "i long, root long")
+
+
 def _numbered(nodes: DataFrame, name: str) -> DataFrame:
     """(node, c): consecutive numbers by index, through counts of index ranges."""
     ids = nodes.select(F.col(name).alias("node")).distinct().withColumn("range", F.expr("node div 65536"))
@@ -169,9 +202,34 @@ class Multigrid:
     levels: list[tuple[Mat, Mat]] = field(default_factory=list)
     coarsest: np.ndarray | None = None
 
+    packs: list | None = None
+
     def __call__(self, r: DataFrame) -> DataFrame:
         return self._cycle(0, r)
 
+    @property
+    def arrays(self):
+        """The V-cycle on arrays, None where they would be too long for the driver."""
+        if not driver_sized(self.levels[0][0].m if self.levels else 0):
+            return None
+        if self.packs is None:
+            diagonal = lambda a: to_array(a.df.where(F.col("i") == F.col("j")), a.m)
+            self.packs = [(packed(a), diagonal(a), packed(p)) for a, p in self.levels]
+        return lambda r: self._cycle_arrays(0, r)
+
+    def _cycle_arrays(self, k: int, b: np.ndarray) -> np.ndarray:
+        if k == len(self.levels):
+            return self.coarsest @ b
+        a, d, p = self.packs[k]
+        x = self.weight * b / d
+        for _ in range(self.before - 1):
+            x = x + self.weight * (b - a.times(x)) / d
+        rest = b - a.times(x) if self.before else b
+        x = (x if self.before else 0) + p.times(self._cycle_arrays(k + 1, p.times_t(rest)))
+        for _ in range(self.after):
+            x = x + self.weight * (b - a.times(x)) / d
+        return x
+
     def _cycle(self, k: int, b: DataFrame) -> DataFrame:
         if k == len(self.levels):
             inverse, n = self.coarsest, len(self.coarsest)

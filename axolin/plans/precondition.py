@@ -1,4 +1,4 @@
-"""Preconditioners: objects that map a residual DataFrame (i, v) to a corrected one.
+"""Preconditioners: objects that map a residual DataFrame (i, v) to a corrected one, and arrays likewise (blocks.Both).
 
 Incomplete factorizations are sequential by nature, so they run on diagonal blocks, one grouped call each (one block
 is the classical form and must fit one task; a block may have types.LOCAL_ENTRIES entries at most). The Chow-Patel
@@ -7,6 +7,9 @@ forms and the approximate inverses work on all entries at once by joins or for e
 
 from __future__ import annotations
 
+import pickle
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from axolin.operators.matrix import row_info
 from axolin.operators.product import gemv
+from axolin.plans.blocks import BlockMaps, Both, packed, to_array
 from axolin.plans.loop import ONE_PARTITION, checkpoint
 from axolin.types import LOCAL_ENTRIES, Mat, Vec, need
 
@@ -33,7 +37,12 @@ def _divide(a: Mat, what: str):
     d = checkpoint(row_info(a).select("i", F.col(what).alias("d")))
     if d.where("d = 0").limit(1).count():
         raise ZeroDivisionError(f"a row has no {what}")
-    return lambda r: r.join(d, "i").select("i", (F.col("v") / F.col("d")).alias("v"))
+
+    def arrays():
+        diagonal = to_array(d.withColumnRenamed("d", "v"), a.m)
+        return lambda r: r / diagonal
+
+    return Both(a.m, lambda r: r.join(d, "i").select("i", (F.col("v") / F.col("d")).alias("v")), arrays)
 
 
 def _rows_of(t: pd.DataFrame, at: int, n: int) -> list[dict[int, float]]:
@@ -116,6 +125,38 @@ def solve_lu(rows: list[dict[int, float]], r: np.ndarray) -> np.ndarray:
     return y
 
 
+class Levels:
+    """Solves with a triangle, given by rows: rows that depend on no row of their own level are solved together."""
+
+    def __init__(self, rows: list[dict[int, float]], lower: bool):
+        n = len(rows)
+        level, by_level = np.zeros(n, int), {}
+        for i in range(n) if lower else range(n - 1, -1, -1):
+            level[i] = 1 + max((level[c] for c in rows[i] if (c < i if lower else c > i)), default=-1)
+            by_level.setdefault(int(level[i]), []).append(i)
+        self.steps = []
+        for k in sorted(by_level):
+            cells = [(p, c, v) for p, i in enumerate(by_level[k]) for c, v in rows[i].items() if (c < i if lower else c > i)]
+            at, cols, vals = (np.array(x, t) for x, t in zip(zip(*cells, strict=True), (np.int64, np.int64, float), strict=True)) if cells else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            self.steps.append((np.array(by_level[k]), at, cols, vals, np.array([1.0 if lower else rows[i][i] for i in by_level[k]])))
+
+    def __call__(self, y: np.ndarray) -> np.ndarray:
+        y = y.copy()
+        for rows, at, cols, vals, diagonal in self.steps:
+            y[rows] = (y[rows] - np.bincount(at, vals * y[cols], len(rows))) / diagonal
+        return y
+
+
+class FactorSolver:
+    """x with L U x = r for incomplete factors of a block."""
+
+    def __init__(self, rows: list[dict[int, float]]):
+        self.low, self.up = Levels(rows, True), Levels(rows, False)
+
+    def __call__(self, r: np.ndarray) -> np.ndarray:
+        return self.up(self.low(r))
+
+
 FACTORS = {"ilu0": factor_ilu0, "ilut": factor_ilut, "ichol0": factor_ichol0}
 
 
@@ -123,8 +164,13 @@ def block_bounds(n: int, blocks: int) -> list[int]:
     return [n * k // blocks for k in range(blocks + 1)]
 
 
-def factorize(a: Mat, kind: str = "ilu0", blocks: int = 1, **options) -> DataFrame:
+#: Rows of a block where the number of blocks is left open.
+BLOCK_ROWS = 50_000
+
+
+def factorize(a: Mat, kind: str = "ilu0", blocks: int | None = None, **options) -> DataFrame:
     """(b, i, j, v): the incomplete factors of the diagonal blocks, with indices of the whole matrix."""
+    blocks = blocks or max(1, -(-a.m // BLOCK_ROWS))
     need(a.m == a.n and kind in FACTORS, "a square matrix and a known kind are needed")
     bounds = block_bounds(a.m, blocks)
     number = _block_number(bounds)
@@ -147,8 +193,9 @@ def _block_number(bounds: list[int]):
     return lambda i: F.expr(f"CAST((({i} + 1) * {blocks} - 1) div {max(1, n)} AS INT)")
 
 
-def incomplete(a: Mat, kind: str = "ilu0", blocks: int = 1, **options):
-    """A preconditioner from incomplete factors of the diagonal blocks."""
+def incomplete(a: Mat, kind: str = "ilu0", blocks: int | None = None, **options):
+    """A preconditioner from incomplete factors of the diagonal blocks; one block for each BLOCK_ROWS rows by default."""
+    blocks = blocks or max(1, -(-a.m // BLOCK_ROWS))
     bounds = block_bounds(a.m, blocks)
     factors = checkpoint(factorize(a, kind, blocks, **options))
     number = _block_number(bounds)
@@ -160,7 +207,16 @@ def incomplete(a: Mat, kind: str = "ilu0", blocks: int = 1, **options):
         y[r["i"].to_numpy(int) - at] = r["v"]
         return pd.DataFrame({"i": np.arange(at, at + n), "v": solve_lu(_rows_of(t, at, n), y)})
 
-    return lambda r: factors.groupBy("b").cogroup(r.groupBy(number("i").alias("b"))).applyInPandas(solve, "i long, v double").transform(checkpoint)
+    def whole(key, t: pd.DataFrame) -> pd.DataFrame:
+        b = int(key[0])
+        at, stop = bounds[b], bounds[b + 1]
+        return pd.DataFrame({"key": [b], "start": [at], "stop": [stop], "data": [pickle.dumps(FactorSolver(_rows_of(t, at, stop - at)))]})
+
+    def arrays():
+        return BlockMaps(factors.groupBy("b").applyInPandas(whole, "key int, start long, stop long, data binary"), uuid.uuid4().hex)
+
+    frames = lambda r: factors.groupBy("b").cogroup(r.groupBy(number("i").alias("b"))).applyInPandas(solve, "i long, v double").transform(checkpoint)
+    return Both(a.m, frames, arrays)
 
 
 def scaled(a: Mat) -> DataFrame:
@@ -216,7 +272,19 @@ def jacobi_solve(t: DataFrame, n: int, iterations: int = 2):
             y = b.unionByName(gemv(Mat(m, n, n), Vec(y, n)).df).groupBy("i").agg(F.sum("v").alias("v"))
         return checkpoint(y.coalesce(1) if n <= ONE_PARTITION else y)
 
-    return run
+    def arrays():
+        part, diagonal = packed(Mat(m, n, n)), to_array(d.withColumnRenamed("d", "v"), n)
+
+        def solve(x: np.ndarray) -> np.ndarray:
+            b = x / diagonal
+            y = b
+            for _ in range(iterations):
+                y = b + part.times(y)
+            return y
+
+        return solve
+
+    return Both(n, run, arrays)
 
 
 def chow_patel(a: Mat, symmetric: bool = False, sweeps: int = 3, iterations: int = 2):
@@ -227,7 +295,7 @@ def chow_patel(a: Mat, symmetric: bool = False, sweeps: int = 3, iterations: int
     else:
         low, up = chow_patel_ilu(a, sweeps)
     first, second = jacobi_solve(low, a.m, iterations), jacobi_solve(up, a.m, iterations)
-    return lambda r: second(first(r))
+    return Both(a.m, lambda r: second(first(r)), lambda: lambda r: second.arrays(first.arrays(r)))
 
 
 def spai(a: Mat, rounds: int = 5, tol: float = 1e-3, static: bool = False) -> Mat:
@@ -290,9 +358,14 @@ def fspai(a: Mat) -> Mat:
 
 def inverse_of(m: Mat):
     """The preconditioner r -> M r."""
-    return lambda r: gemv(m, Vec(r, m.n)).df
+    return Both(m.n, lambda r: gemv(m, Vec(r, m.n)).df, lambda: packed(m).times)
 
 
 def factored_inverse_of(low: Mat):
     """The preconditioner r -> L L^T r."""
-    return lambda r: gemv(low, gemv(low, Vec(r, low.m), transposed=True)).df
+
+    def arrays():
+        part = packed(low)
+        return lambda r: part.times(part.times_t(r))
+
+    return Both(low.m, lambda r: gemv(low, gemv(low, Vec(r, low.m), transposed=True)).df, arrays)

@@ -1,8 +1,10 @@
-"""Iterative solvers: driver loops over cached DataFrames with one or two actions an iteration.
+"""Iterative solvers.
 
-The matrix may be a Mat or any callable DataFrame -> DataFrame (matrix-free). Vectors live side by side in one state
-table (i, ...), so that the updates of an iteration are one join with the product. A monitor gets (iteration, relative
-residual) and ends the loop by returning True.
+The matrix may be a Mat or any callable DataFrame -> DataFrame (matrix-free). Up to types.DRIVER_ROWS unknowns the
+vectors of the loop are arrays on the driver and each product with the distributed matrix, or use of a preconditioner,
+is one job (see plans.blocks). Beyond that, vectors live side by side in one state table (i, ...), so that the updates
+of an iteration are one join with the product. A monitor gets (iteration, relative residual) and ends the loop by
+returning True.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axolin.operators.product import gemv
+from axolin.plans.blocks import as_vec, on_arrays, to_array
 from axolin.plans.loop import State, checkpoint
-from axolin.types import Mat, Vec, small
+from axolin.types import Mat, Vec, driver_sized, small
 
 Operator = Mat | Callable[[DataFrame], DataFrame]
 
@@ -61,12 +64,108 @@ def _shifted(solve, a: Operator, b: Vec, x0: Vec | None, **kw) -> Result:
     return Result(Vec(x, b.n), got.iterations, got.error)
 
 
+def _arrays(solve, a: Operator, b: Vec, x0: Vec | None, pre, **kw) -> Result:
+    """Solves on arrays for the residual of x0."""
+    spark = b.df.sparkSession
+    times, right = on_arrays(a, spark, b.n), to_array(b.df, b.n)
+    first = to_array(x0.df, b.n) if x0 is not None else 0.0
+    rest = right - times(first) if x0 is not None else right
+    x, k, error = solve(times, rest, on_arrays(pre, spark, b.n) if pre is not None else None, **kw)
+    return Result(as_vec(spark, first + x), k, error)
+
+
+def cg_arrays(times, b, pre, tol, most, monitor, abs_tol):
+    """(x, iterations, error). The test is on the residual norm, with a preconditioner on <r, z>, relative to the first."""
+    x, r = np.zeros_like(b), b.copy()
+    z = pre(r) if pre else r
+    p, rz = z.copy(), float(r @ z)
+    first, k = rz, 0
+    while k < most and rz != 0 and abs(rz) > abs_tol**2 and abs(rz) >= tol * tol * abs(first):
+        ap = times(p)
+        alpha = rz / float(p @ ap)
+        x += alpha * p
+        r -= alpha * ap
+        z = pre(r) if pre else r
+        new = float(r @ z)
+        p = z + (new / rz) * p
+        rz, k = new, k + 1
+        if monitor and monitor(k, abs(rz / first) ** 0.5):
+            break
+    return x, k, abs(rz / first) ** 0.5 if first else 0.0
+
+
+def bicgstab_arrays(times, b, pre, tol, most, monitor, restart):
+    pre = pre or (lambda v: v)
+    x, r = np.zeros_like(b), b.copy()
+    norm, s0, p = float(b @ b), b.copy(), b.copy()
+    rho, error = norm, 1.0
+    if norm == 0:
+        return x, 0, 0.0
+    for k in range(1, most + 1):
+        ph = pre(p)
+        ap = times(ph)
+        alpha = rho / float(s0 @ ap)
+        s = r - alpha * ap
+        sh = pre(s)
+        t = times(sh)
+        tt = float(t @ t)
+        omega = float(t @ s) / tt if tt else 0.0
+        x += alpha * ph + omega * sh
+        r = s - omega * t
+        new, rr = float(s0 @ r), float(r @ r)
+        error = (rr / norm) ** 0.5
+        if (monitor and monitor(k, error)) or error < tol or omega == 0:
+            break
+        if k % restart == 0 or abs(new) < 1e-30 * norm:
+            s0, p, rho = r.copy(), r.copy(), rr
+        else:
+            p = r + (new / rho) * (alpha / omega) * (p - omega * ap)
+            rho = new
+    return x, k, error
+
+
+def gmres_arrays(times, b, pre, tol, most, monitor, krylov):
+    pre = pre or (lambda v: v)
+    x, used, norm, error, stop = np.zeros_like(b), 0, None, 1.0, False
+    while True:
+        rest = pre(b - times(x) if used else b)
+        beta = float(np.linalg.norm(rest))
+        norm = beta if norm is None else norm
+        if norm == 0:
+            return x, 0, 0.0
+        error = beta / norm
+        if error < tol or used >= most or stop:
+            return x, used, error
+        q, h, m = np.zeros((len(b), krylov + 1)), np.zeros((krylov + 1, krylov)), 0
+        q[:, 0] = rest / beta
+        for k in range(min(krylov, most - used)):
+            w = pre(times(q[:, k]))
+            for _ in range(2):
+                c = q[:, : k + 1].T @ w
+                h[: k + 1, k] += c
+                w = w - q[:, : k + 1] @ c
+            h[k + 1, k] = np.linalg.norm(w)
+            m = k + 1
+            g = np.zeros(m + 1)
+            g[0] = beta
+            y, *_ = np.linalg.lstsq(h[: m + 1, :m], g, rcond=None)
+            error = float(np.linalg.norm(g - h[: m + 1, :m] @ y)) / norm
+            stop = bool(monitor and monitor(used + m, error))
+            if error < tol or stop or h[k + 1, k] < 1e-14 * beta:
+                break
+            q[:, k + 1] = w / h[k + 1, k]
+        used += m
+        x = x + q[:, :m] @ y
+
+
 def cg(a: Operator, b: Vec, tol: float = 1e-8, max_iterations: int = 300, preconditioner=None, x0: Vec | None = None, monitor=None, abs_tol: float = 0.0) -> Result:
     """Conjugate gradients for symmetric positive definite matrices.
 
-    Without a preconditioner an iteration has one action, which gives r.r, Ap.Ap and p.Ap; the next direction follows
-    from these. With one, the test is on <r, z> relative to its first value.
+    On tables, an iteration without a preconditioner has one action, which gives r.r, Ap.Ap and p.Ap; the next direction
+    follows from these. With one, the test is on <r, z> relative to its first value.
     """
+    if driver_sized(b.n):
+        return _arrays(cg_arrays, a, b, x0, preconditioner, tol=tol, most=max_iterations, monitor=monitor, abs_tol=abs_tol)
     return _shifted(_cg_plain if preconditioner is None else _cg_preconditioned, a, b, x0, tol=tol, most=max_iterations, pre=preconditioner, monitor=monitor, abs_tol=abs_tol)
 
 
@@ -114,6 +213,8 @@ def _cg_preconditioned(a, b, tol, most, pre, monitor, abs_tol) -> Result:
 
 def cg_mixed(a: Mat, b: Vec, tol: float = 1e-8, max_iterations: int = 300, inner_tol: float = 1e-2) -> Result:
     """Conjugate gradients in single precision, restarted on the residual in double precision."""
+    if driver_sized(b.n):
+        return _arrays(mixed_arrays, a, b, None, None, tol=tol, most=max_iterations, inner_tol=inner_tol)
     single = Mat(a.df.withColumn("v", F.col("v").cast("float")), a.m, a.n)
     product = lambda x: gemv(single, Vec(x.withColumn("v", F.col("v").cast("float")), b.n)).df
     norm_b = b.df.agg(F.sqrt(_sum(F.col("v") ** 2))).first()[0]
@@ -129,8 +230,22 @@ def cg_mixed(a: Mat, b: Vec, tol: float = 1e-8, max_iterations: int = 300, inner
     return Result(Vec(x, b.n), used, error if norm_b else 0.0)
 
 
+def mixed_arrays(times, b, pre, tol, most, inner_tol):
+    norm = float(np.linalg.norm(b))
+    x, rest, used, error = np.zeros_like(b), b, 0, 1.0
+    while norm and error > tol and used < most:
+        d, k, _ = cg_arrays(times, rest.astype(np.float32), None, inner_tol, most - used, None, 0.0)
+        used += max(1, k)
+        x = x + d
+        rest = b - times(x)
+        error = float(np.linalg.norm(rest)) / norm
+    return x, used, error if norm else 0.0
+
+
 def bicgstab(a: Operator, b: Vec, tol: float = 1e-8, max_iterations: int = 400, preconditioner=None, x0: Vec | None = None, monitor=None, restart: int = 200) -> Result:
     """Stabilised bi-conjugate gradients; the test is the residual norm over that of b."""
+    if driver_sized(b.n):
+        return _arrays(bicgstab_arrays, a, b, x0, preconditioner, tol=tol, most=max_iterations, monitor=monitor, restart=restart)
     return _shifted(_bicgstab, a, b, x0, tol=tol, most=max_iterations, pre=preconditioner or (lambda r: r), monitor=monitor, restart=restart)
 
 
@@ -173,6 +288,8 @@ def _bicgstab(a, b, tol, most, pre, monitor, restart) -> Result:
 def gmres(a: Operator, b: Vec, tol: float = 1e-10, max_iterations: int = 300, krylov: int = 20, preconditioner=None, x0: Vec | None = None, monitor=None) -> Result:
     """Restarted GMRES, left-preconditioned. The basis is one table (i, q0, q1, ...); orthogonalisation against all
     of it is one aggregate, done twice for stability; the small least-squares problem is solved on the driver."""
+    if driver_sized(b.n):
+        return _arrays(gmres_arrays, a, b, x0, preconditioner, tol=tol, most=max_iterations, monitor=monitor, krylov=krylov)
     return _shifted(_gmres, a, b, x0, tol=tol, most=max_iterations, krylov=krylov, pre=preconditioner or (lambda r: r), monitor=monitor)
 
 

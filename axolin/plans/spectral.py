@@ -1,7 +1,8 @@
 """Eigenvalues, singular values and non-negative factorization.
 
-Matrix-vector products and Gram matrices are distributed; problems of the size of the Krylov space or of the number of
-columns (bounded by types.LOCAL_ENTRIES cells) are solved on the driver with numpy.
+Products with the matrix are distributed; problems of the size of the Krylov space or of the number of columns (bounded
+by types.LOCAL_ENTRIES cells) are solved on the driver with numpy. Vectors (and factors of few columns) of at most
+types.DRIVER_ROWS entries are arrays on the driver, as in plans.solvers; longer ones are tables.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axolin.operators.product import gemv, multiply
+from axolin.plans.blocks import as_vec, packed, to_array
 from axolin.plans.loop import State, checkpoint
 from axolin.sources import to_numpy
-from axolin.types import LOCAL_ENTRIES, Mat, Vec, need, small
+from axolin.types import DRIVER_ROWS, LOCAL_ENTRIES, Mat, Vec, driver_sized, need, small
 
 
 def power_iteration(a: Mat, tol: float = 1e-8, most: int = 50_000) -> tuple[float, Vec, int]:
     """(|largest eigenvalue|, unit vector, iterations); the start vector is (i mod 3) 0.1234 - 0.5, the sign is lost."""
+    if driver_sized(a.n):
+        return _power_arrays(a, tol, most)
     x = a.df.sparkSession.range(a.n).select(F.col("id").alias("i"), ((F.col("id") % 3) * 0.1234 - 0.5).alias("v"))
     norm = x.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
     state, k, value = State(x.withColumn("v", F.col("v") / norm), a.n), 0, 0.0
@@ -36,6 +40,22 @@ def power_iteration(a: Mat, tol: float = 1e-8, most: int = 50_000) -> tuple[floa
     return value, Vec(state.done(), a.n), k
 
 
+def _power_arrays(a: Mat, tol: float, most: int) -> tuple[float, Vec, int]:
+    spark, part, value, k = a.df.sparkSession, packed(a), 0.0, 0
+    x = np.arange(a.n) % 3 * 0.1234 - 0.5
+    x /= np.linalg.norm(x)
+    for k in range(1, most + 1):
+        y = part.times(x)
+        old, value = value, float(np.linalg.norm(y))
+        if value == 0:
+            return 0.0, as_vec(spark, y), k
+        x = y / value
+        if abs(value - old) < tol * abs(value):
+            break
+    part.release()
+    return value, as_vec(spark, x), k
+
+
 def tridiagonal_eigen(d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending eigenvalues and vectors of a symmetric tridiagonal matrix; e[0] is unused."""
     return np.linalg.eigh(np.diag(d) + np.diag(e[1:], 1) + np.diag(e[1:], -1))
@@ -78,6 +98,8 @@ def lanczos(a: Mat, k: int = 10, krylov: int = 100, method: str = "full", seed:
     krylov = min(krylov, a.n)
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "id")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
     start = a.df.sparkSession.range(a.n).select(F.col("id").alias("i"), (u + 0.5).alias("q0"))
+    if a.n * (krylov + 1) <= 8 * DRIVER_ROWS:
+        return _lanczos_arrays(a, to_array(start.withColumnRenamed("q0", "v"), a.n), k, krylov, method, vectors)
     norm = start.agg(F.sqrt(F.sum(F.col("q0") ** 2))).first()[0]
     basis, alpha, beta = State(start.withColumn("q0", F.col("q0") / norm), a.n), [], [0.0]
     was, now = np.zeros(1), np.ones(1)  # estimated products with the basis
@@ -118,6 +140,35 @@ def lanczos(a: Mat, k: int = 10, krylov: int = 100, method: str = "full", seed:
     return values[top], basis.df.select("i", F.explode(F.array(*cols)).alias("e")).select("i", "e.k", "e.v")
 
 
+def _lanczos_arrays(a: Mat, x: np.ndarray, k: int, krylov: int, method: str, vectors: bool):
+    """The same with the basis as an array of at most 8 DRIVER_ROWS cells."""
+    part, q, alpha, beta = packed(a), np.zeros((a.n, krylov)), [], [0.0]
+    q[:, 0] = x / np.linalg.norm(x)
+    was, now = np.zeros(1), np.ones(1)
+    for m in range(krylov):
+        w = part.times(q[:, m])
+        alpha.append(float(w @ q[:, m]))
+        w = w - alpha[m] * q[:, m] - (beta[m] * q[:, m - 1] if m else 0)
+        new = np.append((abs(alpha[m]) + 1) * np.append(now, 1)[: m + 1] + np.append(was, 0)[: m + 1], 1) * 1e-16 * (m + 1)
+        if method == "full" or (method == "partial" and new[:-1].sum() * a.n**0.5 > 1e-8):
+            for _ in range(2):
+                w = w - q[:, : m + 1] @ (q[:, : m + 1].T @ w)
+        was, now = now, new
+        size = float(np.linalg.norm(w))
+        if m == krylov - 1 or size < 1e-12 * max(map(abs, alpha)):
+            break
+        beta.append(size)
+        q[:, m + 1] = w / size
+    part.release()
+    values, z = tridiagonal_eigen(np.array(alpha), np.array(beta))
+    top = np.argsort(values)[::-1][:k]
+    if not vectors:
+        return values[top]
+    made = q[:, : len(alpha)] @ z[:, top]
+    cells = pd.DataFrame({"i": np.repeat(np.arange(a.n), len(top)), "k": np.tile(np.arange(len(top)), a.n).astype(np.int32), "v": made.ravel()})
+    return values[top], a.df.sparkSession.createDataFrame(cells, "i long, k int, v double")
+
+
 def eigen_symmetric(a: Mat) -> tuple[np.ndarray, np.ndarray]:
     """Descending eigenvalues and vectors of a small dense symmetric matrix."""
     values, vectors = np.linalg.eigh(to_numpy(a))
@@ -154,14 +205,16 @@ def gram(a: Mat) -> Mat:
 
 
 def svd(a: Mat) -> tuple[Mat, np.ndarray, np.ndarray]:
-    """(U, singular values descending, V) through the Gram matrix of the columns; singular values under 1e-8 of the largest have no column in U."""
+    """(U, singular values descending, V) by A = Q R and the singular values of R, so that small ones keep their digits;
+    singular values under 1e-13 of the largest have no column in U."""
+    from axolin.operators.direct import qr_r, times_rows
+
     need(a.n * a.n <= LOCAL_ENTRIES, "too many columns")
-    w, v = np.linalg.eigh(to_numpy(gram(a)))
-    s, v = np.sqrt(np.maximum(w[::-1], 0)), v[:, ::-1]
-    rank = int((s > 1e-8 * max(s[0], 1e-300)).sum())
-    i, j = np.indices((a.n, rank))
-    right = a.df.sparkSession.createDataFrame(pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": (v[:, :rank] / s[:rank]).ravel()}), "i long, j long, v double")
-    return multiply(a, Mat(right, a.n, rank)), s, v
+    r = qr_r(a)
+    left, s, right = np.linalg.svd(r)
+    rank = int((s > 1e-13 * max(s[0] if len(s) else 0.0, 1e-300)).sum())
+    # U = Q left = A R^-1 left = A right / s
+    return times_rows(a, right[:rank].T / s[:rank]), s, right.T
 
 
 def nmf(v: Mat, k: int, w: Mat | None = None, h: Mat | None = None, tol: float = 1e-4, stagnation: float = 1e-5, most: int = 10_000, every: int = 100) -> tuple[Mat, Mat, int, float]:
@@ -178,6 +231,9 @@ def nmf(v: Mat, k: int, w: Mat | None = None, h: Mat | None = None, tol: float =
     w = w or Mat(ones(v.m, k), v.m, k)
     h = h or Mat(ones(k, v.n), k, v.n)
 
+    if (v.m + v.n) * k <= DRIVER_ROWS:
+        return _nmf_arrays(v, to_numpy(w), to_numpy(h), tol, stagnation, most, every)
+
     def update(x: Mat, up: Mat, down: Mat) -> Mat:
         p = x.df.join(up.df.withColumnRenamed("v", "u"), ["i", "j"], "left").join(down.df.withColumnRenamed("v", "d"), ["i", "j"], "left")
         return Mat(checkpoint(p.select("i", "j", F.when(F.col("d") > 1e-5, F.col("v") * F.coalesce("u", F.lit(0.0)) / F.col("d")).otherwise(0.0).alias("v"))), x.m, x.n)
@@ -200,6 +256,37 @@ def nmf(v: Mat, k: int, w: Mat | None = None, h: Mat | None = None, tol: float =
     return w, h, it + 1, error()
 
 
+def _nmf_arrays(v: Mat, w: np.ndarray, h: np.ndarray, tol: float, stagnation: float, most: int, every: int) -> tuple[Mat, Mat, int, float]:
+    """The same with both factors on the driver: an update needs one product with V, which stays distributed. The error
+    follows from the products as well: |V - W H|^2 = |V|^2 - 2 <W^T V, H> + <W^T W, H H^T>."""
+    spark, part = v.df.sparkSession, packed(v)
+    whole = float(v.df.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0)
+    ratio = lambda x, up, down: np.where(down > 1e-5, x * up / np.where(down > 1e-5, down, 1.0), 0.0)
+
+    def error() -> float:
+        wv = part.times_t(w).T
+        return float(max(0.0, whole - 2 * (wv * h).sum() + ((w.T @ w) * (h @ h.T)).sum()) ** 0.5 / (whole**0.5 or 1.0))
+
+    last, still, it, err = None, 0, 0, 0.0
+    for it in range(most):
+        h = ratio(h, part.times_t(w).T, w.T @ w @ h)
+        w = ratio(w, part.times(np.ascontiguousarray(h.T)), w @ (h @ h.T))
+        if it % every == 0:
+            err = error()
+            still = still + 1 if last is not None and abs(last - err) < stagnation * max(err, 1e-300) else 0
+            last = err
+            if err < tol or still >= 2:
+                break
+    err = error()
+    part.release()
+
+    def table(x: np.ndarray) -> Mat:
+        i, j = np.indices(x.shape)
+        return Mat(spark.createDataFrame(pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": x.ravel()}), "i long, j long, v double"), *x.shape)
+
+    return table(w), table(h), it + 1, err
+
+
 def to_frame(spark: SparkSession, values: np.ndarray) -> DataFrame:
     """(k, value)."""
     return spark.createDataFrame(pd.DataFrame({"k": np.arange(len(values), dtype=np.int32), "value": np.asarray(values, float)}), "k int, value double")

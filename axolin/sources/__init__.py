@@ -96,6 +96,18 @@ def laplace_2d(spark: SparkSession, px: int, py: int) -> Mat:
     return Mat(e.select("i", "e.j", "e.v"), px * py, px * py)
 
 
+def diffusion_2d(cells: DataFrame, px: int, py: int) -> Mat:
+    """The five-point operator of a px x py grid whose cell x + y px conducts as v > 0 in cells (i, v): neighbours are
+    joined by the harmonic mean of both, and cells at the edge to the outside by their own value."""
+    x, y, i = F.col("i") % px, F.expr(f"i div {px}"), F.col("i")
+    ways = F.array(F.when(x > 0, i - 1), F.when(x < px - 1, i + 1), F.when(y > 0, i - px), F.when(y < py - 1, i + px))
+    ends = cells.select(i, F.col("v").cast("double").alias("c"), F.explode(ways).alias("j"))
+    other = cells.select(F.col("i").alias("j"), F.col("v").cast("double").alias("d"))
+    links = ends.join(other, "j", "left").select("i", "j", F.coalesce(2 * F.col("c") * F.col("d") / (F.col("c") + F.col("d")), F.col("c")).alias("w"))
+    diagonal = links.groupBy("i").agg(F.sum("w").alias("v")).select("i", F.col("i").alias("j"), "v")
+    return Mat(links.where("j IS NOT NULL").select("i", "j", (-F.col("w")).alias("v")).unionByName(diagonal), px * py, px * py)
+
+
 def vector_from(spark: SparkSession, values: Iterable[float]) -> Vec:
     rows = [(k, float(v)) for k, v in enumerate(values)]
     return Vec(spark.createDataFrame(rows, "i bigint, v double"), len(rows))

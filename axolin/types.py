@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Up to so many rows of 16 bytes a vector of known length is broadcast (32 MB).
 BROADCAST_ROWS = 2_000_000
+#: Vectors of at most so many entries may live on the driver within a loop (16 MB); longer ones stay DataFrames.
+DRIVER_ROWS = 2_000_000
 #: Up to so many entries a matrix may be gathered into one task or the driver, for algorithms that are sequential.
 LOCAL_ENTRIES = 4_000_000
 
@@ -23,6 +25,10 @@ def small(df: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
+def driver_sized(n: int) -> bool:
+    return n <= DRIVER_ROWS
+
+
 def need(ok: bool, what: str) -> None:
     if not ok:
         raise ValueError(what)
