@@ -10,7 +10,8 @@ checks it over all cosets). So every link shares, for one of the three pairs of
 radius leave, as a spanning forest of each key's links: components need no more, and a dense group emits no squares.
 
 Copies collapse before anything is compared: the search runs over different fingerprints. At most 108 rows a
-fingerprint are shuffled (85 on average), of two longs each.
+fingerprint are shuffled (85 on average), of two longs each. Frequent fingerprints and large components are dealt to
+several tasks where rows get the names of their components.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; texts of fewer than 4 words have
 the hash of the whole sequence; equal texts are in one component; a component whose rows have no doc_id has none; rows
@@ -27,7 +28,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axolin.llm.common import cut, fresh, quoted, table
@@ -198,32 +199,50 @@ def near_links(fps: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def _components(reps: DataFrame) -> DataFrame:
-    """(fp, component) of the different fingerprints in the column fp."""
-    parts = connected_components(near_links(reps)).select(F.col("node"), "component")
-    return reps.select("fp").join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+#: Rows of one fingerprint, or fingerprints of one component, that meet in one task; more are dealt to several.
+TOGETHER = 1000
+
+
+def _named(reps: DataFrame) -> DataFrame:
+    """(fp, id, salts): for each fingerprint of reps (fp, first, n) the least `first` of its component, once for each
+    TOGETHER of its n rows. Only fingerprints with links are shuffled by component; each component's name is laid out
+    for as many groups as it has TOGETHER fingerprints, so a large component is joined in many tasks."""
+    parts = connected_components(near_links(reps)).select(F.col("node").alias("fp"), "component")
+    linked = cut(reps.join(parts, "fp"))
+    names = linked.groupBy("component").agg(F.min("first").alias("id"), F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("groups"))
+    names = cut(names)
+    many = names.where("groups > 1").select("component", "groups")
+    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    dealt = linked.join(many, "component", "left").withColumn("group", F.pmod(F.xxhash64("fp"), F.coalesce("groups", F.lit(1)).cast("bigint"))).drop("groups")
+    laid = names.select("component", "id", F.explode(F.expr("sequence(0L, groups - 1L)")).alias("group"))
+    joined = dealt.join(laid, ["component", "group"]).select("fp", "n", "id")
+    alone = reps.join(parts.select("fp"), "fp", "left_anti").select("fp", "n", F.col("first").alias("id"))
+    return joined.unionByName(alone).select("fp", "id", F.explode(F.expr(f"sequence(0L, (n - 1) div {TOGETHER})")).alias("salt"))
+
+
+def _with_names(of: DataFrame, first: Column) -> DataFrame:
+    """The rows of a checkpointed table with a column fp, and in id the least `first` of their component. Rows of a
+    frequent fingerprint are dealt to several tasks by their place in the table."""
+    reps = cut(of.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")))
+    hot = reps.where(F.col("n") > TOGETHER).select("fp", F.expr(f"(n - 1) div {TOGETHER} + 1").alias("salts"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    dealt = of.withColumn("turn", F.monotonically_increasing_id()).join(hot, "fp", "left")
+    dealt = dealt.withColumn("salt", F.pmod("turn", F.coalesce("salts", F.lit(1).cast("bigint")))).drop("turn", "salts")
+    return dealt.join(_named(reps), ["fp", "salt"]).drop("salt")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links."""
     of = cut(fingerprints(docs, doc_id, text))
-    reps = of.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    grouped = reps.join(_components(reps), "fp")
-    names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(names, "component").select("fp", "component_id")
-    return of.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _with_names(of, F.col("doc_id")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component. Rows are told apart by a key that is checkpointed with them."""
     row, key = fresh(docs, "row", "key")
     keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    of = cut(fingerprints(keyed, row=row).select("fp", "row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("id")))
-    reps = of.groupBy("fp").agg(F.min(F.struct("id", "row")).alias("first"))
-    grouped = reps.join(_components(reps), "fp")
-    names = grouped.groupBy("component").agg(F.min("first").alias("kept"))
-    kept = grouped.join(names, "component").select("fp", F.col("kept.row").alias("kept"))
-    gone = cut(of.join(kept, "fp").where("row != kept").select(F.col("row").alias(key)))
+    of = cut(fingerprints(keyed, row=row).select("fp", "row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("of")))
+    gone = cut(_with_names(of, F.struct("of", "row")).where("row != id.row").select(F.col("row").alias(key)))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return keyed.join(side, F.col(row) == F.col(key), "left_anti").select(*[quoted(c) for c in docs.columns])
 

@@ -114,6 +114,17 @@ def test_one_row_of_each_component_stays(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_frequent_fingerprints_and_large_components(spark, monkeypatch):
+    """Groups far above what one task takes, in many tasks, give the same."""
+    rows = [(k, prose(k % 7, 50) + (" more" if k % 3 else ""), "a") for k in range(300)] + REPEATS
+    docs = frame(spark, rows)
+    want, kept = sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str), simhash.keep_one(docs).count()
+    monkeypatch.setattr(simhash, "TOGETHER", 2)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str) == want and simhash.keep_one(docs).count() == kept
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str) == want and len(want) == len(rows)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
