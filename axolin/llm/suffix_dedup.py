@@ -27,8 +27,9 @@ line between other texts) passes its windows on to longer anchors, 64 bytes and
 contexts are all equal; so memory is bounded whatever repeats.
 
 Defined results: null text is empty; texts shorter than LENGTH keep everything; a null doc_id counts as smaller than
-all others; doc_id identifies a document, so rows that repeat one must repeat its text, and get the same values; an
-empty table gives an empty result; other columns are ignored.
+all others; rows that repeat a doc_id, or have none, are documents of their own, in the order of their texts' digests
+(where there are such rows, all rows are numbered in that order first, which costs one more copy of the table); long
+texts are searched whole; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,12 +43,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axolin.llm.anchors import owned_windows
-from axolin.llm.common import table
+from axolin.llm.common import cut, table
 
 LENGTH, GRAM, CHUNK = 100, 32, 1 << 20
 #: Lengths of the anchors that take over from those with too many contexts; the last one makes each window its own anchor.
 DEEPER = (64, LENGTH)
 _NULL_ID = -(2**63)
+#: Copies of one text that meet in one task; more are dealt to several. Up to so many such texts are broadcast.
+TOGETHER, BROADCAST_TEXTS = 1000, 1_000_000
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -336,12 +339,40 @@ def _without_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield b.drop_columns(["kept"])
 
 
+def _numbered(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, text), (id, name)) with a new id for each row, in the order of the old ids and then of the texts' digests.
+    Rows are sorted over ranges and counted by partition; only the counts come to the driver."""
+    keyed = cut(source.withColumn("row", F.monotonically_increasing_id()))
+    order = keyed.select("id", F.sha2("text", 256).alias("sha"), "row").repartitionByRange("id", "sha", "row").sortWithinPartitions("id", "sha", "row")
+    order = cut(order.select(F.col("id").alias("name"), "row", F.monotonically_increasing_id().alias("at")))
+    sizes = order.groupBy(F.shiftright("at", 33).alias("part")).count().orderBy("part").collect()
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r["part"], total))
+        total += r["count"]
+    start = F.broadcast(source.sparkSession.createDataFrame(starts, "part long, start long"))
+    numbers = order.withColumn("part", F.shiftright("at", 33)).join(start, "part").select("row", "name", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+    return keyed.drop("id").join(numbers, "row").select("id", "text"), numbers.select("id", "name")
+
+
+def _copies(source: DataFrame) -> DataFrame:
+    """(copy_id): rows whose whole text a smaller id has. The rows of a frequent text are dealt to several tasks."""
+    digests = source.select("id", F.unhex(F.sha2("text", 256)).alias("sha"))
+    heads = cut(digests.groupBy("sha").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    many = heads.where(F.col("n") > TOGETHER).select("sha", F.expr(f"(n - 1) div {TOGETHER} + 1").alias("salts"))
+    many = F.broadcast(many) if many.count() <= BROADCAST_TEXTS else many
+    dealt = digests.join(many, "sha", "left").select("id", "sha", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1).cast("bigint"))).alias("salt"))
+    laid = heads.select("sha", "head", F.explode(F.expr(f"sequence(0L, (n - 1) div {TOGETHER})")).alias("salt"))
+    return dealt.join(laid, ["sha", "salt"]).where("id != head").select(F.col("id").alias("copy_id"))
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_id", text: str = "text", limit: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, with_text, the remaining bytes as kept."""
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    digests = source.select("id", F.sha2("text", 256).alias("sha"))
-    heads = digests.groupBy("sha").agg(F.min("id").alias("head"))
-    copies = digests.join(heads, "sha").where("id != head").select(F.col("id").alias("copy_id")).distinct()
+    names = None
+    if source.groupBy("id").count().where("count > 1").limit(1).count():
+        source, names = _numbered(source)
+    copies = _copies(source)
     whole = source.join(copies, F.col("id") == F.col("copy_id"), "left").select("id", "text", F.col("copy_id").isNotNull().alias("copy"))
     single = whole.where(~F.col("copy"))
     anchors = single.select("id", "text").mapInArrow(_anchor_rows, "h long, id long, place int, again boolean")
@@ -356,6 +387,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_
     shape = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     joined = whole.join(marks, F.col("id") == F.col("m_id"), "left").select("id", "text", "copy", "marks")
     out = joined.mapInArrow(_final_rows, shape + ", kept binary") if with_text else joined.mapInArrow(_without_kept, shape)
+    out = out if names is None else out.join(names, "id").select(F.col("name").alias("id"), *out.columns[1:])
     return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), *out.columns[1:])
 
 

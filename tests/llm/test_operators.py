@@ -66,6 +66,25 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_many_copies(spark, monkeypatch):
+    rows = [(k, prose(k % 4, 60), "a") for k in range(60)]
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 3)
+    got = suffix_dedup.remove_repeats(frame(spark, rows), with_text=True).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got} == brute_repeats(rows)
+
+
+def test_suffix_dedup_of_repeated_ids(spark):
+    """Rows that repeat a doc_id, or have none, are documents of their own, in the order of their texts' digests."""
+    long_ = prose(31, 90)
+    rows = [(3, long_, "a"), (3, "short", "a"), (3, long_ + " and more", "a"), (None, prose(32, 80), "a"), (None, prose(32, 80), "a"), (None, None, "a"), (4, long_[50:], "a"), (3, long_, "b"), *REPEATS]
+    key = lambda r: (-1 if r[0] is None else r[0], hashlib.sha256((r[1] or "").encode()).hexdigest())
+    ordered = sorted(rows, key=key)
+    brute = brute_repeats([(k, t, s) for k, (_, t, s) in enumerate(ordered)])
+    want = sorted(((ordered[k][0], *v[:4]) for k, v in brute.items()), key=str)
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == want
+
+
 @pytest.mark.parametrize("limit", [0, 400, 1 << 20])
 def test_suffix_dedup_of_a_common_line(spark, limit):
     line = prose(90, 18)[:48] + prose(91, 30)[:70]
