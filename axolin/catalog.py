@@ -200,6 +200,7 @@ add("vec_slice_assign", lambda s, d: vector.replace_part(X(s, d), Vec(s.range(20
 add("vec_reverse", lambda s, d: vector.reverse(X(s, d)).df, "SELECT n - 1 - i AS i, v FROM x, np", "x np")
 add("vec_swap", lambda s, d: blas.swap(X(s, d).df, Y(s, d).df)[0], "SELECT i, v FROM y", "y")
 add("mem_resize", lambda s, d: vector.resize(X(s, d), X(s, d).n + 7).df, "SELECT r.i, coalesce(x.v, 0.0) AS v FROM np, range(n + 7) r(i) LEFT JOIN x ON x.i = r.i", "x np")
+add("mem_clear", lambda s, d: sources.zero_vector(s, X(s, d).n).df, "SELECT r.i, 0.0::DOUBLE AS v FROM np, range(n) r(i)", "np")
 add("assign_const", lambda s, d: X(s, d).df.withColumn("v", F.lit(3.25)), "SELECT i, 3.25::DOUBLE AS v FROM x", "x")
 add("elem_get", lambda s, d: X(s, d).df.where("i = 17"), "SELECT i, v FROM x WHERE i = 17", "x")
 add("elem_set", lambda s, d: vector.set_entry(X(s, d).df, F.col("i") == 17, -1.0), "SELECT i, CASE WHEN i = 17 THEN -1.0 ELSE v END AS v FROM x", "x")
@@ -251,6 +252,10 @@ def _hyb(s, d) -> DataFrame:
 add("io_copy_hyb", _hyb, "SELECT i, j, v FROM b", "b")
 add("io_set", lambda s, d: matrix.from_csr(s, [0, 2, 2, 3], [0, 4, 1], [1.5, 2.5, 3.5]), "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 1.5::DOUBLE), (0, 4, 2.5), (2, 1, 3.5)) t(i, j, v)")
 add("io_copy_struct", lambda s, d: product.circulant(Vec(s.range(6).select(F.col("id").alias("i"), (F.col("id") + 1.0).alias("v")), 6), sources.unit_vector(s, 6, 2)).df, "SELECT i, CAST((i - 2 + 6) % 6 + 1 AS DOUBLE) AS v FROM range(6) t(i)")
+_PARS = lambda s, n: Vec(s.range(n).select(F.col("id").alias("i"), ((F.col("id") * 7) % 11 + 0.5).alias("v")), n)
+for _n, _at in (("circulant", "(a.i - b.j + 12) % 12"), ("toeplitz", "11 + a.i - b.j"), ("hankel", "a.i + b.j")):
+    add(f"io_copy_{_n}", lambda s, d, k=_n: product.structured(_PARS(s, 12 if k == "circulant" else 23), k).df, f"SELECT a.i, b.j, ({_at}) * 7 % 11 + 0.5::DOUBLE AS v FROM range(12) a(i), range(12) b(j)")
+add("io_copy_vandermonde", as_vec(lambda s, d: product.structured(Vec(s.range(6).select(F.col("id").alias("i"), (F.col("id") / 4.0).cast("double").alias("v")), 6), "vandermonde").df, 6), f"SELECT a.i, b.j, {R('pow(a.i / 4.0, b.j)', 6)} AS v FROM range(6) a(i), range(6) b(j)")
 add("io_interop", lambda s, d: sources.matrix_from(s, np.arange(12.0).reshape(3, 4)).df, "SELECT i, j, CAST(4 * i + j AS DOUBLE) AS v FROM range(3) a(i), range(4) b(j) WHERE i + j > 0")
 
 
@@ -466,6 +471,27 @@ add("pc_jacobi", _solve_scaled(solvers.cg, precondition.jacobi), f"SELECT r.i, C
 add("pc_rowscale", _solve_scaled(solvers.bicgstab, precondition.row_scaling), f"SELECT r.i, CAST(r.i % 7 + 1 AS DOUBLE) AS v, {R('r.v / g.v / 3.14159265e0', 6)} AS z FROM ({_RHS}) r JOIN (SELECT i, sqrt(sum(v * v)) AS v FROM grid GROUP BY i) g USING (i)", _AT_GRID)
 
 
+def _monitored(s, d) -> DataFrame:
+    """A monitor sees every iteration and its residual, and ends the loop."""
+    a, b = grid(s, d)
+    seen: list[tuple[int, float]] = []
+    got = solvers.cg(a, b, preconditioner=precondition.jacobi(a), monitor=lambda k, e: seen.append((k, e)) or k == 6)
+    return s.createDataFrame([(k, got.iterations, 0 < e < 10) for k, e in seen], "k long, iterations int, sane boolean")
+
+
+add("solver_monitor", _monitored, "SELECT k, 6 AS iterations, true AS sane FROM range(1, 7) t(k)")
+
+
+def _from_lists(s, d) -> DataFrame:
+    """A matrix of maps and a right-hand side of plain numbers."""
+    a = sources.matrix_from(s, [{j: 2.5 if i == j else -1.0 for j in (i - 1, i, i + 1) if 0 <= j < 50} for i in range(50)])
+    b = sources.vector_from(s, (sum((2.5 if i == j else -1.0) * (j % 7 + 1) for j in (i - 1, i, i + 1) if 0 <= j < 50) for i in range(50)))
+    return rounded(solvers.bicgstab(a, b).x.df)
+
+
+add("stl_solve", _from_lists, _KNOWN.format(n=50))
+
+
 def _solve_gram(method, pre=None):
     """Over the Gram matrix of the whole embeddings table."""
 
@@ -551,6 +577,7 @@ _POWERS = "e g " + " ".join(f"t{k} p{k + 1}" for k in range(9)) + " t9"
 add("eig_power", lambda s, d: rounded(spectral.to_frame(s, np.array([spectral.power_iteration(G(s, d), 1e-12)[0]])), 3), f"SELECT 0 AS k, {R('(SELECT sum(g.v * t9.v) FROM g JOIN t9 ON g.i = t9.j AND g.j = t9.i) / (SELECT sum(v) FROM t9 WHERE i = j)', 3)} AS value", _POWERS)
 add("eig_lanczos", _top(lambda a: spectral.lanczos(a, 3, 260), LX, LY, 3), _ranked(LX, LY, 3))
 add("eig_lanczos_partial", _top(lambda a: spectral.lanczos(a, 3, 260, "partial"), LX, LY, 3), _ranked(LX, LY, 3))
+add("top_eig", _top(lambda a: spectral.eigen_symmetric(a)[0], EX, EY, 5), _ranked(EX, EY, 5))
 add("eig_qr_sym", _top(lambda a: spectral.eigen_symmetric(a)[0], EX, EY, EX * EY), _ranked(EX, EY, EX * EY))
 
 
@@ -673,3 +700,4 @@ for _n, _f in (("reorder_cm", reorder.cuthill_mckee), ("reorder_acm", reorder.ad
     add(f"{_n}_parts", lambda s, d, f=_f: _order_parts(s, d, f), _PARTS, "np")
 for _n, _f in (("mis2", multigrid.aggregate_mis2), ("agg", multigrid.aggregate_sequential)):
     add(f"amg_coarsen_{_n}_parts", lambda s, d, f=_f: _roots(g := bought_together(s, d), f(g)), "SELECT i, true AS near, true AS apart FROM np, range(n) t(i)", "np")
+add("sort_deg", lambda s, d: reorder.by_degree(bought_together(s, d)), "SELECT i, degree, row_number() OVER (ORDER BY degree, i) - 1 AS p FROM (SELECT r.i, count(c.q) AS degree FROM np, range(n) r(i) LEFT JOIN (SELECT DISTINCT a.l_partkey AS i, b.l_partkey AS q FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey) c ON c.i = r.i GROUP BY r.i)", "np")

@@ -141,6 +141,21 @@ def galerkin(p: Mat, a: Mat) -> Mat:
     return multiply(p.T, multiply(a, p))
 
 
+def structured(e: Vec, kind: str) -> Mat:
+    """The entries of a circulant, toeplitz, hankel or vandermonde matrix; a toeplitz or hankel matrix of n rows has
+    2 n - 1 parameters."""
+    need(kind in ("circulant", "toeplitz", "hankel", "vandermonde"), "unknown kind")
+    need(kind in ("circulant", "vandermonde") or e.n % 2 == 1, "2 n - 1 parameters are needed")
+    n = e.n if kind in ("circulant", "vandermonde") else (e.n + 1) // 2
+    all_ = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    if kind == "vandermonde":
+        return Mat(e.df.select("i", all_.alias("j"), "v").select("i", "j", F.pow("v", F.col("j").cast("double")).alias("v")), n, n)
+    # every parameter knows its places: j runs, and i follows from it
+    i = {"circulant": F.pmod(F.col("k") + F.col("j"), F.lit(n).cast("bigint")), "toeplitz": F.col("k") + F.col("j") - (n - 1), "hankel": F.col("k") - F.col("j")}[kind]
+    cells = e.df.select(F.col("i").alias("k"), all_.alias("j"), "v").select(i.alias("i"), "j", "v")
+    return Mat(cells.where((F.col("i") >= 0) & (F.col("i") < n)), n, n)
+
+
 def _part(y: DataFrame, start: int, n: int) -> Vec:
     return Vec(y.where((F.col("i") >= start) & (F.col("i") < start + n)).select((F.col("i") - start).alias("i"), "v"), n)
 

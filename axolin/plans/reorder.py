@@ -55,6 +55,20 @@ def _frame(a: Mat, order: list[int]) -> DataFrame:
     return a.df.sparkSession.createDataFrame(pd.DataFrame({"i": order, "p": np.arange(len(order))}), "i long, p long")
 
 
+def by_degree(a: Mat) -> DataFrame:
+    """(i, degree, p): places in the order of the number of neighbours, then of the index. Places are offsets by degree,
+    from one row a degree, and numbers within ranges of nodes of one degree."""
+    from pyspark.sql import Window
+
+    seen = a.df.where("i != j").groupBy("i").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = a.df.sparkSession.range(a.m).select(F.col("id").alias("i")).join(seen, "i", "left").select("i", F.coalesce("degree", F.lit(0)).alias("degree"), F.expr("i div 65536").alias("part"))
+    counts = nodes.groupBy("degree", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("degree", "part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("degree", "part", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("degree", "part").orderBy("i"))
+    return nodes.withColumn("at", inside).join(starts, ["degree", "part"]).select("i", "degree", (F.col("start") + F.col("at") - 1).alias("p"))
+
+
 def cuthill_mckee(a: Mat) -> DataFrame:
     """Components from a node of least degree each, layer by layer, neighbours by degree."""
     near = _neighbours(a)
