@@ -32,8 +32,8 @@ def scale(x: DataFrame, alpha: float) -> DataFrame:
 
 
 def axpby(alpha: float, x: DataFrame, beta: float, y: DataFrame, sparse: bool = False) -> DataFrame:
-    """alpha x + beta y, for vectors or matrices. (A grouped sum over a union of both took 1.7 times as long as this join
-    on 10^7 entries: partial sums combine nothing there.)"""
+    """alpha x + beta y, for vectors or matrices. (On 10^7 entries, in units of the time of a copy in the same run, this
+    join took 2.3 and a grouped sum over the union of both 3.9: partial sums combine nothing there.)"""
     p = paired(x, y, sparse)
     return p.select(*[c for c in p.columns if c not in "ab"], (F.lit(float(alpha)) * F.col("a") + F.lit(float(beta)) * F.col("b")).alias("v"))
 
