@@ -1,4 +1,9 @@
-"""A corpus pipeline of five operators; each stage reads the Parquet that the one before wrote."""
+"""A corpus pipeline of five operators; each stage reads the Parquet that the one before wrote.
+
+In every stage: an empty table gives an empty result, other columns are kept whatever their names (the last stage returns
+packed rows instead), texts are read whole, and rows are judged one by one, so a null or repeated doc_id never makes rows
+share a fate that their texts don't. Each stage states what else is defined.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +16,30 @@ from axolin.llm.common import checkpoint_ready, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Rows whose text the classifier accepts. A null text is an empty one; equal texts score alike; a score of the very
+    threshold is accepted; without labels of both kinds all rows stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates."""
+    """One row of each group of near duplicates: the smallest doc_id, rows without one last, any one of equals. Null and
+    blank texts are one group."""
     return simhash.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Rows whose text has no benchmark passage; null texts stay, and an empty benchmark drops nothing."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every row as often as the mix takes it, up to three times; texts without words are not taken. A null source is a
+    source of its own; repeated rows are taken each by itself."""
     return mixing.take_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
+    """Packed rows of token ids; null texts are empty documents, and every row of docs is packed, repeats too."""
     return packing.pack_documents(docs)
 
 

@@ -481,6 +481,25 @@ def test_pipeline(spark, small_dir):
     assert sum(r.n_ids for r in whole) == sum(len(tok.encode(r.text)) // 2 + 1 for r in stage.collect())
 
 
+def test_stages_on_odd_rows(spark, small_dir):
+    """Nulls, repeats, ties and clashing columns through every stage, and empty tables."""
+    import corpus_pipeline as p
+    from collections import Counter
+
+    docs = frame(spark, [*ROWS, *REPEATS]).drop("a.b")
+    rows = Counter((r.doc_id, r.text) for r in docs.collect())
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, docs, small_dir)
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        assert out.columns == docs.columns and set(got) <= set(rows), name
+        assert all(n <= rows[k] * (3 if name.startswith("mixing") else 1) for k, n in got.items()), name
+        assert stage(spark, docs.limit(0), small_dir).count() == 0, name
+    packed = p.STAGES[4][1](spark, docs, small_dir).collect()
+    tok = packing.tokenizer(open(packing.VOCABULARY, "rb").read())
+    assert sum(r.n_ids for r in packed) == sum(n * (len(tok.encode(t or "")) // 2 + 1) for (_, t), n in rows.items())
+    assert {i for r in packed for i in r.doc_ids} == {i for i, _ in rows} and p.STAGES[4][1](spark, docs.limit(0), small_dir).count() == 0
+
+
 def test_pipeline_stages_read_parquet(spark, small_dir, monkeypatch):
     import corpus_pipeline as p
 
