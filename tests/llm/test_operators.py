@@ -41,7 +41,7 @@ def by_id(df):
 
 def test_registry_lists_every_operator():
     names = registry.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
     assert set(registry.oracle_sql()) <= set(names)
 
 
