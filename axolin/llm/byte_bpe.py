@@ -30,9 +30,9 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
-from axolin.llm.common import fresh, quoted, table
+from axolin.llm.common import quoted, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -41,7 +41,7 @@ PIECE, RUN = 1 << 16, 1 << 10
 #: Bytes of results after which a batch is handed on.
 BATCH = 4 << 20
 #: The characters that Unicode calls white space, as the library's pattern does.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def splits(text: str, piece: int = PIECE, run: int = RUN) -> Iterator[tuple[bool, str]]:
@@ -59,7 +59,8 @@ def splits(text: str, piece: int = PIECE, run: int = RUN) -> Iterator[tuple[bool
     for m in re.finditer(f"[{SPACE}]{{{run},}}", text):
         end = m.end() if m.end() == len(text) else m.end() - 1
         yield from words(at, m.start())
-        yield True, text[m.start() : end]
+        if end > m.start():
+            yield True, text[m.start() : end]
         at = end
     yield from words(at, len(text))
 
@@ -95,8 +96,6 @@ def _appended(df: DataFrame, source: str, kind: str, name: str, type_: DataType,
     """df with a column of code(coder, value) for each value of the column `source`, cast to `kind`."""
     with open(ranks, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    (given,) = fresh(df, "given")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(shared.value, pattern)
         for batch in batches:
@@ -106,11 +105,14 @@ def _appended(df: DataFrame, source: str, kind: str, name: str, type_: DataType,
                 done.append(code(own, values[k]))
                 held += size(done[-1])
                 if held >= BATCH or k + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*[c.slice(at, len(done)) for c in kept], array(done)], names=[*batch.schema.names[:-1], name])
+                    yield pa.RecordBatch.from_arrays([*[c.slice(at, len(done)) for c in kept], array(done)], names=names)
                     done, held, at = [], 0, k + 1
 
-    wide = df.withColumn(given, quoted(source).cast(kind))
-    return wide.mapInArrow(run, StructType([*df.schema.fields]).add(name, type_))
+    # plain names within the map, as columns may have any
+    names = [f"c{k}" for k in range(len(df.columns) + 1)]
+    wide = df.select(*[quoted(c).alias(n) for c, n in zip(df.columns, names, strict=False)], quoted(source).cast(kind).alias(names[-1]))
+    out = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema, strict=False)]).add(names[-1], type_)
+    return wide.mapInArrow(run, out).toDF(*df.columns, name)
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:

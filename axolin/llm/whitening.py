@@ -81,22 +81,20 @@ class Whitening:
 
 
 def fit(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | None:
-    """The whitening of a table of different vectors x (arrays of long), or None if it has no rows or no dimensions."""
+    """The whitening of a table of different vectors x (arrays of long, of one length), or None if it has no rows or no
+    dimensions."""
     facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d"), F.max(F.array_max("x")).alias("high"), F.min(F.array_min("x")).alias("low")).first()
     n, d = facts["n"], facts["d"] or 0
     if not n or not d:
         return None
-    if d > MAX_DIMENSIONS:
-        raise ValueError(f"vectors may have {MAX_DIMENSIONS} dimensions at most")
     largest = max(abs(facts["high"]), abs(facts["low"]), 1)
     kind = "bigint" if 2 * n * largest < 2**63 else "decimal(38,0)"
     sums = vectors.select(F.posexplode("x").alias("k", "x")).groupBy("k").agg(F.sum(F.col("x").cast(kind)).alias("s")).collect()  # d rows
     s = [0] * d
     for r in sums:
         s[r["k"]] = int(r["s"])
-    padded = F.concat("x", F.array_repeat(F.lit(0).cast("bigint"), F.lit(d) - F.size("x")))
     total = F.array(*[F.lit(str(v)).cast(kind) for v in s])
-    centred = F.zip_with(padded, total, lambda x, t: (x.cast(kind) * F.lit(str(n)).cast(kind) - t).cast("double") / F.lit(float(n)))
+    centred = F.zip_with("x", total, lambda x, t: (x.cast(kind) * F.lit(str(n)).cast(kind) - t).cast("double") / F.lit(float(n)))
     v = covariance(vectors.select(centred.alias("y")), "y", n)
     values, basis = np.linalg.eigh(v)
     k = min(components, d)
@@ -108,7 +106,12 @@ def fit(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | None:
 def whiten(df: DataFrame, name: str = "vec_id", vector: str = "embedding", components: int = COMPONENTS, scale: int = SCALE) -> DataFrame:
     """(name, component, n, deviation, whitened, explained, identity_error) for each usable row and each component."""
     spark = df.sparkSession
-    rows = df.where(usable(quoted(vector))).select(quoted(name).alias("name"), integers(quoted(vector), scale).alias("x"))
+    good = df.where(usable(quoted(vector)))
+    d = good.agg(F.max(F.size(quoted(vector)))).first()[0] or 0
+    if d > MAX_DIMENSIONS:
+        raise ValueError(f"vectors may have {MAX_DIMENSIONS} dimensions at most")
+    filled = F.concat(integers(quoted(vector), scale), F.array_repeat(F.lit(0).cast("bigint"), F.lit(d) - F.size(quoted(vector))))
+    rows = good.select(quoted(name).alias("name"), filled.alias("x"))
     different = cut(rows.select("x").distinct())
     found = fit(different, components)
     schema = StructType([StructField(name, df.schema[name].dataType), StructField("component", IntegerType()), StructField("n", LongType()), StructField("deviation", LongType()), StructField("whitened", DoubleType()), StructField("explained", DoubleType()), StructField("identity_error", DoubleType())])
