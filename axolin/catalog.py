@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from axolin import blas, sources
 from axolin.functions import CASTS, convert
-from axolin.operators import direct, fourier, matrix, product, vector
-from axolin.plans import loop, multigrid, precondition, reorder, solvers, spectral
+from axolin.operators import direct, fourier, matrix, product, reflectors, substitution, vector
+from axolin.plans import bidiagonal, loop, multigrid, precondition, reorder, solvers, spectral
 from axolin.types import Mat, Vec
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,18 +370,42 @@ for _k in ("lower", "upper"):
                 add(f"trsm_{'unit_' * _u}{_k}{'_t' * _t}{'_bt' * _b}", _trsm(_k, _t, _u, _b), "SELECT i, j, CAST((i + j) % 7 + 1 AS DOUBLE) AS v FROM range(64) a(i), range(5) b(j)")
 
 
-def _sp_trsv(s, d, blocks: int = 0):
-    a = sources.laplace_2d(s, 12, 10)
-    low = Mat(matrix.lower(a.df), a.m, a.n)
-    if blocks:
-        low = Mat(low.df.where(f"i div 30 = j div 30"), a.m, a.n)
-        return rounded(direct.block_trsv(low, product.gemv(low, known(s, a.m)), blocks).df)
-    return rounded(direct.trsv(low, product.gemv(low, known(s, a.m)), block=50).df)
+def _lower_parts(s, d, blocks: int = 1) -> Mat:
+    """The lower triangle of the whole table's graph of parts bought together, with a diagonal of 1 more than its rows'
+    sums; of each of so many diagonal blocks, if there are several."""
+    g = bought_together(s, d)
+    low = matrix.lower(g.df).where("i != j")
+    rows = s.range(g.n).select(F.col("id").alias("i")).join(low.groupBy("i").agg(F.sum("v").alias("w")), "i", "left")
+    low = low.select("i", "j", (-F.col("v")).alias("v")).unionByName(rows.select("i", F.col("i").alias("j"), (1 + F.coalesce("w", F.lit(0.0))).alias("v")))
+    low = Mat(loop.checkpoint(low), g.n, g.n)
+    return substitution.in_blocks(low, blocks) if blocks > 1 else low
+
+
+def _sp_trsv(kind: str, blocks: int = 1):
+    def run(s, d):
+        low = _lower_parts(s, d, blocks)
+        t = low if kind == "lower" else low.T
+        b = product.gemv(t, known(s, t.n))
+        return rounded(direct.block_trsv(t, b, blocks, kind).df if blocks > 1 else direct.trsv(t, b, kind).df)
+
+    return run
 
 
-add("sp_trsv", _sp_trsv, _KNOWN.format(n=120))
-add("sp_block_trsv", lambda s, d: _sp_trsv(s, d, 4), _KNOWN.format(n=120))
-add("level_sched", lambda s, d: direct.levels(sources.laplace_2d(s, 8, 6)), "SELECT i, CAST(i % 8 + i // 8 AS INTEGER) AS level FROM range(48) t(i)")
+def _sp_trsm(s, d):
+    low = _lower_parts(s, d)
+    x = Mat(s.range(low.n).select(F.col("id").alias("i"), F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(4)])).alias("j")).withColumn("v", (F.col("i") + F.col("j")) % 7 + 1.0), low.n, 4)
+    return rounded(direct.trsm(low, product.multiply(low.T, x), transposed=True).df)
+
+
+_KNOWN_PARTS = "SELECT i, CAST(i % 7 + 1 AS DOUBLE) AS v FROM np, range(n) t(i)"
+add("sp_trsv", _sp_trsv("lower"), _KNOWN_PARTS, "np")
+add("sp_trsv_upper", _sp_trsv("upper"), _KNOWN_PARTS, "np")
+add("sp_block_trsv", _sp_trsv("lower", 4), _KNOWN_PARTS, "np")
+add("sp_trsm_t", _sp_trsm, "SELECT i, j, CAST((i + j) % 7 + 1 AS DOUBLE) AS v FROM np, range(n) a(i), range(4) b(j)", "np")
+add("level_sched", lambda s, d: substitution.levels(bought_together(s, d)), """
+WITH RECURSIVE line AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), e AS (SELECT DISTINCT a.p AS i, b.p AS j FROM line a JOIN line b USING (o) WHERE a.p > b.p),
+l AS (SELECT r.i, 0 AS level FROM (SELECT max(p_partkey) + 1 AS n FROM part), range(n) r(i) UNION SELECT e.i, l.level + 1 FROM l JOIN e ON e.j = l.i)
+SELECT i, CAST(max(level) AS INTEGER) AS level FROM l GROUP BY i""")
 
 
 def _lu_product(s, d):
@@ -395,14 +419,24 @@ add("lu", _lu_product, f"SELECT i, j, {R('v')} AS v FROM g", "e g")
 add("lu_solve", as_vec(lambda s, d: direct.lu_solve(direct.lu(G(s, d)), product.gemv(G(s, d), known(s, 64))).df), _KNOWN.format(n=64))
 
 
+def _reflectors(s, d, doubled: int = 0):
+    """Of the embeddings, with the first columns once more if asked, in blocks of 128 rows."""
+    e = E(s, d)
+    if doubled:
+        e = Mat(e.df.unionByName(e.df.where(F.col("j") < doubled).withColumn("j", F.col("j") + 64)), e.m, 64 + doubled)
+    return reflectors.factor(e, 4, 128)
+
+
 def _qr_recover(s, d):
-    q, r = direct.qr(E(s, d))
-    return rounded(product.multiply(q, sources.matrix_from(s, r)).df)
+    f = _reflectors(s, d)
+    return rounded(product.multiply(f.q(), sources.matrix_from(s, f.r)).df)
 
 
 add("qr", lambda s, d: rounded(spectral.gram(sources.matrix_from(s, direct.qr_r(E(s, d)))).df), f"SELECT i, j, {R('v')} AS v FROM g", "e g")
 add("qr_recover", _qr_recover, f"SELECT i, j, {R('v')} AS v FROM e", "e")
-add("qr_apply", as_vec(lambda s, d: spectral.gram(direct.qr(E(s, d))[0]).df.where("i = j")), "SELECT i, i AS j, 1.0::DOUBLE AS v FROM range(64) t(i)")
+add("qr_apply", lambda s, d: rounded(spectral.gram(sources.matrix_from(s, _reflectors(s, d).transposed_times(E(s, d)))).df), f"SELECT i, j, {R('v')} AS v FROM g", "e g")
+for _n, _dup in (("qr_orthogonal", 0), ("qr_deficient", 8)):
+    add(_n, as_vec(lambda s, d, k=_dup: spectral.gram(_reflectors(s, d, k).q()).df, 9), f"SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM range({64 + _dup}) a(i), range({64 + _dup}) b(j)")
 add("lstsq", as_vec(lambda s, d: direct.least_squares(E(s, d), product.gemv(E(s, d), known(s, 64))).df), _KNOWN.format(n=64))
 
 # ---- iterative solvers and preconditioners on a grid -------------------------------------------------------------
@@ -503,6 +537,26 @@ def _solve_gram(method, pre=None):
     return run
 
 
+def _solve_parts(method):
+    """Over the graph of parts bought together, with 1 more on the diagonal than a row's weights; the loop's vectors are
+    tables, as they are beyond the driver's bound."""
+
+    def run(s, d):
+        low = _lower_parts(s, d).df
+        off = low.where("i != j")
+        both = off.unionByName(off.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+        diagonal = both.groupBy("i").agg((1 - 2 * F.sum("v")).alias("v")).select("i", F.col("i").alias("j"), "v")
+        n = size(table(s, d, "part"), "p_partkey")
+        alone = s.range(n).select(F.col("id").alias("i")).join(diagonal, "i", "left_anti").select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
+        a = Mat(loop.checkpoint(both.unionByName(diagonal).unionByName(alone)), n, n)
+        b = Vec(loop.checkpoint(product.gemv(a, known(s, n)).df), n)
+        return rounded(method(a, b, tables=True).x.df, 3)
+
+    return run
+
+
+for _n, _m in (("cg", solvers.cg), ("bicgstab", solvers.bicgstab)):
+    add(f"{_n}_tables", _solve_parts(_m), _KNOWN_PARTS, "np")
 for _n, _m in (("cg", solvers.cg), ("bicgstab", solvers.bicgstab), ("gmres", solvers.gmres)):
     add(f"{_n}_gram", _solve_gram(_m), _KNOWN.format(n=64))
 for _n, _m, _p in (("pc_jacobi", solvers.cg, precondition.jacobi), ("pc_block_ilu", solvers.bicgstab, lambda a: precondition.incomplete(a, "ilu0", 8)), ("pc_amg", solvers.cg, multigrid.multigrid)):
@@ -606,6 +660,23 @@ def _svd(s, d):
 add("svd", _svd, f"SELECT i, j, {R('v')} AS v FROM e", "e")
 
 
+def _bidiagonal(s, d):
+    """The embeddings from both bases of their bidiagonal form."""
+    u, diag, above, v = bidiagonal.bidiagonalise(E(s, d))
+    return rounded(product.multiply(u, sources.matrix_from(s, (np.diag(diag) + np.diag(above, 1)) @ v.T)).df)
+
+
+def _svd_by_rotations(a: Mat) -> DataFrame:
+    u, sv, v = bidiagonal.svd(a)
+    return product.multiply(u, sources.matrix_from(a.df.sparkSession, sv[:, None] * v.T)).df
+
+
+add("bidiag", _bidiagonal, f"SELECT i, j, {R('v')} AS v FROM e", "e")
+add("svd_rotations", as_vec(lambda s, d: _svd_by_rotations(E(s, d))), f"SELECT i, j, {R('v')} AS v FROM e", "e")
+# parts x suppliers: the smaller side bounds the work, and the larger one may have any length
+add("svd_long", lambda s, d: rounded(_svd_by_rotations(B(s, d))).where("abs(v) > 1e-3"), f"SELECT i, j, {R('v')} AS v FROM b", "b")
+
+
 def _nmf(s, d):
     """A matrix of rank 3 from parts and nations, factored from fixed starts to the operator's own stopping rule."""
     t = loop.checkpoint(table(s, d, "part").selectExpr("p_partkey - 1 AS i", "p_size", "p_retailprice").where("i >= 0 AND i < 200").withColumn("w", F.expr("array(1 + p_size % 7, 1 + p_size % 5, p_retailprice / 500)")))

@@ -1,7 +1,9 @@
 """Direct solvers and orthogonal factorizations.
 
-Triangular solves and the unpivoted LU run over blocks of rows: a block of bounded size is solved on the driver or in
-grouped numpy calls, and its effect on the rest is a distributed join and sum. QR reduces tall matrices by partition.
+Triangular solves go by dependency levels (operators.substitution), or by halves where right-hand sides exceed the
+driver; the unpivoted LU runs over blocks of rows: a block of bounded size is solved on the driver or in grouped numpy
+calls, and its effect on the rest is a distributed join and sum. QR reduces tall matrices up a tree of tasks and keeps its
+reflectors (operators.reflectors).
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from pyspark.sql import functions as F
 
 from axolin.operators.matrix import diagonal_block
 from axolin.operators.product import multiply
+from axolin.operators.reflectors import factor
+from axolin.operators.substitution import in_blocks, substitute
 from axolin.plans.loop import checkpoint
 from axolin.sources import to_numpy
-from axolin.types import LOCAL_ENTRIES, Mat, Vec, need
+from axolin.types import LOCAL_ENTRIES, Mat, Vec, driver_sized, need
 
 BLOCK, PANEL = 128, 32
 _COO = "i long, j long, v double"
@@ -55,13 +59,16 @@ def _for_rows(d: np.ndarray, start: int):
 def trsm(a: Mat, b: Mat, kind: str = "lower", unit: bool = False, transposed: bool = False, block: int = BLOCK, transposed_b: bool = False) -> Mat:
     """X with op(T) X = op(B), T the lower or upper triangle of A, with a unit diagonal if asked.
 
-    The triangle is halved until a block of at most `block` rows is left, which is solved for all right-hand sides by
+    Right-hand sides that fit the driver are solved by substitution along dependency levels. Beyond that the triangle is
+    halved until a block of at most `block` rows is left, which is solved for all right-hand sides by
     grouped numpy calls. What the first half of a range gives to the second is one product of a square of T with the
     solved half, so every solved part is read once for each halving and not once for each later block, and no plan holds
     more than one half. A zero on the diagonal raises.
     """
     b = b.T if transposed_b else b
     need(kind in ("lower", "upper") and a.m == a.n == b.m, "a square triangle and a fitting right-hand side are needed")
+    if driver_sized(a.m * max(1, b.n)):
+        return substitute(a, b, kind, unit, transposed)
     tri = a.df.where(F.col("j") <= F.col("i")) if kind == "lower" else a.df.where(F.col("j") >= F.col("i"))
     if transposed:
         tri, kind = Mat(tri, a.m, a.n).T.df, "upper" if kind == "lower" else "lower"
@@ -101,37 +108,8 @@ def trsv(a: Mat, b: Vec, kind: str = "lower", unit: bool = False, transposed: bo
 
 
 def block_trsv(a: Mat, b: Vec, blocks: int, kind: str = "lower", unit: bool = False) -> Vec:
-    """Independent triangular solves with the diagonal blocks of A, side by side."""
-    size = -(-a.m // blocks)
-    cells = a.df.where((F.col("j") <= F.col("i")) if kind == "lower" else (F.col("j") >= F.col("i"))).where(F.expr(f"i div {size} = j div {size}"))
-    rows = a.m
-    left, right = cells.groupBy(F.expr(f"i div {size}").alias("b")), b.df.groupBy(F.expr(f"i div {size}").alias("b"))
-
-    def solve(key, t: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        at = int(key[0]) * size
-        n = min(rows, at + size) - at
-        d, y = np.zeros((n, n)), np.zeros(n)
-        d[t["i"].to_numpy(int) - at, t["j"].to_numpy(int) - at] = t["v"]
-        y[r["i"].to_numpy(int) - at] = r["v"]
-        if unit:
-            np.fill_diagonal(d, 1.0)
-        return pd.DataFrame({"i": np.arange(at, at + n), "v": np.linalg.solve(d, y)})
-
-    return Vec(left.cogroup(right).applyInPandas(solve, "i long, v double"), b.n)
-
-
-def levels(a: Mat, kind: str = "lower") -> DataFrame:
-    """(i, level): a row's level is one more than the greatest of the rows it depends on; one join for each level."""
-    edges = a.df.where((F.col("j") < F.col("i")) if kind == "lower" else (F.col("j") > F.col("i"))).select("i", "j")
-    got = a.df.sparkSession.range(a.m).select(F.col("id").alias("i"), F.lit(0).alias("level"))
-    while True:
-        seen = got.select(F.col("i").alias("k"), F.col("level").alias("l"))
-        up = edges.join(seen, F.col("j") == F.col("k")).groupBy("i").agg(F.max("l").alias("m"))
-        nxt = checkpoint(got.join(up, "i", "left").select("i", F.coalesce(F.col("m") + 1, F.lit(0)).alias("level"), F.col("level").alias("was")))
-        moved = nxt.where("level != was").limit(1).count()
-        got = nxt.drop("was")
-        if not moved:
-            return got
+    """Independent triangular solves with the diagonal blocks of A, their levels side by side."""
+    return trsv(in_blocks(a, blocks), b, kind, unit)
 
 
 def lu(a: Mat, panel: int = PANEL) -> Mat:
@@ -218,23 +196,14 @@ def times_rows(a: Mat, m: np.ndarray) -> Mat:
 
 
 def qr(a: Mat) -> tuple[Mat, np.ndarray]:
-    """(Q, R): Q = A R^-1, row by row; R is reduced up a tree of tasks."""
-    r = qr_r(a)
-    return times_rows(a, np.linalg.inv(r)), r
+    """(Q, R): the columns of Q are orthonormal whatever A's rank; R has a non-negative diagonal."""
+    f = factor(a)
+    return f.q(), f.r
 
 
 def least_squares(a: Mat, b: Vec) -> Vec:
-    """x of least |A x - b|: R x = Q^T b, with Q^T b = R^-T A^T b, corrected once by the residual's solution."""
-    r = qr_r(a)
-    from axolin.operators.product import gemv
-
-    def step(rhs: Vec) -> np.ndarray:
-        g = to_numpy(gemv(a, rhs, transposed=True))
-        return np.linalg.solve(r, np.linalg.solve(r.T, g))
-
-    x = step(b)
-    spark = a.df.sparkSession
-    frame = lambda v: Vec(spark.createDataFrame(pd.DataFrame({"i": np.arange(a.n), "v": v}), "i long, v double"), a.n)
-    ax = gemv(a, frame(x)).df.withColumnRenamed("v", "w")
-    rest = b.df.join(ax, "i", "left").select("i", (F.col("v") - F.coalesce("w", F.lit(0.0))).alias("v"))
-    return frame(x + step(Vec(rest, b.n)))
+    """x of least |A x - b|, the shortest one where A's columns depend on each other: R x = Q^T b."""
+    f = factor(a)
+    c = f.transposed_times(Mat(b.df.select("i", F.lit(0).cast("bigint").alias("j"), "v"), b.n, 1))[:, 0]
+    x = np.linalg.lstsq(f.r, c, rcond=None)[0]
+    return Vec(a.df.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(a.n), "v": x}), "i long, v double"), a.n)

@@ -97,6 +97,9 @@ class Few:
     def release(self) -> None:
         pass
 
+    def each(self, fn: Callable) -> list[tuple[np.ndarray, ...]]:
+        return [fn(*self.parts)] if len(self.parts[3]) else []
+
     def most(self, x: np.ndarray) -> np.ndarray:
         y = np.full(self.m, -1, x.dtype)
         if len(self.parts[0]):
@@ -113,9 +116,9 @@ def packed(a: Mat) -> Chunks | Few:
 class Chunks:
     """A matrix in packed chunks; times and times_t multiply arrays of one or more columns, in the type of the array."""
 
-    def __init__(self, a: Mat):
+    def __init__(self, a: Mat, chunk: int | None = None):
         cells = a.df.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
-        parts = max(1, -(-cells.count() // CHUNK))
+        parts = max(1, -(-cells.count() // (chunk or CHUNK)))
         cells = cells.coalesce(1) if parts == 1 else cells.repartition(parts, "i")
         self.m, self.n = a.m, a.n
         self.df = checkpoint(cells.mapInArrow(_pack, "rows binary, at binary, cols binary, vals binary")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -141,6 +144,16 @@ class Chunks:
     def times_t(self, x: np.ndarray) -> np.ndarray:
         return self._sums(x, True)
 
+    def each(self, fn: Callable) -> list[tuple[np.ndarray, ...]]:
+        """The arrays that fn(rows, at, cols, vals) makes of every chunk, in one job."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [pickle.dumps(fn(*(np.frombuffer(c, t) for c, t in zip(r, (np.int64, np.int64, np.int64, float), strict=True)))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["made"])
+
+        return [pickle.loads(r.made) for r in self.df.mapInArrow(run, "made binary").collect()]
+
     def most(self, x: np.ndarray) -> np.ndarray:
         """For each row the greatest x among the columns of its entries, -1 without one; x is not negative."""
 

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.storagelevel import StorageLevel
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the folder named in spark.checkpoint.dir, which executors share. Only a local master gets a folder
-    of its own where none is named; elsewhere that is an error."""
-    spark = df.sparkSession
+def folder_ready(spark: SparkSession) -> str:
+    """The checkpoint folder, which executors share. Only a local master gets a folder of its own where none is named;
+    elsewhere that is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="axolin-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder."""
+    folder_ready(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -58,3 +64,31 @@ class State:
         self.settle()
         self.df.unpersist()
         return out
+
+
+class Written:
+    """Versions of a loop's table, each one written to the checkpoint folder by a single action that also observes sums
+    over its rows. The version before the last stays until the next one is there, so that a failed task can read it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.k = spark, f"{folder_ready(spark)}/loop-{uuid.uuid4().hex}", 0
+        self.df: DataFrame | None = None
+
+    def step(self, df: DataFrame, **sums: Column) -> dict[str, float]:
+        """Make df the current version; the result has the sums, 0 where there is nothing to add."""
+        seen = Observation()
+        df.observe(seen, *[c.alias(name) for name, c in sums.items()]).write.parquet(f"{self.folder}/{self.k}")
+        self.df = self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.k}")
+        self.k += 1
+        self._drop(self.k - 3)
+        return {name: seen.get[name] or 0.0 for name in sums}
+
+    def _drop(self, k: int) -> None:
+        if k >= 0:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{k}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by a column and kept by the executors, so that a loop's joins on it move the other side only."""
+    return df.repartition(key).persist(StorageLevel.MEMORY_AND_DISK)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from axolin.operators.product import gemv
 from axolin.plans.blocks import as_vec, on_arrays, to_array
-from axolin.plans.loop import State, checkpoint
+from axolin.plans.loop import State, Written, checkpoint, dealt
 from axolin.types import Mat, Vec, driver_sized, small
 
 Operator = Mat | Callable[[DataFrame], DataFrame]
@@ -158,57 +158,43 @@ def gmres_arrays(times, b, pre, tol, most, monitor, krylov):
         x = x + q[:, :m] @ y
 
 
-def cg(a: Operator, b: Vec, tol: float = 1e-8, max_iterations: int = 300, preconditioner=None, x0: Vec | None = None, monitor=None, abs_tol: float = 0.0) -> Result:
-    """Conjugate gradients for symmetric positive definite matrices.
+def cg(a: Operator, b: Vec, tol: float = 1e-8, max_iterations: int = 300, preconditioner=None, x0: Vec | None = None, monitor=None, abs_tol: float = 0.0, tables: bool = False) -> Result:
+    """Conjugate gradients for symmetric positive definite matrices; tables=True takes the table form at any length.
 
-    On tables, an iteration without a preconditioner has one action, which gives r.r, Ap.Ap and p.Ap; the next direction
-    follows from these. With one, the test is on <r, z> relative to its first value.
+    On tables, an iteration is one action, which writes the next state and observes both of its dot products. The test is
+    on <r, M r> relative to its first value.
     """
-    if driver_sized(b.n):
+    if driver_sized(b.n) and not tables:
         return _arrays(cg_arrays, a, b, x0, preconditioner, tol=tol, most=max_iterations, monitor=monitor, abs_tol=abs_tol)
-    return _shifted(_cg_plain if preconditioner is None else _cg_preconditioned, a, b, x0, tol=tol, most=max_iterations, pre=preconditioner, monitor=monitor, abs_tol=abs_tol)
-
-
-def _cg_plain(a, b, tol, most, pre, monitor, abs_tol) -> Result:
-    state = State(_start(b).withColumn("p", F.col("r")), b.n)
-    k, norm_b, rr = 0, None, 0.0
-    while True:
-        with_ap = State(_with(state.df, apply(a, _column(state.df, "p"), b.n), "ap", b.n), b.n)
-        pap, apap, rr = with_ap.df.agg(_sum(F.col("p") * F.col("ap")), _sum(F.col("ap") ** 2), _sum(F.col("r") ** 2)).first()
-        state.settle()
-        norm_b = rr if norm_b is None else norm_b
-        if rr <= abs_tol**2 or rr < tol * tol * norm_b or k >= most or (k and monitor and monitor(k, (rr / norm_b) ** 0.5)):
+    return _shifted(_cg_tables, a, b, x0, tol=tol, most=max_iterations, pre=preconditioner, monitor=monitor, abs_tol=abs_tol)
+
+
+def _cg_tables(a, b, tol, most, pre, monitor, abs_tol) -> Result:
+    """The recurrence with one synchronisation: with u = M r and w = A u known, <r, u> and <w, u> give both coefficients,
+    p and A p follow by the same recurrence, and the two products are observed while the next state is written."""
+    own = pre or (lambda r: r)
+    kept = Mat(dealt(a.df, "j"), a.m, a.n) if isinstance(a, Mat) else a
+    state = Written(b.df.sparkSession)
+
+    def written(moved: DataFrame) -> tuple[float, float]:
+        u = own(_column(moved, "r"))
+        full = _with(_with(moved, u, "u"), apply(kept, u, b.n), "w")
+        got = state.step(full, ru=_sum(F.col("r") * F.col("u")), wu=_sum(F.col("w") * F.col("u")))
+        return got["ru"], got["wu"]
+
+    ru, wu = written(_start(b).select("*", F.lit(0.0).alias("p"), F.lit(0.0).alias("s")))
+    first, alpha, beta, k = ru, 1.0, 0.0, 0
+    while k < most and ru != 0 and abs(ru) > abs_tol**2 and abs(ru) >= tol * tol * abs(first):
+        alpha = ru / (wu - beta * ru / alpha)
+        p, s = F.col("u") + beta * F.col("p"), F.col("w") + beta * F.col("s")
+        moved = state.df.select("i", (F.col("x") + alpha * p).alias("x"), (F.col("r") - alpha * s).alias("r"), p.alias("p"), s.alias("s"))
+        new, wu = written(moved)
+        beta, ru, k = new / ru, new, k + 1
+        if monitor and monitor(k, abs(ru / first) ** 0.5):
             break
-        alpha = rr / pap
-        beta = (alpha * alpha * apap - rr) / rr
-        r = F.col("r") - alpha * F.col("ap")
-        state.step(with_ap.df.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), r.alias("r"), (r + beta * F.col("p")).alias("p")))
-        state.old.append(with_ap.df)
-        k += 1
-    return Result(Vec(_column(state.done(), "x"), b.n), k, (rr / norm_b) ** 0.5 if norm_b else 0.0)
-
-
-def _cg_preconditioned(a, b, tol, most, pre, monitor, abs_tol) -> Result:
-    first = _start(b)
-    state = State(_with(first, pre(_column(first, "r")), "z", b.n).withColumn("p", F.col("z")), b.n)
-    rz0 = rz = state.df.agg(_sum(F.col("r") * F.col("z"))).first()[0]
-    if rz0 == 0:
-        return Result(Vec(_column(state.done(), "x"), b.n), 0, 0.0)
-    k = 0
-    for k in range(1, most + 1):
-        with_ap = State(_with(state.df, apply(a, _column(state.df, "p"), b.n), "ap", b.n), b.n)
-        alpha = rz / with_ap.df.agg(_sum(F.col("p") * F.col("ap"))).first()[0]
-        moved = with_ap.df.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
-        half = State(_with(moved, pre(_column(moved, "r")), "z", b.n), b.n)
-        new = half.df.agg(_sum(F.col("r") * F.col("z"))).first()[0]
-        beta, rz = new / rz, new
-        state.step(half.df.withColumn("p", F.col("z") + beta * F.col("p")))
-        state.settle()
-        with_ap.df.unpersist()
-        half.df.unpersist()
-        if (monitor and monitor(k, abs(rz / rz0) ** 0.5)) or abs(rz / rz0) < tol * tol or abs(rz) < abs_tol**2:
-            break
-    return Result(Vec(_column(state.done(), "x"), b.n), k, abs(rz / rz0) ** 0.5)
+    if kept is not a:
+        kept.df.unpersist()
+    return Result(Vec(_column(state.df, "x"), b.n), k, abs(ru / first) ** 0.5 if first else 0.0)
 
 
 def cg_mixed(a: Mat, b: Vec, tol: float = 1e-8, max_iterations: int = 300, inner_tol: float = 1e-2) -> Result:
@@ -242,47 +228,48 @@ def mixed_arrays(times, b, pre, tol, most, inner_tol):
     return x, used, error if norm else 0.0
 
 
-def bicgstab(a: Operator, b: Vec, tol: float = 1e-8, max_iterations: int = 400, preconditioner=None, x0: Vec | None = None, monitor=None, restart: int = 200) -> Result:
+def bicgstab(a: Operator, b: Vec, tol: float = 1e-8, max_iterations: int = 400, preconditioner=None, x0: Vec | None = None, monitor=None, restart: int = 200, tables: bool = False) -> Result:
     """Stabilised bi-conjugate gradients; the test is the residual norm over that of b."""
-    if driver_sized(b.n):
+    if driver_sized(b.n) and not tables:
         return _arrays(bicgstab_arrays, a, b, x0, preconditioner, tol=tol, most=max_iterations, monitor=monitor, restart=restart)
     return _shifted(_bicgstab, a, b, x0, tol=tol, most=max_iterations, pre=preconditioner or (lambda r: r), monitor=monitor, restart=restart)
 
 
 def _bicgstab(a, b, tol, most, pre, monitor, restart) -> Result:
-    state = State(_start(b).withColumn("s0", F.col("r")).withColumn("p", F.col("r")), b.n)
-    norm_b = rho = state.df.agg(_sum(F.col("r") ** 2)).first()[0]
-    if norm_b == 0:
-        return Result(Vec(_column(state.done(), "x"), b.n), 0, 0.0)
-    error, k = 1.0, 0
+    """Two actions an iteration, one for each product: the second also observes what the residual's norm and the next
+    coefficient follow from."""
     pre = pre or (lambda r: r)
+    kept = Mat(dealt(a.df, "j"), a.m, a.n) if isinstance(a, Mat) else a
+    state = Written(b.df.sparkSession)
+    moved = _start(b).select("*", F.col("r").alias("s0"), F.col("r").alias("p"))
+    norm, rho, error, k = None, None, 1.0, 0
     for k in range(1, most + 1):
-        ph = pre(_column(state.df, "p"))
-        one = State(_with(_with(state.df, ph, "ph", b.n), apply(a, ph, b.n), "ap", b.n), b.n)
-        alpha = rho / one.df.agg(_sum(F.col("s0") * F.col("ap"))).first()[0]
-        s = one.df.withColumn("s", F.col("r") - alpha * F.col("ap"))
-        sh = pre(_column(s, "s"))
-        two = State(_with(_with(s, sh, "sh", b.n), apply(a, sh, b.n), "as", b.n), b.n)
-        ts, tt, ss = two.df.agg(_sum(F.col("as") * F.col("s")), _sum(F.col("as") ** 2), _sum(F.col("s") ** 2)).first()
-        omega = ts / tt if tt else 0.0
+        ph = pre(_column(moved, "p"))
+        got = state.step(_with(_with(moved, ph, "ph"), apply(kept, ph, b.n), "ap"), s0ap=_sum(F.col("s0") * F.col("ap")), rr=_sum(F.col("r") ** 2))
+        if norm is None:
+            norm = rho = got["rr"]
+            if norm == 0:
+                return Result(Vec(_column(state.df, "x"), b.n), 0, 0.0)
+        alpha = rho / got["s0ap"]
+        half = state.df.withColumn("s", F.col("r") - alpha * F.col("ap"))
+        sh = pre(_column(half, "s"))
+        c = {n: F.col(n) for n in ("s", "as", "s0")}
+        got = state.step(_with(_with(half, sh, "sh"), apply(kept, sh, b.n), "as"), ts=_sum(c["as"] * c["s"]), tt=_sum(c["as"] ** 2), ss=_sum(c["s"] ** 2), s0s=_sum(c["s0"] * c["s"]), s0t=_sum(c["s0"] * c["as"]))
+        omega = got["ts"] / got["tt"] if got["tt"] else 0.0
+        new, rr = got["s0s"] - omega * got["s0t"], max(0.0, got["ss"] - 2 * omega * got["ts"] + omega**2 * got["tt"])
+        error = (rr / norm) ** 0.5
         x = F.col("x") + alpha * F.col("ph") + omega * F.col("sh")
         r = F.col("s") - omega * F.col("as")
-        three = State(two.df.select("i", x.alias("x"), r.alias("r"), "s0", "p", "ap"), b.n)
-        new, rr = three.df.agg(_sum(F.col("s0") * F.col("r")), _sum(F.col("r") ** 2)).first()
-        error = (rr / norm_b) ** 0.5
-        stop = (monitor and monitor(k, error)) or error < tol or omega == 0
-        if not stop and (k % restart == 0 or abs(new) < 1e-30 * norm_b):
-            nxt, rho = three.df.select("i", "x", "r", F.col("r").alias("s0"), F.col("r").alias("p")), rr
-        else:
-            beta = (new / rho) * (alpha / omega) if omega else 0.0
-            nxt, rho = three.df.select("i", "x", "r", "s0", (F.col("r") + beta * (F.col("p") - omega * F.col("ap"))).alias("p")), new
-        state.step(nxt)
-        state.settle()
-        for used in (one, two, three):
-            used.df.unpersist()
-        if stop:
+        if (monitor and monitor(k, error)) or error < tol or omega == 0:
             break
-    return Result(Vec(_column(state.done(), "x"), b.n), k, error)
+        if k % restart == 0 or abs(new) < 1e-30 * norm:
+            moved, rho = state.df.select("i", x.alias("x"), r.alias("r"), r.alias("s0"), r.alias("p")), rr
+        else:
+            beta = (new / rho) * (alpha / omega)
+            moved, rho = state.df.select("i", x.alias("x"), r.alias("r"), "s0", (r + beta * (F.col("p") - omega * F.col("ap"))).alias("p")), new
+    if kept is not a:
+        kept.df.unpersist()
+    return Result(Vec(state.df.select("i", x.alias("v")), b.n), k, error)
 
 
 def gmres(a: Operator, b: Vec, tol: float = 1e-10, max_iterations: int = 300, krylov: int = 20, preconditioner=None, x0: Vec | None = None, monitor=None) -> Result:

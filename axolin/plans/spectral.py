@@ -206,15 +206,16 @@ def gram(a: Mat) -> Mat:
 
 def svd(a: Mat) -> tuple[Mat, np.ndarray, np.ndarray]:
     """(U, singular values descending, V) by A = Q R and the singular values of R, so that small ones keep their digits;
-    singular values under 1e-13 of the largest have no column in U."""
-    from axolin.operators.direct import qr_r, times_rows
+    singular values under 1e-13 of the largest have no column in U, whose columns are orthonormal."""
+    from axolin.operators.reflectors import factor
 
     need(a.n * a.n <= LOCAL_ENTRIES, "too many columns")
-    r = qr_r(a)
-    left, s, right = np.linalg.svd(r)
+    f = factor(a)
+    left, s, right = np.linalg.svd(f.r)
+    s = np.append(s, np.zeros(a.n - len(s)))
     rank = int((s > 1e-13 * max(s[0] if len(s) else 0.0, 1e-300)).sum())
-    # U = Q left = A R^-1 left = A right / s
-    return times_rows(a, right[:rank].T / s[:rank]), s, right.T
+    u = f.times(np.ascontiguousarray(left[:, :rank])) if f.levels else Mat(a.df, a.m, 0)
+    return u, s, right.T
 
 
 def nmf(v: Mat, k: int, w: Mat | None = None, h: Mat | None = None, tol: float = 1e-4, stagnation: float = 1e-5, most: int = 10_000, every: int = 100) -> tuple[Mat, Mat, int, float]:
