@@ -10,10 +10,12 @@ s p + t q stays as it is, until one of them is 0 or 1; which way the mass goes i
 both expectations. The other one carries the residual to the next step. Within a block of a source (documents are
 dealt to blocks of about FAN by a hash) this is a fold from large documents to small ones; the blocks' residuals are
 folded again, FAN at a time, up a tree until a source has one residual, which is rounded to the nearer side. That
-leaves half a document at most. It is then made up for among the documents of the tree's root (FAN or so): from large
-to small, a choice is reversed if that at least halves what is left, and once more if it lessens it at all. No group
-in the tree has more than about FAN members, however large the source is. Random numbers are hashes of the document
-ids and a seed: reruns agree.
+leaves half a document at most, which may be long. It is then made up for: a few rows of every size class and choice
+are taken from the whole source, and from large to small a choice is reversed if that at least halves what is left, and
+once more if it lessens it at all; then the pair of them that leaves least. As sizes go down to the source's smallest, so
+does what is left, in some twenty reversals at most, however many documents a source has; these rows do not keep exact
+odds. No group in the tree has more than about FAN members, however large the source is. Random numbers are hashes of
+the document ids and a seed: reruns agree.
 
 Defined results: null text has size 0; documents of size 0 take 0 words; a null source is a source of its own, ordered
 last; rows are documents of their own even where doc_id repeats or is null (over FAN rows of a source that are equal in
@@ -31,6 +33,8 @@ from axolin.llm.common import WORD_CHARS, cut, fresh, hash_fraction, quoted, tab
 
 WEIGHTS, MAX_COPIES, SEED = (5, 2, 1), 3, 7
 FAN = 48
+#: Rows of a source with one choice and sizes from 2**k to 2**(k + 1) - 1 that may be reversed at the end.
+CANDIDATES = 4
 #: Up to so many sources their targets are broadcast (some 100 bytes each); beyond that they are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -92,22 +96,56 @@ def _fold(items: Column, id_type: str, seed: int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def _repaired(done: Column, r: Column) -> Column:
-    """The picks of the root and its residual, rounded; then what rounding left is made up for by other choices."""
-    last = F.struct(r["doc_id"].alias("doc_id"), r["size"].alias("size"), r["row"].alias("row"), (r["p"] >= 0.5).cast("int").alias("pick"))
-    by_size = F.array_sort(F.concat(done, F.array(last)), lambda a, b: F.when(a["size"] != b["size"], F.signum(b["size"] - a["size"]).cast("int")).when(a["doc_id"] < b["doc_id"], -1).when(a["doc_id"] > b["doc_id"], 1).otherwise(0))
-    over = F.lit(-1.0) * r["size"] * r["p"] + F.when(r["p"] >= 0.5, r["size"]).otherwise(0)
+def _turned(picks: Column, over: Column) -> Column:
+    """The rows whose choice is reversed: from large to small those that at least halve what is left, then those that
+    lessen it at all, then the pair that leaves least, twice. picks is sorted by size, descending."""
+    effect = lambda e: F.when(e["pick"] == 1, -e["size"]).otherwise(e["size"])
+
+    def flipped(e: Column, turn: Column) -> Column:
+        return F.struct(e["size"].alias("size"), e["h"].alias("h"), e["row"].alias("row"), F.when(turn, 1 - e["pick"]).otherwise(e["pick"]).alias("pick"), e["was"].alias("was"))
 
     def sweep(picks: Column, over: Column, share: float) -> Column:
         def step(acc: Column, e: Column) -> Column:
-            then = acc["over"] + F.when(e["pick"] == 1, -e["size"]).otherwise(e["size"])
-            turn = (F.abs(then) < F.abs(acc["over"]) * share) & (e["size"] > 0)
-            out = F.struct(e["doc_id"].alias("doc_id"), e["size"].alias("size"), e["row"].alias("row"), F.when(turn, 1 - e["pick"]).otherwise(e["pick"]).alias("pick"))
-            return F.struct(F.when(turn, then).otherwise(acc["over"]).alias("over"), F.concat(acc["picks"], F.array(out)).alias("picks"))
+            then = acc["over"] + effect(e)
+            turn = F.abs(then) < F.abs(acc["over"]) * share
+            return F.struct(F.when(turn, then).otherwise(acc["over"]).alias("over"), F.concat(acc["picks"], F.array(flipped(e, turn))).alias("picks"))
 
         return F.aggregate(picks, F.struct(over.alias("over"), F.slice(picks, 1, 0).alias("picks")), step)
 
-    return F.transform(F.transform(F.array(by_size), lambda x: sweep(x, over, 0.5)), lambda x: sweep(x["picks"], x["over"], 1.0))[0]["picks"]
+    def best_pair(x: Column) -> Column:
+        """(what is left, i, j) of the best pair, if that is less than before."""
+        of = lambda a, i: F.transform(F.slice(x["picks"], i + 2, F.size(x["picks"])), lambda b, j: F.struct(F.abs(x["over"] + effect(a) + effect(b)).alias("left"), i.alias("i"), (i + j + 1).alias("j")))
+        return F.array_min(F.flatten(F.transform(x["picks"], of)))
+
+    def exchanged(x: Column) -> Column:
+        b = x["best"]
+        turn = lambda i: F.coalesce((b["left"] < F.abs(x["over"])) & ((i == b["i"]) | (i == b["j"])), F.lit(False))
+        change = F.aggregate(F.transform(x["picks"], lambda e, i: F.when(turn(i), effect(e)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, c: a + c)
+        return F.struct((x["over"] + change).alias("over"), F.transform(x["picks"], lambda e, i: flipped(e, turn(i))).alias("picks"))
+
+    out = F.transform(F.array(F.struct(over.alias("over"), picks.alias("picks"))), lambda x: sweep(x["picks"], x["over"], 0.5))
+    for _ in range(2):
+        out = F.transform(out, lambda x: sweep(x["picks"], x["over"], 1.0))
+    for _ in range(2):
+        out = F.transform(out, lambda x: F.struct(x["over"].alias("over"), x["picks"].alias("picks"), best_pair(x).alias("best")))
+        out = F.transform(out, exchanged)
+    return F.transform(F.filter(out[0]["picks"], lambda e: e["pick"] != e["was"]), lambda e: e["row"])
+
+
+def _repaired(decided: DataFrame, certain: DataFrame, seed: int) -> DataFrame:
+    """The decided rows with what rounding left made up for. A source's candidates are up to CANDIDATES rows of each size
+    (by powers of two) and choice, found by grouped minima of a hash, which combine before they shuffle."""
+    words = lambda d: d.select("source", ((F.col("base") + F.col("pick")) * F.col("size")).alias("words"), "target")
+    over = words(decided).unionByName(words(certain)).groupBy("source").agg((F.sum("words") - F.max("target")).alias("over"))
+    h = F.xxhash64(F.lit(seed + 1), "doc_id", "size")
+    one = F.struct("size", h.alias("h"), "row", "pick", F.col("pick").alias("was"))
+    found = decided.groupBy("source", F.floor(F.log2("size")).alias("kind"), "pick", F.pmod(h, F.lit(CANDIDATES)).alias("deal")).agg(F.min_by(one, F.struct(h, "row")).alias("one"))
+    lists = found.groupBy("source").agg(F.sort_array(F.collect_list("one"), False).alias("picks")).withColumnRenamed("source", "_s")
+    turned = lists.join(over, F.col("source").eqNullSafe(F.col("_s"))).select(F.explode(_turned(F.col("picks"), F.col("over"))).alias("_row"))
+    turned = cut(turned)
+    turned = F.broadcast(turned) if turned.count() <= BROADCAST_SOURCES else turned
+    pick = F.when(F.col("_row").isNull(), F.col("pick")).otherwise(1 - F.col("pick"))
+    return decided.join(turned, F.col("row") == F.col("_row"), "left").withColumn("pick", pick).drop("_row")
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
@@ -135,7 +173,7 @@ def _plan(docs: DataFrame, row: Column, weights, max_copies: int, seed: int) ->
     open_ = rows.where(~whole).join(equal, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z")), "left")
     number = F.xxhash64(F.lit(seed), "doc_id", "size", F.when(F.col("many"), F.col("row")))
     level = open_.select(*fixed, F.pmod(number, F.col("blocks")).alias("block"), item.alias("item"))
-    out, blocks = [certain], max(1, -(-(facts["most"] or 0) // FAN))
+    out, blocks = [], max(1, -(-(facts["most"] or 0) // FAN))
     while True:
         folded = level.groupBy(*fixed, "block").agg(F.sort_array(F.collect_list("item"), False).alias("items")).select(*fixed, "block", _fold(F.col("items"), id_type, seed).alias("f"))
         folded = cut(folded)
@@ -144,9 +182,12 @@ def _plan(docs: DataFrame, row: Column, weights, max_copies: int, seed: int) ->
         out.append(folded.select(*fixed, F.explode("f.done").alias("d")).select(*fixed, "d.*"))
         level = folded.select(*fixed, F.floor(F.col("block") / FAN).cast("bigint").alias("block"), F.col("f.r").alias("item"))
         blocks = -(-blocks // FAN)
-    done = folded.select(*fixed, F.explode(_repaired(F.col("f.done"), F.col("f.r"))).alias("d")).select(*fixed, "d.*")
+    r = F.col("f.r")
+    last = F.struct(r["doc_id"].alias("doc_id"), r["size"].alias("size"), r["row"].alias("row"), (r["p"] >= 0.5).cast("int").alias("pick"))
+    decided = folded.select(*fixed, F.explode(F.concat("f.done", F.array(last))).alias("d")).select(*fixed, "d.*")
     for part in out:
-        done = done.unionByName(part)
+        decided = decided.unionByName(part)
+    done = _repaired(cut(decided), certain, seed).unionByName(certain)
     copies = (F.col("base") + F.col("pick")).cast("bigint")
     return done.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "row")
 
