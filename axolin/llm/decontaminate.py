@@ -8,22 +8,24 @@ that is shorter). Every window counts; they are found in four steps:
    item of its length only if at least that many of its places hold a shingle of some item of that length (8/9 of them
    at 0.8). Every place of every document is hashed and looked up; from the places with a hit all windows with enough
    hits follow by arithmetic. This leaves out no window that matches, wherever its shingles stand in the item.
-2. These windows and all items get 64-bit SimHashes over their shingles, repeats included.
+2. These windows and all items get 64-bit SimHashes over their shingles, repeats included. Bits are counted by running
+   sums over a document's places, so that every window is the difference of two sums, however long it is.
 3. Multi-index Hamming search. The bits are cut into BLOCKS blocks of 10 or 11 bits. Fingerprints within the radius
    R = a BLOCKS + b agree up to a bits on one of the first b + 1 blocks, or up to a - 1 bits on one of the others. Each
    item is entered under all those neighbours of its blocks (at most 732 keys at the given parameters, whatever the
    data), together with its length; a window looks up its BLOCKS own keys. Pairs within R bits stay, each one by the
    first block that yields it.
-4. Pairs are verified on the words themselves: the weighted similarity of the shingles must reach the threshold.
+4. Pairs are verified on the words themselves: the weighted similarity of the shingles must reach the threshold. What
+   all windows of a document share with an item follows from one pass over the places of the item's shingles.
 
 R = 19 of 64 bits: at similarity 0.8 fingerprints differ in 9.7 bits on average (deviation 2.9); under 2 in 1,000 such
 windows differ in more than 19, and nearly none at 0.85. A leak has many windows; its best one is rarely that far.
 
 All of it is DataFrame code. Only places with a hit leave their row in step 1, as numbers (they are collected by
-document, so a passage that many documents share is spread over them); the words of the windows are read in a second
-scan. Items are collapsed to different texts. Their tables are broadcast up to BROADCAST_SHINGLES shingles and
-BROADCAST_KEYS keys, and the list of documents with windows up to BROADCAST_ROWS rows; beyond these sizes all joins are
-by shuffle.
+document, so a passage that many documents share is spread over them); the shingles of the stretches with windows are read
+in a second scan, once each, and pairs carry numbers only, so time and space are linear in documents and items. Items
+are collapsed to different texts. Their tables are broadcast up to BROADCAST_SHINGLES shingles and BROADCAST_KEYS keys,
+and the list of documents with windows up to BROADCAST_ROWS rows of fixed size; beyond these all joins are by shuffle.
 
 Defined results: null or blank texts and items match nothing; an item or document of fewer than five words is one
 shingle; items that repeat an item_id or a text each get their rows; rows are told apart by doc_id (null is a value) and
@@ -34,10 +36,11 @@ drop_leaks, which judges each row by its text; letters are compared in lower cas
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axolin.llm.common import WORD_CHARS, cut, fresh, table
@@ -123,11 +126,56 @@ def first_block(differ: Column, block: Column, radius: int, blocks: int) -> Colu
     return ok
 
 
-def weighted_similarity(a: Column, b: Column) -> Column:
-    """Sum of the smaller counts over the sum of the larger ones, for two lists of shingles."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
-    return both / (F.size(a) + F.size(b) - both)
+def _lanes(h: Column, lane: int) -> list[Column]:
+    """The bits of a hash as lanes of longs, 63 // lane of them in each: sums of these count bits while counts fit a lane."""
+    per = 63 // lane
+    bit = lambda b: F.shiftleft(F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("bigint")), b % per * lane)
+    return [reduce(Column.bitwiseOR, [bit(b) for b in range(k, min(64, k + per))]) for k in range(0, 64, per)]
+
+
+def _majority(sums: list[Column], n: Column, lane: int) -> Column:
+    """The fingerprint of n hashes from the sums of their lanes: bit b is set if more than half of them have it."""
+    per, mask = 63 // lane, F.lit((1 << lane) - 1).cast("bigint")
+    bit = lambda b: F.when(F.shiftrightunsigned(sums[b // per], b % per * lane).bitwiseAND(mask) * 2 > n, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
+    return reduce(Column.bitwiseOR, [bit(b) for b in range(64)])
+
+
+def window_fingerprints(places: DataFrame, starts: DataFrame, longest: int) -> DataFrame:
+    """starts (sid, start, width, ...) with fp, the fingerprint of the `width` shingles from `start` on. places: (sid, pos, x).
+    Running sums over each document give every window as the difference of two of them, so a window costs the same
+    however long it is."""
+    lane = 16 if longest < 65536 else 31
+    running = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lanes = [x.alias(f"s{k}") for k, x in enumerate(_lanes(F.xxhash64("x"), lane))]
+    n = len(lanes)
+    sums = places.select("sid", "pos", *lanes).select("sid", "pos", *[F.sum(f"s{k}").over(running).alias(f"s{k}") for k in range(n)])
+    ends = sums.select(F.col("sid").alias("end_sid"), F.col("pos").alias("end"), *[F.col(f"s{k}").alias(f"e{k}") for k in range(n)])
+    before = sums.select(F.col("sid").alias("before_sid"), F.col("pos").alias("before"), *[F.col(f"s{k}").alias(f"b{k}") for k in range(n)])
+    both = starts.join(ends, (F.col("sid") == F.col("end_sid")) & (F.col("start") + F.col("width") - 1 == F.col("end")))
+    both = both.join(before, (F.col("sid") == F.col("before_sid")) & (F.col("start") - 1 == F.col("before")), "left")
+    less = [F.col(f"e{k}") - F.coalesce(F.col(f"b{k}"), F.lit(0)) for k in range(n)]
+    return both.select(*starts.columns, _majority(less, F.col("width"), lane).alias("fp"))
+
+
+def window_similarities(near: DataFrame, places: DataFrame, shapes: DataFrame, counts: DataFrame) -> DataFrame:
+    """near (sid, start, tk) with sim, the weighted similarity of the window and the item: the sum of the smaller counts of
+    each shingle over the sum of the larger ones.
+
+    places: (sid, pos, x); shapes: (sid, width, total), the shingles of a window and of an item; counts: (tk, x, c). A
+    shingle that an item has c times counts at its place q in those windows that hold q and not the c-th place after it,
+    which are an interval of starts; the running sum of the intervals' ends is the shared number of every window.
+    """
+    pairs = near.select("sid", "tk").distinct().join(shapes, "sid")
+    there = places.join(pairs, "sid").join(counts, ["tk", "x"]).groupBy("sid", "tk", "x", "c", "width").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    w = F.col("width")
+    spans = F.transform("at", lambda q, j: F.struct((q - w + 1).alias("a"), F.least(q, F.coalesce(F.get("at", j + F.col("c").cast("int")) - w, q)).alias("b")))
+    spans = there.select("sid", "tk", F.explode(spans).alias("s")).where("s.a <= s.b")
+    ends = spans.select("sid", "tk", F.col("s.a").alias("start"), F.lit(1).alias("d")).unionByName(spans.select("sid", "tk", (F.col("s.b") + 1).alias("start"), F.lit(-1).alias("d")))
+    ends = ends.groupBy("sid", "tk", "start").agg(F.sum("d").alias("d"), F.lit(False).alias("asked"))
+    asked = near.select("sid", "tk", "start", F.lit(0).cast("bigint").alias("d"), F.lit(True).alias("asked"))
+    running = Window.partitionBy("sid", "tk").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    shared = ends.unionByName(asked).withColumn("both", F.sum("d").over(running)).where("asked").join(shapes, "sid")
+    return shared.select("sid", "start", "tk", (F.col("both") / (F.col("width") + F.col("total") - F.col("both"))).alias("sim"))
 
 
 def _places(rows: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -171,30 +219,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, simila
     spots = hits.groupBy("doc_id", "text_md5", "m", "k", "n_words").agg(F.array_sort(F.collect_set("pos")).alias("hits"))
     width = F.least(F.col("n_words"), F.col("m")) - F.col("k") + 1
     least = F.ceil(F.lit(similarity) * (width + F.col("m") - F.col("k") + 1) / (1 + similarity) - 1e-9).cast("int")
-    spots = spots.select("doc_id", "text_md5", "m", "k", _starts(F.col("hits"), least, width, F.greatest(F.lit(0), F.col("n_words") - F.col("m"))).alias("runs")).where(F.size("runs") > 0)
-    spots = cut(spots.groupBy("doc_id", "text_md5").agg(F.collect_list(F.struct("m", "k", "runs")).alias("spots")))
-    of = spots.select(F.col("doc_id").alias("spot_id"), F.col("text_md5").alias("spot_md5"), "spots")
+    runs = _starts(F.col("hits"), least, width, F.greatest(F.lit(0), F.col("n_words") - F.col("m")))
+    spots = spots.select("doc_id", "text_md5", "m", "k", width.alias("width"), runs.alias("runs")).where(F.size("runs") > 0)
+    spots = cut(spots.withColumn("sid", F.monotonically_increasing_id()))
+    of = spots.select("sid", F.col("doc_id").alias("spot_id"), F.col("text_md5").alias("spot_md5"), "k", F.get("runs", F.lit(0))["lo"].alias("first"), (F.element_at("runs", -1)["hi"] + F.col("width") - 1).alias("last"))
     of = F.broadcast(of) if spots.count() <= BROADCAST_ROWS else of
 
-    # the words of these windows and their fingerprints
+    # the shingles of the stretches that hold these windows, once for rows that are equal, and the windows' fingerprints
     read = docs.select("doc_id", F.md5("text").alias("text_md5"), "text").join(of, F.col("doc_id").eqNullSafe(F.col("spot_id")) & (F.col("text_md5") == F.col("spot_md5")))
-    read = read.select("doc_id", "text_md5", words(F.col("text")).alias("w"), F.explode("spots").alias("spot"))
-    runs = read.select("doc_id", "text_md5", "w", "spot.m", "spot.k", F.explode("spot.runs").alias("run"))
-    windows = runs.select("doc_id", "text_md5", "m", "k", "w", F.explode(F.sequence("run.lo", "run.hi")).alias("start"))
-    windows = windows.select("doc_id", "text_md5", "m", "start", shingles(F.slice("w", F.col("start") + 1, F.col("m")), F.col("k")).alias("ws"))
-    windows = cut(windows.withColumn("fp", simhash(F.col("ws"), lane)))
+    read = read.select("sid", "k", "first", words(F.col("text")).alias("w"), F.sequence("first", "last").alias("at")).select("sid", "k", "w", F.explode("at").alias("pos"))
+    joined = F.concat_ws(" ", *[F.when(F.col("k") > j, F.get("w", F.col("pos") + j)) for j in range(shingle)])
+    places = cut(read.select("sid", "pos", joined.alias("x")).repartition("sid").dropDuplicates(["sid", "pos"]))
+    starts = spots.select("sid", "m", "width", F.explode("runs").alias("run")).select("sid", "m", "width", F.explode(F.sequence("run.lo", "run.hi")).alias("start"))
+    windows = cut(window_fingerprints(places, starts, facts["longest"] or 0).select("sid", "start", "m", "fp"))
 
     # windows and items meet by the keys of their blocks
     index = texts.select("tk", F.col("fp").alias("item_fp"), F.explode(item_keys(F.col("m"), F.col("fp"), radius, blocks)).alias("key"))
     fan = sum(sum(comb(bits, n) for n in range(r + 1)) for _, bits, r in block_plan(radius, blocks))
     index = F.broadcast(index) if (facts["texts"] or 0) * fan <= BROADCAST_KEYS else index
-    looked = windows.withColumn("b", F.explode(window_keys(F.col("m"), F.col("fp"), radius, blocks))).select("doc_id", "text_md5", "start", "ws", "fp", "b.block", "b.key")
+    looked = windows.withColumn("b", F.explode(window_keys(F.col("m"), F.col("fp"), radius, blocks))).select("sid", "start", "fp", "b.block", "b.key")
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    near = looked.join(index, "key").where((F.bit_count(differ) <= radius) & first_block(differ, F.col("block"), radius, blocks))
-    pairs = near.select("doc_id", "text_md5", "start", "ws", "tk").join(small(texts.select("tk", "s")), "tk")
-    found = pairs.select("doc_id", "text_md5", "tk", "start", weighted_similarity(F.col("ws"), F.col("s")).alias("sim")).where(F.col("sim") >= similarity)
-    # rows equal in doc_id and text give equal windows, which count once
-    best = found.groupBy("doc_id", "text_md5", "tk").agg(F.max(F.struct("sim", (-F.col("start")).alias("at"))).alias("best"), F.countDistinct("start").alias("windows"))
+    near = cut(looked.join(index, "key").where((F.bit_count(differ) <= radius) & first_block(differ, F.col("block"), radius, blocks)).select("sid", "start", "tk"))
+
+    # their words decide
+    counts = texts.select("tk", F.explode("s").alias("x")).groupBy("tk", "x").agg(F.count(F.lit(1)).alias("c"))
+    shapes = spots.select("sid", "width", (F.col("m") - F.col("k") + 1).alias("total"))
+    found = window_similarities(near, places, shapes, counts).where(F.col("sim") >= similarity)
+    best = found.groupBy("sid", "tk").agg(F.max(F.struct("sim", (-F.col("start")).alias("at"))).alias("best"), F.count(F.lit(1)).alias("windows"))
+    best = best.join(spots.select("sid", "doc_id", "text_md5"), "sid")
     return best.join(small(named.select("tk", "item_id")), "tk").select("doc_id", "text_md5", "item_id", F.round("best.sim", 6).alias("similarity"), (-F.col("best.at")).cast("bigint").alias("start"), "windows")
 
 
