@@ -8,7 +8,6 @@ in their last digits with the order of addition.
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable
 
@@ -200,7 +199,7 @@ add("vec_slice_assign", lambda s, d: vector.replace_part(X(s, d), Vec(s.range(20
 add("vec_reverse", lambda s, d: vector.reverse(X(s, d)).df, "SELECT n - 1 - i AS i, v FROM x, np", "x np")
 add("vec_swap", lambda s, d: blas.swap(X(s, d).df, Y(s, d).df)[0], "SELECT i, v FROM y", "y")
 add("mem_resize", lambda s, d: vector.resize(X(s, d), X(s, d).n + 7).df, "SELECT r.i, coalesce(x.v, 0.0) AS v FROM np, range(n + 7) r(i) LEFT JOIN x ON x.i = r.i", "x np")
-add("mem_clear", lambda s, d: sources.zero_vector(s, X(s, d).n).df, "SELECT r.i, 0.0::DOUBLE AS v FROM np, range(n) r(i)", "np")
+add("mem_clear", lambda s, d: X(s, d).df.withColumn("v", F.lit(0.0)), "SELECT i, 0.0::DOUBLE AS v FROM x", "x")
 add("assign_const", lambda s, d: X(s, d).df.withColumn("v", F.lit(3.25)), "SELECT i, 3.25::DOUBLE AS v FROM x", "x")
 add("elem_get", lambda s, d: X(s, d).df.where("i = 17"), "SELECT i, v FROM x WHERE i = 17", "x")
 add("elem_set", lambda s, d: vector.set_entry(X(s, d).df, F.col("i") == 17, -1.0), "SELECT i, CASE WHEN i = 17 THEN -1.0 ELSE v END AS v FROM x", "x")
@@ -225,17 +224,32 @@ add("top_ilut", lambda s, d: matrix.top_per_row(A(s, d).df, 3), "SELECT i, j, v
 add("merge_rows", as_vec(lambda s, d: matrix.merge_rows(B(s, d).df, Mat(B(s, d).df, 0, 0).T.df, -1.0)), f"SELECT i, j, {R('sum(v)')} AS v FROM (SELECT i, j, v FROM b UNION ALL SELECT j, i, -v FROM b) GROUP BY i, j", "b")
 
 # ---- sources, sinks and encodings -------------------------------------------------------------------------------
-_LAPLACE = "SELECT i, j, v FROM (SELECT y * {px} + x AS i, (y + dy) * {px} + x + dx AS j, v, x + dx AS tx, y + dy AS ty FROM range({px}) a(x), range({py}) b(y), (VALUES (0, 0, 4.0::DOUBLE), (1, 0, -1.0), (-1, 0, -1.0), (0, 1, -1.0), (0, -1, -1.0)) k(dx, dy, v)) WHERE tx >= 0 AND tx < {px} AND ty >= 0 AND ty < {py}"
-add("gen_laplace", lambda s, d: sources.laplace_2d(s, 40, 30).df, _LAPLACE.format(px=40, py=30))
-add("gen_unit", lambda s, d: sources.unit_vector(s, 50, 7).df, "SELECT i, CASE WHEN i = 7 THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM range(50) t(i)")
-add("gen_scalar", lambda s, d: sources.scalar_vector(s, 50, 2.5).df, "SELECT i, 2.5::DOUBLE AS v FROM range(50) t(i)")
-add("gen_zero", lambda s, d: sources.zero_vector(s, 50).df, "SELECT i, 0.0::DOUBLE AS v FROM range(50) t(i)")
-add("gen_identity", lambda s, d: sources.identity_matrix(s, 50).df, "SELECT i, i AS j, 1.0::DOUBLE AS v FROM range(50) t(i)")
-add("gen_scalar_matrix", lambda s, d: sources.scalar_matrix(s, 20, 30, 1.5).df, "SELECT i, j, 1.5::DOUBLE AS v FROM range(20) a(i), range(30) b(j)")
+
+
+def _grid_of(s, d) -> Mat:
+    """The Laplacian of a grid 40 cells wide with a cell for each part."""
+    return sources.laplace_2d(s, 40, -(-X(s, d).n // 40))
+
+
+def _ones_times(s, d) -> DataFrame:
+    x = X(s, d)
+    return product.gemv(sources.scalar_matrix(s, 20, x.n, 1.5), x).df
+
+
+WITH["py"] = "SELECT (n + 39) // 40 AS py FROM np"
+WITH["lap"] = "SELECT i, j, v FROM (SELECT y * 40 + x AS i, (y + dy) * 40 + x + dx AS j, v, x + dx AS tx, y + dy AS ty, py FROM py, range(40) a(x), range(py) b(y), (VALUES (0, 0, 4.0::DOUBLE), (1, 0, -1.0), (-1, 0, -1.0), (0, 1, -1.0), (0, -1, -1.0)) k(dx, dy, v)) WHERE tx >= 0 AND tx < 40 AND ty >= 0 AND ty < py"
+add("gen_laplace", as_vec(lambda s, d: product.gemv(a := _grid_of(s, d), Vec(X(s, d).df, a.n)).df), f"SELECT lap.i, {R('sum(lap.v * x.v)')} AS v FROM lap JOIN x ON x.i = lap.j GROUP BY 1", "x np py lap")
+add("gen_unit", as_vec(lambda s, d: vector.axpby(1.0, X(s, d).df, 10.0, sources.unit_vector(s, X(s, d).n, 7).df)), f"SELECT i, {R('v + CASE WHEN i = 7 THEN 10 ELSE 0 END')} AS v FROM x", "x")
+add("gen_scalar", as_vec(lambda s, d: vector.axpby(1.0, X(s, d).df, 1.0, sources.scalar_vector(s, X(s, d).n, 2.5).df)), f"SELECT i, {R('v + 2.5')} AS v FROM x", "x")
+add("gen_zero", as_vec(lambda s, d: vector.axpby(1.0, X(s, d).df, 1.0, sources.zero_vector(s, X(s, d).n).df)), f"SELECT i, {R('v')} AS v FROM x", "x")
+add("gen_identity", as_vec(lambda s, d: product.gemv(sources.identity_matrix(s, X(s, d).n), X(s, d)).df), f"SELECT i, {R('v')} AS v FROM x", "x")
+add("gen_scalar_matrix", as_vec(lambda s, d: _ones_times(s, d).withColumn("v", F.col("v") / 3141.59265), 5), f"SELECT r.i, {R('1.5 * sum(v) / 3141.59265', 5)} AS v FROM x, range(20) r(i) GROUP BY r.i", "x")
 _U = "(CAST('0x' || substr(md5('{seed}|' || i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
-add("gen_uniform", as_vec(lambda s, d: sources.uniform_vector(s, 1000, 3).df, 9), f"SELECT i, {R(_U.format(seed=3), 9)} AS v FROM range(1000) t(i)")
-add("gen_normal", as_vec(lambda s, d: sources.normal_vector(s, 1000, 1.0, 2.0, 3).df, 6), f"SELECT i, {R('sqrt(-2 * ln(' + _U.format(seed=6) + ')) * cos(2 * pi() * ' + _U.format(seed=7) + ') * 2 + 1', 6)} AS v FROM range(1000) t(i)")
-add("io_copy_vec", lambda s, d: sources.vector_from(s, [0.5 * k for k in range(40)]).df, "SELECT i, 0.5 * i AS v FROM range(40) t(i)")
+add("gen_uniform", as_vec(lambda s, d: vector.binary(X(s, d).df, sources.uniform_vector(s, X(s, d).n, 3).df, "prod"), 6), f"SELECT i, {R('v * ' + _U.format(seed=3), 6)} AS v FROM x", "x")
+_N = "(sqrt(-2 * ln(" + _U.format(seed=6) + ")) * cos(2 * pi() * " + _U.format(seed=7) + ") * 2 + 1)"
+add("gen_normal", as_vec(lambda s, d: vector.binary(X(s, d).df, sources.normal_vector(s, X(s, d).n, 1.0, 2.0, 3).df, "prod")), f"SELECT i, {R('v * ' + _N)} AS v FROM x", "x")
+# exchange with the driver: suppliers are few, and an array on the driver is what these are for
+add("io_copy_vec", lambda s, d: sources.vector_from(s, sources.to_numpy(S(s, d)).tolist()).df, "SELECT r.i, coalesce(s.v, 0.0) AS v FROM (SELECT max(i) + 1 AS n FROM s), range(n) r(i) LEFT JOIN s ON s.i = r.i", "s")
 add("io_copy_dense", as_vec(lambda s, d: E(s, d).df, 6), f"SELECT i, j, {R('v', 6)} AS v FROM e", "e")
 add("io_copy_csr", lambda s, d: matrix.from_row_arrays(matrix.row_arrays(A(s, d).df)), "SELECT i, j, v FROM a", "a")
 add("io_copy_coo", lambda s, d: A(s, d).df, "SELECT i, j, v FROM a", "a")
@@ -250,13 +264,31 @@ def _hyb(s, d) -> DataFrame:
 
 
 add("io_copy_hyb", _hyb, "SELECT i, j, v FROM b", "b")
-add("io_set", lambda s, d: matrix.from_csr(s, [0, 2, 2, 3], [0, 4, 1], [1.5, 2.5, 3.5]), "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 1.5::DOUBLE), (0, 4, 2.5), (2, 1, 3.5)) t(i, j, v)")
-add("io_copy_struct", lambda s, d: product.circulant(Vec(s.range(6).select(F.col("id").alias("i"), (F.col("id") + 1.0).alias("v")), 6), sources.unit_vector(s, 6, 2)).df, "SELECT i, CAST((i - 2 + 6) % 6 + 1 AS DOUBLE) AS v FROM range(6) t(i)")
-_PARS = lambda s, n: Vec(s.range(n).select(F.col("id").alias("i"), ((F.col("id") * 7) % 11 + 0.5).alias("v")), n)
-for _n, _at in (("circulant", "(a.i - b.j + 12) % 12"), ("toeplitz", "11 + a.i - b.j"), ("hankel", "a.i + b.j")):
-    add(f"io_copy_{_n}", lambda s, d, k=_n: product.structured(_PARS(s, 12 if k == "circulant" else 23), k).df, f"SELECT a.i, b.j, ({_at}) * 7 % 11 + 0.5::DOUBLE AS v FROM range(12) a(i), range(12) b(j)")
-add("io_copy_vandermonde", as_vec(lambda s, d: product.structured(Vec(s.range(6).select(F.col("id").alias("i"), (F.col("id") / 4.0).cast("double").alias("v")), 6), "vandermonde").df, 6), f"SELECT a.i, b.j, {R('pow(a.i / 4.0, b.j)', 6)} AS v FROM range(6) a(i), range(6) b(j)")
-add("io_interop", lambda s, d: sources.matrix_from(s, np.arange(12.0).reshape(3, 4)).df, "SELECT i, j, CAST(4 * i + j AS DOUBLE) AS v FROM range(3) a(i), range(4) b(j) WHERE i + j > 0")
+def _row_arrays(s, d) -> DataFrame:
+    """Nations x order priorities, by the arrays of compressed rows."""
+    joined = table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    e = joined.groupBy(F.col("c_nationkey").cast("bigint").alias("i"), F.substring("o_orderpriority", 1, 1).cast("bigint").alias("j")).agg(F.count(F.lit(1)).cast("double").alias("v")).orderBy("i", "j").toPandas()
+    jumper = np.searchsorted(e["i"].to_numpy(), np.arange(int(e["i"].max()) + 2)) if len(e) else [0]
+    return matrix.from_csr(s, [int(k) for k in jumper], e["j"].tolist(), e["v"].tolist())
+
+
+add("io_set", _row_arrays, "SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(o_orderpriority[1] AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS v FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2")
+
+
+def _scaled(s, d, odd: bool = False) -> Vec:
+    """Suppliers' balances over 10,000 as parameters; with a zero more if their number must be odd."""
+    x = S(s, d)
+    return Vec(x.df.withColumn("v", F.col("v") / 1e4), x.n + 1 - x.n % 2 if odd else x.n)
+
+
+WITH["sp"] = "SELECT s_suppkey AS i, s_acctbal / 1e4 AS v FROM supplier"
+WITH["sn"] = "SELECT max(s_suppkey) + 1 AS n, (max(s_suppkey) + 1) // 2 + 1 AS h FROM supplier"
+WITH["so"] = "SELECT n, (n + 1 - n % 2 + 1) // 2 AS m FROM sn"
+add("io_copy_struct", as_vec(lambda s, d: product.circulant(_scaled(s, d), sources.unit_vector(s, S(s, d).n, 2)).df, 6), f"SELECT (i + 2) % n AS i, {R('v', 6)} AS v FROM sp, sn", "sp sn")
+for _n, _at, _size in (("circulant", "(q.j + k) % n", "n"), ("toeplitz", "k + q.j - (m - 1)", "m"), ("hankel", "k - q.j", "m")):
+    add(f"io_copy_{_n}", as_vec(lambda s, d, k=_n: product.structured(_scaled(s, d, k != "circulant"), k).df, 6), f"SELECT * FROM (SELECT {_at} AS i, q.j, {R('v', 6)} AS v, {_size} AS rows FROM (SELECT i AS k, v FROM sp) p, so, range({_size}) q(j)) WHERE i >= 0 AND i < rows".replace("SELECT * FROM", "SELECT i, j, v FROM", 1), "sp sn so")
+add("io_copy_vandermonde", as_vec(lambda s, d: product.structured(_scaled(s, d), "vandermonde").df, 6), f"SELECT p.i, q.j, {R('pow(p.v, q.j)', 6)} AS v FROM sp p, sn, range(n) q(j)", "sp sn")
+add("io_interop", as_vec(lambda s, d: sources.matrix_from(s, sources.to_numpy(G(s, d))).df), f"SELECT i, j, {R('v')} AS v FROM g", "e g")
 
 
 def _market(s, d) -> DataFrame:
@@ -297,7 +329,18 @@ def _gemm_blocks(s, d) -> DataFrame:
 add("gemm_blocked", as_vec(_gemm_blocks), f"SELECT i, j, {R('v')} AS v FROM g", "e g")
 add("spmm", as_vec(lambda s, d: product.multiply(B(s, d), sources.scalar_matrix(s, B(s, d).n, 4, 0.5)).df), f"SELECT i, c.j, {R('0.5 * t.v')} AS v FROM (SELECT i, sum(v) AS v FROM b GROUP BY i) t, range(4) c(j)", "b")
 _AB = "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM a JOIN b ON a.j = b.i GROUP BY 1, 2"
-add("spgemm", as_vec(lambda s, d: product.multiply(A(s, d), B(s, d)).df.groupBy("i").agg(F.count(F.lit(1)).alias("entries"), F.sum("v").alias("total"), F.max("v").alias("top")), 2), f"SELECT i, count(*) AS entries, {R('sum(v)', 2)} AS total, {R('max(v)', 2)} AS top FROM ({_AB}) GROUP BY i", "a b")
+add("spgemm", as_vec(lambda s, d: product.spgemm(A(s, d), B(s, d)).df.groupBy("i").agg(F.count(F.lit(1)).alias("entries"), F.sum("v").alias("total"), F.max("v").alias("top")), 2), f"SELECT i, count(*) AS entries, {R('sum(v)', 2)} AS total, {R('max(v)', 2)} AS top FROM ({_AB}) GROUP BY i", "a b")
+
+
+def _by_flag(s, d) -> tuple[Mat, Mat]:
+    """Suppliers x line numbers and line numbers x parts: seven contraction indices hold all entries of both."""
+    line = table(s, d, "lineitem")
+    m, n = size(table(s, d, "supplier"), "s_suppkey"), size(table(s, d, "part"), "p_partkey")
+    return Mat.of(line, "l_suppkey", "l_linenumber", "l_quantity", m, 8), Mat.of(line, "l_linenumber", "l_partkey", "l_quantity", 8, n)
+
+
+_FLAGS = "SELECT p.i, q.j, sum(p.v * q.v) AS v FROM (SELECT l_suppkey AS i, l_linenumber AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) p JOIN (SELECT l_linenumber AS k, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) q USING (k) GROUP BY 1, 2"
+add("spgemm_heavy", as_vec(lambda s, d: product.spgemm(*_by_flag(s, d)).df.groupBy("i").agg(F.count(F.lit(1)).alias("entries"), F.sum("v").alias("total"), F.max("v").alias("top")), 2), f"SELECT i, count(*) AS entries, {R('sum(v)', 2)} AS total, {R('max(v)', 2)} AS top FROM ({_FLAGS}) GROUP BY i")
 
 
 def _aggregator(s) -> Mat:
@@ -320,7 +363,7 @@ def _parameters(s, d) -> tuple[Vec, Vec]:
 _PAR = "SELECT k AS i, CAST((k * 7) % 11 AS DOUBLE) - 5 AS v FROM (SELECT unnest(range(2 * n - 1)) AS k FROM " + _ns + ")"
 add("prod_toeplitz", as_vec(lambda s, d: product.toeplitz(*_parameters(s, d)).df, 2), f"SELECT r.i, {R('sum(p.v * s.v)', 2)} AS v FROM {_ns}, range(n) r(i), s JOIN ({_PAR}) p ON p.i = n - 1 + r.i - s.i GROUP BY r.i", "s")
 add("prod_hankel", as_vec(lambda s, d: product.hankel(*_parameters(s, d)).df, 2), f"SELECT r.i, {R('sum(p.v * s.v)', 2)} AS v FROM {_ns}, range(n) r(i), s JOIN ({_PAR}) p ON p.i = r.i + s.i GROUP BY r.i", "s")
-add("prod_vandermonde", as_vec(lambda s, d: product.vandermonde(Vec(s.range(20).select(F.col("id").alias("i"), (F.col("id") / 20.0).alias("v")), 20), Vec(s.range(12).select(F.col("id").alias("i"), (F.col("id") + 1.0).alias("v")), 12)).df, 6), f"SELECT r.i, {R('sum(pow(r.i / 20.0, c.j) * (c.j + 1))', 6)} AS v FROM range(20) r(i), range(12) c(j) GROUP BY r.i")
+add("prod_vandermonde", as_vec(lambda s, d: product.vandermonde(_scaled(s, d), S(s, d)).df, 4), f"SELECT p.i, {R('sum(pow(p.v, s.i) * s.v)')} AS v FROM sp p, s GROUP BY p.i", "sp s")
 add("prod_user", as_vec(lambda s, d: solvers.apply(lambda x: vector.scale(x, 3.0), X(s, d).df, X(s, d).n)), f"SELECT i, {R('3 * v')} AS v FROM x", "x")
 for _n, _f, _sql in (("blas_asum", lambda s, d: blas.asum(C(s, d).df), "sum(abs(v))"), ("blas_nrm2", lambda s, d: blas.nrm2(C(s, d).df), "sqrt(sum(v * v))")):
     add(_n, as_vec(_f, 2), f"SELECT {R(_sql, 2)} AS v FROM c", "c")
@@ -479,7 +522,7 @@ def _solve(method, most: int, pre=None, **kw):
 _GRID = _KNOWN.format(n=CELLS).replace(" FROM", ", true AS few FROM", 1)
 _blocks = lambda kind, n=1, **kw: lambda a: precondition.incomplete(a, kind, n, **kw)
 for _n, _m, _most, _p in (
-    ("cg", solvers.cg, 300, None), ("cg_mixed", solvers.cg_mixed, 400, None), ("bicgstab", solvers.bicgstab, 250, None), ("gmres", lambda *a, **k: solvers.gmres(*a, krylov=20, **k), 300, _blocks("ilu0", 8)),
+    ("cg", solvers.cg, 300, None), ("cg_mixed", solvers.cg_mixed, 400, None), ("bicgstab", solvers.bicgstab, 250, None), ("gmres", lambda *a, **k: solvers.gmres(*a, krylov=20, **k), 200, _blocks("ilu0", 8)), ("gmres_reflections", lambda *a, **k: solvers.gmres(*a, krylov=20, reflections=True, **k), 200, _blocks("ilu0", 8)),
     ("pc_ilu0", solvers.bicgstab, 70, _blocks("ilu0")), ("pc_ilut", solvers.bicgstab, 20, _blocks("ilut")), ("pc_block_ilu", solvers.bicgstab, 90, _blocks("ilu0", 8)), ("pc_ichol0", solvers.cg, 100, _blocks("ichol0")),
     ("pc_chow_patel_ilu", solvers.bicgstab, 100, precondition.chow_patel), ("pc_chow_patel_icc", solvers.bicgstab, 100, lambda a: precondition.chow_patel(a, True)),
     ("pc_spai", solvers.bicgstab, 110, lambda a: precondition.inverse_of(precondition.spai(a, 1))), ("pc_fspai", solvers.cg, 150, lambda a: precondition.factored_inverse_of(precondition.fspai(a))),
@@ -517,13 +560,15 @@ add("solver_monitor", _monitored, "SELECT k, 6 AS iterations, true AS sane FROM
 
 
 def _from_lists(s, d) -> DataFrame:
-    """A matrix of maps and a right-hand side of plain numbers."""
-    a = sources.matrix_from(s, [{j: 2.5 if i == j else -1.0 for j in (i - 1, i, i + 1) if 0 <= j < 50} for i in range(50)])
-    b = sources.vector_from(s, (sum((2.5 if i == j else -1.0) * (j % 7 + 1) for j in (i - 1, i, i + 1) if 0 <= j < 50) for i in range(50)))
-    return rounded(solvers.bicgstab(a, b).x.df)
+    """A chain of suppliers as a list of maps, and a right-hand side of plain numbers."""
+    c = (sources.to_numpy(S(s, d)) / 1e4).tolist()
+    n = len(c)
+    maps = [{j: 2.5 + abs(c[i]) if i == j else -1.0 for j in (i - 1, i, i + 1) if 0 <= j < n} for i in range(n)]
+    b = sources.vector_from(s, (sum(v * (j % 7 + 1) for j, v in row.items()) for row in maps))
+    return rounded(solvers.bicgstab(sources.matrix_from(s, maps), b).x.df)
 
 
-add("stl_solve", _from_lists, _KNOWN.format(n=50))
+add("stl_solve", _from_lists, "SELECT r.i, CAST(r.i % 7 + 1 AS DOUBLE) AS v FROM sn, range(n) r(i)", "sn")
 
 
 def _solve_gram(method, pre=None):
@@ -610,18 +655,24 @@ for _k in range(3):
 add("smooth_jacobi", as_vec(lambda s, d: multigrid.smooth_jacobi(*(g := grid(s, d))[:1], g[1].df, sources.zero_vector(s, CELLS).df, 0.7, 3), 6), f"SELECT i, {R('v', 6)} AS v FROM x3", f"{_AT_GRID} r x0 x1 x2 x3")
 
 # ---- spectra ------------------------------------------------------------------------------------------------------
-EX, EY, LX, LY = 12, 10, 80, 64
-_EIG = "4 - 2 * cos((p + 1) * pi() / {a}) - 2 * cos((q + 1) * pi() / {b})"
-_EIGS = "SELECT " + _EIG.format(a="({x} + 1)", b="({y} + 1)") + " AS value FROM range({x}) a(p), range({y}) b(q)"
+def _moments(s, values) -> DataFrame:
+    """(k, moment): the sums of the powers 1 to 8 of a spectrum of the Gram matrix, each root taken."""
+    return spectral.to_frame(s, np.array([np.sum(np.asarray(values, float) ** k) ** (1.0 / k) for k in range(1, 9)]))
 
 
-def _top(fn, x: int, y: int, k: int, digits: int = 4):
-    return lambda s, d: rounded(spectral.to_frame(s, fn(sources.laplace_2d(s, x, y))[:k]), digits)
+def _spectrum(fn):
+    return lambda s, d: rounded(_moments(s, fn(G(s, d))), 4)
 
 
-def _ranked(x: int, y: int, k: int, digits: int = 4) -> str:
-    return f"SELECT CAST(row_number() OVER (ORDER BY value DESC) - 1 AS INTEGER) AS k, {R('value', digits)} AS value FROM ({_EIGS.format(x=x, y=y)}) ORDER BY value DESC LIMIT {k}"
-
+WITH["g2"] = "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2"
+WITH["g3"] = "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g2 a JOIN g b ON a.j = b.i GROUP BY 1, 2"
+WITH["g4"] = "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM g2 a JOIN g2 b ON a.j = b.i GROUP BY 1, 2"
+_FACTORS = {1: ("g", None), 2: ("g", "g"), 3: ("g2", "g"), 4: ("g2", "g2"), 5: ("g3", "g2"), 6: ("g3", "g3"), 7: ("g4", "g3"), 8: ("g4", "g4")}
+_MOMENTS = " UNION ALL ".join(
+    f"SELECT {k - 1} AS k, {R(f'pow(sum(a.v), 1.0 / {k})')} AS value FROM {a} a WHERE a.i = a.j" if b is None else f"SELECT {k - 1} AS k, {R(f'pow(sum(a.v * b.v), 1.0 / {k})')} AS value FROM {a} a JOIN {b} b ON a.i = b.j AND a.j = b.i"
+    for k, (a, b) in _FACTORS.items()
+)
+_AT_MOMENTS = "e g g2 g3 g4"
 
 # the Gram matrix multiplied by itself nine times over, scaled by its trace: its largest eigenvalue is all that is left
 for _k in range(10):
@@ -629,27 +680,54 @@ for _k in range(10):
     WITH[f"p{_k + 1}"] = f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM t{_k} a JOIN t{_k} b ON a.j = b.i GROUP BY 1, 2"
 _POWERS = "e g " + " ".join(f"t{k} p{k + 1}" for k in range(9)) + " t9"
 add("eig_power", lambda s, d: rounded(spectral.to_frame(s, np.array([spectral.power_iteration(G(s, d), 1e-12)[0]])), 3), f"SELECT 0 AS k, {R('(SELECT sum(g.v * t9.v) FROM g JOIN t9 ON g.i = t9.j AND g.j = t9.i) / (SELECT sum(v) FROM t9 WHERE i = j)', 3)} AS value", _POWERS)
-add("eig_lanczos", _top(lambda a: spectral.lanczos(a, 3, 260), LX, LY, 3), _ranked(LX, LY, 3))
-add("eig_lanczos_partial", _top(lambda a: spectral.lanczos(a, 3, 260, "partial"), LX, LY, 3), _ranked(LX, LY, 3))
-add("top_eig", _top(lambda a: spectral.eigen_symmetric(a)[0], EX, EY, 5), _ranked(EX, EY, 5))
-add("eig_qr_sym", _top(lambda a: spectral.eigen_symmetric(a)[0], EX, EY, EX * EY), _ranked(EX, EY, EX * EY))
+_TOP = f"SELECT 0 AS k, {R('(SELECT sum(g.v * t9.v) FROM g JOIN t9 ON g.i = t9.j AND g.j = t9.i) / (SELECT sum(v) FROM t9 WHERE i = j)', 3)} AS value"
+add("eig_lanczos", _spectrum(lambda g: spectral.lanczos(g, 64, 64)), _MOMENTS, _AT_MOMENTS)
+add("eig_lanczos_partial", lambda s, d: rounded(spectral.to_frame(s, spectral.lanczos(G(s, d), 1, 60, "partial")), 3), _TOP, _POWERS)
+add("top_eig", lambda s, d: rounded(spectral.to_frame(s, spectral.eigen_symmetric(G(s, d))[0][:1]), 3), _TOP, _POWERS)
+add("eig_qr_sym", _spectrum(lambda g: spectral.eigen_symmetric(g)[0]), _MOMENTS, _AT_MOMENTS)
+
 
+def _row_scaled(g: Mat) -> Mat:
+    """G with every row over its diagonal: not symmetric, with a real spectrum."""
+    diagonal = g.df.where("i = j").select("i", F.col("v").alias("d"))
+    return Mat(g.df.join(diagonal, "i").select("i", "j", (F.col("v") / F.col("d")).alias("v")), g.m, g.n)
 
-def _companion(s) -> Mat:
-    """The companion matrix of the polynomial with the roots 1..6, far from triangular."""
-    c = np.poly(np.arange(1, 7))
-    m = np.diag(np.ones(5), -1)
-    m[:, -1] = -c[1:][::-1]
-    return sources.matrix_from(s, m)
 
+for _k, _from in (("g", "SELECT g.i, g.j, g.v / d.v AS v FROM g JOIN g d ON d.i = g.i AND d.j = g.i"), ("g2", WITH["g2"]), ("g3", WITH["g3"]), ("g4", WITH["g4"])):
+    WITH["u" + _k] = _from if _k == "g" else _from.replace("g2 ", "ug2 ").replace("FROM g ", "FROM ug ").replace("JOIN g ", "JOIN ug ")
+_U_MOMENTS = _MOMENTS
+for _k in ("g4", "g3", "g2", "g"):
+    for _w in ("FROM ", "JOIN "):
+        _U_MOMENTS = _U_MOMENTS.replace(f"{_w}{_k} ", f"{_w}u{_k} ")
+add("eig_qr_nsm", lambda s, d: rounded(_moments(s, spectral.eigen_general(_row_scaled(G(s, d)))[0]), 4), _U_MOMENTS, "e g ug ug2 ug3 ug4")
 
-add("eig_qr_nsm", lambda s, d: rounded(spectral.to_frame(s, spectral.eigen_general(_companion(s))[0])), "SELECT CAST(i AS INTEGER) AS k, CAST(6 - i AS DOUBLE) AS value FROM range(6) t(i)")
-_TRI = f"SELECT CAST(i AS INTEGER) AS k, {R('2 - 2 * cos((i + 1) * pi() / 51)')} AS value FROM range(50) t(i)"
-_tri = (np.full(50, 2.0), np.append(0.0, np.full(49, -1.0)))
-add("eig_bisect", lambda s, d: rounded(spectral.to_frame(s, spectral.bisect(*_tri, tol=1e-9))), _TRI)
-add("eig_tql2", lambda s, d: rounded(spectral.to_frame(s, spectral.tridiagonal_eigen(*_tri)[0])), _TRI)
-add("tridiag_reduce", lambda s, d: rounded(spectral.to_frame(s, spectral.tridiagonal_eigen(*spectral.tridiagonalize(sources.to_numpy(sources.laplace_2d(s, EX, EY)))[:2])[0][::-1])), _ranked(EX, EY, EX * EY))
-add("lanczos_invit", lambda s, d: rounded(spectral.to_frame(s, np.abs(spectral.inverse_iteration(*_tri, 2 - 2 * math.cos(math.pi / 51))))), f"SELECT CAST(i AS INTEGER) AS k, {R('sqrt(2 / 51.0) * sin((i + 1) * pi() / 51)')} AS value FROM range(50) t(i)")
+
+def _band(g: Mat) -> tuple[np.ndarray, np.ndarray]:
+    """The tridiagonal form of the Gram matrix."""
+    return spectral.tridiagonalize(sources.to_numpy(g))[:2]
+
+
+add("eig_bisect", _spectrum(lambda g: spectral.bisect(*_band(g), tol=1e-10)), _MOMENTS, _AT_MOMENTS)
+add("eig_tql2", _spectrum(lambda g: spectral.tridiagonal_eigen(*_band(g))[0]), _MOMENTS, _AT_MOMENTS)
+add("tridiag_reduce", lambda s, d: rounded(_tridiagonal_back(s, G(s, d))), f"SELECT i, j, {R('v')} AS v FROM g", "e g")
+
+
+def _tridiagonal_back(s, g: Mat) -> DataFrame:
+    """The Gram matrix from its tridiagonal form and the basis that led there."""
+    diagonal, below, q = spectral.tridiagonalize(sources.to_numpy(g))
+    t = np.diag(diagonal) + np.diag(below[1:], 1) + np.diag(below[1:], -1)
+    return sources.matrix_from(s, q @ t @ q.T).df
+
+
+def _inverse_iteration(s, d) -> DataFrame:
+    """The Rayleigh quotient, over the Gram matrix, of the vector that inverse iteration finds for the largest value."""
+    g = G(s, d)
+    diagonal, below, q = spectral.tridiagonalize(sources.to_numpy(g))
+    v = Vec(loop.checkpoint(sources.vector_from(s, q @ spectral.inverse_iteration(diagonal, below, spectral.tridiagonal_eigen(diagonal, below)[0][-1])).df), 64)
+    return rounded(vector.dot(v.df, product.gemv(g, v).df).select(F.lit(0).alias("k"), F.col("v").alias("value")), 3)
+
+
+add("lanczos_invit", _inverse_iteration, _TOP, _POWERS)
 
 
 def _svd(s, d):
@@ -715,9 +793,19 @@ def _months(s, d):
 add("fft2", as_vec(lambda s, d: fourier.fft2(_months(s, d)), 3), f"""
 WITH t AS (SELECT l_linenumber - 1 AS i, month(l_shipdate) - 1 AS j, sum(l_quantity) / 1000 AS v FROM lineitem GROUP BY 1, 2), n AS (SELECT max(i) + 1 AS m, max(j) + 1 AS n FROM t)
 SELECT p.i::BIGINT AS i, p.j::BIGINT AS j, {R('sum(q.v * cos(2 * pi() * (p.i * q.i / m + p.j * q.j / n)))', 3)} AS re, {R('-sum(q.v * sin(2 * pi() * (p.i * q.i / m + p.j * q.j / n)))', 3)} AS im FROM t p, t q, n GROUP BY 1, 2""")
-add("fft_reorder", lambda s, d: fourier.bit_reversal(s.range(16).select(F.col("id").alias("k"), F.col("id").cast("double").alias("re")), 4), "SELECT CAST((k & 1) * 8 + (k & 2) * 2 + (k & 4) // 2 + (k & 8) // 8 AS BIGINT) AS k, CAST(k AS DOUBLE) AS re FROM range(16) t(k)")
-_dft16 = lambda s, d: s.range(16).select(F.lit(0).cast("bigint").alias("batch"), F.col("id").alias("k"), ((F.col("id") * 5) % 7).cast("double").alias("re"), F.lit(0.0).alias("im"))
-add("dft_definition", as_vec(lambda s, d: fourier.dft(_dft16(s, d), 16), 4), f"SELECT 0::BIGINT AS batch, q.k, {R('sum((p.k * 5 % 7) * cos(2 * pi() * (p.k * q.k % 16) / 16))')} AS re, {R('-sum((p.k * 5 % 7) * sin(2 * pi() * (p.k * q.k % 16) / 16))')} AS im FROM range(16) p(k), range(16) q(k) GROUP BY q.k")
+
+
+def _reversed_bits(s, d) -> DataFrame:
+    x = X(s, d)
+    return fourier.bit_reversal(x.df.select(F.col("i").alias("k"), F.col("v").alias("re")), max(1, (x.n - 1).bit_length()))
+
+
+_BITS = "CAST(greatest(1, ceil(log2(n))) AS BIGINT)"
+add("fft_reorder", _reversed_bits, f"SELECT CAST(list_sum(list_transform(range({_BITS}), lambda b: ((i >> CAST(b AS INTEGER)) & 1) << CAST({_BITS} - 1 - b AS INTEGER))) AS BIGINT) AS k, v AS re FROM x, np", "x np")
+_dft_sp = lambda s, d: _scaled(s, d).df.select(F.lit(0).cast("bigint").alias("batch"), F.col("i").alias("k"), (F.col("v") / 3.14159265).alias("re"), F.lit(0.0).alias("im"))
+add("dft_definition", as_vec(lambda s, d: fourier.dft(_dft_sp(s, d), S(s, d).n), 4), f"SELECT 0::BIGINT AS batch, q.k, {R('sum(p.v / 3.14159265e0 * cos(2 * pi() * (p.i * q.k % n) / n))')} AS re, {R('-sum(p.v / 3.14159265e0 * sin(2 * pi() * (p.i * q.k % n) / n))')} AS im FROM sp p, sn, range(n) q(k) GROUP BY q.k", "sp sn")
+_long_sp = lambda s, d: fourier.long_fft(X(s, d).df.select(F.col("i").alias("k"), (F.col("v") / 3141.59265).alias("re"), F.lit(0.0).alias("im")), X(s, d).n)
+add("long_fft", as_vec(lambda s, d: _long_sp(s, d), 3), f"SELECT q.k, {R('sum(x.v / 3141.59265e0 * cos(2 * pi() * (x.i * q.k % n) / n))', 3)} AS re, {R('-sum(x.v / 3141.59265e0 * sin(2 * pi() * (x.i * q.k % n) / n))', 3)} AS im FROM x, np, range(n) q(k) GROUP BY q.k", "x np")
 
 # ---- orderings ----------------------------------------------------------------------------------------------------
 add("bandwidth", lambda s, d: matrix.bandwidth(A(s, d).df), "SELECT max(abs(i - j)) AS bandwidth FROM a", "a")
@@ -767,8 +855,24 @@ def _order_parts(s, d, fn) -> DataFrame:
     return p.agg(F.countDistinct("i").alias("rows"), F.countDistinct("p").alias("places")).crossJoin(both).select("rows", "places", F.coalesce(F.col("after") <= F.col("before"), F.lit(True)).alias("no_wider"))
 
 
-for _n, _f in (("reorder_cm", reorder.cuthill_mckee), ("reorder_acm", reorder.advanced_cuthill_mckee), ("reorder_gps", reorder.gibbs_poole_stockmeyer)):
+for _n, _f in (("reorder_acm", reorder.advanced_cuthill_mckee), ("reorder_gps", reorder.gibbs_poole_stockmeyer)):
     add(f"{_n}_parts", lambda s, d, f=_f: _order_parts(s, d, f), _PARTS, "np")
+
+
+def _places_sql(layers: int = 12) -> str:
+    """Places of the breadth-first ordering, for a graph whose nodes are alone or in one component of so many layers."""
+    parts = [
+        "line AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), e AS (SELECT DISTINCT a.p AS i, b.p AS j FROM line a JOIN line b USING (o) WHERE a.p <> b.p)",
+        "d AS (SELECT r.i, count(e.j) AS degree FROM (SELECT max(p_partkey) + 1 AS n FROM part), range(n) r(i) LEFT JOIN e ON e.i = r.i GROUP BY r.i)",
+        "v0 AS (SELECT i, row_number() OVER (ORDER BY degree, i) - 1 AS p FROM d QUALIFY degree = 0 OR sum(CASE WHEN degree > 0 THEN 1 ELSE 0 END) OVER (ORDER BY degree, i) = 1)",
+    ]
+    for k in range(layers):
+        new = f"SELECT e.j AS i, min(v.p) AS parent FROM v{k} v JOIN e USING (i) WHERE e.j NOT IN (SELECT i FROM v{k}) GROUP BY e.j"
+        parts.append(f"v{k + 1} AS MATERIALIZED (SELECT i, p FROM v{k} UNION ALL SELECT n.i, (SELECT count(*) FROM v{k}) + row_number() OVER (ORDER BY parent, degree, n.i) - 1 AS p FROM ({new}) n JOIN d USING (i))")
+    return "WITH " + ", ".join(parts) + f" SELECT i, p FROM v{layers}"
+
+
+add("reorder_cm_parts", lambda s, d: reorder.cuthill_mckee(bought_together(s, d)), _places_sql())
 for _n, _f in (("mis2", multigrid.aggregate_mis2), ("agg", multigrid.aggregate_sequential)):
     add(f"amg_coarsen_{_n}_parts", lambda s, d, f=_f: _roots(g := bought_together(s, d), f(g)), "SELECT i, true AS near, true AS apart FROM np, range(n) t(i)", "np")
 add("sort_deg", lambda s, d: reorder.by_degree(bought_together(s, d)), "SELECT i, degree, row_number() OVER (ORDER BY degree, i) - 1 AS p FROM (SELECT r.i, count(c.q) AS degree FROM np, range(n) r(i) LEFT JOIN (SELECT DISTINCT a.l_partkey AS i, b.l_partkey AS q FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey) c ON c.i = r.i GROUP BY r.i)", "np")

@@ -1,7 +1,8 @@
 """Products as equi-joins on the contraction index followed by grouped sums.
 
 The vector side is broadcast where its length is known to be within types.BROADCAST_ROWS; otherwise both sides are
-shuffled by the contraction index and adaptive execution splits skewed indices. Sums combine before they shuffle.
+shuffled by the contraction index and adaptive execution splits skewed indices; spgemm deals heavy indices to several
+tasks by itself. Sums combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from axolin.operators.fourier import linear_convolution
 from axolin.operators.vector import axpby, lookup
+from axolin.plans.loop import checkpoint
 from axolin.types import Mat, Vec, need, small
 
 
@@ -54,6 +56,37 @@ def multiply(a: Mat, b: Mat) -> Mat:
     return Mat(c, a.m, b.n)
 
 
+#: A contraction index is heavy if it has more than one in so many entries of either factor; fewer than twice as many are.
+HEAVY = 64
+
+
+def spgemm(a: Mat, b: Mat, heavy: int = HEAVY) -> Mat:
+    """A B where a few contraction indices may hold much of either factor.
+
+    Entries are counted by contraction index first. Those of a heavy index are dealt to a grid of tasks: A's by row to as
+    many shares as they have multiples of 1 / heavy of A, B's by column likewise, and each share of one side meets each
+    share of the other. Light indices are joined as they are. Products are summed together.
+    """
+    need(a.n == b.m, f"shapes differ: {a.m} x {a.n} and {b.m} x {b.n}")
+    none = F.lit(0).cast("bigint")
+    counts = a.df.select(F.col("j").alias("k"), F.lit(1).cast("bigint").alias("p"), none.alias("q")).unionByName(b.df.select(F.col("i").alias("k"), none.alias("p"), F.lit(1).cast("bigint").alias("q")))
+    counts = checkpoint(counts.groupBy("k").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
+    total = counts.agg(F.coalesce(F.sum("p"), none).alias("p"), F.coalesce(F.sum("q"), none).alias("q")).first()
+    if not total.p or not total.q:
+        return Mat(a.df.limit(0), a.m, b.n)
+    shares = lambda c, n: F.ceil(F.col(c) * heavy / n).cast("int")
+    few = counts.select("k", F.greatest(F.lit(1), shares("p", total.p)).alias("rows"), F.greatest(F.lit(1), shares("q", total.q)).alias("cols"))
+    few = F.broadcast(few.where("rows > 1 OR cols > 1"))  # fewer than 2 * heavy rows
+    right = b.df.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("v").alias("w"))
+    left = a.df.select("i", F.col("j").alias("k"), "v")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt_left = left.join(few, "k").select("i", "k", "v", F.pmod(F.xxhash64("i"), "rows").alias("r"), each("cols").alias("c"))
+    dealt_right = right.join(few, "k").select("k", "l", "w", each("rows").alias("r"), F.pmod(F.xxhash64("l"), "cols").alias("c"))
+    light = left.join(few, "k", "left_anti").join(right.join(few, "k", "left_anti"), "k")
+    products = light.select("i", "l", (F.col("v") * F.col("w")).alias("v")).unionByName(dealt_left.join(dealt_right, ["k", "r", "c"]).select("i", "l", (F.col("v") * F.col("w")).alias("v")))
+    return Mat(products.groupBy("i", F.col("l").alias("j")).agg(F.sum("v").alias("v")), a.m, b.n)
+
+
 def gemm(a: Mat, b: Mat, alpha: float = 1.0, beta: float = 0.0, c: Mat | None = None, trans_a: bool = False, trans_b: bool = False) -> Mat:
     """alpha op(A) op(B) + beta C."""
     p = multiply(a.T if trans_a else a, b.T if trans_b else b)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axolin.plans.blocks import FEW, Chunks, Few, to_array
+from axolin.plans.blocks import CHUNK, FEW, Chunks, Few, to_array
 from axolin.plans.loop import checkpoint
 from axolin.types import Mat, driver_sized, need
 
@@ -69,8 +69,16 @@ def _pusher(done: np.ndarray, x: np.ndarray, level: np.ndarray):
         if not len(to):
             return to, to, np.zeros((0, x.shape[1])), level[:0]
         start = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-        sums = np.add.reduceat(vals[places][:, None] * x[which], start) if x.shape[1] else np.zeros((len(start), 0))
-        return to[start], np.diff(np.append(start, len(to))), sums, np.maximum.reduceat(level[which], start)
+        counts = np.diff(np.append(start, len(to)))
+        if len(start) * len(done) <= 8 * len(to):  # nearly dense: one product of matrices
+            square = np.zeros((len(start), len(done)))
+            square[np.repeat(np.arange(len(start)), counts), which] = vals[places]
+            sums = square @ x
+        else:
+            sums = np.empty((len(start), x.shape[1]))
+            for k in range(x.shape[1]):
+                sums[:, k] = np.add.reduceat(vals[places] * x[which, k], start)
+        return to[start], counts, sums, np.maximum.reduceat(level[which], start)
 
     return run
 
@@ -110,7 +118,9 @@ def on_arrays(cells: DataFrame, below: bool, diagonal: np.ndarray, right: np.nda
     few = FEW if few is None else few
     n = len(right)
     by_column = Mat(cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), n, n)
-    part = Few(by_column) if cells.limit(few + 1).count() <= few else Chunks(by_column, max(few, 1 << 10))
+    count = cells.count()
+    spread = -(-count // (2 * cells.sparkSession.sparkContext.defaultParallelism))
+    part = Few(by_column) if count <= few else Chunks(by_column, min(CHUNK, max(few, 1 << 10, spread)))
     waiting, level, left = np.zeros(n, np.int64), np.zeros(n, np.int32), np.ones(n, bool)
     for rows, count in part.each(_counted):
         waiting[rows] += count

@@ -31,7 +31,7 @@ Apply = Callable[[np.ndarray], np.ndarray]
 def _packed(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[bytes, ...]:
     order = np.lexsort((j, i))
     i, j, v = i[order], j[order], v[order]
-    at = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(i)), bool), i[1:] != i[:-1]]))
     return i[at].tobytes(), at.astype(np.int64).tobytes(), j.tobytes(), v.tobytes()
 
 

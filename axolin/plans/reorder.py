@@ -1,6 +1,10 @@
 """Orderings that reduce bandwidth: (i, p), the new place of each index.
 
-Breadth-first orderings are sequential; they run on the driver's copy of the pattern, refused beyond LOCAL_ENTRIES.
+The graph stays distributed, in packed chunks of its entries (plans.blocks); what is known of each node (its layer, place
+and component) is an array on the driver, of types.DRIVER_ROWS nodes at most. Breadth-first search goes layer by layer,
+one job for each: only the entries of the last layer's nodes are read, and every node next to them gets the least place
+among them, by which the next layer is numbered. All components advance side by side, so their number costs no jobs, and
+they are found by hooking and pointer jumping in a logarithmic number of jobs.
 """
 
 from __future__ import annotations
@@ -10,49 +14,136 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axolin.types import LOCAL_ENTRIES, Mat, need
-
-
-def _neighbours(a: Mat) -> list[list[int]]:
-    edges = a.df.where("i != j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    n = edges.count()
-    need(n <= LOCAL_ENTRIES, f"{n} edges are too many")
-    near: list[list[int]] = [[] for _ in range(a.m)]
-    for x, y in edges.toPandas().itertuples(index=False):
-        near[x].append(y)
-        near[y].append(x)
-    for k, x in enumerate(near):
-        near[k] = sorted(x, key=lambda y: (len(near[y]), y))
-    return near
-
-
-def _layers(near: list[list[int]], root: int) -> list[list[int]]:
-    seen, out = {root}, [[root]]
-    while True:
-        nxt = []
-        for k in out[-1]:
-            for y in near[k]:
-                if y not in seen:
-                    seen.add(y)
-                    nxt.append(y)
-        if not nxt:
-            return out
-        out.append(nxt)
-
-
-def _far_root(near: list[list[int]], root: int) -> int:
-    """A node whose layering is as deep as can be found by moving to the last layer."""
-    deep = _layers(near, root)
-    while True:
-        last = min(deep[-1], key=lambda k: (len(near[k]), k))
-        other = _layers(near, last)
-        if len(other) <= len(deep):
-            return root
-        root, deep = last, other
-
-
-def _frame(a: Mat, order: list[int]) -> DataFrame:
-    return a.df.sparkSession.createDataFrame(pd.DataFrame({"i": order, "p": np.arange(len(order))}), "i long, p long")
+from axolin.operators.substitution import _ranges
+from axolin.plans.blocks import packed
+from axolin.types import Mat, driver_sized, need
+
+_NONE = np.iinfo(np.int64).max
+
+
+def _least(front: np.ndarray, value: np.ndarray):
+    """(node, least value) over the neighbours of the nodes of a sorted front."""
+
+    def run(rows, at, cols, vals):
+        places, which = _ranges(rows, at, len(cols), front)
+        to, v = cols[places], value[which]
+        order = np.lexsort((v, to))
+        to, v = to[order], v[order]
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+        return to[first], v[first]
+
+    return run
+
+
+def _degrees(rows, at, cols, vals):
+    return rows, np.diff(np.append(at, len(cols)))
+
+
+class Graph:
+    """The symmetric pattern of a matrix without its diagonal."""
+
+    def __init__(self, a: Mat):
+        need(a.m == a.n and driver_sized(a.m), "the matrix must be square and its vectors must fit the driver")
+        e = a.df.where("i != j").select("i", "j")
+        both = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().withColumn("v", F.lit(1.0))
+        self.n, self.spark = a.m, a.df.sparkSession
+        self.part = packed(Mat(both, a.m, a.n))
+        self.degree = np.zeros(self.n, np.int64)
+        for rows, count in self.part.each(_degrees):
+            self.degree[rows] += count
+        #: Nodes by degree, then index, and each node's place there.
+        self.order = np.lexsort((np.arange(self.n), self.degree))
+        self.rank = np.empty(self.n, np.int64)
+        self.rank[self.order] = np.arange(self.n)
+
+    def least(self, front: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """For every node the least value among its neighbours in the front."""
+        out = np.full(self.n, _NONE)
+        order = np.argsort(front)
+        for to, v in self.part.each(_least(front[order], value[order])):
+            out[to] = np.minimum(out[to], v)
+        return out
+
+    def components(self, among: np.ndarray) -> np.ndarray:
+        """For the nodes of a mask the least rank in their component within it; other nodes are alone."""
+        lab, nodes = self.rank.copy(), np.flatnonzero(among)
+        while len(nodes):
+            best = np.where(among, np.minimum(lab, self.least(nodes, lab[nodes])), lab)
+            new = best.copy()
+            np.minimum.at(new, self.order[lab[nodes]], best[nodes])
+            while not np.array_equal(jump := new[self.order[new]], new):
+                new = jump
+            if (new == lab).all():
+                break
+            lab = new
+        return lab
+
+    def search(self, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nodes in the order of their visit, layer, number of the root) breadth-first from one root in each of some
+        components; a layer is ordered by the parent's place, then degree, then index. Nodes out of reach have layer -1."""
+        layer, of = np.full(self.n, -1), np.full(self.n, -1)
+        visited, count, depth = np.empty(self.n, np.int64), 0, 0
+        new, of[roots] = roots, np.arange(len(roots))
+        while len(new):
+            visited[count : count + len(new)] = new
+            layer[new], places = depth, count + np.arange(len(new))
+            count, depth = count + len(new), depth + 1
+            parent = self.least(new, places)
+            new = np.flatnonzero((parent < _NONE) & (layer < 0))
+            new = new[np.lexsort((new, self.degree[new], parent[new]))]
+            of[new] = of[visited[parent[new]]]
+        return visited[:count], layer, of
+
+    def spread(self, place: np.ndarray, of: np.ndarray, parts: int) -> np.ndarray:
+        """For each part the greatest distance of the places of two neighbours."""
+
+        def run(rows, at, cols, vals):
+            d = np.abs(place[cols] - np.repeat(place[rows], np.diff(np.append(at, len(cols)))))
+            most = np.zeros(parts, np.int64)
+            known = of[rows] >= 0
+            np.maximum.at(most, of[rows][known], np.maximum.reduceat(d, at)[known])
+            there = np.flatnonzero(most)
+            return there, most[there]
+
+        out = np.zeros(parts, np.int64)
+        for part, most in self.part.each(run):
+            out[part] = np.maximum(out[part], most)
+        return out
+
+    def ends(self, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(depth, least node of the deepest layer, layers, root's number) of the layerings from some roots."""
+        _, layer, of = self.search(roots)
+        depth = np.zeros(len(roots), np.int64)
+        there = np.flatnonzero(of >= 0)
+        np.maximum.at(depth, of[there], layer[there])
+        last = there[layer[there] == depth[of[there]]]
+        last = last[np.argsort(self.rank[last])[::-1]]
+        least = np.empty(len(roots), np.int64)
+        least[of[last]] = last  # the least one is assigned last
+        return depth, least, layer, of
+
+    def far(self, roots: np.ndarray) -> np.ndarray:
+        """For each component a node whose layering is as deep as can be found by moving to the last layer."""
+        roots = roots.copy()
+        depth, last, _, _ = self.ends(roots)
+        active = np.arange(len(roots))
+        while len(active):
+            deeper, ends, _, _ = self.ends(last[active])
+            better = deeper > depth[active]
+            on = active[better]
+            roots[on], depth[on], last[on] = last[on], deeper[better], ends[better]
+            active = on
+        return roots
+
+    def roots(self) -> np.ndarray:
+        """The node of least degree (and index) of every component, in that order."""
+        lab = self.components(np.ones(self.n, bool))
+        found = np.flatnonzero(lab == self.rank)
+        return found[np.argsort(self.rank[found])]
+
+    def frame(self, order: np.ndarray) -> DataFrame:
+        self.part.release()
+        return self.spark.createDataFrame(pd.DataFrame({"i": order, "p": np.arange(len(order))}), "i long, p long")
 
 
 def by_degree(a: Mat) -> DataFrame:
@@ -71,78 +162,78 @@ def by_degree(a: Mat) -> DataFrame:
 
 def cuthill_mckee(a: Mat) -> DataFrame:
     """Components from a node of least degree each, layer by layer, neighbours by degree."""
-    near = _neighbours(a)
-    left, order = set(range(a.m)), []
-    for root in sorted(range(a.m), key=lambda k: (len(near[k]), k)):
-        if root in left:
-            found = [k for layer in _layers(near, root) for k in layer]
-            order += found
-            left -= set(found)
-    return _frame(a, order)
-
-
-def _spread(near: list[list[int]], order: list[int]) -> int:
-    at = {k: p for p, k in enumerate(order)}
-    return max((abs(at[k] - at[y]) for k in order for y in near[k]), default=0)
+    g = Graph(a)
+    visited, _, of = g.search(g.roots())
+    return g.frame(visited[np.argsort(of[visited], kind="stable")])
 
 
 def advanced_cuthill_mckee(a: Mat, roots: int = 4) -> DataFrame:
     """For each component the best of the orderings from several nodes of small degree and a far one."""
-    near = _neighbours(a)
-    left, order = set(range(a.m)), []
-    for first in sorted(range(a.m), key=lambda k: (len(near[k]), k)):
-        if first not in left:
-            continue
-        part = sorted((k for layer in _layers(near, first) for k in layer), key=lambda k: (len(near[k]), k))
-        tries = [[k for layer in _layers(near, r) for k in layer] for r in dict.fromkeys([*part[:roots], _far_root(near, first)])]
-        order += min(tries, key=lambda o: _spread(near, o))
-        left -= set(part)
-    return _frame(a, order)
-
-
-def gibbs_poole_stockmeyer(a: Mat) -> DataFrame:
-    """Layers combined from both ends of a long path through each component, numbered layer by layer by degree."""
-    near = _neighbours(a)
-    left, order = set(range(a.m)), []
-    for first in sorted(range(a.m), key=lambda k: (len(near[k]), k)):
-        if first not in left:
-            continue
-        g = _far_root(near, first)
-        front = _layers(near, g)
-        h = min(front[-1], key=lambda k: (max(map(len, _layers(near, k))), len(near[k]), k))
-        back = _layers(near, h)
-        depth = len(front)
-        one = {k: d for d, layer in enumerate(front) for k in layer}
-        two = {k: max(0, depth - 1 - d) for d, layer in enumerate(back) for k in layer}
-        width = np.zeros(depth, int)
-        level = {k: one[k] for k in one if one[k] == two[k]}
-        for k in level:
-            width[level[k]] += 1
-        for part in _parts(near, [k for k in one if k not in level]):
-            choice = min((one, two), key=lambda w: (max((width[w[k]] + 1 for k in part)), w is two))
-            for k in part:
-                level[k] = choice[k]
-                width[level[k]] += 1
-        place: dict[int, int] = {}
-        for d in range(depth):
-            layer = [k for k in level if level[k] == d]
-            for k in sorted(layer, key=lambda k: (min((place[y] for y in near[k] if y in place), default=1 << 60), len(near[k]), k)):
-                place[k] = len(place)
-        order += sorted(place, key=place.get)
-        left -= set(place)
-    return _frame(a, order)
-
-
-def _parts(near: list[list[int]], nodes: list[int]) -> list[list[int]]:
-    left, out = set(nodes), []
-    while left:
-        stack, part = [left.pop()], []
-        while stack:
-            k = stack.pop()
-            part.append(k)
-            for y in near[k]:
-                if y in left:
-                    left.remove(y)
-                    stack.append(y)
-        out.append(part)
-    return sorted(out, key=lambda p: (-len(p), min(p)))
+    g = Graph(a)
+    first = g.roots()
+    _, _, of = g.search(first)
+    nodes = np.lexsort((g.rank, of))  # of each component, by degree and index
+    start = np.searchsorted(of[nodes], np.arange(len(first)))
+    size = np.diff(np.append(start, g.n))
+    best, place = np.full(len(first), _NONE), np.zeros(g.n, np.int64)
+    for t in [*range(roots), None]:
+        parts = np.arange(len(first)) if t is None else np.flatnonzero(size > t)
+        tries = g.far(first) if t is None else nodes[start[parts] + t]
+        visited, _, number = g.search(tries)
+        at = np.full(g.n, 0)
+        ordered = visited[np.argsort(number[visited], kind="stable")]
+        at[ordered] = np.arange(len(ordered))
+        spread = g.spread(at, number, len(tries))
+        better = spread < best[parts]
+        best[parts[better]] = spread[better]
+        moved = visited[better[number[visited]]]
+        place[moved] = at[moved]
+    return g.frame(np.lexsort((place, of)))
+
+
+def gibbs_poole_stockmeyer(a: Mat, ends: int = 8) -> DataFrame:
+    """Layers combined from both ends of a long path through each component, numbered layer by layer by degree. The
+    second end is the one with the narrowest layers among the `ends` nodes of least degree in the last layer."""
+    g = Graph(a)
+    one_end = g.far(g.roots())
+    depth, _, front, of = g.ends(one_end)
+    parts = len(one_end)
+    deep = np.flatnonzero(front == depth[of])
+    deep = deep[np.lexsort((g.rank[deep], of[deep]))]
+    start = np.searchsorted(of[deep], np.arange(parts))
+    size = np.diff(np.append(start, len(deep)))
+    narrow, other, back = np.full(parts, _NONE), np.empty(parts, np.int64), np.zeros(g.n, np.int64)
+    for t in range(ends):
+        there = np.flatnonzero(size > t)
+        if not len(there):
+            break
+        tries = deep[start[there] + t]
+        _, layer, number = g.search(tries)
+        seen = np.flatnonzero(number >= 0)
+        width = np.zeros(len(there), np.int64)
+        pairs, counts = np.unique(np.stack([number[seen], layer[seen]]), axis=1, return_counts=True)
+        np.maximum.at(width, pairs[0], counts)
+        better = width < narrow[there]
+        narrow[there[better]], other[there[better]] = width[better], tries[better]
+        moved = seen[better[number[seen]]]
+        back[moved] = layer[moved]
+    two = np.maximum(0, depth[of] - back)
+    level, undecided = np.where(front == two, front, -1), front != two
+    base = np.concatenate([[0], np.cumsum(depth + 1)])[:-1][of]  # where a component's levels begin among all
+    width = np.bincount((base + level)[~undecided], minlength=int((depth + 1).sum()))
+    lab = g.components(undecided)
+    loose = np.flatnonzero(undecided)
+    loose = loose[np.lexsort((loose, lab[loose]))]
+    groups = np.split(loose, np.flatnonzero(np.diff(lab[loose])) + 1) if len(loose) else []
+    for part in sorted(groups, key=lambda p: (-len(p), p[0])):
+        choice = min((front, two), key=lambda w: (width[base[part] + w[part]].max() + 1, w is two))
+        level[part] = choice[part]
+        np.add.at(width, base[part] + level[part], 1)
+    near, seq, count = np.full(g.n, _NONE), np.empty(g.n, np.int64), 0
+    for d in range(int(level.max(initial=-1)) + 1):
+        now = np.flatnonzero(level == d)
+        now = now[np.lexsort((now, g.degree[now], near[now]))]
+        seq[now] = count + np.arange(len(now))
+        count += len(now)
+        near = np.minimum(near, g.least(now, seq[now]))
+    return g.frame(np.lexsort((seq, of)))

@@ -158,6 +158,67 @@ def gmres_arrays(times, b, pre, tol, most, monitor, krylov):
         x = x + q[:, :m] @ y
 
 
+def _reflected(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(I - 2 w w^T) x for a unit or zero w."""
+    return x - 2.0 * float(w @ x) * w
+
+
+def _reflector(x: np.ndarray, k: int) -> np.ndarray:
+    """The unit w whose reflection clears x after its place k and leaves what is before it; zero if there is nothing."""
+    w = np.zeros_like(x)
+    size = float(np.linalg.norm(x[k:]))
+    if size:
+        w[k:] = x[k:]
+        w[k] += np.copysign(size, x[k])
+        w /= np.linalg.norm(w)
+    return w
+
+
+def gmres_reflector_arrays(times, b, pre, tol, most, monitor, krylov):
+    """The basis as reflections: each vector is a product of reflections of a unit vector, so it is orthogonal to the others
+    to the last digit, whatever the matrix; the reflections also take the products to the small system."""
+    pre = pre or (lambda v: v)
+    n, x, used, norm, error, stop = len(b), np.zeros_like(b), 0, None, 1.0, False
+    krylov = min(krylov, n)
+    while True:
+        rest = pre(b - times(x) if used else b)
+        size = float(np.linalg.norm(rest))
+        norm = size if norm is None else norm
+        if norm == 0:
+            return x, 0, 0.0
+        error = size / norm
+        if error < tol or used >= most or stop:
+            return x, used, error
+        w, h, m = [_reflector(rest, 0)], np.zeros((krylov + 1, krylov)), 0
+        beta, y = float(_reflected(w[0], rest)[0]), np.zeros(0)
+        for k in range(min(krylov, most - used)):
+            v = np.zeros(n)
+            v[k] = 1.0
+            for r in reversed(w):
+                v = _reflected(r, v)
+            v = pre(times(v))
+            for r in w:
+                v = _reflected(r, v)
+            if k + 1 < n:
+                w.append(_reflector(v, k + 1))
+                v = _reflected(w[-1], v)
+                h[k + 1, k] = v[k + 1]
+            h[: k + 1, k], m = v[: k + 1], k + 1
+            g = np.zeros(m + 1)
+            g[0] = beta
+            y, *_ = np.linalg.lstsq(h[: m + 1, :m], g, rcond=None)
+            error = float(np.linalg.norm(g - h[: m + 1, :m] @ y)) / norm
+            stop = bool(monitor and monitor(used + m, error))
+            if error < tol or stop or abs(h[m, k]) < 1e-14 * size:
+                break
+        used += m
+        z = np.zeros(n)
+        for k in range(m - 1, -1, -1):
+            z[k] += y[k]
+            z = _reflected(w[k], z)
+        x = x + z
+
+
 def cg(a: Operator, b: Vec, tol: float = 1e-8, max_iterations: int = 300, preconditioner=None, x0: Vec | None = None, monitor=None, abs_tol: float = 0.0, tables: bool = False) -> Result:
     """Conjugate gradients for symmetric positive definite matrices; tables=True takes the table form at any length.
 
@@ -272,11 +333,14 @@ def _bicgstab(a, b, tol, most, pre, monitor, restart) -> Result:
     return Result(Vec(state.df.select("i", x.alias("v")), b.n), k, error)
 
 
-def gmres(a: Operator, b: Vec, tol: float = 1e-10, max_iterations: int = 300, krylov: int = 20, preconditioner=None, x0: Vec | None = None, monitor=None) -> Result:
+def gmres(a: Operator, b: Vec, tol: float = 1e-10, max_iterations: int = 300, krylov: int = 20, preconditioner=None, x0: Vec | None = None, monitor=None, reflections: bool = False) -> Result:
     """Restarted GMRES, left-preconditioned. The basis is one table (i, q0, q1, ...); orthogonalisation against all
-    of it is one aggregate, done twice for stability; the small least-squares problem is solved on the driver."""
+    of it is one aggregate, done twice for stability; the small least-squares problem is solved on the driver. With
+    reflections the basis is made of them, where vectors fit the driver."""
     if driver_sized(b.n):
-        return _arrays(gmres_arrays, a, b, x0, preconditioner, tol=tol, most=max_iterations, monitor=monitor, krylov=krylov)
+        return _arrays(gmres_reflector_arrays if reflections else gmres_arrays, a, b, x0, preconditioner, tol=tol, most=max_iterations, monitor=monitor, krylov=krylov)
+    if reflections:
+        raise ValueError("reflections need vectors that fit the driver")
     return _shifted(_gmres, a, b, x0, tol=tol, most=max_iterations, krylov=krylov, pre=preconditioner or (lambda r: r), monitor=monitor)
 
 

@@ -20,7 +20,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from axolin import catalog, sources
-    from axolin.operators import direct, product, vector
+    from axolin.operators import direct, product, reflectors, vector
     from axolin.plans import loop, precondition, solvers
     from axolin.plans.blocks import Chunks
     from axolin.types import Mat, Vec
@@ -40,6 +40,8 @@ def main() -> None:
     ones = sources.scalar_vector(spark, edge * edge, 1.0)
     tall = Mat(spark.range(100_000).selectExpr("id AS i", "explode(sequence(0L, 15L)) AS j").selectExpr("i", "j", "double((i * 31 + j * j * 7) % 101) AS v"), 100_000, 16)
     low = Mat(grid.df.where("j <= i AND i < 1024"), 1024, 1024)
+    dense_low = Mat(spark.range(1500).selectExpr("id AS i", "explode(sequence(0L, id)) AS j").selectExpr("i", "j", "IF(i = j, 100.0, double((i * 7 + j * 3) % 11) / 100) AS v"), 1500, 1500)
+    many = Mat(spark.range(1500).selectExpr("id AS i", "explode(sequence(0L, 152L)) AS j").selectExpr("i", "j", "double((i + j) % 7) AS v"), 1500, 153)
 
     def spmv_ten() -> None:
         a, x = Chunks(grid), np.ones(edge * edge)
@@ -69,7 +71,9 @@ def main() -> None:
         "jacobi_cg_laplace_50": lambda: solvers.cg(grid, ones, max_iterations=50, preconditioner=precondition.jacobi(grid)),
         "block_ilu_bicgstab_laplace_50": preconditioned,
         "trsv_1024": lambda: done(direct.trsv(low, sources.scalar_vector(spark, 1024, 1.0)).df),
+        "trsm_1500x153": lambda: done(direct.trsm(dense_low, many).df),
         "qr_100000x16": lambda: direct.qr_r(tall),
+        "qr_1800": lambda: reflectors.factor(dense(1800)),
         "toeplitz_1e6": toeplitz,
         **{name: (lambda q=name: done(catalog.Q[q](spark, sf_dir))) for name in ("flagship_norm_ax", "gemv_t", "spgemm", "gemm_tn", "scan_incl", "agg_norm2", "fft")},
     }
