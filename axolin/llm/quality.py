@@ -2,17 +2,17 @@
 
 A document is a bag of passages of PASSAGE bytes (the last one is shorter); a label belongs to the bag. Each passage is
 described by its own content: hashed words and hashed runs of three characters (BUCKETS each), shares of character
-classes, and figures on its words (length, variety, repetition within the passage, and how much of it stands elsewhere
-in its segment of the document); no figure is a constant of the document. A small tanh layer encodes it. A gated
+classes, and figures on its words (length, variety and repetition within the passage); no figure is a constant of the
+document. A small tanh layer encodes it. A gated
 attention (tanh gate times sigmoid gate) gives every passage a weight; the weighted sum of the encodings is scored by
 a logistic unit. Attention is learned from document labels alone and finds the passages that decide.
 
 Training uses at most MAX_TRAIN labels, the first ones in the order of a hash of doc_id, and never rows whose crc32 of
 doc_id (as text) leaves remainder 2 when divided by 4; those are held out. Labels, lang, source and doc_id are no
-inputs of a score. Training is deterministic and done on the driver, whose data is bounded: MAX_TRAIN texts with at
-most TRAIN_PASSAGES passages each (evenly spaced ones of longer texts), 1.1 kB a passage. Scoring reads whole texts, a
-segment of SEGMENT passages at a time, so that its memory doesn't grow with a text but for 64 bytes a passage. The
-weights (40 kB) travel with the scoring map, which needs no shuffle.
+inputs of a score. Training is deterministic and done on the driver, whose data is bounded by the labelled rows: all
+passages of MAX_TRAIN texts at most, 1.1 kB each. It takes MIN_STEPS steps at least, so that few labels are learned as
+well as many. Scoring reads whole texts, a segment of SEGMENT passages at a time, so that its memory doesn't grow with a
+text but for 64 bytes a passage. The weights (40 kB) travel with the scoring map, which needs no shuffle.
 
 Defined results: null text is an empty one, whose bag is one empty passage; without labels of both kinds nothing is
 learned and every score is 1 (nothing speaks against a document); null labels and doc_ids teach nothing; labels in
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from axolin.llm.common import quoted, table
 
 PASSAGE, MAX_TRAIN, THRESHOLD = 512, 6000, 0.7
-SEGMENT, TRAIN_PASSAGES, BUCKETS = 2048, 32, 256
+SEGMENT, BUCKETS = 2048, 256
 HIDDEN, GATE, EPOCHS, RATE, DECAY, SEED = 16, 8, 20, 0.01, 5e-3, 5
-#: Total passages of a step of gradient descent.
-STEP = 4096
+#: Total passages of a step of gradient descent, and how many steps there are at least, whatever the number of labels.
+STEP, MIN_STEPS = 4096, 400
 
 _KINDS = ("lower", "upper", "digit", "space", "newline", "stop", "comma", "bang", "bar", "symbol", "quote", "other", "high")
 
@@ -52,14 +52,15 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-N_FIGURES = len(_KINDS) + 7
+N_FIGURES = len(_KINDS) + 6
 N_FEATURES = N_FIGURES + 2 * BUCKETS
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def passage_features(text: str | None) -> Iterator[np.ndarray]:
-    """For each segment of the whole text an array with one row of N_FEATURES figures for each passage."""
+    """For each segment of the whole text an array with one row of N_FEATURES figures for each passage. A passage's figures
+    follow from its own bytes alone (words and runs end with it), so segments decide nothing."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     for k in range(0, max(1, len(data)), SEGMENT * PASSAGE):
         yield _segment_features(data[k : k + SEGMENT * PASSAGE])
@@ -79,35 +80,36 @@ def _segment_features(data: np.ndarray) -> np.ndarray:
     size = np.maximum(1, counts.sum(axis=1))
     share = counts / size[:, None]
     blank = (kind == 3) | (kind == 4)
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(data) else np.zeros(0, np.int64)
-    ends = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) if len(data) else np.zeros(0, np.int64)
+    edge = np.arange(len(data) + 1) % PASSAGE == 0
+    starts = np.flatnonzero(~blank & (np.concatenate([[True], blank[:-1]]) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(~blank & (np.concatenate([blank[1:], [True]]) | edge[1:])) if len(data) else np.zeros(0, np.int64)
     of = at[starts]
     words = np.bincount(of, minlength=n).astype(float)
     length = np.bincount(of, ends - starts + 1, minlength=n) / np.maximum(1, words)
     marked = np.bincount(of, (kind[ends] > 4) & (kind[ends] < 12), minlength=n) / np.maximum(1, words)
     low = _LOWER[data].astype(np.uint32)
     three = low[:-2] * np.uint32(0x9E3779B1) ^ low[1:-1] * np.uint32(0x85EBCA6B) ^ low[2:] * np.uint32(0xC2B2AE35) if len(data) > 2 else low[:0]
-    grams = _hashed(at[: len(three)], (three >> np.uint32(13)).astype(np.int64), n)
-    again, variety, fresh_, elsewhere = np.zeros(n), np.zeros(n), np.ones(n), np.zeros(n)
+    own = at[: len(three)] == at[2:] if len(three) else np.zeros(0, bool)
+    grams = _hashed(at[: len(three)][own], (three[own] >> np.uint32(13)).astype(np.int64), n)
+    again, variety, fresh_ = np.zeros(n), np.zeros(n), np.ones(n)
     if len(starts):
-        place = np.arange(len(data)) - np.repeat(np.append(0, starts[1:]), np.diff(np.append(np.append(0, starts[1:]), len(data))))
+        place = np.maximum(0, np.arange(len(data)) - np.repeat(starts, np.diff(np.concatenate([[0], starts[1:], [len(data)]]))))
         mix = (low.astype(np.uint64) + np.uint64(257)) * (place.astype(np.uint64) * np.uint64(2654435761) + np.uint64(0x9E3779B97F4A7C15))
         mix ^= mix >> np.uint64(29)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix, dtype=np.uint64)])
         code = total[ends + 1] - total[starts]
-        again = np.bincount(of[1:], code[1:] == code[:-1], minlength=n) / np.maximum(1, words)
+        again = np.bincount(of[1:], (code[1:] == code[:-1]) & (of[1:] == of[:-1]), minlength=n) / np.maximum(1, words)
         mark = of.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)  # tells passages apart
         variety = np.bincount(of[np.unique(code ^ mark, return_index=True)[1]], minlength=n) / np.maximum(1, words)
         named = _hashed(of, (code >> np.uint64(40)).astype(np.int64), n)
         if len(code) > 3:
-            four, where = code[:-3] * np.uint64(3) ^ code[1:-2] * np.uint64(5) ^ code[2:-1] * np.uint64(7) ^ code[3:] * np.uint64(11), of[:-3]
-            runs = np.maximum(1, np.bincount(where, minlength=n))
-            fresh_ = np.bincount(where[np.unique(four ^ mark[:-3], return_index=True)[1]], minlength=n) / runs
-            _, back, often = np.unique(four, return_inverse=True, return_counts=True)
-            elsewhere = np.bincount(where, often[back] > 1, minlength=n) / runs
+            whole = of[:-3] == of[3:]
+            four, where = (code[:-3] * np.uint64(3) ^ code[1:-2] * np.uint64(5) ^ code[2:-1] * np.uint64(7) ^ code[3:] * np.uint64(11))[whole], of[:-3][whole]
+            runs = np.bincount(where, minlength=n)
+            fresh_ = np.where(runs > 0, np.bincount(where[np.unique(four ^ mark[:-3][whole], return_index=True)[1]], minlength=n) / np.maximum(1, runs), 1.0)
     else:
         named = np.zeros((n, BUCKETS))
-    extra = np.stack([np.minimum(length, 40) / 10, marked, again, np.minimum(words, 200) / 100, fresh_, variety, elsewhere], axis=1)
+    extra = np.stack([np.minimum(length, 40) / 10, marked, again, np.minimum(words, 200) / 100, fresh_, variety], axis=1)
     return np.concatenate([np.sqrt(share), extra, named, grams], axis=1).astype(np.float32)
 
 
@@ -176,9 +178,11 @@ def train(bags: list[np.ndarray], labels: np.ndarray, attention: bool = True) ->
     m, v = ({k: np.zeros_like(net.w[k]) for k in names} for _ in range(2))
     rng, k = np.random.default_rng(SEED), 0
     labels = labels.astype(np.float32)
-    for epoch in range(EPOCHS):
+    step = int(min(STEP, max(256, size.sum() // 8)))
+    epochs = max(EPOCHS, -(-MIN_STEPS * step // int(size.sum())))
+    for epoch in range(epochs):
         order = rng.permutation(len(bags))
-        cuts = np.flatnonzero(np.diff(np.cumsum(size[order]) // STEP)) + 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[order]) // step)) + 1
         for part in np.split(order, cuts):
             g = net.gradient(np.concatenate([bags[i] for i in part]).astype(np.float32), np.cumsum(np.append(0, size[part][:-1])), labels[part])
             k += 1
@@ -186,7 +190,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, attention: bool = True) ->
                 grad = g[n] + np.float32(DECAY) * net.w[n]
                 m[n] = np.float32(0.9) * m[n] + np.float32(0.1) * grad
                 v[n] = np.float32(0.999) * v[n] + np.float32(0.001) * grad**2
-                net.w[n] = net.w[n] - np.float32(RATE * (1 - epoch / EPOCHS) / (1 - 0.9**k)) * m[n] / (np.sqrt(v[n] / np.float32(1 - 0.999**k)) + np.float32(1e-8))
+                net.w[n] = net.w[n] - np.float32(RATE * (1 - epoch / epochs) / (1 - 0.9**k)) * m[n] / (np.sqrt(v[n] / np.float32(1 - 0.999**k)) + np.float32(1e-8))
     return net
 
 
@@ -204,9 +208,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
         for b in batches:
             bags = []
             for t in b["text"]:
-                x = np.concatenate(list(passage_features(t)))
-                some = np.unique(np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)) if len(x) > TRAIN_PASSAGES else slice(None)
-                bags.append(x[some].astype(np.float16).tobytes())
+                bags.append(np.concatenate([x.astype(np.float16) for x in passage_features(t)]).tobytes())
             yield pd.DataFrame({"turn": b["turn"], "quality": b["quality"], "bag": bags})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -413,6 +413,33 @@ def test_long_texts_are_scored_in_segments():
     assert [len(p) for p in quality.passage_features(None)] == [1]
 
 
+def test_segments_decide_nothing(monkeypatch):
+    """Figures and scores of a long text are those of the text read at once."""
+    text = " " + prose(2, 30_000) + "  é\n" + "x" * 3000 + " ab ab " * 300
+    whole = np.concatenate(list(quality.passage_features(text)))
+    monkeypatch.setattr(quality, "SEGMENT", 3)
+    parts = list(quality.passage_features(text))
+    assert len(parts) > 10 and np.array_equal(np.concatenate(parts), whole)
+
+
+@pytest.mark.parametrize("name, least", [("sf0.01", 93), ("sf0.1", 985)])
+def test_held_out_labels(name, least):
+    """Of 94 and 990 held-out labels; attention does no worse than the mean of all passages."""
+    import duckdb
+
+    rows = duckdb.sql(f"SELECT doc_id, text, quality FROM '/root/testdata/{name}/documents.parquet' JOIN '/root/testdata/{name}/labels.parquet' USING (doc_id) WHERE quality IS NOT NULL ORDER BY md5(doc_id::VARCHAR)").fetchall()
+    bags = [np.concatenate([x.astype(np.float16) for x in quality.passage_features(t)]) for _, t, _ in rows]
+    held, label = np.array([quality.crc_fold(i) == 2 for i, _, _ in rows]), np.array([y for _, _, y in rows], float)
+    teach, ask = [b for b, h in zip(bags, held, strict=True) if not h], [b for b, h in zip(bags, held, strict=True) if h]
+    right = []
+    for attention in (True, False):
+        net = quality.train(teach, label[~held], attention)
+        at = np.cumsum([0] + [len(b) for b in ask[:-1]])
+        y = net.forward(np.concatenate([net.encode(b.astype(np.float32)) for b in ask]), at)["y"]
+        right.append(int(((y >= quality.THRESHOLD) == (label[held] == 1)).sum()))
+    assert right[0] >= least and right[0] >= right[1]
+
+
 def test_attention_weighs_passages():
     """Bags with one telling passage among many: attention finds it, the mean of all can't do as well."""
     rng = np.random.default_rng(0)
