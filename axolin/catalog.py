@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from axolin import blas, sources
 from axolin.functions import CASTS, convert
 from axolin.operators import direct, fourier, matrix, product, reflectors, substitution, vector
-from axolin.plans import bidiagonal, loop, multigrid, precondition, reorder, solvers, spectral
+from axolin.plans import bidiagonal, coloured, jacobi, loop, multigrid, precondition, reorder, solvers, spectral
 from axolin.types import Mat, Vec
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -523,7 +523,7 @@ _GRID = _KNOWN.format(n=CELLS).replace(" FROM", ", true AS few FROM", 1)
 _blocks = lambda kind, n=1, **kw: lambda a: precondition.incomplete(a, kind, n, **kw)
 for _n, _m, _most, _p in (
     ("cg", solvers.cg, 300, None), ("cg_mixed", solvers.cg_mixed, 400, None), ("bicgstab", solvers.bicgstab, 250, None), ("gmres", lambda *a, **k: solvers.gmres(*a, krylov=20, **k), 200, _blocks("ilu0", 8)), ("gmres_reflections", lambda *a, **k: solvers.gmres(*a, krylov=20, reflections=True, **k), 200, _blocks("ilu0", 8)),
-    ("pc_ilu0", solvers.bicgstab, 70, _blocks("ilu0")), ("pc_ilut", solvers.bicgstab, 20, _blocks("ilut")), ("pc_block_ilu", solvers.bicgstab, 90, _blocks("ilu0", 8)), ("pc_ichol0", solvers.cg, 100, _blocks("ichol0")),
+    ("pc_ilu0", solvers.bicgstab, 80, coloured.incomplete), ("pc_ilut", solvers.bicgstab, 20, _blocks("ilut")), ("pc_block_ilu", solvers.bicgstab, 90, _blocks("ilu0", 8)), ("pc_ichol0", solvers.cg, 125, lambda a: coloured.incomplete(a, "ichol0")),
     ("pc_chow_patel_ilu", solvers.bicgstab, 100, precondition.chow_patel), ("pc_chow_patel_icc", solvers.bicgstab, 100, lambda a: precondition.chow_patel(a, True)),
     ("pc_spai", solvers.bicgstab, 110, lambda a: precondition.inverse_of(precondition.spai(a, 1))), ("pc_fspai", solvers.cg, 150, lambda a: precondition.factored_inverse_of(precondition.fspai(a))),
     ("pc_amg", solvers.cg, 60, multigrid.multigrid), ("pc_amg_smoothed", solvers.cg, 30, lambda a: multigrid.multigrid(a, "sequential", "smoothed")), ("pc_amg_direct", solvers.bicgstab, 60, lambda a: multigrid.multigrid(a, "onepass", "direct")),
@@ -684,7 +684,8 @@ _TOP = f"SELECT 0 AS k, {R('(SELECT sum(g.v * t9.v) FROM g JOIN t9 ON g.i = t9.j
 add("eig_lanczos", _spectrum(lambda g: spectral.lanczos(g, 64, 64)), _MOMENTS, _AT_MOMENTS)
 add("eig_lanczos_partial", lambda s, d: rounded(spectral.to_frame(s, spectral.lanczos(G(s, d), 1, 60, "partial")), 3), _TOP, _POWERS)
 add("top_eig", lambda s, d: rounded(spectral.to_frame(s, spectral.eigen_symmetric(G(s, d))[0][:1]), 3), _TOP, _POWERS)
-add("eig_qr_sym", _spectrum(lambda g: spectral.eigen_symmetric(g)[0]), _MOMENTS, _AT_MOMENTS)
+# blocks of 16 rows, so that the Gram matrix has several
+add("eig_qr_sym", _spectrum(lambda g: [r.value for r in jacobi.eigen(g, 16)[0].collect()]), _MOMENTS, _AT_MOMENTS)
 
 
 def _row_scaled(g: Mat) -> Mat:
@@ -707,7 +708,7 @@ def _band(g: Mat) -> tuple[np.ndarray, np.ndarray]:
     return spectral.tridiagonalize(sources.to_numpy(g))[:2]
 
 
-add("eig_bisect", _spectrum(lambda g: spectral.bisect(*_band(g), tol=1e-10)), _MOMENTS, _AT_MOMENTS)
+add("eig_bisect", _spectrum(lambda g: [r.value for r in spectral.bisect_table(g.df.sparkSession, *_band(g), tol=1e-12).collect()]), _MOMENTS, _AT_MOMENTS)
 add("eig_tql2", _spectrum(lambda g: spectral.tridiagonal_eigen(*_band(g))[0]), _MOMENTS, _AT_MOMENTS)
 add("tridiag_reduce", lambda s, d: rounded(_tridiagonal_back(s, G(s, d))), f"SELECT i, j, {R('v')} AS v FROM g", "e g")
 

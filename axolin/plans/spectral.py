@@ -88,6 +88,48 @@ def bisect(d: np.ndarray, e: np.ndarray, tol: float = 1e-6) -> np.ndarray:
     return (lo + hi) / 2
 
 
+def bisect_table(spark: SparkSession, d: np.ndarray, e: np.ndarray, tol: float = 1e-10, parts: int | None = None) -> DataFrame:
+    """(k, value), ascending, of a symmetric tridiagonal matrix; e[0] is unused. The range of all values is cut into
+    intervals, one row each, which tasks take side by side: the number of negative pivots at both ends tells which values
+    an interval holds, and it is halved until each of them has its own, narrow one. The band is broadcast (16 bytes a row)."""
+    n = len(d)
+    need(n <= DRIVER_ROWS, "the band must fit the driver")
+    if not n:
+        return spark.createDataFrame([], "k int, value double")
+    parts = parts or 4 * spark.sparkContext.defaultParallelism
+    radius = np.abs(np.append(e[1:], 0)) + np.abs(np.append(0, e[1:]))
+    lo, hi = float((d - radius).min()), float((d + radius).max())
+    pad = 1e-12 * max(abs(lo), abs(hi), 1e-300)
+    edges = np.linspace(lo - pad, hi + pad, parts + 1)
+    band = spark.sparkContext.broadcast((np.asarray(d, float), np.asarray(e, float) ** 2))
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(edges, edges[1:], strict=False)], "lo double, hi double").repartition(parts)
+
+    def below(x: np.ndarray) -> np.ndarray:
+        """How many values are less than each x."""
+        diagonal, squares = band.value
+        count, q = np.zeros(len(x), int), np.ones(len(x))
+        for i in range(len(diagonal)):
+            q = diagonal[i] - x - (squares[i] / q if i else 0)
+            q = np.where(q == 0, 1e-300, q)
+            count += q < 0
+        return count
+
+    def run(frames):
+        for pdf in frames:
+            for a, b in zip(pdf["lo"], pdf["hi"], strict=True):
+                first, last = below(np.array([a, b]))
+                k = np.arange(first, last)
+                lo, hi = np.full(len(k), a), np.full(len(k), b)
+                while len(k) and (hi - lo).max() > tol * max(1.0, abs(a), abs(b)):
+                    mid = (lo + hi) / 2
+                    points, at = np.unique(mid, return_inverse=True)
+                    left = below(points)[at] > k
+                    hi, lo = np.where(left, mid, hi), np.where(left, lo, mid)
+                yield pd.DataFrame({"k": k.astype(np.int32), "value": (lo + hi) / 2})
+
+    return rows.mapInPandas(run, "k int, value double")
+
+
 def lanczos(a: Mat, k: int = 10, krylov: int = 100, method: str = "full", seed: int = 0, vectors: bool = False):
     """The k largest eigenvalues of a symmetric matrix, descending, from a Krylov space; with vectors a table (i, k, v) as well.
 
