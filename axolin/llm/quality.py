@@ -214,8 +214,19 @@ def training_bags(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     one = rows.groupBy("turn", "doc_id", "quality").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")).alias("least"))
     got = one.select("turn", "quality", "least.text").mapInPandas(run, "turn string, quality int, bag binary")
-    got = sorted(((r.turn, r.quality, bytes(r.bag)) for r in got.toLocalIterator()), key=lambda r: r)
-    return [np.frombuffer(b, np.float16).reshape(-1, N_FEATURES) for _, _, b in got], np.array([q for _, q, _ in got], float)
+    # rows go into arrays of some MB as they come, which are freed as a whole
+    chunks, loose, held, found = [], [], 0, []
+    for r in got.toLocalIterator():
+        loose.append(np.frombuffer(r.bag, np.float16).reshape(-1, N_FEATURES))
+        found.append((r.turn, r.quality, len(chunks), held, held + len(loose[-1])))
+        held += len(loose[-1])
+        if held >= STEP:
+            chunks.append(np.concatenate(loose))
+            loose, held = [], 0
+    if loose:
+        chunks.append(np.concatenate(loose))
+    found.sort()
+    return [chunks[c][i:j] for _, _, c, i, j in found], np.array([q for _, q, *_ in found], float)
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, attention: bool = True) -> Bags:
