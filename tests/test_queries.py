@@ -8,7 +8,7 @@ import pytest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DATA = "/root/testdata/sf0.001"
-FAST = r"^(el_(erfc?|log|trunc|div|fmod|eq|cast_ulong|cast_float)$|vec_|agg_|scan_|mat_(row|diag|slice|axpby)|sp_row_info|sp_trsv|io_(copy_ell|copy_hyb|set|mm)|gen_|gemv$|gemm_(tn|blocked)|spmv_hyb|spgemm|prod_(circ|toep|hank|vand)|trsv_lower$|trsm_(unit_upper_t_bt|lower)$|lu$|qr_recover|lstsq|eig_|tridiag|svd|nmf|fft2|convolve$|permute|cg$|pc_(jacobi|ilut|amg_smoothed|chow_patel_icc)$|amg_|smooth_jacobi|reorder_)"
+FAST = r"^(el_(erfc?|log|trunc|div|fmod|eq|cast_ulong|cast_float)$|vec_|agg_|scan_|mat_(row|diag|slice|axpby)|sp_row_info|sp_trsv|sp_block_trsv|sp_trsm|level_sched|qr_|bidiag|long_fft|stl_solve|top_eig|lanczos_invit|dft_definition|fft_reorder|cg_tables|io_(copy_|set|mm|interop)|gen_|gemv$|gemm_(tn|blocked)|spmv_hyb|spgemm|prod_(circ|toep|hank|vand)|trsv_lower$|trsm_(unit_upper_t_bt|lower)$|lu$|qr_recover|lstsq|eig_|tridiag|svd|nmf|fft2|convolve$|permute|cg$|pc_(jacobi|ilut|ilu0|amg_smoothed|chow_patel_icc)$|amg_|smooth_jacobi|reorder_)"
 #: The other solver queries, which take longer.
 SLOW = "bicgstab gmres pc_amg pc_amg_direct".split()
 
