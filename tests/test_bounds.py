@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from axolin import sources
-from axolin.operators import matrix
+from axolin.operators import matrix, substitution
 from axolin.plans import blocks, reorder
 
 
@@ -54,3 +54,26 @@ def test_permuting_with_a_broadcast(spark):
     a = sources.matrix_from(spark, near)
     p = spark.createDataFrame([(k, 11 - k) for k in range(12)], "i long, p long")
     assert sorted(matrix.permute(a.df, p, 12).collect()) == sorted(matrix.permute(a.df, p).collect())
+
+
+@pytest.fixture
+def waves(spark, monkeypatch):
+    """The broadcasts of a substitution: one of the diagonal and one for each wave."""
+    seen, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: seen.append(1) or broadcast(self, x))
+    return seen
+
+
+def chain(n=48):
+    return np.tril(np.random.default_rng(1).random((n, n)) < 0.2, -1) + np.diag(np.full(n - 1, 0.5), -1) + 2 * np.eye(n)
+
+
+@pytest.mark.parametrize("kind", ["lower", "upper"])
+def test_waves_are_no_more_than_ranges(spark, waves, kind):
+    """A chain of 48 levels in ranges of some 60 entries."""
+    t = chain() if kind == "lower" else chain().T[::-1, ::-1].T.copy()
+    x = np.arange(48.0)[:, None]
+    got, level = substitution.on_arrays(sources.matrix_from(spark, t).df.where("i != j"), kind == "lower", np.diag(t), t @ x, 60)
+    assert np.allclose(got, x) and level.max() == 47
+    entries = np.count_nonzero(t) - 48
+    assert 2 <= len(waves) <= 2 + entries // 60
