@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from axolin import sources
-from axolin.operators import matrix, substitution
+from axolin import catalog, sources, types
+from axolin.operators import matrix, product, substitution
 from axolin.plans import blocks, reorder
+from axolin.types import Vec
 
 
 @pytest.fixture
@@ -77,3 +79,50 @@ def test_waves_are_no_more_than_ranges(spark, waves, kind):
     assert np.allclose(got, x) and level.max() == 47
     entries = np.count_nonzero(t) - 48
     assert 2 <= len(waves) <= 2 + entries // 60
+
+
+def one_file(spark, n):
+    return Vec(spark.range(n).coalesce(1).select(F.col("id").alias("i"), (F.col("id") * 0.37 - 1).alias("v")), n)
+
+
+def test_outer_product_of_one_file_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(types, "TASK_CELLS", 100)
+    got = product.outer(one_file(spark, 40), one_file(spark, 40)).df
+    x = np.arange(40) * 0.37 - 1
+    assert got.rdd.getNumPartitions() > 4 and np.allclose(sources.to_numpy(types.Mat(got, 40, 40)), np.outer(x, x))
+
+
+@pytest.mark.parametrize("kind", ["circulant", "vandermonde"])
+def test_structured_entries_of_one_file_are_dealt_out(spark, monkeypatch, kind):
+    monkeypatch.setattr(types, "TASK_CELLS", 100)
+    got = product.structured(one_file(spark, 40), kind).df
+    assert got.rdd.getNumPartitions() > 4 and got.count() == 1600
+
+
+@pytest.mark.parametrize("digits", [2, 6])
+def test_rounding_is_that_of_decimals(spark, digits):
+    r = np.random.default_rng(3)
+    whole = np.arange(-300, 300)
+    some = [*(whole / 8), *((whole + 0.5) / 10**digits), *(r.normal(size=300) * 10.0 ** r.integers(-12, 18, 300)), 0.0, -0.0, np.inf, -np.inf, np.nan]
+    df = spark.createDataFrame([(float(v),) for v in some], "v double")
+    got = df.select(catalog.near("v", digits, "double").alias("a"), F.round("v", digits).alias("b")).collect()
+    assert all(x.a == x.b or (x.a != x.a and x.b != x.b) for x in got)
+
+
+def test_dense_places_are_not_shuffled(spark):
+    """Only A's own rows go through an exchange; the zeros of a row are counted through."""
+    r = np.random.default_rng(4)
+    a = (r.random((9, 30)) < 0.2) * r.normal(size=(9, 30))
+    a[3], a[4] = 0, 1.5
+    m, x, y = sources.matrix_from(spark, a), r.normal(size=9), r.normal(size=30)
+    m = types.Mat(m.df.where("v != 0"), 9, 30)
+    for made in (matrix.dense(m), product.ger(m, 0.5, sources.vector_from(spark, x), sources.vector_from(spark, y))):
+        assert made.df.count() == 270 and "FullOuter" not in made.df._jdf.queryExecution().optimizedPlan().toString()
+    assert np.allclose(sources.to_numpy(matrix.dense(m)), a)
+    assert np.allclose(sources.to_numpy(made), a + 0.5 * np.outer(x, y))
+
+
+def test_dense_grid_meets_no_join(spark):
+    m = types.Mat(sources.matrix_from(spark, np.eye(6)).df.where("v != 0"), 6, 6)
+    seen = str(matrix.dense(m).df._jdf.queryExecution().optimizedPlan().toString())
+    assert "(j#" not in "".join(line for line in seen.splitlines() if "Join" in line)
