@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from axolin import catalog, sources, types
 from axolin.operators import matrix, product, substitution
-from axolin.plans import blocks, reorder
+from axolin.plans import blocks, loop, multigrid, reorder, solvers
 from axolin.types import Vec
 
 
@@ -126,3 +126,35 @@ def test_dense_grid_meets_no_join(spark):
     m = types.Mat(sources.matrix_from(spark, np.eye(6)).df.where("v != 0"), 6, 6)
     seen = str(matrix.dense(m).df._jdf.queryExecution().optimizedPlan().toString())
     assert "(j#" not in "".join(line for line in seen.splitlines() if "Join" in line)
+
+
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_aggregation_of_many_entries(spark, monkeypatch, symmetric):
+    """Beyond the bound of one task the roots are those of the sequential order, and at most two steps away."""
+    n = 70
+    near = np.random.default_rng(8).random((n, n)) < 0.025
+    near = (near | near.T if symmetric else near) & ~np.eye(n, dtype=bool)
+    root = np.full(n, -1)
+    for k in range(n):
+        if root[k] < 0 and (root[near[k]] < 0).all():
+            root[k] = k
+            root[near[k]] = k
+    first = root.copy()
+    for k in np.flatnonzero(root < 0):
+        root[k] = first[[x for x in np.flatnonzero(near[k]) if first[x] >= 0][0]]
+    a = sources.matrix_from(spark, near.astype(float) + np.eye(n))
+    a = types.Mat(a.df.where("v != 0"), n, n)
+    for bound in (multigrid.LOCAL_ENTRIES, 10):
+        monkeypatch.setattr(multigrid, "LOCAL_ENTRIES", bound)
+        got = {r.i: r.root for r in multigrid.aggregate_sequential(a, symmetric).collect()}
+        assert [got[k] for k in range(n)] == root.tolist()
+
+
+def test_products_of_a_loop_need_no_shuffle(spark):
+    """A matrix dealt out for a loop whose vectors are broadcast is summed by row where it lies."""
+    a = sources.laplace_2d(spark, 6, 5)
+    kept = types.Mat(loop.dealt(a.df, solvers._side(a.n)), a.m, a.n)
+    got = product.gemv(kept, sources.scalar_vector(spark, a.n, 1.0)).df
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan.split("InMemoryRelation")[0]
+    kept.df.unpersist()
