@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from axolin import catalog, sources, types
 from axolin.operators import matrix, product, substitution
-from axolin.plans import blocks, loop, multigrid, reorder, solvers
+from axolin.plans import blocks, multigrid, reorder
 from axolin.types import Vec
 
 
@@ -150,11 +150,21 @@ def test_aggregation_of_many_entries(spark, monkeypatch, symmetric):
         assert [got[k] for k in range(n)] == root.tolist()
 
 
-def test_products_of_a_loop_need_no_shuffle(spark):
-    """A matrix dealt out for a loop whose vectors are broadcast is summed by row where it lies."""
-    a = sources.laplace_2d(spark, 6, 5)
-    kept = types.Mat(loop.dealt(a.df, solvers._side(a.n)), a.m, a.n)
-    got = product.gemv(kept, sources.scalar_vector(spark, a.n, 1.0)).df
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan.split("InMemoryRelation")[0]
-    kept.df.unpersist()
+def test_products_move_factors_only(spark, monkeypatch):
+    """Shares of rows and columns: what goes through a shuffle are entries of the factors, and no products."""
+    monkeypatch.setattr(product, "SHARE", 50)
+    monkeypatch.setattr(product, "PIECE", 64)
+    r = np.random.default_rng(9)
+    a, b = ((r.random(s) < 0.2) * r.normal(size=s) for s in ((60, 8), (8, 70)))
+    sparse = lambda x: types.Mat((m := sources.matrix_from(spark, x)).df.where("v != 0"), m.m, m.n)
+    got = product.spgemm_shares(sparse(a), sparse(b))
+    assert "Aggregate [i#" not in got.df._jdf.queryExecution().optimizedPlan().toString()
+    want = (a != 0).astype(int) @ (b != 0).astype(int)
+    rows = got.df.collect()
+    assert len(rows) == len({(x.i, x.j) for x in rows}) == np.count_nonzero(want)
+    assert np.allclose(sources.to_numpy(got), a @ b)
+
+
+def test_sums_of_products_are_by_key(spark):
+    i, j, v = product._multiplied(np.array([5, 5, 9]), np.array([1, 2, 1]), np.array([2.0, 3, 4]), np.array([1, 2, 2]), np.array([7, 7, 8]), np.array([1.0, 10, 100]))
+    assert list(zip(i.tolist(), j.tolist(), v.tolist(), strict=True)) == [(5, 7, 32.0), (5, 8, 300.0), (9, 7, 4.0)]
