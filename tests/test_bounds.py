@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from axolin import catalog, sources, types
-from axolin.operators import matrix, product, substitution
+from axolin.operators import direct, matrix, product, substitution
 from axolin.plans import blocks, multigrid, reorder
 from axolin.types import Vec
 
@@ -168,3 +168,12 @@ def test_products_move_factors_only(spark, monkeypatch):
 def test_sums_of_products_are_by_key(spark):
     i, j, v = product._multiplied(np.array([5, 5, 9]), np.array([1, 2, 1]), np.array([2.0, 3, 4]), np.array([1, 2, 2]), np.array([7, 7, 8]), np.array([1.0, 10, 100]))
     assert list(zip(i.tolist(), j.tolist(), v.tolist(), strict=True)) == [(5, 7, 32.0), (5, 8, 300.0), (9, 7, 4.0)]
+
+
+def test_right_hand_sides_beyond_the_bound_go_in_passes(spark, monkeypatch):
+    """Three columns of 48 rows, one at a time: no halves of the triangle."""
+    monkeypatch.setattr(types, "DRIVER_ROWS", 60)
+    monkeypatch.setattr(direct, "_block", None)
+    x = np.arange(144.0).reshape(48, 3)
+    got = direct.trsm(sources.matrix_from(spark, chain()), sources.matrix_from(spark, chain().T @ x), transposed=True)
+    assert np.allclose(sources.to_numpy(got), x)
