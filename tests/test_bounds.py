@@ -177,3 +177,8 @@ def test_right_hand_sides_beyond_the_bound_go_in_passes(spark, monkeypatch):
     x = np.arange(144.0).reshape(48, 3)
     got = direct.trsm(sources.matrix_from(spark, chain()), sources.matrix_from(spark, chain().T @ x), transposed=True)
     assert np.allclose(sources.to_numpy(got), x)
+
+
+@pytest.mark.parametrize("method", [reorder.gibbs_poole_stockmeyer, reorder.advanced_cuthill_mckee])
+def test_layers_of_other_orderings(spark, sent, method):
+    check_ordering(spark, sent, method)
