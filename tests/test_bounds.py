@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from axolin import catalog, sources, types
 from axolin.operators import direct, matrix, product, substitution
 from axolin.plans import blocks, multigrid, reorder
-from axolin.types import Vec
+from axolin.types import Mat, Vec
 
 
 @pytest.fixture
@@ -182,3 +182,42 @@ def test_right_hand_sides_beyond_the_bound_go_in_passes(spark, monkeypatch):
 @pytest.mark.parametrize("method", [reorder.gibbs_poole_stockmeyer, reorder.advanced_cuthill_mckee])
 def test_layers_of_other_orderings(spark, sent, method):
     check_ordering(spark, sent, method)
+
+
+def test_product_with_an_array(spark, monkeypatch):
+    """Sums by row within tasks and across them, in pieces of a few entries, with no join in the plan."""
+    monkeypatch.setattr(product, "HELD", 5)
+    a = np.arange(35.0).reshape(7, 5) % 4
+    x = np.arange(10.0).reshape(5, 2) - 3
+    m = Mat(sources.matrix_from(spark, a).df.repartition(3), 7, 5)
+    got = product.times_array(m, x)
+    assert "Join" not in got.df._jdf.queryExecution().toString()
+    assert np.array_equal(sources.to_numpy(got), a @ x)
+    assert np.array_equal(sources.to_numpy(product.times_array(m.T, np.arange(7.0))), (a.T @ np.arange(7.0))[:, None])
+    with pytest.raises(ValueError):
+        product.times_array(m, np.zeros(6))
+
+
+def test_right_hand_sides_are_made_once(spark, monkeypatch):
+    """Beyond the driver's bound columns are fetched one by one, of a table that is made only once."""
+    monkeypatch.setattr(types, "DRIVER_ROWS", 20)
+    t = np.tril(np.arange(144.0).reshape(12, 12) % 3) + 5 * np.eye(12)
+    x, seen = np.arange(48.0).reshape(12, 4) % 7 + 1, spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    b = Mat(sources.matrix_from(spark, t @ x).df.mapInArrow(count, "i long, j long, v double"), 12, 4)
+    assert np.allclose(sources.to_numpy(substitution.substitute(sources.matrix_from(spark, t), b)), x)
+    assert seen.value == 48
+
+
+def test_levels_are_laid_out_in_tasks(spark, monkeypatch):
+    """No row of the result is made on the driver: places are counted in the tasks, also in an incomplete last piece."""
+    monkeypatch.setattr(blocks, "PIECE", 4)
+    t = np.tril(np.ones((10, 10)))
+    got = substitution.levels(sources.matrix_from(spark, t))
+    assert [tuple(r) for r in got.orderBy("i").collect()] == [(k, k) for k in range(10)]
+    assert "Range" in got._jdf.queryExecution().toString()
