@@ -221,3 +221,25 @@ def test_levels_are_laid_out_in_tasks(spark, monkeypatch):
     got = substitution.levels(sources.matrix_from(spark, t))
     assert [tuple(r) for r in got.orderBy("i").collect()] == [(k, k) for k in range(10)]
     assert "Range" in got._jdf.queryExecution().toString()
+
+
+def test_bandwidths_without_a_join(spark):
+    """Of both orders in one pass over the entries; the places are an array in the tasks, no table for a join."""
+    a = np.array([[0, 1.0, 0, 0], [1, 0, 0, 2], [0, 0, 3, 0], [0, 2, 0, 0]])
+    p = spark.createDataFrame([(0, 0), (1, 1), (2, 3), (3, 2)], "i long, p long")
+    got = matrix.bandwidths(Mat(sources.matrix_from(spark, a).df.where("v != 0"), 4, 4), p)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert got.first() == (2, 1)
+    assert matrix.bandwidths(Mat(sources.zero_matrix(spark, 4, 4).df.where("v != 0"), 4, 4), p).first() == (None, None)
+
+
+def test_shares_of_entries_in_parts(spark, monkeypatch):
+    """Entries of one place may come in parts, and rows of B are packed by ranges of columns."""
+    monkeypatch.setattr(product, "SHARE", 9)
+    monkeypatch.setattr(product, "PACKED", 4)
+    monkeypatch.setattr(product, "OUT", 3)
+    a, b = np.arange(42.0).reshape(6, 7) % 5, np.arange(77.0).reshape(7, 11) % 4
+    twice = lambda m: Mat((d := sources.matrix_from(spark, m).df).unionByName(d), *m.shape)
+    got = product.spgemm_shares(twice(a), twice(b))
+    assert got.df.count() == got.df.select("i", "j").distinct().count()
+    assert np.array_equal(sources.to_numpy(got), 4 * a @ b)
