@@ -157,6 +157,63 @@ def test_rotations(d, e):
     assert np.allclose(x.T @ x, np.eye(len(d))) and np.allclose(y.T @ y, np.eye(len(d)))
 
 
+def parted():
+    """A tall part, a wide one of rank 2, a chain and a single entry among rows and columns without entries."""
+    r = np.random.default_rng(5)
+    a = np.zeros((64, 40))
+    rows, cols = r.permutation(64), r.permutation(40)
+    a[np.ix_(rows[:23], cols[:5])] = r.normal(size=(23, 5))
+    a[np.ix_(rows[23:27], cols[5:16])] = r.normal(size=(4, 2)) @ r.normal(size=(2, 11))
+    for k in range(12):
+        a[rows[30 + k], cols[16 + k : 18 + k]] = 1 + k, 2
+    a[rows[50], cols[30]] = -3
+    return a
+
+
+@pytest.mark.parametrize("cells", [bidiagonal.PART_CELLS, 60, 0])
+def test_svd_of_connected_parts(spark, monkeypatch, cells):
+    """In the tasks, or by the form for large parts; the matrix has more columns than its square may have for one task."""
+    a = parted()
+    monkeypatch.setattr(bidiagonal, "PART_CELLS", cells)
+    monkeypatch.setattr(bidiagonal, "LOCAL_ENTRIES", 200)
+    monkeypatch.setattr(bidiagonal, "DRIVER_ROWS", 100)
+
+    def cells_of(rows, u, s, cols, v):
+        x = (u * s) @ v.T
+        return np.repeat(rows, len(cols)), np.tile(cols, len(rows)), x.ravel()
+
+    m = sources.matrix_from(spark, a)
+    got = bidiagonal.svd_parts(m, cells_of, "i long, j long, v double").toPandas()
+    again = np.zeros(a.shape)
+    np.add.at(again, (got["i"], got["j"]), got["v"])
+    assert np.allclose(again, a, atol=1e-12) and not got.duplicated(["i", "j"]).any()
+    if cells:
+        # a part's values come with each of its pieces
+        found = bidiagonal.svd_parts(m, lambda rows, u, s, cols, v: (s,), "s double").toPandas()["s"]
+        distinct = lambda x: np.unique(np.round(x[x > 1e-9], 8))
+        assert np.allclose(distinct(found), distinct(np.linalg.svd(a, compute_uv=False)))
+
+
+def test_columns_are_linked_through_rows(spark):
+    a = parted()
+    label = bidiagonal._columns_linked(sources.matrix_from(spark, a))
+    linked = (a.T != 0).astype(int) @ (a != 0) > 0
+    for _ in range(6):
+        linked = (linked.astype(int) @ linked) > 0
+    assert all(label[k] == min(np.flatnonzero(linked[k]), default=k) for k in range(40))
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 100])
+def test_dense_svd(step):
+    a = graded(23, 5, 1e8)
+    i, j = np.indices(a.shape)
+    u = np.zeros(a.shape)
+    for k, rows, s, v in bidiagonal.dense_svd(i.ravel(), j.ravel(), a.ravel(), 23, 5, step):
+        u[k : k + len(rows)] = rows
+    assert np.allclose(u * s @ v.T, a, atol=1e-14) and np.abs(u.T @ u - np.eye(5)).max() < 1e-12 and np.abs(v.T @ v - np.eye(5)).max() < 1e-12
+    assert np.allclose(s, np.geomspace(1, 1e-8, 5), rtol=1e-6)
+
+
 def executions(spark):
     return spark._jsparkSession.sharedState().statusStore().executionsCount()
 
