@@ -214,6 +214,24 @@ def test_dense_svd(step):
     assert np.allclose(s, np.geomspace(1, 1e-8, 5), rtol=1e-6)
 
 
+@pytest.mark.parametrize("kind", ["lower", "upper"])
+def test_waves_leave_no_table_on_the_driver(spark, monkeypatch, kind):
+    """The ranges of a wave are chosen by a condition: each broadcast join would leave its table there."""
+    n = 30
+    a = np.eye(n) * 9 + np.tri(n, k=-1) * (np.add.outer(np.arange(n), np.arange(n)) % 4 == 0)
+    a = a if kind == "lower" else a.T
+    monkeypatch.setattr(substitution.blocks, "CHUNK", 8)
+    monkeypatch.setattr(substitution.F, "broadcast", lambda df: pytest.fail("a broadcast join"))
+    x = np.arange(n) % 7 + 1.0
+    m = sources.matrix_from(spark, a)
+    got = substitution.substitute(m, sources.matrix_from(spark, (a @ x)[:, None]), kind)
+    assert np.allclose(sources.to_numpy(got)[:, 0], x)
+    level = np.zeros(n, int)
+    for k in range(n) if kind == "lower" else range(n)[::-1]:
+        level[k] = max((level[c] + 1 for c in np.flatnonzero(a[k]) if c != k), default=0)
+    assert substitution.levels(m, kind).orderBy("i").toPandas()["level"].tolist() == level.tolist()
+
+
 def executions(spark):
     return spark._jsparkSession.sharedState().statusStore().executionsCount()
 
