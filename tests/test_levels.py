@@ -258,3 +258,29 @@ def test_one_action_an_iteration(spark, monkeypatch, pre):
     assert np.allclose(sources.to_numpy(got.x), x, atol=1e-6)
     assert np.diff(seen).tolist() == [2] * (len(seen) - 1)
     assert solvers.cg(a, sources.zero_vector(spark, 12)).iterations == 0
+
+
+@pytest.mark.parametrize("kind", ["lower", "upper"])
+@pytest.mark.parametrize("width", [1, 3])
+def test_no_vector_comes_to_the_driver(spark, monkeypatch, kind, width):
+    """A strip leaves its solution in the shared folder; the driver sees numbers of strips only. Two parts without links."""
+    n = 40
+    t = sparse_triangle(n, 0.3) * (np.arange(n)[:, None] // 20 == np.arange(n) // 20)
+    t = t if kind == "lower" else t.T.copy()
+    x = np.random.default_rng(3).normal(size=(n, width))
+    m, b = sources.matrix_from(spark, t), sources.matrix_from(spark, t @ x)
+    monkeypatch.setattr(substitution.blocks, "CHUNK", 60)
+    with monkeypatch.context() as at:
+        for name in ("to_array", "on_arrays", "laid_out"):
+            at.setattr(substitution, name, lambda *a, **k: pytest.fail("a vector on the driver"))
+        at.setattr(type(m.df), "toArrow", lambda self: pytest.fail("a table on the driver"))
+        got = substitution.substitute(m, b, kind)
+    assert np.allclose(sources.to_numpy(got), x)
+
+
+def test_ranges_end_where_parts_do():
+    linked = [(5, 7, 0), (5, 7, 0), (5, 7, 6), (5, 7, 8), (5, 14, 0), (5, 14, 0), (5, 14, 0), (5, 15, 0)]
+    assert substitution._cut(linked, 2, 100, 16) == [0, 8]
+    assert substitution._cut(linked, 2, 10, 16) == [0, 4, 8, 12]
+    assert substitution._cut([(5, 15, 0)] * 8, 2, 1000, 16) == [0]
+    assert substitution._cut([(5, 3, 0), (5, 4, 3), (5, 9, 5), (5, 9, 0), (5, 9, 10)], 2, 8, 10) == [0, 2, 4, 5, 6, 8]
