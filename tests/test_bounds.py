@@ -243,3 +243,20 @@ def test_shares_of_entries_in_parts(spark, monkeypatch):
     got = product.spgemm_shares(twice(a), twice(b))
     assert got.df.count() == got.df.select("i", "j").distinct().count()
     assert np.array_equal(sources.to_numpy(got), 4 * a @ b)
+
+
+@pytest.mark.parametrize("most", [types.DRIVER_ROWS, 8])
+def test_polynomials_at_many_points(spark, monkeypatch, most):
+    """Points meet an array of coefficients and no table of them, as long as they fit the driver."""
+    monkeypatch.setattr(types, "DRIVER_ROWS", most)
+    e, x = np.linspace(-1, 0.9, 7), np.arange(9.0) % 4 - 1
+    got = product.vandermonde(sources.vector_from(spark, e), sources.vector_from(spark, x))
+    assert ("Join" in got.df._jdf.queryExecution().toString()) == (most == 8)
+    assert np.allclose(sources.to_numpy(got), np.vander(e, 9, increasing=True) @ x)
+
+
+def test_coefficients_without_a_value(spark):
+    """They add nothing, and a point without a value has no result, as in a sum of products."""
+    e, x = (spark.createDataFrame(rows, "i long, v double") for rows in ([(0, 2.0), (1, None)], [(0, 1.0), (1, None), (2, 3.0)]))
+    got = product.vandermonde(Vec(e, 2), Vec(x, 3)).df.orderBy("i").collect()
+    assert [tuple(r) for r in got] == [(0, 13.0), (1, None)]
