@@ -260,3 +260,34 @@ def test_coefficients_without_a_value(spark):
     e, x = (spark.createDataFrame(rows, "i long, v double") for rows in ([(0, 2.0), (1, None)], [(0, 1.0), (1, None), (2, 3.0)]))
     got = product.vandermonde(Vec(e, 2), Vec(x, 3)).df.orderBy("i").collect()
     assert [tuple(r) for r in got] == [(0, 13.0), (1, None)]
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_rows_of_a_product(spark, monkeypatch, few):
+    """Entries, sums and largest values of rows, from shares of rows and columns; of places, also those without a value."""
+    monkeypatch.setattr(product, "SHARE", 40)
+    monkeypatch.setattr(product, "PIECE", 64)
+    monkeypatch.setattr(product, "SUMMED", 300)
+    monkeypatch.setattr(product, "BLOCK_CELLS", 50)
+    monkeypatch.setattr(product, "FEW_INDICES", few)
+    r = np.random.default_rng(9)
+    a, b = ((r.random(s) < 0.4) * r.normal(size=s) for s in ((30, 8), (8, 70)))
+    sparse = lambda x: Mat((m := sources.matrix_from(spark, x)).df.where("v != 0"), m.m, m.n)
+    got = product.product_rows(sparse(a), sparse(b)).orderBy("i").collect()
+    there, c = (a != 0).astype(int) @ (b != 0).astype(int) > 0, a @ b
+    rows = np.flatnonzero(there.any(axis=1))
+    assert [(x.i, x.entries) for x in got] == [(i, there[i].sum()) for i in rows]
+    assert np.allclose([(x.total, x.top) for x in got], [(c[i].sum(), c[i][there[i]].max()) for i in rows])
+
+
+def test_rows_of_a_product_with_nulls(spark):
+    """A null row or column is one of its own, a null contraction index meets nothing and a null value adds nothing."""
+    frame = lambda rows: spark.createDataFrame(rows, "i long, j long, v double")
+    a = Mat(frame([(0, 0, 2.0), (0, 1, None), (1, 1, None), (None, 0, 3.0), (2, None, 1.0)]), 3, 2)
+    b = Mat(frame([(0, 0, 1.0), (0, None, 5.0), (1, 1, -4.0), (None, 0, 9.0), (0, 0, None)]), 2, 2)
+    got = product.product_rows(a, b).orderBy("i").collect()
+    assert [tuple(x) for x in got] == [(None, 2, 18.0, 15.0), (0, 3, 12.0, 10.0), (1, 1, None, None)]
+    entries = product.spgemm_shares(a, Mat(b.df.where("v IS NOT NULL"), 2, 2)).df.where("i IS NULL").orderBy("j").collect()
+    assert [(x.j, x.v) for x in entries] == [(None, 15.0), (0, 3.0)]
+    nan = Mat(frame([(0, 0, 1.0), (0, 1, float("nan"))]), 1, 2)
+    assert str(product.product_rows(nan, Mat(frame([(0, 0, 1.0), (1, 0, 1.0)]), 2, 1)).first()[1:]) == "(1, nan, nan)"
