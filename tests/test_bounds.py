@@ -1,6 +1,7 @@
 """What comes to the driver or goes through a shuffle stays bounded where graphs, triangles and results are large."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,11 @@ def test_rows_of_a_product_with_nulls(spark):
     assert [(x.j, x.v) for x in entries] == [(None, 15.0), (0, 3.0)]
     nan = Mat(frame([(0, 0, 1.0), (0, 1, float("nan"))]), 1, 2)
     assert str(product.product_rows(nan, Mat(frame([(0, 0, 1.0), (1, 0, 1.0)]), 2, 1)).first()[1:]) == "(1, nan, nan)"
+
+
+def test_larger_factor_moves_once(spark):
+    """Where few rows of B have nearly all entries its columns are dealt out, and no share of A's rows gets a copy of all."""
+    a, b = (sources.matrix_from(spark, np.ones(s)) for s in ((5000, 2), (2, 300)))
+    sizes = lambda p, q: pd.DataFrame({"n": [int(q["l"].map(len).sum())]})
+    got = product._shares(a, b, 300_000, lambda _: sizes, "n long").collect()
+    assert len(got) == 10 and sum(x.n for x in got) == 600
