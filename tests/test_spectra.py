@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from axolin import sources
-from axolin.plans import jacobi, spectral
+from axolin.plans import bidiagonal, jacobi, spectral
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 6])
@@ -39,3 +39,13 @@ def test_intervals(spark):
         assert [k for k, _ in rows] == list(range(len(d)))
         assert np.allclose([v for _, v in rows], np.linalg.eigvalsh(t) if len(d) else [], atol=1e-10)
         assert not len(d) or table.rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("a", [np.zeros((3, 3)), np.eye(4), np.diag([2.0, 2, 0, 0, 2])])
+def test_bases_where_nothing_is_left_at_once(a):
+    """The fresh direction after the first one is another than that, so that no basis has noise or NaN in it."""
+    u, d, e, v = bidiagonal.golub_kahan(lambda x: a @ x, lambda x: a.T @ x, *a.shape)
+    s, x, y = bidiagonal.diagonalise(d, e)
+    for basis in (u, v):
+        assert np.allclose(basis.T @ basis, np.eye(len(a)), atol=1e-12)
+    assert np.allclose((u @ x * s) @ (v @ y).T, a)
